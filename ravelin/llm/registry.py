@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from ravelin.llm import exact, lines, simhash
+from ravelin.llm import bpe, exact, langid, lines, simhash
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": lines.op1_line_dedup,
+        "op3_bpe": bpe.op3_bpe,
         "op5_exact_dedup": exact.op5_exact_dedup,
         "op8_simhash": simhash.op8_simhash,
+        "op9_language": langid.op9_language,
     }
 
 
