@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from ravelin.llm import bpe, exact, langid, lines, simhash
+from ravelin.llm import bpe, exact, langid, lines, media, mixing, simhash
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": lines.op1_line_dedup,
         "op3_bpe": bpe.op3_bpe,
+        "op4_media": media.op4_media,
         "op5_exact_dedup": exact.op5_exact_dedup,
         "op8_simhash": simhash.op8_simhash,
         "op9_language": langid.op9_language,
+        "op10_mixing": mixing.op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": lines.ORACLE, "op5_exact_dedup": exact.ORACLE}
+    return {"op1_line_dedup": lines.ORACLE, "op5_exact_dedup": exact.ORACLE, "op10_mixing": mixing.ORACLE}
