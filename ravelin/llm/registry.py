@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ravelin.llm import bpe, exact, langid, lines, media, mixing, simhash
+from ravelin.llm import bpe, exact, langid, lines, media, mixing, simhash, substring
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_bpe": bpe.op3_bpe,
         "op4_media": media.op4_media,
         "op5_exact_dedup": exact.op5_exact_dedup,
+        "op7_substring": substring.op7_substring,
         "op8_simhash": simhash.op8_simhash,
         "op9_language": langid.op9_language,
         "op10_mixing": mixing.op10_mixing,
