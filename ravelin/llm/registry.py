@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from ravelin.llm import bpe, exact, langid, lines, media, mixing, simhash, substring
+from ravelin.llm import bpe, exact, langid, licenses, lines, media, mixing, pages, simhash, substring
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": lines.op1_line_dedup,
+        "op2_html": pages.op2_html,
         "op3_bpe": bpe.op3_bpe,
         "op4_media": media.op4_media,
         "op5_exact_dedup": exact.op5_exact_dedup,
+        "op6_licenses": licenses.op6_licenses,
         "op7_substring": substring.op7_substring,
         "op8_simhash": simhash.op8_simhash,
         "op9_language": langid.op9_language,
@@ -19,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": lines.ORACLE, "op5_exact_dedup": exact.ORACLE, "op10_mixing": mixing.ORACLE}
+    return {"op1_line_dedup": lines.ORACLE, "op5_exact_dedup": exact.ORACLE, "op6_licenses": licenses.ORACLE, "op10_mixing": mixing.ORACLE}

@@ -111,3 +111,21 @@ def near_groups(docs: DataFrame, words: int = WORDS, seed: int = SEED, small: in
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
+    """The rows of docs that stay: of each component one, that with the smallest doc_id (ties: any one of equal rows).
+
+    All columns are kept. Null doc_ids come after all others; empty table: no rows.
+    """
+    marked = docs.withColumn("__row", F.xxhash64(F.coalesce("text", F.lit(""))))
+    grouped = near_groups(marked, words, seed, carry=["__row"])
+    ranked = grouped.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("c")).agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")).alias("top"))
+    stays = written(ranked.select(F.col("top.doc_id").alias("__d"), F.col("top.__row").alias("__r")), "stays")
+    same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__row") == F.col("__r"))
+    kept = marked.join(stays, same, "left_semi")
+    repeated = grouped.groupBy("doc_id", "__row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if not repeated.isEmpty():  # one of equal rows stays
+        kept = kept.dropDuplicates(["doc_id", "__row"])
+    return kept.drop("__row")
