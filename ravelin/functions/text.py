@@ -11,10 +11,22 @@ from pyspark.sql import functions as F
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 ARTICLES = ("a", "an", "the")
 WH_WORDS = ("who", "what", "when", "where", "why", "which", "how", "does", "is")
-REASONING_STARTERS = ("thus", "so", "that is", "therefore", "hence")
-QUERY_FILLERS = ("please", "can you", "could you", "tell me", "search for", "find", "i want to know", "i need", "what is")
-REFUSALS = ("no information", "not mentioned", "cannot be determined", "not found", "unknown")
-ACTIONS = ("S-Sparse", "S-Dense", "S-Hybrid", "Z", "M")
+REASONING_STARTERS = ("thus ", "thus,", "so ", "so,", "that is,", "therefore", "hence")
+QUERY_FILLERS = (
+    "i need to find", "i need to identify", "we need to", "try to find", "search for", "looking for", "find out", "figure out", "tell me", "what is", "who is",
+    "where is", "when was", "the name of", "information about", "details regarding", "associated with", "related to", "step 1", "next step", "first step",
+    "bridge entity", "logical step",
+)
+REFUSALS = ("not found", "no information", "didn't find", "unable to find", "doesn't mention", "no mention", "unknown", "can't answer", "i don't know")
+SUM = r"(\d[\d,]*\.?\d+|\d+) [+-] (\d[\d,]*\.?\d+|\d+) = (\d[\d,]*\.?\d+|\d+)"
+ABSTRACT = (
+    "how", "why", "relationship", "significance", "reason", "effect", "impact", "influence", "consequence", "meaning", "purpose", "explain", "describe",
+    "compare", "contrast", "analyze", "evaluate", "discuss", "difference", "similarity", "connection",
+)
+CONCRETE = ("who", "what", "when", "where", "which", "name", "date", "year", "location", "place", "person", "title")
+ABSTRACT_PHRASES, BOOSTED_PHRASES = ("how does", "why does", "what is the relationship"), ("how does", "why does")
+CONCRETE_PHRASES = ("what is the name", "who is", "when did")
+ACTIONS = ("Z", "S-Sparse", "S-Dense", "S-Hybrid", "M")
 
 
 def words(c: Column) -> Column:
@@ -53,17 +65,21 @@ def without_wh_words(c: Column) -> Column:
 def is_reasoning(c: Column) -> Column:
     """A sentence that draws a conclusion or does a sum."""
     low = F.lower(c)
-    starts = low.rlike("^(" + "|".join(REASONING_STARTERS) + ")[ ,]")
-    return starts | low.rlike(r"\d+ *[-+*/] *\d+ *= *\d+")
+    starts = F.lit(False)
+    for w in REASONING_STARTERS:
+        starts = starts | low.startswith(w)
+    return starts | c.rlike(SUM)
 
 
 def clean_query(c: Column) -> Column:
-    """Quotes and brackets stripped, fillers deleted one after the other; the original if under two characters are left."""
-    out = F.lower(F.regexp_replace(c, "[\\[\\]\"']", ""))
+    """Quotes and brackets stripped at the ends, fillers deleted one after the other; the trimmed query in lower case if
+    under two characters are left."""
+    whole = F.lower(F.trim(c))
+    out = F.lower(F.btrim(F.btrim(c), F.lit("\"'[]")))
     for phrase in QUERY_FILLERS:
-        out = F.replace(out, F.lit(phrase), F.lit(""))
-    out = F.trim(F.regexp_replace(out, " +", " "))
-    return F.when(F.length(out) < 2, c).otherwise(out)
+        out = F.replace(out, F.lit(phrase), F.lit(" "))
+    out = F.trim(F.regexp_replace(out, r"\s+", " "))
+    return F.when(F.length(out) < 2, whole).otherwise(out)
 
 
 def until_action(c: Column) -> Column:
@@ -80,19 +96,16 @@ def evidence_supports(answer: Column, n_docs: Column) -> Column:
 
 
 def parse_action(c: Column) -> Column:
-    """An action name: after "Action:", else in the last line, else anywhere, else Unknown."""
-    def named(text: Column) -> Column:
-        low = F.lower(text)
-        out = F.lit(None).cast("string")
-        for a in reversed(("S-Sparse", "S-Dense", "S-Hybrid")):
-            out = F.when(F.contains(low, F.lit(a.lower())), a).otherwise(out)
-        for a in ("M", "Z"):
-            out = F.coalesce(out, F.when(text.rlike(rf"(^|[^A-Za-z0-9]){a}($|[^A-Za-z0-9])"), a))
-        return out
+    """The action after "Action:" if it is one, else the first of ACTIONS in the last line, else in the text, else Unknown.
 
-    after = F.regexp_extract(c, r"Action: *([^\n]*)", 1)
-    last = F.substring_index(c, "\n", -1)
-    return F.coalesce(named(after), named(last), named(c), F.lit("Unknown"))
+    Single letters match anywhere, in the order of ACTIONS, so a stray Z wins.
+    """
+    def first_in(text: Column) -> Column:
+        return F.coalesce(*[F.when(F.contains(text, F.lit(a)), a) for a in ACTIONS])
+
+    named = F.rtrim(F.regexp_extract(c, r"Action:\s*([A-Za-z0-9\-]+)", 1))
+    last = F.substring_index(F.trim(c), "\n", -1)
+    return F.coalesce(F.when(named.isin(*ACTIONS), named), first_in(last), first_in(c), F.lit("Unknown"))
 
 
 def coarse(action: Column) -> Column:
@@ -142,5 +155,33 @@ def entities(c: Column) -> Column:
     return F.array_distinct(F.concat(quoted, named, years))
 
 
-def count_in(c: Column, terms: Sequence[str]) -> Column:
-    return F.size(F.filter(F.split(F.lower(c), "[^a-z]+"), lambda w: w.isin(*terms)))
+def lexical_specificity(c: Column) -> Column:
+    """Share of a query's words that stand in entities, and the entities' mean length; 0.5 for an empty query."""
+    n = F.size(words(c))
+    found = entities(c)
+    sizes = F.transform(found, lambda e: F.size(words(e)))
+    total = F.aggregate(sizes, F.lit(0), lambda a, x: a + x)
+    mean = F.when(F.size(found) == 0, 0.0).otherwise(total / F.greatest(F.size(found), F.lit(1)))
+    score = 0.7 * F.least(total / F.greatest(n, F.lit(1)), F.lit(1.0)) + 0.3 * F.least(mean / 3, F.lit(1.0))
+    return F.when(n == 0, 0.5).otherwise(F.least(score, F.lit(1.0)))
+
+
+def semantic_abstractness(c: Column) -> Column:
+    """Abstract keywords among abstract and concrete ones, raised by some phrases; phrases decide where there are none."""
+    low = F.lower(c)
+    distinct = F.array_distinct(words(low))
+    count = lambda keys: F.size(F.array_intersect(distinct, F.array(*[F.lit(k) for k in keys])))
+    holds = lambda phrases: F.greatest(*[F.contains(low, F.lit(p)) for p in phrases])
+    a, b = count(ABSTRACT), count(CONCRETE)
+    ratio = a / F.greatest(a + b, F.lit(1))
+    boosted = F.when(holds(BOOSTED_PHRASES), F.least(ratio + 0.2, F.lit(1.0))).otherwise(ratio)
+    return F.when(a + b > 0, boosted).otherwise(F.when(holds(ABSTRACT_PHRASES), 0.8).when(holds(CONCRETE_PHRASES), 0.2).otherwise(0.5))
+
+
+def fusion_weights(lexical: Column, semantic: Column, temperature: float = 1.0) -> dict[str, Column]:
+    """Softmax over lexical, balanced and semantic logits."""
+    logits = {"bm25": 2 * lexical / temperature, "splade": (lexical + semantic) / temperature, "hnsw": 2 * semantic / temperature}
+    top = F.greatest(*logits.values())
+    parts = {k: F.exp(v - top) for k, v in logits.items()}
+    total = sum(parts.values(), F.lit(0.0))
+    return {k: v / total for k, v in parts.items()}

@@ -41,7 +41,7 @@ _SENTENCE = "CASE doc_id % 4 WHEN 0 THEN 'Therefore, ' WHEN 1 THEN '12 + 3 = 15
 
 @query(f"""
 SELECT doc_id, s AS sentence FROM (SELECT doc_id, {_SENTENCE} AS s FROM documents)
-WHERE NOT (regexp_matches(lower(s), '^(thus|so|that is|therefore|hence)[ ,]') OR regexp_matches(lower(s), '\\d+ *[-+*/] *\\d+ *= *\\d+'))
+WHERE NOT (regexp_matches(lower(s), '^(thus[ ,]|so[ ,]|that is,|therefore|hence)') OR regexp_matches(s, '(\\d[\\d,]*\\.?\\d+|\\d+) [+-] (\\d[\\d,]*\\.?\\d+|\\d+) = (\\d[\\d,]*\\.?\\d+|\\d+)'))
 """)
 def reasoning_sentence_filter(spark, d):
     s = t(spark, d, "documents").select("doc_id", F.expr(_SENTENCE).alias("sentence"))
@@ -49,16 +49,16 @@ def reasoning_sentence_filter(spark, d):
 
 
 def _sql_clean(x):
-    out = f"lower(regexp_replace({x}, '[\\[\\]\"'']', '', 'g'))"
+    out = f"lower(trim(trim({x}), '\"''[]'))"
     for p in T.QUERY_FILLERS:
-        out = f"replace({out}, '{p}', '')"
-    return f"trim(regexp_replace({out}, ' +', ' ', 'g'))"
+        out = f"replace({out}, '{p}', ' ')"
+    return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
 
 
-_RAW = "CASE item_id % 3 WHEN 0 THEN 'Please find ' WHEN 1 THEN 'Tell me \"' ELSE 'What is [' END || left(text, 40)"
+_RAW = "CASE item_id % 3 WHEN 0 THEN '\"I need to find ' WHEN 1 THEN '[tell me who is ' ELSE 'what is ' END || CASE WHEN item_id % 3 = 2 THEN '' ELSE left(text, 40) END"
 
 
-@query(f"SELECT item_id, CASE WHEN length(c) < 2 THEN q ELSE c END AS query FROM (SELECT item_id, q, {_sql_clean('q')} AS c FROM (SELECT item_id, {_RAW} AS q FROM benchmark))")
+@query(f"SELECT item_id, CASE WHEN length(c) < 2 THEN lower(trim(q)) ELSE c END AS query FROM (SELECT item_id, q, {_sql_clean('q')} AS c FROM (SELECT item_id, {_RAW} AS q FROM benchmark))")
 def clean_query(spark, d):
     return t(spark, d, "benchmark").select("item_id", T.clean_query(F.expr(_RAW)).alias("query"))
 
@@ -76,11 +76,11 @@ def truncate_at_action(spark, d):
     return _agent(spark, d).select("conv_id", "turn", T.until_action(F.col("s")).alias("kept"))
 
 
-_EVIDENCE = "CASE turn % 4 WHEN 0 THEN 'No information here' WHEN 1 THEN 'Not mentioned, but ' || left(text, 20) WHEN 2 THEN left(text, 30) ELSE 'It is unknown' END"
+_EVIDENCE = "CASE turn % 4 WHEN 0 THEN 'No information here' WHEN 1 THEN 'No mention of it, but ' || left(text, 20) WHEN 2 THEN left(text, 30) ELSE 'It is unknown' END"
 
 
 @query(f"""
-SELECT conv_id, turn, (conv_id % 5) > 0 AND NOT ((contains(s, 'no information') OR contains(s, 'not mentioned') OR contains(s, 'cannot be determined') OR contains(s, 'not found') OR contains(s, 'unknown'))
+SELECT conv_id, turn, (conv_id % 5) > 0 AND NOT (({' OR '.join(f"contains(s, '{p.replace(chr(39), chr(39) * 2)}')" for p in T.REFUSALS)})
        AND NOT (contains(s, 'but') OR contains(s, 'however'))) AS supported
 FROM (SELECT conv_id, turn, lower({_EVIDENCE}) AS s FROM conversations)
 """)
@@ -98,11 +98,11 @@ def parse_agent_output(spark, d):
 
 
 def _sql_named(x):
-    return f"""coalesce(CASE WHEN contains(lower({x}), 's-sparse') THEN 'S-Sparse' WHEN contains(lower({x}), 's-dense') THEN 'S-Dense' WHEN contains(lower({x}), 's-hybrid') THEN 'S-Hybrid' END,
- CASE WHEN regexp_matches({x}, '(^|[^A-Za-z0-9])M($|[^A-Za-z0-9])') THEN 'M' END, CASE WHEN regexp_matches({x}, '(^|[^A-Za-z0-9])Z($|[^A-Za-z0-9])') THEN 'Z' END)"""
+    return "coalesce(" + ", ".join(f"CASE WHEN contains({x}, '{a}') THEN '{a}' END" for a in T.ACTIONS) + ")"
 
 
-_PARSED = f"coalesce({_sql_named('''regexp_extract(s, 'Action: *([^\\n]*)', 1)''')}, {_sql_named('''regexp_extract(s, '([^\\n]*)$', 1)''')}, {_sql_named('s')}, 'Unknown')"
+_NAMED = "regexp_extract(s, 'Action:\\s*([A-Za-z0-9\\-]+)', 1)"
+_PARSED = f"coalesce(CASE WHEN {_NAMED} IN ('Z', 'S-Sparse', 'S-Dense', 'S-Hybrid', 'M') THEN {_NAMED} END, {_sql_named("regexp_extract(trim(s), '([^' || chr(10) || ']*)$', 1)")}, {_sql_named('s')}, 'Unknown')"
 
 
 @query(f"SELECT conv_id, turn, {_PARSED} AS action FROM ({_RAW_AGENT})")
