@@ -94,13 +94,13 @@ class Words:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """order (doc_id, null as the least), row (a hash of the text, to tell rows of one doc_id apart) and text."""
+    """order (doc_id, null as the least), row (32 bits of a hash of the text, to tell rows of one doc_id apart) and text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("o"), F.xxhash64(text).alias("r"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("o"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("r"), text.alias("text"))
 
 
 def cells(docs: DataFrame) -> DataFrame:
-    """(fp, cell, o, r, span): the cells of all texts; span holds the first window and the last."""
+    """(fp, cell, o, r, span): the cells of all texts; span holds the first window and how many more."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -114,7 +114,7 @@ def cells(docs: DataFrame) -> DataFrame:
                 words = Words(text)
                 for fp, first, last in words.cells():
                     digests = b"".join([words.digest(f, z, 8) for f, z in zip(first.tolist(), last.tolist())])
-                    parts.append((fp, np.frombuffer(digests, "<i8"), np.full(len(fp), o, np.int64), np.full(len(fp), r, np.int64), (first << 32) | last))
+                    parts.append((fp, np.frombuffer(digests, "<i8"), np.full(len(fp), o, np.int64), np.full(len(fp), r, np.int64), (first << 8) | (last - first)))
                     waiting += len(fp)
                 if waiting > 100_000:
                     yield out()
@@ -181,7 +181,7 @@ def _window_digests(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
             for o, r, text, spans in zip(batch["o"], batch["r"], batch["text"], batch["spans"]):
                 words = Words(text)
-                at = np.unique(np.concatenate([np.arange(s >> 32, (s & 0xFFFFFFFF) + 1) for s in spans]))
+                at = np.unique(np.concatenate([np.arange(s >> 8, (s >> 8) + (s & 255) + 1) for s in spans]))
                 for k in range(0, len(at), SEGMENT):
                     some = at[k : k + SEGMENT]
                     w = np.frombuffer(b"".join([words.digest(x, x, 16) for x in some.tolist()]), "<i8").reshape(-1, 2)
@@ -235,7 +235,7 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT
     asked = met.filter(~F.col("whole")).groupBy("o", "r").agg(F.collect_list("span").alias("spans"))  # one document's
     seen = _window_digests(rows, asked)
     first = seen.groupBy("w1", "w2").agg(F.min("o").alias("low"), F.max("o").alias("high")).filter("low < high").select(detached(F.col("w1")).alias("v1"), detached(F.col("w2")).alias("v2"), "low")
-    alone = seen.join(first, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2"))).filter("o > low").select("o", "r", F.expr("shiftleft(at, 32) | at").alias("span"))
+    alone = seen.join(first, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2"))).filter("o > low").select("o", "r", F.shiftleft("at", 8).alias("span"))
     gone = met.filter("whole").select("o", "r", "span").unionByName(alone).groupBy("o", "r").agg(F.collect_list("span").alias("gone"))
 
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -248,8 +248,8 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT
                     continue
                 spans = np.asarray(spans, np.int64)
                 depth = np.zeros(words.n + 1, np.int64)
-                np.add.at(depth, spans >> 32, 1)
-                np.add.at(depth, (spans & 0xFFFFFFFF) + WINDOW, -1)
+                np.add.at(depth, spans >> 8, 1)
+                np.add.at(depth, (spans >> 8) + (spans & 255) + WINDOW, -1)
                 kept = np.flatnonzero(np.cumsum(depth)[: words.n] == 0)
                 whole = words.whole
                 out.append((words.n, words.n - len(kept), b" ".join([whole[s:e] for s, e in zip(words.starts[kept].tolist(), words.ends[kept].tolist())]).decode("utf-8", "surrogatepass")))
