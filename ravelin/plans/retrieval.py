@@ -98,12 +98,12 @@ def sparse_encode_topn(spark, d):
 
 def sparse_hits(spark, d):
     q = R.query_terms(bench(spark, d), F.col("q")).withColumn("qw", F.lit(1.0) + F.length("term") / 10)
-    return R.ranked(R.sparse_dot(sparse(spark, d), q).withColumn("score", F.round("score", 6)), TOP)
+    return R.ranked(R.sparse_dot(sparse(spark, d), q).withColumn("score", F.round("score", 7)), TOP)
 
 
 SPARSE_HITS = f"""
 sq AS (SELECT item_id AS query_id, unnest(list_distinct({sql_tokens(sql_words('text', 1, 8))})) AS term FROM benchmark),
-ss AS (SELECT query_id, doc_id, round(sum(w * (1.0 + length(term)::DOUBLE / 10)), 6) AS score FROM sp JOIN sq USING (term) GROUP BY ALL),
+ss AS (SELECT query_id, doc_id, round(sum(w * (1.0 + length(term)::DOUBLE / 10)), 7) AS score FROM sp JOIN sq USING (term) GROUP BY ALL),
 sh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ss) WHERE rank <= {TOP})"""
 
 
