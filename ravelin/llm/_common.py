@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: What counts as white space for line keys and words: [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
@@ -47,3 +52,26 @@ def detached(c: Column) -> Column:
     """The same long behind an expression: a join on it gets an exchange of its own,
     so that adaptive execution can split skewed partitions of the other side."""
     return c.bitwiseXOR(F.lit(0).cast("long"))
+
+
+#: Rows that a Python function sees at a time. Texts are long: this bounds a worker's memory, not what is processed.
+SLICE = 512
+
+
+def in_slices(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str | T.StructType) -> DataFrame:
+    """df.mapInPandas(f, schema) with frames of at most SLICE rows; integers with nulls stay exact."""
+    kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(kind)
+
+        def frames() -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, SLICE):
+                    yield batch.slice(at, SLICE).to_pandas(integer_object_nulls=True)
+
+        for out in f(frames()):
+            yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, kind)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import heapq
 import json
 import os
+import struct
 import tempfile
 import unicodedata
 import uuid
@@ -24,12 +25,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.llm._common import table
+from ravelin.llm._common import in_slices, table, written
 
 #: Words of the automaton, at most. It bounds what is brought to the driver and sent to executors.
 LEXICON = 40_000
 #: Distinct words that a task counts before it hands its counts on, and words that a task remembers.
 HELD = 200_000
+#: Bytes of a word up to which words merge side by side, and how many do at a time.
+SHORT, WIDE = 48, 16_384
+NEVER = 1 << 62
 
 
 def default_vocabulary() -> str:
@@ -56,10 +60,13 @@ class Bpe:
         self.ids: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
-        self.ranks = {}
+        self.ranks: dict[int, int] = {}  # pair -> rank and the pair's id
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.ranks[self.ids[a], self.ids[b]] = (rank, self.ids[a + b])
+            self.ranks[self.ids[a] << 32 | self.ids[b]] = rank << 32 | self.ids[a + b]
+        self._pairs = np.array(sorted(self.ranks), np.uint64)
+        self._ranks = np.array([self.ranks[k] for k in sorted(self.ranks)], np.int64)
+        self._letters = [np.array([self.ids[c + e] for c in _byte_letters()], np.int64) for e in ("", self.end)]
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(split).findall
         marks = sorted(self.special, key=len, reverse=True)
@@ -85,24 +92,79 @@ class Bpe:
         letters[-1] += self.end
         sym: list[int] = [self.ids[c] for c in letters]
         n = len(sym)
+        rank = self.ranks.get
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(*r, i, sym[i], sym[i + 1]) for i in range(n - 1) if (r := self.ranks.get((sym[i], sym[i + 1])))]
-        heap = [(rank, i, new, a, b) for rank, new, i, a, b in heap]
+        heap = [(r, i, sym[i], sym[i + 1]) for i in range(n - 1) if (r := rank(sym[i] << 32 | sym[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, new, a, b = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = after[i]
             if sym[i] != a or j < 0 or sym[j] != b:
                 continue
-            sym[i], sym[j] = new, -1
+            sym[i], sym[j] = r & 0xFFFFFFFF, -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0 and (r := self.ranks.get((sym[x], sym[y]))):
-                    heapq.heappush(heap, (r[0], x, r[1], sym[x], sym[y]))
+                if x >= 0 and y >= 0 and (r := rank(sym[x] << 32 | sym[y])) is not None:
+                    heapq.heappush(heap, (r, x, sym[x], sym[y]))
         return [s for s in sym if s >= 0]
 
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
+        at = np.minimum(np.searchsorted(self._pairs, key), len(self._pairs) - 1)
+        return np.where(self._pairs[at] == key, self._ranks[at], NEVER)
+
+    def merge_many(self, words: list[str]) -> list[bytes]:
+        """Packed ids of many words: in each round every word merges its pair of lowest rank, all words at once."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        size = np.array([len(x) for x in raw])
+        out: list[bytes] = [b""] * len(words)
+        low = 0
+        for most in (8, 16, SHORT):
+            some = np.flatnonzero((size > low) & (size <= most))
+            low = most
+            for at in range(0, len(some), WIDE):
+                part = some[at : at + WIDE]
+                for k, ids in zip(part.tolist(), self._merge_block([raw[k] for k in part.tolist()], size[part])):
+                    out[k] = ids
+        for k in np.flatnonzero(size > SHORT).tolist():
+            out[k] = _packed(self.merge(words[k]))
+        return out
+
+    def _merge_block(self, raw: list[bytes], size: np.ndarray) -> Iterator[bytes]:
+        n, width = len(raw), int(size.max())
+        column = np.arange(width)
+        inside = column < size[:, None]
+        sym = np.full((n, width + 1), len(self.names), np.int64)  # the last column pairs with nothing
+        body = np.zeros((n, width), np.uint8)
+        body[inside] = np.frombuffer(b"".join(raw), np.uint8)
+        sym[:, :width][inside] = self._letters[0][body[inside]]
+        sym[np.arange(n), size - 1] = self._letters[1][body[np.arange(n), size - 1]]
+        after = np.where(column + 1 < size[:, None], column + 1, width)
+        before = np.tile(np.arange(-1, width), (n, 1))
+        pairs = np.full((n, width), NEVER)
+        pairs[:, : width - 1][inside[:, 1:]] = self._rank(sym[:, : width - 1][inside[:, 1:]], sym[:, 1:width][inside[:, 1:]])
+        rows = np.arange(n)
+        while len(rows):
+            held = pairs[rows]
+            at = held.argmin(axis=1)
+            best = held[np.arange(len(rows)), at]
+            live = best < NEVER
+            rows, at, best = rows[live], at[live], best[live]
+            new, gone = best & 0xFFFFFFFF, after[rows, at]
+            right = after[rows, gone]
+            sym[rows, at], sym[rows, gone] = new, -1
+            after[rows, at], before[rows, right] = right, at
+            pairs[rows, gone] = NEVER
+            pairs[rows, at] = self._rank(new, sym[rows, right])
+            left = before[rows, at]
+            some = left >= 0
+            pairs[rows[some], left[some]] = self._rank(sym[rows[some], left[some]], new[some])
+        kept = (sym[:, :width] >= 0) & inside
+        flat, ends = sym[:, :width][kept].astype("<u4").tobytes(), np.cumsum(kept.sum(axis=1)) * 4
+        return (flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()))
+
     def decode(self, ids: Sequence[int]) -> str:
         """Tokens joined by a space, as a tokenizer without a decoder does."""
         return " ".join(map(self.names.__getitem__, ids))
@@ -163,7 +225,7 @@ class Lexicon:
     """A compiled transducer, memory-mapped: processes of one machine share its pages."""
 
     def __init__(self, path: str):
-        raw = np.memmap(path, dtype=np.uint8, mode="r")
+        raw = np.memmap(path, dtype=np.uint8, mode="r").view(np.ndarray)
         n = int.from_bytes(bytes(raw[:8]), "little")
         at = 8 + n
         for name, (kind, length) in json.loads(bytes(raw[8:at])).items():
@@ -197,6 +259,10 @@ class Lexicon:
         return out
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Coder:
     """Encodes batches of texts: the lexicon first, the vocabulary's merges for other words."""
 
@@ -204,25 +270,27 @@ class Coder:
         self.bpe, self.lexicon, self.known = bpe, lexicon, {}
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
+        new = words - self.known.keys()
         if len(self.known) + len(new) > HELD:
             self.known.clear()
-            new = list(words)
+            new = words
         plain = [w for w in new if w not in self.bpe.special]
         if self.lexicon is not None and plain:
             places = self.lexicon.places([w.encode("utf-8", "surrogatepass") for w in plain])
             offsets, ids = self.lexicon.offsets, self.lexicon.ids
-            for w, p in zip(plain, places.tolist()):
-                if p >= 0:
-                    self.known[w] = ids[offsets[p] : offsets[p + 1]].tobytes()
-        for w in new:
-            if w not in self.known:
-                self.known[w] = np.array(self.bpe.merge(w), "<u4").tobytes()
+            for k in np.flatnonzero(places >= 0).tolist():
+                p = places[k]
+                self.known[plain[k]] = ids[offsets[p] : offsets[p + 1]].tobytes()
+        rest = [w for w in plain if w not in self.known]
+        self.known.update(zip(rest, self.bpe.merge_many(rest)))
+        for w in new & self.bpe.special.keys():
+            self.known[w] = _packed([self.bpe.special[w]])
 
-    def encode(self, text: str | None) -> bytes:
-        words = self.bpe.split(text or "")
-        self.learn(set(words))
-        return b"".join(map(self.known.__getitem__, words))
+    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
+        found = [self.bpe.split(t or "") for t in texts]
+        self.learn(set().union(*found))
+        get = self.known.__getitem__
+        return [b"".join(map(get, words)) for words in found]
 
 
 _LOADED: dict = {}
@@ -255,23 +323,38 @@ def word_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
                     held.clear()
         yield out()
 
-    return docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return in_slices(docs.select("text"), count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, vocabulary: str, words: int = LEXICON) -> str:
-    """Compile the most frequent words of the corpus and hand the file to the executors; returns its name there."""
-    top = word_counts(docs, vocabulary).orderBy(F.desc("n"), "word").limit(words).select("word")
+    """Compile the most frequent words of the corpus, at most so many, and hand the file to the executors.
+
+    The least frequency that fits is found from a histogram of all counts, so the driver sees no more words than it
+    compiles. Returns the file's name on the executors.
+    """
+    counts = written(word_counts(docs, vocabulary), "word-counts")
+    bucket = F.floor(F.log2("n") * 16).cast("int")  # at most 1024 of them
+    sizes = sorted(((r.b, r.words) for r in counts.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True)
+    least, total = None, 0
+    for b, n in sizes:
+        total += n
+        if total > words:
+            break
+        least = b
+    top = counts.filter(bucket >= least).select("word").collect() if least is not None else []
     bpe = Bpe(open(vocabulary, encoding="utf-8").read())
     name = f"lexicon-{uuid.uuid4().hex}.fst"
     path = os.path.join(tempfile.mkdtemp(prefix="ravelin-"), name)
-    compile_lexicon({r.word: bpe.merge(r.word) for r in top.collect()}, path)
+    compile_lexicon({r.word: bpe.merge(r.word) for r in top}, path)
     docs.sparkSession.sparkContext.addFile(path)
     return name
 
 
-def encode(docs: DataFrame, vocabulary: str | None = None, words: int = LEXICON, carry: Sequence[str] = ()) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str | None = None, words: int = LEXICON, decoded: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """Token ids of every whole text: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), carried columns.
 
+    ``decoded`` adds the text that the ids decode to, in the same pass.
+
     * null or empty text, or white space only: no ids.
     * a special token's string in a text is that token.
     * one row for each input row, repeated ones too; null doc_id stays null; empty table: no rows.
@@ -282,17 +365,22 @@ def encode(docs: DataFrame, vocabulary: str | None = None, words: int = LEXICON,
     source = docs.sparkSession.sparkContext.broadcast(open(vocabulary, encoding="utf-8").read())
     rows = docs.select(F.col("doc_id").alias("d"), F.col("text").alias("t"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)])
     kept = [f for f in rows.schema.fields if f.name != "t"]
-    schema = T.StructType([*kept, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+    schema = T.StructType([*kept, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), *[T.StructField("decoded", T.StringType())] * decoded])
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = _once(("bpe", vocabulary), lambda: Bpe(source.value))
-        coder = _once(("coder", vocabulary, lexicon), lambda: Coder(bpe, Lexicon(SparkFiles.get(lexicon))))
+        coder = Coder(bpe, _once(("lexicon", lexicon), lambda: Lexicon(SparkFiles.get(lexicon))))
         for batch in batches:
-            ids = [coder.encode(t) for t in batch.pop("t")]
-            yield batch.assign(n_tokens=pd.Series([len(x) // 4 for x in ids], index=batch.index, dtype="int64"), ids=pd.Series(ids, index=batch.index, dtype=object))
+            ids = coder.encode(batch["t"].tolist())
+            out = batch.drop(columns="t").assign(n_tokens=pd.Series([len(x) // 4 for x in ids], index=batch.index, dtype="int64"), ids=pd.Series(ids, index=batch.index, dtype=object))
+            yield out.assign(decoded=_decoded(bpe, out["ids"])) if decoded else out
+
+    out = in_slices(rows, code, schema)
+    return out.select(F.col("d").alias("doc_id"), "n_tokens", "ids", *["decoded"] * decoded, *[F.col(f"c{k}").alias(c) for k, c in enumerate(carry)])
+
 
-    out = rows.mapInPandas(code, schema)
-    return out.select(F.col("d").alias("doc_id"), "n_tokens", "ids", *[F.col(f"c{k}").alias(c) for k, c in enumerate(carry)])
+def _decoded(bpe: Bpe, ids: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in ids], index=ids.index, dtype=object)
 
 
 def decode(coded: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -304,13 +392,13 @@ def decode(coded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = _once(("bpe", vocabulary), lambda: Bpe(source.value))
         for batch in batches:
-            yield batch.assign(decoded=pd.Series([None if x is None else bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in batch["ids"]], index=batch.index, dtype=object))
+            yield batch.assign(decoded=_decoded(bpe, batch["ids"]))
 
-    return coded.mapInPandas(text, schema)
+    return in_slices(coded, text, schema)
 
 
 def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    coded = decode(encode(docs, vocabulary), vocabulary)
+    coded = encode(docs, vocabulary, decoded=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

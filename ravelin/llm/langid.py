@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.llm._common import table
+from ravelin.llm._common import in_slices, table
 
 #: Bytes in a window, widths of filters, filters of each width.
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
@@ -184,7 +184,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
                     out.append(got[k].tobytes())
             yield pd.DataFrame({"lang": langs, "block": out})
 
-    got = ready.filter(chosen).select("lang", "text").limit(2 * sample * len(counts)).mapInPandas(cut, "lang string, block binary").toPandas()
+    got = in_slices(ready.filter(chosen).select("lang", "text").limit(2 * sample * len(counts)), cut, "lang string, block binary").toPandas()
     if got.empty:
         return None
     got = got.sort_values(["lang", "block"])  # the order of partitions has no say
@@ -253,7 +253,7 @@ def identify(docs: DataFrame, model: Model | None, carry: Sequence[str] = ()) ->
             labels, scores = predict(batch["t"].tolist(), own, tables)
             yield batch[keep].assign(lang_pred=pd.Series(labels, index=batch.index, dtype=object), score=pd.Series(scores, index=batch.index, dtype="float64"))
 
-    out = rows.mapInPandas(label, schema)
+    out = in_slices(rows, label, schema)
     named = {c: F.col("t" if c == "text" else f"c{k}").alias(c) for k, c in enumerate(carry)}
     return out.select(F.col("d").alias("doc_id"), F.col("h").alias("held_out"), "lang_pred", "score", *named.values())
 

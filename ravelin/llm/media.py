@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm._common import table
+from ravelin.llm._common import in_slices, table
 
 #: Bytes in a row of the stored picture; payloads are padded to whole rows by a byte that UTF-8 never uses.
 ROW, PAD = 576, 255
@@ -156,7 +156,7 @@ def stored_media(payloads: DataFrame, salts: int = SALTS) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"salt": batch["salt"], "digest": batch["digest"], "stored": [png_encode(p) for p in batch["payload"]]})
 
-    return payloads.select("salt", "digest", "payload").mapInPandas(store, "salt int, digest string, stored binary").groupBy("digest", "salt").agg(F.first("stored").alias("stored"))
+    return in_slices(payloads.select("salt", "digest", "payload"), store, "salt int, digest string, stored binary").groupBy("digest", "salt").agg(F.first("stored").alias("stored"))
 
 
 def resolve(pages: DataFrame, media: DataFrame, keys: Sequence[str], salts: int = SALTS) -> DataFrame:
@@ -212,7 +212,7 @@ def measured(items: DataFrame) -> DataFrame:
             yield out.astype({"doc_id": batch["doc_id"].dtype})
 
     kind = items.schema["doc_id"].dataType.simpleString()
-    return items.filter("kind = 'media'").select("doc_id", "stored").mapInPandas(read, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return in_slices(items.filter("kind = 'media'").select("doc_id", "stored"), read, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def text_media(docs: DataFrame, salts: int = SALTS) -> DataFrame:

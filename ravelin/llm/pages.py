@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.llm._common import table, written
+from ravelin.llm._common import in_slices, table, written
 
 #: A subtree is template if so many different pages of its host hold it, and this share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.1
@@ -215,7 +215,7 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
                 rows += [(host, whole, 0, True), *((host, whole, d, False) for d in found)]
             yield pd.DataFrame(rows, columns=["host", "page", "digest", "own"])
 
-    seen = pages.select(host_of(F.col("url")).alias("host"), "html").mapInPandas(subtrees, "host string, page long, digest long, own boolean")
+    seen = in_slices(pages.select(host_of(F.col("url")).alias("host"), "html"), subtrees, "host string, page long, digest long, own boolean")
     counted = seen.groupBy("host", "own", "digest", "page").agg(F.lit(1).alias("one")).groupBy("host", "own", "digest").agg(F.count("one").alias("n"))
     counted = written(counted.filter(F.col("own") | (F.col("n") >= min_pages)), "subtrees")
     hosts = counted.filter("own").select("host", F.col("n").alias("pages"))
@@ -248,7 +248,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
                     texts.append(main_text(root))
             yield batch[["page_id", "url"]].assign(text=pd.Series(texts, index=batch.index, dtype=object))
 
-    return rows.select("page_id", "url", "html", "template").mapInPandas(read, schema).withColumn("n_chars", F.length("text").cast("long"))
+    return in_slices(rows.select("page_id", "url", "html", "template"), read, schema).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
