@@ -70,7 +70,7 @@ def write_corpus(paragraphs: DataFrame, corpus: str, path: str, mode: str = "ove
 def chain_blocks(spark: SparkSession, path: str) -> DataFrame:
     """Text blocks parted by blank lines: question_id from the first line, the rest as chain."""
     whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.explode(F.split("value", r"\n\s*\n")).alias("b")).select(F.trim("b").alias("b")).filter("b <> ''").select(
+    return whole.select(F.explode(F.split("value", r"\n\s*\n")).alias("b")).select(F.btrim("b", F.lit(" \n\r\t")).alias("b")).filter("b <> ''").select(
         F.regexp_extract("b", r"^(?:QID: *)?([^\n]*)", 1).alias("question_id"), F.regexp_extract("b", r"(?s)^[^\n]*\n?(.*)$", 1).alias("chain"))
 
 
@@ -78,7 +78,7 @@ def prompt_examples(spark: SparkSession, path: str) -> DataFrame:
     """Examples of a prompt file, each headed by a line "# METADATA: {json}"."""
     whole = spark.read.text(path, wholetext=True)
     parts = F.filter(F.split("value", r"(?m)^# METADATA: "), lambda x: F.trim(x) != "")
-    return whole.select(F.posexplode(parts).alias("pos", "p")).select("pos", F.get_json_object(F.regexp_extract("p", r"^([^\n]*)", 1), "$.qid").alias("qid"), F.trim(F.regexp_replace("p", r"^[^\n]*\n", "")).alias("example"))
+    return whole.select(F.posexplode(parts).alias("pos", "p")).select("pos", F.get_json_object(F.regexp_extract("p", r"^([^\n]*)", 1), "$.qid").alias("qid"), F.btrim(F.regexp_replace("p", r"^[^\n]*\n", ""), F.lit(" \n\r\t")).alias("example"))
 
 
 def write_results(rows: DataFrame, path: str, kind: str = "json") -> None:
