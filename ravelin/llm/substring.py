@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm._common import detached, new_path, table
+from ravelin.llm._common import detached, in_slices, new_path, table
 
 #: Words in a window and in an anchor.
 WINDOW, ANCHOR = 50, 8
@@ -122,14 +122,14 @@ def cells(docs: DataFrame) -> DataFrame:
             if parts:
                 yield out()
 
-    return _keyed(docs).mapInPandas(cut, "fp long, cell long, o long, r long, span long")
+    return in_slices(_keyed(docs), cut, "fp long, cell long, o long, r long, span long")
 
 
 class SubstringIndex:
     """Sorted immutable runs of (fp, cell, low): distinct cells and the smallest document that holds each.
 
     Documents enter in batches of increasing doc_id; runs lie in the shared folder and are never changed, so a lost
-    executor costs nothing. ``open_cells`` are entries whose anchor occurs in further, different cells.
+    executor costs nothing.
     """
 
     SCHEMA = "fp long, cell long, low long"
@@ -161,11 +161,10 @@ class SubstringIndex:
         merged = self.entries().groupBy("fp", "cell").agg(F.min("low").alias("low"))
         self.runs = [self._write(merged, "compacted")]
 
-    def open_cells(self) -> DataFrame:
-        """Entries, with ``open``: whether the anchor also stands in another cell, of another document."""
-        entries = self.entries()
-        shared = entries.groupBy("fp").agg(F.min("cell").alias("a"), F.max("cell").alias("b"), F.min("low").alias("c"), F.max("low").alias("d")).filter("a <> b AND c <> d")
-        return entries.join(shared.select(detached(F.col("fp")).alias("k")), F.col("fp") == F.col("k"), "left").select("fp", "cell", "low", F.col("k").isNotNull().alias("open"))
+    def open_anchors(self) -> DataFrame:
+        """Anchors (fp) that stand in several cells, of different documents: runs never hold a cell twice."""
+        shared = self.entries().groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("a"), F.max("low").alias("b"))
+        return shared.filter("n > 1 AND a <> b").select("fp")
 
 
 def _window_digests(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -194,7 +193,7 @@ def _window_digests(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield out()
 
     joined = docs.join(wanted, ["o", "r"]).select("o", "r", "text", "spans")
-    return joined.mapInPandas(digests, "w1 long, w2 long, o long, r long, at long")
+    return in_slices(joined, digests, "w1 long, w2 long, o long, r long, at long")
 
 
 def _batches(docs: DataFrame, n: int) -> list[Column]:
@@ -228,15 +227,17 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT
     index = SubstringIndex(docs.sparkSession, fanout)
     for batch in _batches(docs, batches):
         index.add(docs.filter(batch))
-    known = index.open_cells().select(F.col("fp").alias("f"), F.col("cell").alias("c"), "low", "open")
-    met = cells(docs).join(known, (F.col("fp") == F.col("f")) & (F.col("cell") == F.col("c"))).filter("o > low OR open").select("o", "r", "span", (F.col("o") > F.col("low")).alias("whole"))
+    known = index.entries().select(F.col("fp").alias("f"), F.col("cell").alias("c"), "low")
+    met = cells(docs).join(known, (F.col("fp") == F.col("f")) & (F.col("cell") == F.col("c"))).select("fp", "o", "r", "span", "low")
     rows = _keyed(docs)
 
-    asked = met.filter(~F.col("whole")).groupBy("o", "r").agg(F.collect_list("span").alias("spans"))  # one document's
+    # A cell's first document isn't cleared by the cell itself; its windows may still recur in a different cell.
+    asked = met.filter("NOT (o > low)").select("fp", "o", "r", "span").join(index.open_anchors().select(detached(F.col("fp")).alias("k")), F.col("fp") == F.col("k"), "left_semi")
+    asked = asked.groupBy("o", "r").agg(F.collect_list("span").alias("spans"))  # one document's
     seen = _window_digests(rows, asked)
     first = seen.groupBy("w1", "w2").agg(F.min("o").alias("low"), F.max("o").alias("high")).filter("low < high").select(detached(F.col("w1")).alias("v1"), detached(F.col("w2")).alias("v2"), "low")
     alone = seen.join(first, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2"))).filter("o > low").select("o", "r", F.shiftleft("at", 8).alias("span"))
-    gone = met.filter("whole").select("o", "r", "span").unionByName(alone).groupBy("o", "r").agg(F.collect_list("span").alias("gone"))
+    gone = met.filter("o > low").select("o", "r", "span").unionByName(alone).groupBy("o", "r").agg(F.collect_list("span").alias("gone"))
 
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -255,7 +256,7 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT
                 out.append((words.n, words.n - len(kept), b" ".join([whole[s:e] for s, e in zip(words.starts[kept].tolist(), words.ends[kept].tolist())]).decode("utf-8", "surrogatepass")))
             yield pd.DataFrame({"o": batch["o"], **dict(zip(("n_words", "n_removed", "text"), zip(*out)))}) if out else pd.DataFrame({"o": [], "n_words": [], "n_removed": [], "text": []})
 
-    done = rows.join(gone, ["o", "r"], "left").select("o", "text", "gone").mapInPandas(strip, "o long, n_words long, n_removed long, text string")
+    done = in_slices(rows.join(gone, ["o", "r"], "left").select("o", "text", "gone"), strip, "o long, n_words long, n_removed long, text string")
     return done.select(F.when(F.col("o") != LOWEST, F.col("o")).alias("doc_id"), "n_words", "n_removed", "text")
 
 
