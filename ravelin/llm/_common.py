@@ -71,7 +71,7 @@ def in_slices(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
                     yield batch.slice(at, SLICE).to_pandas(integer_object_nulls=True)
 
         for out in f(frames()):
-            yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
+            yield from pa.Table.from_pandas(out, schema=arrow, preserve_index=False).combine_chunks().to_batches()
         pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, kind)
