@@ -24,7 +24,7 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def ranked(scored: DataFrame, k: int, key: str = "query_id", item: str = "doc_id", score: str = "score") -> DataFrame:
     """The k best rows of each query, ties by item, numbered from 1. The rank limit is applied before the shuffle."""
     w = W.partitionBy(key).orderBy(F.desc(score), F.asc(item))
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
 def query_terms(queries: DataFrame, text: Column) -> DataFrame:
@@ -83,7 +83,7 @@ def reranked(hits: DataFrame, score: Column, top: int) -> DataFrame:
     """Hits with rerank_score for each query's first ``top``; all are ranked by it, or else by their raw score."""
     scored = hits.withColumn("rerank_score", F.when(F.col("rank") <= top, score))
     w = W.partitionBy("query_id").orderBy(F.desc(F.coalesce("rerank_score", "score")), F.asc("doc_id"))
-    return scored.withColumn("final_rank", F.row_number().over(w))
+    return scored.withColumn("final_rank", F.row_number().over(w).cast("long"))
 
 
 def title_filtered(hits: DataFrame, allowed: DataFrame) -> DataFrame:

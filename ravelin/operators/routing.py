@@ -43,14 +43,14 @@ def rolling_eviction(existing: DataFrame, new: DataFrame, by: str, k: int, base:
     first = W.partitionBy(by, F.lower(F.trim("text"))).orderBy(F.desc("held"), F.asc("pos"))
     one = both.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
     best = W.partitionBy(by).orderBy(F.desc("score"), F.desc("held"), F.asc("pos"))
-    return one.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return one.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
 def head_tail(rows: DataFrame, by: str, order: str, ends: int, limit: int) -> DataFrame:
     """All rows of a group up to ``limit``; of larger ones the first and the last ``ends``."""
     n = rows.groupBy(F.col(by).alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
     w = W.partitionBy(by).orderBy(order)
-    placed = rows.withColumn("place", F.row_number().over(w)).join(n, F.col(by) == F.col("__b"))
+    placed = rows.withColumn("place", F.row_number().over(w).cast("long")).join(n, F.col(by) == F.col("__b"))
     return placed.filter((F.col("__n") <= limit) | (F.col("place") <= ends) | (F.col("place") > F.col("__n") - ends)).drop("__b", "__n")
 
 

@@ -216,4 +216,4 @@ def predicate_parse(spark, d):
 @query("SELECT c_custkey, 'c' || c_custkey AS subject, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS place FROM customer")
 def kb_relation_pairing(spark, d):
     w = W.partitionBy("c_nationkey").orderBy("c_custkey")
-    return t(spark, d, "customer").select("c_custkey", F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("subject"), F.row_number().over(w).alias("place"))
+    return t(spark, d, "customer").select("c_custkey", F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("subject"), F.row_number().over(w).cast("long").alias("place"))
