@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ravelin.llm._common import detached, table, written
+from ravelin.llm._common import detached, in_slices, table, written
 from ravelin.llm.components import components
 
 #: Words in a shingle, the hash's seed, and the largest number of differing bits of a link.
@@ -40,12 +41,15 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(text: Column, words: int = WORDS, seed: int = SEED) -> Column:
-    @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t, words, seed) for t in texts], dtype="int64")
+def fingerprinted(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
+    """docs (t, further columns) with __fp in place of t."""
+    schema = T.StructType([*[f for f in docs.schema.fields if f.name != "t"], T.StructField("__fp", T.LongType())])
 
-    return of(text)
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.drop(columns="t").assign(__fp=pd.Series([fingerprint(t, words, seed) for t in batch["t"]], index=batch.index, dtype="int64"))
+
+    return in_slices(docs, of, schema)
 
 
 def _masked(value: str, bit: str) -> str:
@@ -61,7 +65,9 @@ def links(prints: DataFrame, small: int = SMALL) -> DataFrame:
     members get a second wildcard in the other segment (and two where the first segment is equal), which proves the
     distance, and each such group is linked to its smallest member. No link is lost in its transitive closure.
     """
-    variant = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("v")).selectExpr(
+    # A fingerprint becomes 64 rows: the few bytes of all fingerprints are dealt over all tasks first.
+    spread = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
+    variant = spread.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("v")).selectExpr(
         "fp", "v", "CASE WHEN v < 32 THEN fp & 4294967295L ELSE shiftrightunsigned(fp, 32) END AS seg"
     ).selectExpr("fp", "v", f"{_masked('seg', 'v % 32')} AS rest")
     shared = variant.groupBy("v", "rest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -96,8 +102,8 @@ def near_groups(docs: DataFrame, words: int = WORDS, seed: int = SEED, small: in
     * null doc_id: never the smallest; a component of such rows only has a null id.
     * empty table: no rows. Other columns are ignored unless named in ``carry``.
     """
-    base = docs.select(F.col("doc_id").alias("__id"), fingerprints(F.col("text"), words, seed).alias("__fp"), *[F.col(c).alias(f"__c{k}") for k, c in enumerate(carry)])
-    base = written(base, "fingerprints")
+    base = docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("t"), *[F.col(c).alias(f"__c{k}") for k, c in enumerate(carry)])
+    base = written(fingerprinted(base, words, seed), "fingerprints")
     classes = base.groupBy(F.col("__fp").alias("fp")).agg(F.min("__id").alias("low"))
     roots = components(links(classes.select("fp"), small))
     rooted = classes.join(roots.select(F.col("node"), "root"), F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
