@@ -36,10 +36,12 @@ SCOPE = {"table", "ul", "ol", "dl", "div", "section", "article", "main", "aside"
 DROPPED = {"nav", "aside", "footer", "form", "script", "style", "noscript", "template", "iframe", "button", "select", "textarea", "svg", "canvas", "object", "head", "title", "dialog", "menu", "audio", "video"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|nav\w*|menu\w*|sidebar\w*|side-bar|comment\w*|disqus\w*|respond|repl(?:y|ies)|cookie\w*|consent|gdpr|banner\w*|notice\w*|alert\w*|"
-    r"popup\w*|modal\w*|overlay\w*|newsletter\w*|subscri\w*|signup|share|sharing|social\w*|related\w*|recommend\w*|breadcrumb\w*|footer\w*|masthead|toolbar|widget\w*|pagination|login|search\w*|skip-link)(?:$|[\s_-])",
+    r"(?:^|[_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|nav\w*|menu\w*|sidebar\w*|side-bar|comment\w*|disqus\w*|respond|repl(?:y|ies)|cookie\w*|consent|gdpr|banner\w*|notice\w*|alert\w*|"
+    r"popup\w*|modal\w*|overlay\w*|newsletter\w*|subscri\w*|signup|share|sharing|social\w*|related\w*|recommend\w*|breadcrumb\w*|footer\w*|masthead|toolbar|widget\w*|pagination|login|search\w*|skip-link)(?:$|[_-])",
     re.IGNORECASE,
 )
+#: Names that say how a page is laid out around its content, as "has-sidebar" does.
+LAYOUT = re.compile("(?:has|with|without|no|show|hide|is)[-_]", re.IGNORECASE)
 #: Elements whose recurrence marks a template even inside an article. Paragraphs and headings there are never judged so.
 BOXES = {"div", "section", "ul", "ol", "dl", "table", "aside", "form", "nav", "footer", "header", "figure", "details", "fieldset", "center", "address"}
 
@@ -107,7 +109,10 @@ def furniture(node: Node) -> bool:
         return False
     if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none", a.get("style", "")):
         return True
-    return node.tag not in ("html", "body", "article", "main") and bool(NAMES.search(a.get("class", "")) or NAMES.search(a.get("id", ""))) or node.tag == "article" and bool(re.search("comment|teaser|related", a.get("class", "") + a.get("id", ""), re.I))
+    names = [n for n in f"{a.get('class', '')} {a.get('id', '')}".split() if not LAYOUT.match(n)]
+    if node.tag == "article":
+        return any(re.search("comment|teaser|related", n, re.IGNORECASE) for n in names)
+    return node.tag not in ("html", "body", "main") and any(map(NAMES.search, names))
 
 
 def _walk(root: Node, skip) -> Iterator[tuple[Node | str, bool]]:
