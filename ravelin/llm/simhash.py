@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,18 +121,144 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """The rows of docs that stay: of each component one, that with the smallest doc_id (ties: any one of equal rows).
-
-    All columns are kept. Null doc_ids come after all others; empty table: no rows.
-    """
-    marked = docs.withColumn("__row", F.xxhash64(F.coalesce("text", F.lit(""))))
+    """The rows of docs that stay: of each component of ``near_groups`` the one with the smallest doc_id."""
+    marked = _marked(docs)
     grouped = near_groups(marked, words, seed, carry=["__row"])
-    ranked = grouped.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("c")).agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")).alias("top"))
-    stays = written(ranked.select(F.col("top.doc_id").alias("__d"), F.col("top.__row").alias("__r")), "stays")
-    same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__row") == F.col("__r"))
-    kept = marked.join(stays, same, "left_semi")
+    return _one_each(marked, grouped.select("doc_id", "__row", F.coalesce(F.col("component_id"), F.col("fp")).alias("group"), F.col("component_id").isNull().alias("unnamed")))
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("__row", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def _one_each(marked: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Of each group (doc_id, __row, group, unnamed) the row with the smallest doc_id, null the last; ties: any one of
+    equal rows. All columns of the rows are kept."""
+    top = grouped.groupBy("group", "unnamed").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")).alias("top"))
+    stays = written(top.select(F.col("top.doc_id").alias("__d"), F.col("top.__row").alias("__r")), "stays")
+    kept = marked.join(stays, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__row") == F.col("__r")), "left_semi")
     repeated = grouped.groupBy("doc_id", "__row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    if not repeated.isEmpty():  # one of equal rows stays
+    if not repeated.isEmpty():
         kept = kept.dropDuplicates(["doc_id", "__row"])
     return kept.drop("__row")
+
+
+# Similar texts: the same signatures over wider fingerprints, for distances that two bits of 64 don't reach.
+
+#: Words in a shingle and the least estimated Jaccard similarity of a link.
+SIMILAR_WORDS, SIMILARITY = 5, 0.8
+#: 64-bit parts of a wide fingerprint; bits of a segment, and its bits that become wildcards: those nearest to a tie,
+#: which are the ones that an edit turns.
+PARTS, SEGMENT_BITS, WILDCARDS = 8, 24, 8
+SEGMENTS = PARTS * 64 // SEGMENT_BITS
+_MIX = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1 for k in range(PARTS)], np.uint64)
+
+
+def wide_fingerprint(text: str | None, words: int = SIMILAR_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """PARTS * 64 bits over the set of a text's shingles, as signed longs (zeros without words), and its SEGMENTS
+    segments: the bits of each, and above them a mask of its wildcards."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    counts, n = np.zeros(PARTS * 64, np.int64), 0
+    if found:
+        whole = memoryview(b" ".join(found))
+        ends = np.cumsum([len(w) + 1 for w in found])
+        k = min(words, len(found))
+        starts = np.concatenate(([0], ends[:-1]))[: len(found) - k + 1].tolist()
+        h = xxhash.xxh64_intdigest
+        hashes = np.unique(np.array([h(whole[a:b]) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist())], np.uint64))
+        n = len(hashes)
+        for at in range(0, n, 255):  # up to 255 fit a byte's sum
+            x = hashes[at : at + 255, None] ^ _MIX
+            x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+            x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+            x ^= x >> np.uint64(33)
+            counts += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    bits = counts * 2 > n
+    used = SEGMENTS * SEGMENT_BITS
+    weak = np.argsort(np.abs(counts[:used] * 2 - n).reshape(SEGMENTS, SEGMENT_BITS), axis=1, kind="stable")[:, :WILDCARDS]
+    segments = (bits[:used].reshape(SEGMENTS, SEGMENT_BITS) << np.arange(SEGMENT_BITS)).sum(axis=1) | ((1 << weak).sum(axis=1) << SEGMENT_BITS)
+    return np.packbits(bits, bitorder="little").view("<i8"), segments
+
+
+def largest_distance(similarity: float, bits: int = PARTS * 64) -> int:
+    """Differing bits up to which two texts are estimated to be that similar: sets of Jaccard similarity J have a cosine
+    of 2 J / (1 + J), and a bit differs with the angle's share of a half turn."""
+    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def _distance(a: str, b: str) -> str:
+    return " + ".join(f"bit_count({a}{k} ^ {b}{k})" for k in range(PARTS))
+
+
+def similar_links(classes: DataFrame, most: int, small: int = SMALL) -> DataFrame:
+    """classes (nid, segments, f0 ... f7: distinct wide fingerprints) -> links (a, b) of those that differ in at most ``most`` bits.
+
+    Two that do share a one-wildcard variant if one of their segments differs in one bit at most, and that bit is among
+    the wildcards of both; the more segments, the fewer links are missed. Buckets of up to ``small`` members compare them
+    all. A larger bucket is a large group of copies: its members are compared with the bitwise majority of ``small`` of
+    them, and those near it are linked in a star.
+    """
+    spark = classes.sparkSession
+    parts = [f"f{k}" for k in range(PARTS)]
+    spread = classes.select("nid", "segments").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("nid"))
+    variant = (
+        spread.select("nid", F.posexplode("segments").alias("s", "x"))
+        .select("nid", "s", "x", F.explode(F.expr(f"filter(sequence(0, {SEGMENT_BITS - 1}), i -> shiftrightunsigned(x, i + {SEGMENT_BITS}) % 2 = 1)")).alias("i"))
+        .selectExpr("nid", f"shiftleft(cast(s * {SEGMENT_BITS} + i as long), {SEGMENT_BITS}) | {_masked(f'(x & {(1 << SEGMENT_BITS) - 1}L)', 'i')} AS key")
+    )
+    shared = variant.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(detached(F.col("key")).alias("k"), "n")
+    found = written(variant.join(shared, F.col("key") == F.col("k")).select("key", "nid", "n"), "wide-variants")
+
+    few = found.filter(F.col("n") <= small).select("key", F.col("nid").alias("a"))
+    pairs = few.join(few.withColumnRenamed("a", "b"), "key").filter("a < b").select("a", "b").distinct()
+    left, right = (classes.select(F.col("nid").alias(name), *[F.col(f).alias(f"{c}{k}") for k, f in enumerate(parts)]) for name, c in (("a", "x"), ("b", "y")))
+    near = pairs.join(left, "a").join(right, "b").filter(f"{_distance('x', 'y')} <= {most}").select("a", "b")
+
+    many = found.filter(F.col("n") > small).select("key", "nid")
+    order = W.partitionBy("key").orderBy(F.xxhash64("nid"), "nid")
+    some = many.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= small).join(classes, "nid")  # at most ``small`` of a bucket
+
+    def majority(group: pd.DataFrame) -> pd.DataFrame:
+        bits = np.unpackbits(np.ascontiguousarray(group[parts].to_numpy("<i8")).view(np.uint8), axis=1, bitorder="little")
+        middle = np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(group), bitorder="little").view("<i8")
+        return pd.DataFrame([[group["key"].iloc[0], *middle.tolist()]], columns=["c", *[f"y{k}" for k in range(PARTS)]])
+
+    middles = some.select("key", *parts).groupBy("key").applyInPandas(majority, "c long, " + ", ".join(f"y{k} long" for k in range(PARTS)))
+    middles = middles.select(detached(F.col("c")).alias("c"), *[f"y{k}" for k in range(PARTS)])
+    around = many.join(left, F.col("nid") == F.col("a")).join(middles, F.col("key") == F.col("c")).filter(f"{_distance('x', 'y')} <= {most}").select("key", "nid")
+    lowest = around.groupBy("key").agg(F.min("nid").alias("low")).select(detached(F.col("key")).alias("k"), "low")
+    stars = around.join(lowest, F.col("key") == F.col("k")).filter("nid > low").select(F.col("low").alias("a"), F.col("nid").alias("b"))
+    return near.unionByName(stars).distinct()
+
+
+def drop_similar(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
+    """The rows of docs that stay when of each group of similar texts the one with the smallest doc_id stays.
+
+    Texts are similar if their sets of word shingles (A-Z lower-cased) have an estimated Jaccard similarity of at least
+    ``similarity``; groups are the components of such links. All columns are kept.
+
+    * null or empty text, or white space only: one group. Fewer words than a shingle: all of them are one shingle.
+    * null doc_ids come after all others; of equal rows any one stays. Empty table: no rows.
+    """
+    parts = [f"f{k}" for k in range(PARTS)]
+    marked = _marked(docs)
+    rows = marked.select(F.col("doc_id").alias("d"), F.col("__row").alias("r"), F.col("text").alias("t"))
+    schema = T.StructType([*[f for f in rows.schema.fields if f.name != "t"], *[T.StructField(f, T.LongType()) for f in parts], T.StructField("segments", T.ArrayType(T.LongType()))])
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            got = [wide_fingerprint(t, words) for t in batch["t"]]
+            prints = np.array([p for p, _ in got], np.int64).reshape(-1, PARTS)
+            yield batch.drop(columns="t").assign(**{f: prints[:, k] for k, f in enumerate(parts)}, segments=pd.Series([x for _, x in got], index=batch.index, dtype=object))
+
+    base = written(in_slices(rows, of, schema), "wide-fingerprints")
+    # Numbers are given once, in a written table, so they stay what they are; small numbers make small rows.
+    classes = written(base.groupBy(*parts).agg(F.min("segments").alias("segments")).withColumn("nid", F.monotonically_increasing_id()), "wide-classes")
+    roots = components(similar_links(classes, largest_distance(similarity), small))
+    named = classes.join(roots, F.col("nid") == F.col("node"), "left").select(F.coalesce("root", "nid").alias("group"), *[F.col(f).alias(f"g{k}") for k, f in enumerate(parts)])
+    named = written(named, "wide-groups")
+    same = F.col("f0") == F.col("g0")
+    for k in range(1, PARTS):
+        same = same & (F.col(f"f{k}") == F.col(f"g{k}"))
+    grouped = base.join(named, same).select(F.col("d").alias("doc_id"), F.col("r").alias("__row"), "group", F.lit(False).alias("unnamed"))
+    return _one_each(marked, written(grouped, "wide-grouped"))

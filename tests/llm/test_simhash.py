@@ -97,3 +97,51 @@ def test_blocks_of_a_long_text(monkeypatch):
     text = " ".join(str(k % 977) for k in range(5000))
     monkeypatch.setattr(simhash, "BLOCK", 64)
     assert simhash.fingerprint(text) == by_hand(text)
+
+
+def edited(rnd, words, n):
+    out = list(words)
+    for at in rnd.sample(range(len(out)), n):
+        out[at] = "edited" + str(rnd.random())
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("small", [4, 64])
+def test_similar_texts_go_and_others_stay(spark, small):
+    """Groups of an original and its edited copies (similarity about 0.87 and more) among texts of their own."""
+    rnd = random.Random(small)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    rows, groups = [], []
+    for _ in range(8):
+        words = [word() for _ in range(300)]
+        group = [" ".join(words), " ".join(words).upper()] + [edited(rnd, words, rnd.randint(0, 4)) for _ in range(6)]
+        groups.append(range(len(rows), len(rows) + len(group)))
+        rows += group
+    alone = range(len(rows), len(rows) + 60)
+    rows += [" ".join(word() for _ in range(rnd.randint(3, 200))) for _ in alone]
+    words = rows[0].split()
+    rows.append(" ".join(words[:100] + [word() for _ in range(300)]))  # a passage in common is no copy
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.drop_similar(df, small=small).collect()}
+    assert kept >= {g[0] for g in groups} and kept >= {*alone, len(rows) - 1}
+    assert len(kept - {g[0] for g in groups} - {*alone, len(rows) - 1}) <= 1
+
+
+def test_a_large_group_of_copies(spark):
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    rows = [(k, edited(rnd, words, 4)) for k in range(300)] + [(1000, "something else of its own")]
+    kept = {r.doc_id for r in simhash.drop_similar(spark.createDataFrame(rows, "doc_id long, text string"), small=16).collect()}
+    assert {0, 1000} <= kept and len(kept) <= 6
+
+
+def test_similar_of_odd_rows(odd, none):
+    kept = simhash.drop_similar(odd)
+    assert kept.columns == odd.columns
+    words = lambda rows: sorted(" ".join((r.text or "").lower().split()) for r in rows)
+    assert words(kept.collect()) == sorted({*words(odd.collect())})
+    assert simhash.drop_similar(none).count() == 0
+
+
+def test_estimated_distance():
+    assert simhash.largest_distance(0.8) == 77 and simhash.largest_distance(1.0) == 0
