@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin.functions.text import PUNCTUATION
+from ravelin.shipping import shipped
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -17,7 +19,7 @@ def query(sql: str | None = None):
     """Register a function (spark, sf_dir) -> DataFrame under its name, with the SQL that gives the same rows."""
 
     def add(f):
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = wraps(f)(lambda spark, sf_dir: f(shipped(spark), sf_dir))
         if sql:
             SQL[f.__name__] = sql
         return f
