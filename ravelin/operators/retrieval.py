@@ -38,19 +38,19 @@ def bm25(docs: DataFrame, terms: DataFrame, text: str = "text", k1: float = K1,
     Documents are tokenised once; only postings of query terms leave the scan. Document frequencies and the two corpus
     numbers are aggregated; the query side is broadcast if its size allows.
     """
-    terms = bounded(terms)
+    small = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # it bounds all that is derived from the terms
+    near = F.broadcast if small else (lambda df: df)
     base = docs.select("doc_id", tokens(F.col(text)).alias("ts"))
     corpus = base.agg(F.count(F.lit(1)).alias("N"), F.avg(F.size("ts")).alias("avgdl"))
-    wanted = bounded(terms.select("term").distinct())
     postings = (
-        base.select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(wanted, "term", "left_semi")
+        base.select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(near(terms.select("term").distinct()), "term", "left_semi")
         .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     )
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighed = terms.join(df, "term").crossJoin(F.broadcast(corpus)).withColumn("idf", F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     tf = F.col("tf")
     part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return postings.join(bounded(weighed), "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    return postings.join(near(weighed), "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
 def knn(vectors: DataFrame, queries: DataFrame) -> DataFrame:
