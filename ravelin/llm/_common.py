@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ravelin.shipping import shipped
+
 #: What counts as white space for line keys and words: [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -48,6 +50,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def detached(c: Column) -> Column:
     """The same long behind an expression: a join on it gets an exchange of its own,
     so that adaptive execution can split skewed partitions of the other side."""
@@ -60,6 +68,7 @@ SLICE = 512
 
 def in_slices(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str | T.StructType) -> DataFrame:
     """df.mapInPandas(f, schema) with frames of at most SLICE rows; integers with nulls stay exact."""
+    shipped(df.sparkSession)
     kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

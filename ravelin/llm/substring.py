@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm._common import detached, in_slices, new_path, table
+from ravelin.llm._common import detached, in_slices, new_path, removed, table
 
 #: Words in a window and in an anchor.
 WINDOW, ANCHOR = 50, 8
@@ -129,7 +129,7 @@ class SubstringIndex:
     """Sorted immutable runs of (fp, cell, low): distinct cells and the smallest document that holds each.
 
     Documents enter in batches of increasing doc_id; runs lie in the shared folder and are never changed, so a lost
-    executor costs nothing.
+    executor costs nothing. A compaction removes the runs that it replaces.
     """
 
     SCHEMA = "fp long, cell long, low long"
@@ -159,7 +159,9 @@ class SubstringIndex:
     def compact(self) -> None:
         """One sorted run in place of many; a cell that several runs hold keeps its smallest document."""
         merged = self.entries().groupBy("fp", "cell").agg(F.min("low").alias("low"))
-        self.runs = [self._write(merged, "compacted")]
+        old, self.runs = self.runs, [self._write(merged, "compacted")]
+        for path in old:
+            removed(self.spark, path)
 
     def open_anchors(self) -> DataFrame:
         """Anchors (fp) that stand in several cells, of different documents: runs never hold a cell twice."""
@@ -168,23 +170,22 @@ class SubstringIndex:
 
 
 def _window_digests(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(w1, w2, o, r, at) of every window in the wanted spans (o, r, spans)."""
+    """(w1, w2: 96 bits, o, r, at) of every window in the wanted spans (o, r, spans)."""
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             parts, waiting = [], 0
 
             def out() -> pd.DataFrame:
-                w, o, r, at = (np.concatenate(x) for x in zip(*parts))
-                return pd.DataFrame({"w1": w[:, 0], "w2": w[:, 1], "o": o, "r": r, "at": at})
+                return pd.DataFrame(dict(zip(("w1", "w2", "o", "r", "at"), (np.concatenate(x) for x in zip(*parts)))))
 
             for o, r, text, spans in zip(batch["o"], batch["r"], batch["text"], batch["spans"]):
                 words = Words(text)
                 at = np.unique(np.concatenate([np.arange(s >> 8, (s >> 8) + (s & 255) + 1) for s in spans]))
                 for k in range(0, len(at), SEGMENT):
                     some = at[k : k + SEGMENT]
-                    w = np.frombuffer(b"".join([words.digest(x, x, 16) for x in some.tolist()]), "<i8").reshape(-1, 2)
-                    parts.append((w, np.full(len(some), o, np.int64), np.full(len(some), r, np.int64), some))
+                    w = np.frombuffer(b"".join([words.digest(x, x, 12) for x in some.tolist()]), np.dtype([("a", "<i8"), ("b", "<u4")]))
+                    parts.append((w["a"], w["b"].astype(np.int64), np.full(len(some), o, np.int64), np.full(len(some), r, np.int64), some))
                     waiting += len(some)
                     if waiting > 100_000:
                         yield out()
