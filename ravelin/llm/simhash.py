@@ -150,6 +150,8 @@ SIMILAR_WORDS, SIMILARITY = 5, 0.8
 #: 64-bit parts of a wide fingerprint; bits of a segment, and its bits that become wildcards: those nearest to a tie,
 #: which are the ones that an edit turns.
 PARTS, SEGMENT_BITS, WILDCARDS = 8, 24, 8
+#: Buckets up to this size compare all their members.
+SIMILAR_SMALL = 16
 SEGMENTS = PARTS * 64 // SEGMENT_BITS
 _MIX = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1 for k in range(PARTS)], np.uint64)
 
@@ -190,27 +192,32 @@ def _distance(a: str, b: str) -> str:
     return " + ".join(f"bit_count({a}{k} ^ {b}{k})" for k in range(PARTS))
 
 
-def similar_links(classes: DataFrame, most: int, small: int = SMALL) -> DataFrame:
+def similar_links(classes: DataFrame, most: int, small: int = SIMILAR_SMALL) -> DataFrame:
     """classes (nid, segments, f0 ... f7: distinct wide fingerprints) -> links (a, b) of those that differ in at most ``most`` bits.
 
     Two that do share a one-wildcard variant if one of their segments differs in one bit at most, and that bit is among
     the wildcards of both; the more segments, the fewer links are missed. Buckets of up to ``small`` members compare them
-    all. A larger bucket is a large group of copies: its members are compared with the bitwise majority of ``small`` of
-    them, and those near it are linked in a star.
+    all. A larger bucket is a large group of copies: its members are compared with the one nearest to the bitwise majority
+    of ``small`` of them, which is the original where copies were edited apart from each other. All links are verified.
     """
     spark = classes.sparkSession
     parts = [f"f{k}" for k in range(PARTS)]
     spread = classes.select("nid", "segments").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("nid"))
     variant = (
         spread.select("nid", F.posexplode("segments").alias("s", "x"))
-        .select("nid", "s", "x", F.explode(F.expr(f"filter(sequence(0, {SEGMENT_BITS - 1}), i -> shiftrightunsigned(x, i + {SEGMENT_BITS}) % 2 = 1)")).alias("i"))
-        .selectExpr("nid", f"shiftleft(cast(s * {SEGMENT_BITS} + i as long), {SEGMENT_BITS}) | {_masked(f'(x & {(1 << SEGMENT_BITS) - 1}L)', 'i')} AS key")
+        .select("nid", "s", "x", F.explode(F.expr(f"filter(sequence(-1, {SEGMENT_BITS - 1}), i -> i < 0 OR shiftrightunsigned(x, i + {SEGMENT_BITS}) % 2 = 1)")).alias("i"))
+        .selectExpr("nid", "i", "s", f"x & {(1 << SEGMENT_BITS) - 1}L AS seg")
+        .selectExpr(
+            "nid", f"shiftleft(cast(s * {SEGMENT_BITS + 1} + i + 1 as long), {SEGMENT_BITS}) | CASE WHEN i < 0 THEN seg ELSE {_masked('seg', 'i')} END AS key",
+            "CASE WHEN i < 0 THEN -1 ELSE cast(shiftrightunsigned(seg, i) % 2 as int) END AS side",
+        )
     )
     shared = variant.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(detached(F.col("key")).alias("k"), "n")
-    found = written(variant.join(shared, F.col("key") == F.col("k")).select("key", "nid", "n"), "wide-variants")
+    found = written(variant.join(shared, F.col("key") == F.col("k")).select("key", "nid", "side", "n"), "wide-variants")
 
-    few = found.filter(F.col("n") <= small).select("key", F.col("nid").alias("a"))
-    pairs = few.join(few.withColumnRenamed("a", "b"), "key").filter("a < b").select("a", "b").distinct()
+    # Equal segments meet once, under the whole segment; a wildcard joins those that differ in its bit.
+    few = found.filter(F.col("n") <= small).select("key", F.col("nid").alias("a"), F.col("side").alias("p"))
+    pairs = few.join(few.toDF("key", "b", "q"), "key").filter("a < b AND (p < 0 OR p <> q)").select("a", "b").distinct()
     left, right = (classes.select(F.col("nid").alias(name), *[F.col(f).alias(f"{c}{k}") for k, f in enumerate(parts)]) for name, c in (("a", "x"), ("b", "y")))
     near = pairs.join(left, "a").join(right, "b").filter(f"{_distance('x', 'y')} <= {most}").select("a", "b")
 
@@ -225,13 +232,14 @@ def similar_links(classes: DataFrame, most: int, small: int = SMALL) -> DataFram
 
     middles = some.select("key", *parts).groupBy("key").applyInPandas(majority, "c long, " + ", ".join(f"y{k} long" for k in range(PARTS)))
     middles = middles.select(detached(F.col("c")).alias("c"), *[f"y{k}" for k in range(PARTS)])
-    around = many.join(left, F.col("nid") == F.col("a")).join(middles, F.col("key") == F.col("c")).filter(f"{_distance('x', 'y')} <= {most}").select("key", "nid")
-    lowest = around.groupBy("key").agg(F.min("nid").alias("low")).select(detached(F.col("key")).alias("k"), "low")
-    stars = around.join(lowest, F.col("key") == F.col("k")).filter("nid > low").select(F.col("low").alias("a"), F.col("nid").alias("b"))
+    around = many.join(left, F.col("nid") == F.col("a")).join(middles, F.col("key") == F.col("c"))
+    middle = around.groupBy("key").agg(F.min(F.struct(F.expr(_distance("x", "y")).alias("d"), "nid")).alias("m"))
+    middle = middle.join(right, F.col("m.nid") == F.col("b")).select(detached(F.col("key")).alias("k"), "b", *[f"y{k}" for k in range(PARTS)])
+    stars = many.join(left, F.col("nid") == F.col("a")).join(middle, F.col("key") == F.col("k")).filter(f"a <> b AND {_distance('x', 'y')} <= {most}").select("a", "b")
     return near.unionByName(stars).distinct()
 
 
-def drop_similar(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
+def drop_similar(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, small: int = SIMILAR_SMALL) -> DataFrame:
     """The rows of docs that stay when of each group of similar texts the one with the smallest doc_id stays.
 
     Texts are similar if their sets of word shingles (A-Z lower-cased) have an estimated Jaccard similarity of at least
