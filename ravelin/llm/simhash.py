@@ -197,8 +197,10 @@ def similar_links(classes: DataFrame, most: int, small: int = SIMILAR_SMALL) ->
 
     Two that do share a one-wildcard variant if one of their segments differs in one bit at most, and that bit is among
     the wildcards of both; the more segments, the fewer links are missed. Buckets of up to ``small`` members compare them
-    all. A larger bucket is a large group of copies: its members are compared with the one nearest to the bitwise majority
-    of ``small`` of them, which is the original where copies were edited apart from each other. All links are verified.
+    all. A larger bucket is mostly a large group of copies: its members are first compared with the one nearest to the
+    bitwise majority of ``small`` of them, which is the original where copies were edited apart from each other. Members
+    that all links so far leave in different components are then compared with each other, so that no link of a bucket
+    is lost in the transitive closure. All links are verified.
     """
     spark = classes.sparkSession
     parts = [f"f{k}" for k in range(PARTS)]
@@ -215,13 +217,22 @@ def similar_links(classes: DataFrame, most: int, small: int = SIMILAR_SMALL) ->
     shared = variant.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(detached(F.col("key")).alias("k"), "n")
     found = written(variant.join(shared, F.col("key") == F.col("k")).select("key", "nid", "side", "n"), "wide-variants")
 
+    return bucket_links(found, classes, most, small)
+
+
+def bucket_links(found: DataFrame, classes: DataFrame, most: int, small: int) -> DataFrame:
+    """found (key, nid, side, n: the members of each bucket and their number) -> links (a, b) within ``most`` bits whose
+    components are those of all such pairs that share a bucket."""
+    parts = [f"f{k}" for k in range(PARTS)]
     # Equal segments meet once, under the whole segment; a wildcard joins those that differ in its bit.
     few = found.filter(F.col("n") <= small).select("key", F.col("nid").alias("a"), F.col("side").alias("p"))
     pairs = few.join(few.toDF("key", "b", "q"), "key").filter("a < b AND (p < 0 OR p <> q)").select("a", "b").distinct()
     left, right = (classes.select(F.col("nid").alias(name), *[F.col(f).alias(f"{c}{k}") for k, f in enumerate(parts)]) for name, c in (("a", "x"), ("b", "y")))
     near = pairs.join(left, "a").join(right, "b").filter(f"{_distance('x', 'y')} <= {most}").select("a", "b")
 
-    many = found.filter(F.col("n") > small).select("key", "nid")
+    many = found.filter(F.col("n") > small).select("key", "nid", "side")
+    if many.isEmpty():
+        return near
     order = W.partitionBy("key").orderBy(F.xxhash64("nid"), "nid")
     some = many.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= small).join(classes, "nid")  # at most ``small`` of a bucket
 
@@ -236,7 +247,18 @@ def similar_links(classes: DataFrame, most: int, small: int = SIMILAR_SMALL) ->
     middle = around.groupBy("key").agg(F.min(F.struct(F.expr(_distance("x", "y")).alias("d"), "nid")).alias("m"))
     middle = middle.join(right, F.col("m.nid") == F.col("b")).select(detached(F.col("key")).alias("k"), "b", *[f"y{k}" for k in range(PARTS)])
     stars = many.join(left, F.col("nid") == F.col("a")).join(middle, F.col("key") == F.col("k")).filter(f"a <> b AND {_distance('x', 'y')} <= {most}").select("a", "b")
-    return near.unionByName(stars).distinct()
+    linked = written(near.unionByName(stars).distinct(), "wide-links")
+
+    rooted = components(linked).select(detached(F.col("node")).alias("node"), "root")
+    held = many.join(rooted, F.col("nid") == F.col("node"), "left").select("key", "nid", "side", F.coalesce("root", "nid").alias("root"))
+    split = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select(detached(F.col("key")).alias("k"))
+    rest = written(held.join(split, F.col("key") == F.col("k"), "left_semi"), "wide-rest")
+    here, there = (
+        rest.select(F.col("key").alias(key), F.col("nid").alias(name), F.col("side").alias(side), F.col("root").alias(root)).join(prints, name)
+        for key, name, side, root, prints in (("key", "a", "p", "u", left), ("k", "b", "q", "v", right))
+    )
+    cross = here.join(there, (F.col("key") == F.col("k")) & F.expr(f"a < b AND u <> v AND (p < 0 OR p <> q) AND {_distance('x', 'y')} <= {most}")).select("a", "b")
+    return linked.unionByName(cross).distinct()
 
 
 def drop_similar(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, small: int = SIMILAR_SMALL) -> DataFrame:

@@ -135,6 +135,30 @@ def test_a_large_group_of_copies(spark):
     assert {0, 1000} <= kept and len(kept) <= 6
 
 
+@pytest.mark.parametrize("small", [2, 16])
+def test_a_large_bucket_loses_no_link(spark, small):
+    """One bucket of a chain of edits, two groups around centres and strangers has the components of all its pairs."""
+    rnd, most = random.Random(small), 77
+    turned = lambda x, n: x ^ sum(1 << b for b in rnd.sample(range(512), n))
+    prints = [rnd.getrandbits(512)]
+    for _ in range(30):
+        prints.append(turned(prints[-1], 50))
+    for _ in range(2):
+        centre = rnd.getrandbits(512)
+        prints += [centre, *[turned(centre, 60) for _ in range(20)]]
+    prints += [rnd.getrandbits(512) for _ in range(10)]
+    rnd.shuffle(prints)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(k, *[signed(x >> 64 * i & (1 << 64) - 1) for i in range(8)]) for k, x in enumerate(prints)]
+    classes = spark.createDataFrame(rows, "nid long, " + ", ".join(f"f{k} long" for k in range(8)))
+    found = classes.selectExpr("7L AS key", "nid", "-1 AS side", f"{len(rows)}L AS n")
+    got = simhash.bucket_links(found, classes, most, small).collect()
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= most]
+    ids = range(len(rows))
+    assert {(max(r.a, r.b), min(r.a, r.b)) for r in got} <= {*pairs}
+    assert roots(ids, [(r.a, r.b) for r in got]) == roots(ids, pairs)
+
+
 def test_similar_of_odd_rows(odd, none):
     kept = simhash.drop_similar(odd)
     assert kept.columns == odd.columns
