@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -143,24 +143,24 @@ def _one_each(marked: DataFrame, grouped: DataFrame) -> DataFrame:
     return kept.drop("__row")
 
 
-# Similar texts: the same signatures over wider fingerprints, for distances that two bits of 64 don't reach.
+# Similar texts: shingles in common make candidates, their exact sets decide.
 
-#: Words in a shingle and the least estimated Jaccard similarity of a link.
+#: Words in a shingle and the least Jaccard similarity of a link.
 SIMILAR_WORDS, SIMILARITY = 5, 0.8
-#: 64-bit parts of a wide fingerprint; bits of a segment, and its bits that become wildcards: those nearest to a tie,
-#: which are the ones that an edit turns.
-PARTS, SEGMENT_BITS, WILDCARDS = 8, 24, 8
+#: 64-bit parts of a wide fingerprint; bits by which it may miss the estimated distance, over 5 deviations for any set.
+PARTS, SLACK = 8, 67
 #: Buckets up to this size compare all their members.
 SIMILAR_SMALL = 16
-SEGMENTS = PARTS * 64 // SEGMENT_BITS
+#: Longs that are broadcast at most.
+BROADCAST = 2_000_000
 _MIX = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1 for k in range(PARTS)], np.uint64)
 
 
 def wide_fingerprint(text: str | None, words: int = SIMILAR_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """PARTS * 64 bits over the set of a text's shingles, as signed longs (zeros without words), and its SEGMENTS
-    segments: the bits of each, and above them a mask of its wildcards."""
+    """PARTS * 64 bits over the set of a text's shingles, as signed longs (zeros without words), and the set: its hashes
+    in order."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    counts, n = np.zeros(PARTS * 64, np.int64), 0
+    counts, n, hashes = np.zeros(PARTS * 64, np.int64), 0, np.zeros(0, np.uint64)
     if found:
         whole = memoryview(b" ".join(found))
         ends = np.cumsum([len(w) + 1 for w in found])
@@ -176,10 +176,13 @@ def wide_fingerprint(text: str | None, words: int = SIMILAR_WORDS) -> tuple[np.n
             x ^= x >> np.uint64(33)
             counts += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
     bits = counts * 2 > n
-    used = SEGMENTS * SEGMENT_BITS
-    weak = np.argsort(np.abs(counts[:used] * 2 - n).reshape(SEGMENTS, SEGMENT_BITS), axis=1, kind="stable")[:, :WILDCARDS]
-    segments = (bits[:used].reshape(SEGMENTS, SEGMENT_BITS) << np.arange(SEGMENT_BITS)).sum(axis=1) | ((1 << weak).sum(axis=1) << SEGMENT_BITS)
-    return np.packbits(bits, bitorder="little").view("<i8"), segments
+    return np.packbits(bits, bitorder="little").view("<i8"), hashes.view("<i8")
+
+
+def prefix_size(n: int, similarity: float) -> int:
+    """How many first hashes of a set of n are indexed: of two sets that similar, each holds at least similarity * n of
+    its hashes in common with the other, so the first hash in common stands among these in both."""
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
 
 
 def largest_distance(similarity: float, bits: int = PARTS * 64) -> int:
@@ -192,47 +195,43 @@ def _distance(a: str, b: str) -> str:
     return " + ".join(f"bit_count({a}{k} ^ {b}{k})" for k in range(PARTS))
 
 
-def similar_links(classes: DataFrame, most: int, small: int = SIMILAR_SMALL) -> DataFrame:
-    """classes (nid, segments, f0 ... f7: distinct wide fingerprints) -> links (a, b) of those that differ in at most ``most`` bits.
+def same_shingles(base: DataFrame) -> DataFrame:
+    """base (nid, head: a set's first hashes) -> (key, nid, n): the sets under each hash that several have; n rows."""
+    variant = base.select("nid", F.explode("head").alias("key"))
+    shared = variant.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("nid").alias("low"), F.max("nid").alias("high")).filter("low <> high")
+    shared = shared.select(detached(F.col("key")).alias("k"), "n")
+    found = variant.join(shared, F.col("key") == F.col("k")).select("key", "nid", "n")
+    return written(found.distinct(), "wide-variants")
 
-    Two that do share a one-wildcard variant if one of their segments differs in one bit at most, and that bit is among
-    the wildcards of both; the more segments, the fewer links are missed. Buckets of up to ``small`` members compare them
-    all. A larger bucket is mostly a large group of copies: its members are first compared with the one nearest to the
-    bitwise majority of ``small`` of them, which is the original where copies were edited apart from each other. Members
-    that all links so far leave in different components are then compared with each other, so that no link of a bucket
-    is lost in the transitive closure. All links are verified.
-    """
-    spark = classes.sparkSession
-    parts = [f"f{k}" for k in range(PARTS)]
-    spread = classes.select("nid", "segments").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("nid"))
-    variant = (
-        spread.select("nid", F.posexplode("segments").alias("s", "x"))
-        .select("nid", "s", "x", F.explode(F.expr(f"filter(sequence(-1, {SEGMENT_BITS - 1}), i -> i < 0 OR shiftrightunsigned(x, i + {SEGMENT_BITS}) % 2 = 1)")).alias("i"))
-        .selectExpr("nid", "i", "s", f"x & {(1 << SEGMENT_BITS) - 1}L AS seg")
-        .selectExpr(
-            "nid", f"shiftleft(cast(s * {SEGMENT_BITS + 1} + i + 1 as long), {SEGMENT_BITS}) | CASE WHEN i < 0 THEN seg ELSE {_masked('seg', 'i')} END AS key",
-            "CASE WHEN i < 0 THEN -1 ELSE cast(shiftrightunsigned(seg, i) % 2 as int) END AS side",
-        )
-    )
-    shared = variant.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(detached(F.col("key")).alias("k"), "n")
-    found = written(variant.join(shared, F.col("key") == F.col("k")).select("key", "nid", "side", "n"), "wide-variants")
 
-    return bucket_links(found, classes, most, small)
+def verified(pairs: DataFrame, base: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of hashes (base: nid, head, tail; rows of one nid are equal) are that similar, exactly."""
+    wanted = written(pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct(), "similar-wanted")
+    few = wanted.count() <= BROADCAST
+    sets = base.select("nid", "head", "tail").join(F.broadcast(wanted) if few else wanted, "nid", "left_semi").dropDuplicates(["nid"])
+    sets = written(sets.select("nid", F.concat("head", "tail").alias("h")), "similar-sets")
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").withColumn("i", F.size(F.array_intersect("x", "y")))
+    return both.filter(F.col("i") / (F.size("x") + F.size("y") - F.col("i")) >= similarity).select("a", "b")
+
 
+def bucket_links(found: DataFrame, classes: DataFrame, most: int, small: int, verify: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
+    """found (key, nid, n: the members of each bucket and their number), classes (nid, f0 ... f7: fingerprints)
+    -> links (a, b) whose components are those of all pairs that share a bucket, are within ``most`` bits and pass ``verify``.
 
-def bucket_links(found: DataFrame, classes: DataFrame, most: int, small: int) -> DataFrame:
-    """found (key, nid, side, n: the members of each bucket and their number) -> links (a, b) within ``most`` bits whose
-    components are those of all such pairs that share a bucket."""
+    Buckets of up to ``small`` members compare them all. A larger bucket is mostly a large group of copies: its members
+    are first compared with the one nearest to the bitwise majority of ``small`` of them, which is the original where
+    copies were edited apart from each other. Members that all links so far leave in different components are then
+    compared with each other.
+    """
     parts = [f"f{k}" for k in range(PARTS)]
-    # Equal segments meet once, under the whole segment; a wildcard joins those that differ in its bit.
-    few = found.filter(F.col("n") <= small).select("key", F.col("nid").alias("a"), F.col("side").alias("p"))
-    pairs = few.join(few.toDF("key", "b", "q"), "key").filter("a < b AND (p < 0 OR p <> q)").select("a", "b").distinct()
+    few = found.filter(F.col("n") <= small).select("key", F.col("nid").alias("a"))
+    pairs = few.join(few.toDF("key", "b"), "key").filter("a < b").select("a", "b").distinct()
     left, right = (classes.select(F.col("nid").alias(name), *[F.col(f).alias(f"{c}{k}") for k, f in enumerate(parts)]) for name, c in (("a", "x"), ("b", "y")))
     near = pairs.join(left, "a").join(right, "b").filter(f"{_distance('x', 'y')} <= {most}").select("a", "b")
 
-    many = found.filter(F.col("n") > small).select("key", "nid", "side")
+    many = found.filter(F.col("n") > small).select("key", "nid")
     if many.isEmpty():
-        return near
+        return verify(written(near, "wide-near"))
     order = W.partitionBy("key").orderBy(F.xxhash64("nid"), "nid")
     some = many.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= small).join(classes, "nid")  # at most ``small`` of a bucket
 
@@ -247,25 +246,27 @@ def bucket_links(found: DataFrame, classes: DataFrame, most: int, small: int) ->
     middle = around.groupBy("key").agg(F.min(F.struct(F.expr(_distance("x", "y")).alias("d"), "nid")).alias("m"))
     middle = middle.join(right, F.col("m.nid") == F.col("b")).select(detached(F.col("key")).alias("k"), "b", *[f"y{k}" for k in range(PARTS)])
     stars = many.join(left, F.col("nid") == F.col("a")).join(middle, F.col("key") == F.col("k")).filter(f"a <> b AND {_distance('x', 'y')} <= {most}").select("a", "b")
-    linked = written(near.unionByName(stars).distinct(), "wide-links")
+    tried = near.unionByName(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    linked = written(verify(written(tried, "wide-tried")), "wide-links")
 
     rooted = components(linked).select(detached(F.col("node")).alias("node"), "root")
-    held = many.join(rooted, F.col("nid") == F.col("node"), "left").select("key", "nid", "side", F.coalesce("root", "nid").alias("root"))
+    held = many.join(rooted, F.col("nid") == F.col("node"), "left").select("key", "nid", F.coalesce("root", "nid").alias("root"))
     split = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select(detached(F.col("key")).alias("k"))
     rest = written(held.join(split, F.col("key") == F.col("k"), "left_semi"), "wide-rest")
     here, there = (
-        rest.select(F.col("key").alias(key), F.col("nid").alias(name), F.col("side").alias(side), F.col("root").alias(root)).join(prints, name)
-        for key, name, side, root, prints in (("key", "a", "p", "u", left), ("k", "b", "q", "v", right))
+        rest.select(F.col("key").alias(key), F.col("nid").alias(name), F.col("root").alias(root)).join(prints, name)
+        for key, name, root, prints in (("key", "a", "u", left), ("k", "b", "v", right))
     )
-    cross = here.join(there, (F.col("key") == F.col("k")) & F.expr(f"a < b AND u <> v AND (p < 0 OR p <> q) AND {_distance('x', 'y')} <= {most}")).select("a", "b")
-    return linked.unionByName(cross).distinct()
+    cross = here.join(there, (F.col("key") == F.col("k")) & F.expr(f"a < b AND u <> v AND {_distance('x', 'y')} <= {most}")).select("a", "b")
+    return linked.unionByName(verify(written(cross.distinct(), "wide-cross")))
 
 
 def drop_similar(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, small: int = SIMILAR_SMALL) -> DataFrame:
     """The rows of docs that stay when of each group of similar texts the one with the smallest doc_id stays.
 
-    Texts are similar if their sets of word shingles (A-Z lower-cased) have an estimated Jaccard similarity of at least
-    ``similarity``; groups are the components of such links. All columns are kept.
+    Texts are similar if their sets of word shingles (A-Z lower-cased) have a Jaccard similarity of at least
+    ``similarity``; groups are the components of such links. Sets that similar share one of their first hashes; those
+    pairs are compared exactly, unless their fingerprints are further apart than such sets can be. All columns are kept.
 
     * null or empty text, or white space only: one group. Fewer words than a shingle: all of them are one shingle.
     * null doc_ids come after all others; of equal rows any one stays. Empty table: no rows.
@@ -273,22 +274,25 @@ def drop_similar(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float
     parts = [f"f{k}" for k in range(PARTS)]
     marked = _marked(docs)
     rows = marked.select(F.col("doc_id").alias("d"), F.col("__row").alias("r"), F.col("text").alias("t"))
-    schema = T.StructType([*[f for f in rows.schema.fields if f.name != "t"], *[T.StructField(f, T.LongType()) for f in parts], T.StructField("segments", T.ArrayType(T.LongType()))])
+    hashes = [T.StructField(name, T.ArrayType(T.LongType())) for name in ("head", "tail")]
+    schema = T.StructType([*[f for f in rows.schema.fields if f.name != "t"], T.StructField("nid", T.LongType()), *[T.StructField(f, T.LongType()) for f in parts], *hashes])
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             got = [wide_fingerprint(t, words) for t in batch["t"]]
             prints = np.array([p for p, _ in got], np.int64).reshape(-1, PARTS)
-            yield batch.drop(columns="t").assign(**{f: prints[:, k] for k, f in enumerate(parts)}, segments=pd.Series([x for _, x in got], index=batch.index, dtype=object))
-
+            nids = np.array([xxhash.xxh64_intdigest(h.tobytes()) for _, h in got], np.uint64).view(np.int64)
+            cuts = [prefix_size(len(h), similarity) for _, h in got]
+            series = lambda arrays: pd.Series(arrays, index=batch.index, dtype=object)
+            yield batch.drop(columns="t").assign(
+                nid=nids, **{f: prints[:, k] for k, f in enumerate(parts)}, head=series([h[:c] for (_, h), c in zip(got, cuts)]), tail=series([h[c:] for (_, h), c in zip(got, cuts)])
+            )
+
+    # Equal sets have one number, a hash of the set.
     base = written(in_slices(rows, of, schema), "wide-fingerprints")
-    # Numbers are given once, in a written table, so they stay what they are; small numbers make small rows.
-    classes = written(base.groupBy(*parts).agg(F.min("segments").alias("segments")).withColumn("nid", F.monotonically_increasing_id()), "wide-classes")
-    roots = components(similar_links(classes, largest_distance(similarity), small))
-    named = classes.join(roots, F.col("nid") == F.col("node"), "left").select(F.coalesce("root", "nid").alias("group"), *[F.col(f).alias(f"g{k}") for k, f in enumerate(parts)])
-    named = written(named, "wide-groups")
-    same = F.col("f0") == F.col("g0")
-    for k in range(1, PARTS):
-        same = same & (F.col(f"f{k}") == F.col(f"g{k}"))
-    grouped = base.join(named, same).select(F.col("d").alias("doc_id"), F.col("r").alias("__row"), "group", F.lit(False).alias("unnamed"))
+    classes = written(base.select("nid", *parts).dropDuplicates(["nid"]), "wide-classes")
+    links = bucket_links(same_shingles(base), classes, largest_distance(similarity) + SLACK, small, lambda pairs: verified(pairs, base, similarity))
+    roots = components(links).select(detached(F.col("node")).alias("node"), "root")
+    grouped = base.select("d", "r", "nid").join(roots, F.col("nid") == F.col("node"), "left")
+    grouped = grouped.select(F.col("d").alias("doc_id"), F.col("r").alias("__row"), F.coalesce("root", "nid").alias("group"), F.lit(False).alias("unnamed"))
     return _one_each(marked, written(grouped, "wide-grouped"))

@@ -159,6 +159,22 @@ def test_a_large_bucket_loses_no_link(spark, small):
     assert roots(ids, [(r.a, r.b) for r in got]) == roots(ids, pairs)
 
 
+def test_exact_similarity_decides(spark):
+    """Short and long texts with edits around a similarity of 0.8: the groups are those of the exact similarities."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for n in [*range(8, 28), *range(30, 330, 10)]:
+        words = [word() for _ in range(n)]
+        rows += [" ".join(words), " ".join([*words, word()]), edited(rnd, words, max(1, n // 45)), edited(rnd, words, max(1, n // 40))]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, rows)]
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    assert any(len(sets[a] & sets[b]) * 5 == len(sets[a] | sets[b]) * 4 for a, b in pairs)  # 0.8 itself
+    for small in (2, 16):
+        kept = {r.doc_id for r in simhash.drop_similar(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), small=small).collect()}
+        assert kept == set(roots(range(len(rows)), pairs).values())
+
+
 def test_similar_of_odd_rows(odd, none):
     kept = simhash.drop_similar(odd)
     assert kept.columns == odd.columns
