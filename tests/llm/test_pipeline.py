@@ -63,3 +63,20 @@ def test_empty_and_odd_input(spark, odd, none, tmp_path):
 
 def test_run(spark, sf_dir):
     assert C.run(spark, sf_dir).count() > 0
+
+
+def test_run_writes_each_stage_for_the_next(spark, sf_dir, monkeypatch):
+    read = {}
+
+    def stage(name):
+        def f(spark, docs, sf_dir):
+            read[name] = docs.inputFiles()
+            return docs
+
+        return f
+
+    monkeypatch.setattr(C, "STAGES", [(n, stage(n)) for n in ("one", "two", "three")])
+    assert C.run(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert all("documents.parquet" in f for f in read["one"])
+    assert read["two"] and all("/stage-one-" in f for f in read["two"])
+    assert read["three"] and all("/stage-two-" in f for f in read["three"])
