@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -30,9 +31,12 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a new local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a new local one if the
+    master is local (tests), else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="ravelin-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
