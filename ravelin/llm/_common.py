@@ -66,13 +66,22 @@ def detached(c: Column) -> Column:
     return c.bitwiseXOR(F.lit(0).cast("long"))
 
 
-#: Rows that a Python function sees at a time. Texts are long: this bounds a worker's memory, not what is processed.
-SLICE = 512
+#: Rows and bytes that go to a Python function at a time. Texts are long: this bounds memory, not what is processed.
+SLICE, SLICE_BYTES = 512, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark cut the batches for Python functions to these sizes, unless the session says otherwise."""
+    for name, usual, wanted in (("maxRecordsPerBatch", "10000", SLICE), ("maxBytesPerBatch", "67108864b", SLICE_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(key, None) == usual:
+            spark.conf.set(key, str(wanted))
 
 
 def in_slices(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str | T.StructType) -> DataFrame:
     """df.mapInPandas(f, schema) with frames of at most SLICE rows; integers with nulls stay exact."""
     shipped(df.sparkSession)
+    small_batches(df.sparkSession)
     kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

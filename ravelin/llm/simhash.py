@@ -147,36 +147,43 @@ def _one_each(marked: DataFrame, grouped: DataFrame) -> DataFrame:
 
 #: Words in a shingle and the least Jaccard similarity of a link.
 SIMILAR_WORDS, SIMILARITY = 5, 0.8
-#: 64-bit parts of a wide fingerprint; bits by which it may miss the estimated distance, over 5 deviations for any set.
-PARTS, SLACK = 8, 67
-#: Buckets up to this size compare all their members.
-SIMILAR_SMALL = 16
+#: 64-bit parts of a wide fingerprint; bits by which it may miss the estimated distance, over 5 deviations: of any sets,
+#: and of sets of FEW hashes or more.
+PARTS, SLACK, FEW, SLACK_MANY = 8, 67, 64, 50
+#: Buckets up to this size compare their members pair by pair; members of larger ones meet so many rounds of centres.
+SIMILAR_SMALL, ROUNDS = 64, 2
+#: Hashes that so many texts have among their first are common: they come last in the order. At most COMMON_MOST, the
+#: most frequent ones, are told apart: any choice gives the same links, it only sizes the buckets.
+COMMON, COMMON_MOST = 16, 250_000
 #: Longs that are broadcast at most.
 BROADCAST = 2_000_000
 _MIX = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1 for k in range(PARTS)], np.uint64)
+_NONE = np.zeros(0, np.uint64)
 
 
-def wide_fingerprint(text: str | None, words: int = SIMILAR_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """PARTS * 64 bits over the set of a text's shingles, as signed longs (zeros without words), and the set: its hashes
-    in order."""
+def shingle_hashes(text: str | None, words: int = SIMILAR_WORDS) -> np.ndarray:
+    """The set of a text's word shingles (A-Z lower-cased; fewer words: all of them are one) as 64-bit hashes in order."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    counts, n, hashes = np.zeros(PARTS * 64, np.int64), 0, np.zeros(0, np.uint64)
-    if found:
-        whole = memoryview(b" ".join(found))
-        ends = np.cumsum([len(w) + 1 for w in found])
-        k = min(words, len(found))
-        starts = np.concatenate(([0], ends[:-1]))[: len(found) - k + 1].tolist()
-        h = xxhash.xxh64_intdigest
-        hashes = np.unique(np.array([h(whole[a:b]) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist())], np.uint64))
-        n = len(hashes)
-        for at in range(0, n, 255):  # up to 255 fit a byte's sum
-            x = hashes[at : at + 255, None] ^ _MIX
-            x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-            x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-            x ^= x >> np.uint64(33)
-            counts += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
-    bits = counts * 2 > n
-    return np.packbits(bits, bitorder="little").view("<i8"), hashes.view("<i8")
+    if not found:
+        return _NONE
+    whole = memoryview(b" ".join(found))
+    ends = np.cumsum([len(w) + 1 for w in found])
+    k = min(words, len(found))
+    starts = np.concatenate(([0], ends[:-1]))[: len(found) - k + 1].tolist()
+    h = xxhash.xxh64_intdigest
+    return np.unique(np.array([h(whole[a:b]) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist())], np.uint64))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """PARTS * 64 bits over a set of hashes, as signed longs; zeros of an empty set."""
+    counts = np.zeros(PARTS * 64, np.int64)
+    for at in range(0, len(hashes), 255):  # up to 255 fit a byte's sum
+        x = hashes[at : at + 255, None] ^ _MIX
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+        x ^= x >> np.uint64(33)
+        counts += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")
 
 
 def prefix_size(n: int, similarity: float) -> int:
@@ -185,6 +192,15 @@ def prefix_size(n: int, similarity: float) -> int:
     return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
 
 
+def first_hashes(hashes: np.ndarray, similarity: float, common: np.ndarray = _NONE) -> np.ndarray:
+    """The indexed hashes of a set: the first in one order of all hashes, in which ``common`` (sorted) ones come last."""
+    if len(common) and len(hashes):
+        at = np.minimum(common.searchsorted(hashes), len(common) - 1)
+        last = common[at] == hashes
+        hashes = np.concatenate((hashes[~last], hashes[last]))
+    return hashes[: prefix_size(len(hashes), similarity)]
+
+
 def largest_distance(similarity: float, bits: int = PARTS * 64) -> int:
     """Differing bits up to which two texts are estimated to be that similar: sets of Jaccard similarity J have a cosine
     of 2 J / (1 + J), and a bit differs with the angle's share of a half turn."""
@@ -195,45 +211,61 @@ def _distance(a: str, b: str) -> str:
     return " + ".join(f"bit_count({a}{k} ^ {b}{k})" for k in range(PARTS))
 
 
+def common_hashes(texts: DataFrame, words: int, similarity: float, least: int = COMMON, most: int = COMMON_MOST) -> np.ndarray:
+    """Of texts (t): the hashes that ``least`` texts or more have among their first, sorted; the most frequent ones if
+    these are over ``most``."""
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [first_hashes(shingle_hashes(t, words), similarity) for t in batch["t"]]
+            yield pd.DataFrame({"key": np.concatenate([_NONE, *found]).view(np.int64)})
+
+    counts = in_slices(texts.select("t"), first, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    counts = written(counts.select("key", F.floor(F.log2("n") * 8).cast("int").alias("level")), "similar-common")
+    bound, total = None, 0
+    for level, n in sorted(map(tuple, counts.groupBy("level").agg(F.count(F.lit(1))).collect()), reverse=True):  # at most 512 levels
+        total += n
+        if total > most:
+            break
+        bound = level
+    if bound is None:
+        return _NONE
+    return np.sort(counts.filter(F.col("level") >= bound).select("key").toArrow()["key"].to_numpy().view(np.uint64))
+
+
 def same_shingles(base: DataFrame) -> DataFrame:
-    """base (nid, head: a set's first hashes) -> (key, nid, n): the sets under each hash that several have; n rows."""
+    """base (nid, head: a set's first hashes; one row for each nid) -> (key, nid, n): the sets under each hash that
+    several have; n rows."""
     variant = base.select("nid", F.explode("head").alias("key"))
-    shared = variant.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("nid").alias("low"), F.max("nid").alias("high")).filter("low <> high")
-    shared = shared.select(detached(F.col("key")).alias("k"), "n")
-    found = variant.join(shared, F.col("key") == F.col("k")).select("key", "nid", "n")
-    return written(found.distinct(), "wide-variants")
-
-
-def verified(pairs: DataFrame, base: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets of hashes (base: nid, head, tail; rows of one nid are equal) are that similar, exactly."""
-    wanted = written(pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct(), "similar-wanted")
-    few = wanted.count() <= BROADCAST
-    sets = base.select("nid", "head", "tail").join(F.broadcast(wanted) if few else wanted, "nid", "left_semi").dropDuplicates(["nid"])
-    sets = written(sets.select("nid", F.concat("head", "tail").alias("h")), "similar-sets")
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").withColumn("i", F.size(F.array_intersect("x", "y")))
-    return both.filter(F.col("i") / (F.size("x") + F.size("y") - F.col("i")) >= similarity).select("a", "b")
+    shared = variant.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(detached(F.col("key")).alias("k"), "n")
+    return written(variant.join(shared, F.col("key") == F.col("k")).select("key", "nid", "n"), "similar-buckets")
 
 
-def bucket_links(found: DataFrame, classes: DataFrame, most: int, small: int, verify: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
-    """found (key, nid, n: the members of each bucket and their number), classes (nid, f0 ... f7: fingerprints)
-    -> links (a, b) whose components are those of all pairs that share a bucket, are within ``most`` bits and pass ``verify``.
+def _sides(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """classes (nid, size, f0 ... f7) as (a, xn, x0 ...) and (b, yn, y0 ...)."""
+    return tuple(classes.select(F.col("nid").alias(name), F.col("size").alias(f"{c}n"), *[F.col(f"f{k}").alias(f"{c}{k}") for k in range(PARTS)]) for name, c in (("a", "x"), ("b", "y")))
 
-    Buckets of up to ``small`` members compare them all. A larger bucket is mostly a large group of copies: its members
-    are first compared with the one nearest to the bitwise majority of ``small`` of them, which is the original where
-    copies were edited apart from each other. Members that all links so far leave in different components are then
-    compared with each other.
-    """
-    parts = [f"f{k}" for k in range(PARTS)]
-    few = found.filter(F.col("n") <= small).select("key", F.col("nid").alias("a"))
-    pairs = few.join(few.toDF("key", "b"), "key").filter("a < b").select("a", "b").distinct()
-    left, right = (classes.select(F.col("nid").alias(name), *[F.col(f).alias(f"{c}{k}") for k, f in enumerate(parts)]) for name, c in (("a", "x"), ("b", "y")))
-    near = pairs.join(left, "a").join(right, "b").filter(f"{_distance('x', 'y')} <= {most}").select("a", "b")
 
-    many = found.filter(F.col("n") > small).select("key", "nid")
-    if many.isEmpty():
-        return verify(written(near, "wide-near"))
+def _fits(similarity: float) -> str:
+    """Sets that similar are of like sizes, and their fingerprints aren't further apart than this."""
+    most = largest_distance(similarity)
+    return f"least(xn, yn) >= {similarity} * greatest(xn, yn) - 1e-9 AND d <= CASE WHEN least(xn, yn) < {FEW} THEN {most + SLACK} ELSE {most + SLACK_MANY} END"
+
+
+def near_pairs(found: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, d): pairs a < b of sets that share a bucket of found (key, nid) and can be that similar."""
+    left, right = _sides(classes)
+    pairs = found.select("key", F.col("nid").alias("a")).join(found.select("key", F.col("nid").alias("b")), "key").filter("a < b").select("a", "b").distinct()
+    near = pairs.join(left, "a").join(right, "b").withColumn("d", F.expr(_distance("x", "y"))).filter(_fits(similarity))
+    return written(near.select("a", "b", "d"), "similar-near")
+
+
+def centres(members: DataFrame, classes: DataFrame, sample: int = SIMILAR_SMALL) -> DataFrame:
+    """members (key, nid) -> (key, z): of each bucket the member nearest to the bitwise majority of ``sample`` of them,
+    which is the original where copies were edited apart from each other."""
+    parts = [f"f{k}" for k in range(PARTS)]
     order = W.partitionBy("key").orderBy(F.xxhash64("nid"), "nid")
-    some = many.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= small).join(classes, "nid")  # at most ``small`` of a bucket
+    some = members.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample).join(classes, "nid")  # at most ``sample`` of a bucket
 
     def majority(group: pd.DataFrame) -> pd.DataFrame:
         bits = np.unpackbits(np.ascontiguousarray(group[parts].to_numpy("<i8")).view(np.uint8), axis=1, bitorder="little")
@@ -242,31 +274,106 @@ def bucket_links(found: DataFrame, classes: DataFrame, most: int, small: int, ve
 
     middles = some.select("key", *parts).groupBy("key").applyInPandas(majority, "c long, " + ", ".join(f"y{k} long" for k in range(PARTS)))
     middles = middles.select(detached(F.col("c")).alias("c"), *[f"y{k}" for k in range(PARTS)])
-    around = many.join(left, F.col("nid") == F.col("a")).join(middles, F.col("key") == F.col("c"))
-    middle = around.groupBy("key").agg(F.min(F.struct(F.expr(_distance("x", "y")).alias("d"), "nid")).alias("m"))
-    middle = middle.join(right, F.col("m.nid") == F.col("b")).select(detached(F.col("key")).alias("k"), "b", *[f"y{k}" for k in range(PARTS)])
-    stars = many.join(left, F.col("nid") == F.col("a")).join(middle, F.col("key") == F.col("k")).filter(f"a <> b AND {_distance('x', 'y')} <= {most}").select("a", "b")
-    tried = near.unionByName(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-    linked = written(verify(written(tried, "wide-tried")), "wide-links")
-
-    rooted = components(linked).select(detached(F.col("node")).alias("node"), "root")
-    held = many.join(rooted, F.col("nid") == F.col("node"), "left").select("key", "nid", F.coalesce("root", "nid").alias("root"))
-    split = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select(detached(F.col("key")).alias("k"))
-    rest = written(held.join(split, F.col("key") == F.col("k"), "left_semi"), "wide-rest")
-    here, there = (
-        rest.select(F.col("key").alias(key), F.col("nid").alias(name), F.col("root").alias(root)).join(prints, name)
-        for key, name, root, prints in (("key", "a", "u", left), ("k", "b", "v", right))
-    )
-    cross = here.join(there, (F.col("key") == F.col("k")) & F.expr(f"a < b AND u <> v AND {_distance('x', 'y')} <= {most}")).select("a", "b")
-    return linked.unionByName(verify(written(cross.distinct(), "wide-cross")))
+    around = members.join(_sides(classes)[0], F.col("nid") == F.col("a")).join(middles, F.col("key") == F.col("c"))
+    return around.groupBy("key").agg(F.min(F.struct(F.expr(_distance("x", "y")).alias("d"), "nid")).alias("m")).select("key", F.col("m.nid").alias("z"))
+
+
+def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """pairs (a, b) with both sets (x, y) and whether they are that similar, exactly (linked)."""
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").withColumn("i", F.size(F.array_intersect("x", "y")))
+    return both.withColumn("linked", F.col("i") / (F.size("x") + F.size("y") - F.col("i")) >= similarity).drop("i")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    return written(compared(pairs, sets, similarity).filter("linked").select("a", "b"), "similar-links")
+
+
+def star_links(many: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """many (key, nid: the members of large buckets) -> the links of members to their buckets' centres, those without
+    one to a next centre, and the frames of the first centres for ``beyond_stars``."""
+    links, frames, left = [], None, many.select("key", "nid")
+    for k in range(rounds):
+        centred = written(left.join(centres(left, classes).withColumnRenamed("key", "k"), F.col("key") == F.col("k")).select("key", "nid", "z"), "similar-centred")
+        pairs = centred.filter("nid <> z").select(F.col("z").alias("a"), F.col("nid").alias("b")).distinct()
+        seen = compared(pairs, sets, similarity)
+        if frames is None:
+            o, n = F.size("x"), F.size("y")
+            seen = frames = written(seen.select("a", "b", "linked", o.alias("o"), n.alias("n"), F.array_except("y", "x").alias("more"), F.array_except("x", "y").alias("less")), "similar-frames")
+        linked = written(seen.filter("linked").select("a", "b"), "similar-links")
+        links.append(linked)
+        if k + 1 < rounds:
+            told = linked.select(F.col("a").alias("c"), F.col("b").alias("m"))
+            left = written(centred.filter("nid <> z").join(told, (F.col("z") == F.col("c")) & (F.col("nid") == F.col("m")), "left_anti").select("key", "nid"), "similar-left")
+    out = links[0]
+    for more in links[1:]:
+        out = out.unionByName(more)
+    return out, frames
+
+
+def beyond_stars(frames: DataFrame, rooted: Callable, similarity: float) -> DataFrame:
+    """Candidates (a, b) for links between members of one frame in different components; no such link is missing.
+
+    A frame has a centre's set O and members as differences to it: D = (more: A - O, less: O - A). Two sets differ in
+    the elements in which their D differ, so sets that similar, |A ^ B| <= c (|A| + |B|) with c = (1 - s) / (1 + s),
+    share at least (w(A) + w(B)) / 2 elements of their D, where w(A) = |D(A)| - c |A|. At least one of the two, A, is
+    not linked to the centre: w(A) > c |O|. That makes the share over half of D(B): with elements outside of O first in
+    the order, which hardly two copies share, few others stand among the first |D(B)| - share + 1, the indexed ones.
+    """
+    c = (1 - similarity) / (1 + similarity)
+    size = F.size("more") + F.size("less")
+    split = rooted("a", rooted("b", frames.select("a", "b"), "u"), "v").groupBy("a").agg(F.min("u").alias("low"), F.max("u").alias("high"), F.max("v").alias("own"))
+    split = split.filter("low <> high OR low <> own").select(detached(F.col("a")).alias("z"))
+    open_ = rooted("b", frames.join(split, F.col("a") == F.col("z"), "left_semi"), "u").withColumn("d", size).withColumn("order", F.concat("more", "less"))
+    share = F.floor((c * F.col("o") + F.col("d") - c * F.col("n")) / 2 + 1e-9)  # b shares more than this
+    least = F.greatest(F.lit(1), F.ceil((F.col("d") - c * F.col("n") * (1 + 1 / similarity)) / 2 - 1e-9))  # a shares so many, with a set of fitting size
+    first = lambda n: F.explode(F.slice("order", F.lit(1), F.greatest(n, F.lit(1)).cast("int")))
+    asking = open_.filter("NOT linked").select(F.col("a").alias("z"), first(F.col("d") - least + 1).alias("e"), F.col("b").alias("p"), F.col("u").alias("pu"), F.col("n").alias("pn"))
+    held = open_.select(F.col("a").alias("y"), first(F.col("d") - share).alias("f"), F.col("b").alias("q"), F.col("u").alias("qu"), F.col("n").alias("qn"))
+    fits = f"pu <> qu AND least(pn, qn) >= {similarity} * greatest(pn, qn) - 1e-9"
+    met = asking.join(held, (F.col("z") == F.col("y")) & (F.col("e") == F.col("f")) & F.expr(fits))
+    return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+
+
+def similar_roots(found: DataFrame, classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, small: int) -> DataFrame:
+    """found (key, nid, n: the members of each bucket and their number), classes (nid, size, f0 ... f7: fingerprints),
+    sets_of (nid -> nid, h: whole sets) -> (node, root): the components of all pairs that share a bucket and are that
+    similar.
+
+    Buckets of up to ``small`` members compare them all, each member its nearest first, and the others only if that
+    leaves them in different components. Larger ones, which are mostly large groups of copies, compare members with
+    centres, and with each other only what can be similar after that.
+    """
+    near = near_pairs(found.filter(F.col("n") <= small), classes, similarity)
+    many = found.filter(F.col("n") > small).select("key", "nid")
+    large = not many.isEmpty()
+    wanted = near.select(F.col("a").alias("nid")).unionByName(near.select(F.col("b").alias("nid")))
+    sets = sets_of((wanted.unionByName(many.select("nid")) if large else wanted).distinct())
+    tree = near.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+    linked = verified(tree, sets, similarity)
+    frames = None
+    if large:
+        stars, frames = star_links(many, classes, sets, similarity)
+        linked = linked.unionByName(stars)
+    roots = components(linked)
+    told = roots.select(detached(F.col("node")).alias("node"), "root")
+
+    def rooted(name: str, table: DataFrame, out: str) -> DataFrame:
+        return table.join(told, F.col(name) == F.col("node"), "left").withColumn(out, F.coalesce("root", name)).drop("node", "root")
+
+    apart = rooted("b", rooted("a", near.select("a", "b"), "u"), "v").filter("u <> v").select("a", "b")
+    if large:
+        apart = apart.unionByName(beyond_stars(frames, rooted, similarity))
+    more = verified(written(apart.distinct(), "similar-apart"), sets, similarity)
+    return components(linked.unionByName(more)) if not more.isEmpty() else roots
 
 
 def drop_similar(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, small: int = SIMILAR_SMALL) -> DataFrame:
     """The rows of docs that stay when of each group of similar texts the one with the smallest doc_id stays.
 
     Texts are similar if their sets of word shingles (A-Z lower-cased) have a Jaccard similarity of at least
-    ``similarity``; groups are the components of such links. Sets that similar share one of their first hashes; those
-    pairs are compared exactly, unless their fingerprints are further apart than such sets can be. All columns are kept.
+    ``similarity``; groups are the components of such links. Sets that similar share one of their first hashes, in an
+    order in which hashes of many texts come last; those pairs are compared exactly, unless their fingerprints are
+    further apart than such sets can be. All columns are kept.
 
     * null or empty text, or white space only: one group. Fewer words than a shingle: all of them are one shingle.
     * null doc_ids come after all others; of equal rows any one stays. Empty table: no rows.
@@ -274,25 +381,39 @@ def drop_similar(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float
     parts = [f"f{k}" for k in range(PARTS)]
     marked = _marked(docs)
     rows = marked.select(F.col("doc_id").alias("d"), F.col("__row").alias("r"), F.col("text").alias("t"))
-    hashes = [T.StructField(name, T.ArrayType(T.LongType())) for name in ("head", "tail")]
-    schema = T.StructType([*[f for f in rows.schema.fields if f.name != "t"], T.StructField("nid", T.LongType()), *[T.StructField(f, T.LongType()) for f in parts], *hashes])
+    shared = docs.sparkSession.sparkContext.broadcast(common_hashes(rows, words, similarity))
+    long = lambda name: T.StructField(name, T.LongType())
+    schema = T.StructType([*[f for f in rows.schema.fields if f.name != "t"], *map(long, ["nid", "size", *parts]), T.StructField("head", T.ArrayType(T.LongType()))])
+
+    def numbers(sets: list[np.ndarray]) -> np.ndarray:
+        return np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = [wide_fingerprint(t, words) for t in batch["t"]]
-            prints = np.array([p for p, _ in got], np.int64).reshape(-1, PARTS)
-            nids = np.array([xxhash.xxh64_intdigest(h.tobytes()) for _, h in got], np.uint64).view(np.int64)
-            cuts = [prefix_size(len(h), similarity) for _, h in got]
-            series = lambda arrays: pd.Series(arrays, index=batch.index, dtype=object)
-            yield batch.drop(columns="t").assign(
-                nid=nids, **{f: prints[:, k] for k, f in enumerate(parts)}, head=series([h[:c] for (_, h), c in zip(got, cuts)]), tail=series([h[c:] for (_, h), c in zip(got, cuts)])
-            )
-
-    # Equal sets have one number, a hash of the set.
-    base = written(in_slices(rows, of, schema), "wide-fingerprints")
-    classes = written(base.select("nid", *parts).dropDuplicates(["nid"]), "wide-classes")
-    links = bucket_links(same_shingles(base), classes, largest_distance(similarity) + SLACK, small, lambda pairs: verified(pairs, base, similarity))
-    roots = components(links).select(detached(F.col("node")).alias("node"), "root")
+            sets = [shingle_hashes(t, words) for t in batch["t"]]
+            prints = np.array([wide_fingerprint(h) for h in sets], np.int64).reshape(-1, PARTS)
+            head = pd.Series([first_hashes(h, similarity, shared.value).view(np.int64) for h in sets], index=batch.index, dtype=object)
+            yield batch.drop(columns="t").assign(nid=numbers(sets), size=np.array([len(h) for h in sets], np.int64), **{f: prints[:, k] for k, f in enumerate(parts)}, head=head)
+
+    # Equal sets have one number, a hash of the set; one text stands for its equals.
+    base = written(in_slices(rows, of, schema), "similar-base")
+    first = base.groupBy("nid").agg(F.min("r").alias("s")).select(detached(F.col("nid")).alias("n"), "s")
+    classes = base.drop("d").join(first, (F.col("nid") == F.col("n")) & (F.col("r") == F.col("s"))).select("nid", "r", "size", *parts, "head")
+    classes = written(classes.dropDuplicates(["nid"]), "similar-classes")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        texts = written(classes.select("nid", "r").join(wanted, "nid", "left_semi").select(F.col("r").alias("w")), "similar-wanted")
+        asked = rows.join(F.broadcast(texts) if texts.count() <= BROADCAST else texts, F.col("r") == F.col("w"), "left_semi").select("t")
+
+        def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                found = [shingle_hashes(t, words) for t in batch["t"]]
+                yield pd.DataFrame({"nid": numbers(found), "h": pd.Series([h.view(np.int64) for h in found], dtype=object)})
+
+        return written(in_slices(asked, sets, "nid long, h array<long>").dropDuplicates(["nid"]), "similar-sets")
+
+    roots = similar_roots(same_shingles(classes), classes.drop("r", "head"), sets_of, similarity, small)
+    roots = roots.select(detached(F.col("node")).alias("node"), "root")
     grouped = base.select("d", "r", "nid").join(roots, F.col("nid") == F.col("node"), "left")
     grouped = grouped.select(F.col("d").alias("doc_id"), F.col("r").alias("__row"), F.coalesce("root", "nid").alias("group"), F.lit(False).alias("unnamed"))
-    return _one_each(marked, written(grouped, "wide-grouped"))
+    return _one_each(marked, written(grouped, "similar-grouped"))

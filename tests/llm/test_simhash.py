@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -106,57 +107,72 @@ def edited(rnd, words, n):
     return " ".join(out)
 
 
+def jaccard_roots(texts):
+    """The groups of texts by all pairs of their sets of five-word shingles."""
+    split = [t.lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in split]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    return roots(range(len(sets)), pairs)
+
+
 @pytest.mark.parametrize("small", [4, 64])
 def test_similar_texts_go_and_others_stay(spark, small):
-    """Groups of an original and its edited copies (similarity about 0.87 and more) among texts of their own."""
+    """Groups of an original and its edited copies among texts of their own."""
     rnd = random.Random(small)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
-    rows, groups = [], []
+    rows = []
     for _ in range(8):
         words = [word() for _ in range(300)]
-        group = [" ".join(words), " ".join(words).upper()] + [edited(rnd, words, rnd.randint(0, 4)) for _ in range(6)]
-        groups.append(range(len(rows), len(rows) + len(group)))
-        rows += group
-    alone = range(len(rows), len(rows) + 60)
-    rows += [" ".join(word() for _ in range(rnd.randint(3, 200))) for _ in alone]
+        rows += [" ".join(words), " ".join(words).upper()] + [edited(rnd, words, rnd.randint(0, 9)) for _ in range(6)]
+    rows += [" ".join(word() for _ in range(rnd.randint(3, 200))) for _ in range(60)]
     words = rows[0].split()
     rows.append(" ".join(words[:100] + [word() for _ in range(300)]))  # a passage in common is no copy
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     kept = {r.doc_id for r in simhash.drop_similar(df, small=small).collect()}
-    assert kept >= {g[0] for g in groups} and kept >= {*alone, len(rows) - 1}
-    assert len(kept - {g[0] for g in groups} - {*alone, len(rows) - 1}) <= 1
+    assert kept == {*jaccard_roots(rows).values()}
 
 
-def test_a_large_group_of_copies(spark):
-    rnd = random.Random(3)
+@pytest.mark.parametrize("edits", [4, 8, 14])
+def test_a_large_group_of_copies(spark, edits):
+    """300 copies, each edited apart, around the limit of similarity to their original: the groups of all pairs."""
+    rnd = random.Random(edits)
     words = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
-    rows = [(k, edited(rnd, words, 4)) for k in range(300)] + [(1000, "something else of its own")]
-    kept = {r.doc_id for r in simhash.drop_similar(spark.createDataFrame(rows, "doc_id long, text string"), small=16).collect()}
-    assert {0, 1000} <= kept and len(kept) <= 6
+    rows = [edited(rnd, words, edits + k % 4) for k in range(300)] + ["something else of its own"]
+    kept = {r.doc_id for r in simhash.drop_similar(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), small=16).collect()}
+    assert kept == {*jaccard_roots(rows).values()}
 
 
-@pytest.mark.parametrize("small", [2, 16])
-def test_a_large_bucket_loses_no_link(spark, small):
-    """One bucket of a chain of edits, two groups around centres and strangers has the components of all its pairs."""
-    rnd, most = random.Random(small), 77
-    turned = lambda x, n: x ^ sum(1 << b for b in rnd.sample(range(512), n))
-    prints = [rnd.getrandbits(512)]
+@pytest.mark.parametrize("small", [2, 8])
+def test_large_buckets_lose_no_link(spark, small):
+    """Chains of edits, copies of copies, texts cut short, two groups with a passage in common, strangers with it."""
+    rnd = random.Random(small)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    passage = [word() for _ in range(60)]
+    rows = [" ".join([word() for _ in range(120)] + passage)]
     for _ in range(30):
-        prints.append(turned(prints[-1], 50))
+        rows.append(edited(rnd, rows[-1].split(), 3))
     for _ in range(2):
-        centre = rnd.getrandbits(512)
-        prints += [centre, *[turned(centre, 60) for _ in range(20)]]
-    prints += [rnd.getrandbits(512) for _ in range(10)]
-    rnd.shuffle(prints)
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    rows = [(k, *[signed(x >> 64 * i & (1 << 64) - 1) for i in range(8)]) for k, x in enumerate(prints)]
-    classes = spark.createDataFrame(rows, "nid long, " + ", ".join(f"f{k} long" for k in range(8)))
-    found = classes.selectExpr("7L AS key", "nid", "-1 AS side", f"{len(rows)}L AS n")
-    got = simhash.bucket_links(found, classes, most, small).collect()
-    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= most]
-    ids = range(len(rows))
-    assert {(max(r.a, r.b), min(r.a, r.b)) for r in got} <= {*pairs}
-    assert roots(ids, [(r.a, r.b) for r in got]) == roots(ids, pairs)
+        words = passage + [word() for _ in range(150)]
+        rows += [edited(rnd, words, rnd.randint(0, 8)) for _ in range(20)]
+        rows += [" ".join(words[: rnd.randint(100, len(words))]) for _ in range(20)]
+        far = edited(rnd, words, 9).split()
+        rows += [edited(rnd, far, rnd.randint(0, 4)) for _ in range(8)]
+    rows += [" ".join([word() for _ in range(rnd.randint(5, 200))] + passage) for _ in range(20)]
+    rows += [" ".join(passage + [word() for _ in range(rnd.randint(0, 9))]) for _ in range(20)]
+    rnd.shuffle(rows)
+    kept = {r.doc_id for r in simhash.drop_similar(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), small=small).collect()}
+    assert kept == {*jaccard_roots(rows).values()}
+
+
+def test_any_choice_of_common_hashes_gives_the_same_links():
+    rnd = random.Random(2)
+    whole = np.array(sorted(rnd.sample(range(1 << 40), 400)), np.uint64)
+    for _ in range(200):
+        a, b = (np.sort(np.array(rnd.sample(whole.tolist(), rnd.randint(150, 400)), np.uint64)) for _ in "ab")
+        both = len(np.intersect1d(a, b))
+        common = np.sort(np.array(rnd.sample(whole.tolist(), rnd.choice([1, 20, 200])), np.uint64))
+        if both >= 0.8 * (len(a) + len(b) - both):
+            assert len(np.intersect1d(simhash.first_hashes(a, 0.8, common), simhash.first_hashes(b, 0.8, common)))
 
 
 def test_exact_similarity_decides(spark):
@@ -168,11 +184,10 @@ def test_exact_similarity_decides(spark):
         words = [word() for _ in range(n)]
         rows += [" ".join(words), " ".join([*words, word()]), edited(rnd, words, max(1, n // 45)), edited(rnd, words, max(1, n // 40))]
     sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, rows)]
-    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
-    assert any(len(sets[a] & sets[b]) * 5 == len(sets[a] | sets[b]) * 4 for a, b in pairs)  # 0.8 itself
-    for small in (2, 16):
+    assert any(len(a & b) * 5 == len(a | b) * 4 for a in sets for b in sets)  # 0.8 itself
+    for small in (2, 64):
         kept = {r.doc_id for r in simhash.drop_similar(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), small=small).collect()}
-        assert kept == set(roots(range(len(rows)), pairs).values())
+        assert kept == {*jaccard_roots(rows).values()}
 
 
 def test_similar_of_odd_rows(odd, none):
