@@ -192,13 +192,18 @@ def prefix_size(n: int, similarity: float) -> int:
     return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
 
 
-def first_hashes(hashes: np.ndarray, similarity: float, common: np.ndarray = _NONE) -> np.ndarray:
-    """The indexed hashes of a set: the first in one order of all hashes, in which ``common`` (sorted) ones come last."""
+def ordered(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """A sorted set in the one order of all hashes, in which ``common`` (sorted) ones come last."""
     if len(common) and len(hashes):
         at = np.minimum(common.searchsorted(hashes), len(common) - 1)
         last = common[at] == hashes
         hashes = np.concatenate((hashes[~last], hashes[last]))
-    return hashes[: prefix_size(len(hashes), similarity)]
+    return hashes
+
+
+def first_hashes(hashes: np.ndarray, similarity: float, common: np.ndarray = _NONE) -> np.ndarray:
+    """The indexed hashes of a set: the first in that order."""
+    return ordered(hashes, common)[: prefix_size(len(hashes), similarity)]
 
 
 def largest_distance(similarity: float, bits: int = PARTS * 64) -> int:
@@ -260,12 +265,17 @@ def near_pairs(found: DataFrame, classes: DataFrame, similarity: float) -> DataF
     return written(near.select("a", "b", "d"), "similar-near")
 
 
-def centres(members: DataFrame, classes: DataFrame, sample: int = SIMILAR_SMALL) -> DataFrame:
-    """members (key, nid) -> (key, z): of each bucket the member nearest to the bitwise majority of ``sample`` of them,
-    which is the original where copies were edited apart from each other."""
+def centred(members: DataFrame, classes: DataFrame, sample: int = SIMILAR_SMALL) -> DataFrame:
+    """members (key, nid, n) -> (key, nid, z): with the bucket's centre, which need not be in the bucket.
+
+    Each member picks its largest bucket. Of those that picked one, the nearest to the bitwise majority of ``sample`` of
+    them is their centre: the original, where copies were edited apart from each other. A bucket's centre is that of
+    most of its members, so the buckets of one group of copies mostly agree in it.
+    """
     parts = [f"f{k}" for k in range(PARTS)]
+    one = written(members.groupBy("nid").agg(F.max(F.struct("n", "key")).alias("m")).select("nid", F.col("m.key").alias("key")), "similar-chosen")
     order = W.partitionBy("key").orderBy(F.xxhash64("nid"), "nid")
-    some = members.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample).join(classes, "nid")  # at most ``sample`` of a bucket
+    some = one.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample).join(classes, "nid")  # at most ``sample`` of a bucket
 
     def majority(group: pd.DataFrame) -> pd.DataFrame:
         bits = np.unpackbits(np.ascontiguousarray(group[parts].to_numpy("<i8")).view(np.uint8), axis=1, bitorder="little")
@@ -274,8 +284,12 @@ def centres(members: DataFrame, classes: DataFrame, sample: int = SIMILAR_SMALL)
 
     middles = some.select("key", *parts).groupBy("key").applyInPandas(majority, "c long, " + ", ".join(f"y{k} long" for k in range(PARTS)))
     middles = middles.select(detached(F.col("c")).alias("c"), *[f"y{k}" for k in range(PARTS)])
-    around = members.join(_sides(classes)[0], F.col("nid") == F.col("a")).join(middles, F.col("key") == F.col("c"))
-    return around.groupBy("key").agg(F.min(F.struct(F.expr(_distance("x", "y")).alias("d"), "nid")).alias("m")).select("key", F.col("m.nid").alias("z"))
+    around = one.join(_sides(classes)[0], F.col("nid") == F.col("a")).join(middles, F.col("key") == F.col("c"))
+    nearest = around.groupBy("key").agg(F.min(F.struct(F.expr(_distance("x", "y")).alias("d"), "nid")).alias("m")).select(detached(F.col("key")).alias("c"), F.col("m.nid").alias("z"))
+    told = one.join(nearest, F.col("key") == F.col("c")).select(F.col("nid").alias("m"), "z")
+    votes = members.join(told, F.col("nid") == F.col("m")).groupBy("key", "z").agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy("key").agg(F.max(F.struct("votes", "z")).alias("m")).select(detached(F.col("key")).alias("k"), F.col("m.z").alias("z"))
+    return written(members.join(best, F.col("key") == F.col("k")).select("key", "nid", "n", "z"), "similar-centred")
 
 
 def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -289,12 +303,12 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def star_links(many: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """many (key, nid: the members of large buckets) -> the links of members to their buckets' centres, those without
+    """many (key, nid, n: the members of large buckets) -> the links of members to their buckets' centres, those without
     one to a next centre, and the frames of the first centres for ``beyond_stars``."""
-    links, frames, left = [], None, many.select("key", "nid")
+    links, frames, left = [], None, many
     for k in range(rounds):
-        centred = written(left.join(centres(left, classes).withColumnRenamed("key", "k"), F.col("key") == F.col("k")).select("key", "nid", "z"), "similar-centred")
-        pairs = centred.filter("nid <> z").select(F.col("z").alias("a"), F.col("nid").alias("b")).distinct()
+        members = centred(left, classes)
+        pairs = members.filter("nid <> z").select(F.col("z").alias("a"), F.col("nid").alias("b")).distinct()
         seen = compared(pairs, sets, similarity)
         if frames is None:
             o, n = F.size("x"), F.size("y")
@@ -303,7 +317,7 @@ def star_links(many: DataFrame, classes: DataFrame, sets: DataFrame, similarity:
         links.append(linked)
         if k + 1 < rounds:
             told = linked.select(F.col("a").alias("c"), F.col("b").alias("m"))
-            left = written(centred.filter("nid <> z").join(told, (F.col("z") == F.col("c")) & (F.col("nid") == F.col("m")), "left_anti").select("key", "nid"), "similar-left")
+            left = written(members.filter("nid <> z").join(told, (F.col("z") == F.col("c")) & (F.col("nid") == F.col("m")), "left_anti").select("key", "nid", "n"), "similar-left")
     out = links[0]
     for more in links[1:]:
         out = out.unionByName(more)
@@ -317,7 +331,8 @@ def beyond_stars(frames: DataFrame, rooted: Callable, similarity: float) -> Data
     the elements in which their D differ, so sets that similar, |A ^ B| <= c (|A| + |B|) with c = (1 - s) / (1 + s),
     share at least (w(A) + w(B)) / 2 elements of their D, where w(A) = |D(A)| - c |A|. At least one of the two, A, is
     not linked to the centre: w(A) > c |O|. That makes the share over half of D(B): with elements outside of O first in
-    the order, which hardly two copies share, few others stand among the first |D(B)| - share + 1, the indexed ones.
+    the order (sets come with common hashes last), which hardly two copies share, few others stand among the first
+    |D(B)| - share + 1, the indexed ones.
     """
     c = (1 - similarity) / (1 + similarity)
     size = F.size("more") + F.size("less")
@@ -344,7 +359,7 @@ def similar_roots(found: DataFrame, classes: DataFrame, sets_of: Callable[[DataF
     centres, and with each other only what can be similar after that.
     """
     near = near_pairs(found.filter(F.col("n") <= small), classes, similarity)
-    many = found.filter(F.col("n") > small).select("key", "nid")
+    many = found.filter(F.col("n") > small)
     large = not many.isEmpty()
     wanted = near.select(F.col("a").alias("nid")).unionByName(near.select(F.col("b").alias("nid")))
     sets = sets_of((wanted.unionByName(many.select("nid")) if large else wanted).distinct())
@@ -408,7 +423,7 @@ def drop_similar(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float
         def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 found = [shingle_hashes(t, words) for t in batch["t"]]
-                yield pd.DataFrame({"nid": numbers(found), "h": pd.Series([h.view(np.int64) for h in found], dtype=object)})
+                yield pd.DataFrame({"nid": numbers(found), "h": pd.Series([ordered(h, shared.value).view(np.int64) for h in found], dtype=object)})
 
         return written(in_slices(asked, sets, "nid long, h array<long>").dropDuplicates(["nid"]), "similar-sets")
 
