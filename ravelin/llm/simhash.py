@@ -147,17 +147,19 @@ def _one_each(marked: DataFrame, grouped: DataFrame) -> DataFrame:
 
 #: Words in a shingle and the least Jaccard similarity of a link.
 SIMILAR_WORDS, SIMILARITY = 5, 0.8
-#: 64-bit parts of a wide fingerprint; bits by which it may miss the estimated distance, over 5 deviations: of any sets,
-#: and of sets of FEW hashes or more.
-PARTS, SLACK, FEW, SLACK_MANY = 8, 67, 64, 50
-#: Buckets up to this size compare their members pair by pair; members of larger ones meet so many rounds of centres.
-SIMILAR_SMALL, ROUNDS = 64, 2
+#: 64-bit parts of a wide fingerprint, and of the wider one of large groups' members. Sets of FEW hashes or more may miss
+#: the estimated distance by SLACK of all bits, smaller ones, whose majorities are coarse, by SLACK_FEW: over 5 deviations.
+PARTS, WIDER, FEW = 8, 64, 64
+SLACK, SLACK_FEW = {PARTS: 50, WIDER: 140}, {PARTS: 67, WIDER: 536}
+#: Buckets up to this size compare their members pair by pair; members of larger ones meet so many rounds of centres, and
+#: each other in blocks of this size.
+SIMILAR_SMALL, ROUNDS, BLOCK_MEMBERS = 128, 2, 512
 #: Hashes that so many texts have among their first are common: they come last in the order. At most COMMON_MOST, the
 #: most frequent ones, are told apart: any choice gives the same links, it only sizes the buckets.
 COMMON, COMMON_MOST = 16, 250_000
 #: Longs that are broadcast at most.
 BROADCAST = 2_000_000
-_MIX = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1 for k in range(PARTS)], np.uint64)
+_MIX = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1 for k in range(WIDER)], np.uint64)
 _NONE = np.zeros(0, np.uint64)
 
 
@@ -174,11 +176,11 @@ def shingle_hashes(text: str | None, words: int = SIMILAR_WORDS) -> np.ndarray:
     return np.unique(np.array([h(whole[a:b]) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist())], np.uint64))
 
 
-def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """PARTS * 64 bits over a set of hashes, as signed longs; zeros of an empty set."""
-    counts = np.zeros(PARTS * 64, np.int64)
+def wide_fingerprint(hashes: np.ndarray, parts: int = PARTS) -> np.ndarray:
+    """parts * 64 bits over a set of hashes, as signed longs; zeros of an empty set."""
+    counts = np.zeros(parts * 64, np.int64)
     for at in range(0, len(hashes), 255):  # up to 255 fit a byte's sum
-        x = hashes[at : at + 255, None] ^ _MIX
+        x = hashes[at : at + 255, None] ^ _MIX[:parts]
         x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
         x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
         x ^= x >> np.uint64(33)
@@ -212,8 +214,8 @@ def largest_distance(similarity: float, bits: int = PARTS * 64) -> int:
     return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def _distance(a: str, b: str) -> str:
-    return " + ".join(f"bit_count({a}{k} ^ {b}{k})" for k in range(PARTS))
+def _distance(a: str, b: str, parts: int = PARTS) -> str:
+    return " + ".join(f"bit_count({a}{k} ^ {b}{k})" for k in range(parts))
 
 
 def common_hashes(texts: DataFrame, words: int, similarity: float, least: int = COMMON, most: int = COMMON_MOST) -> np.ndarray:
@@ -246,15 +248,15 @@ def same_shingles(base: DataFrame) -> DataFrame:
     return written(variant.join(shared, F.col("key") == F.col("k")).select("key", "nid", "n"), "similar-buckets")
 
 
-def _sides(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """classes (nid, size, f0 ... f7) as (a, xn, x0 ...) and (b, yn, y0 ...)."""
-    return tuple(classes.select(F.col("nid").alias(name), F.col("size").alias(f"{c}n"), *[F.col(f"f{k}").alias(f"{c}{k}") for k in range(PARTS)]) for name, c in (("a", "x"), ("b", "y")))
+def _sides(prints: DataFrame, parts: int = PARTS) -> tuple[DataFrame, DataFrame]:
+    """prints (nid, size, f0, f1, ...) as (a, xn, x0, ...) and (b, yn, y0, ...)."""
+    return tuple(prints.select(F.col("nid").alias(name), F.col("size").alias(f"{c}n"), *[F.col(f"f{k}").alias(f"{c}{k}") for k in range(parts)]) for name, c in (("a", "x"), ("b", "y")))
 
 
-def _fits(similarity: float) -> str:
+def _fits(similarity: float, distance: str = "d", parts: int = PARTS) -> str:
     """Sets that similar are of like sizes, and their fingerprints aren't further apart than this."""
-    most = largest_distance(similarity)
-    return f"least(xn, yn) >= {similarity} * greatest(xn, yn) - 1e-9 AND d <= CASE WHEN least(xn, yn) < {FEW} THEN {most + SLACK} ELSE {most + SLACK_MANY} END"
+    most = largest_distance(similarity, parts * 64)
+    return f"least(xn, yn) >= {similarity} * greatest(xn, yn) - 1e-9 AND {distance} <= CASE WHEN least(xn, yn) < {FEW} THEN {most + SLACK_FEW[parts]} ELSE {most + SLACK[parts]} END"
 
 
 def near_pairs(found: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
@@ -265,7 +267,7 @@ def near_pairs(found: DataFrame, classes: DataFrame, similarity: float) -> DataF
     return written(near.select("a", "b", "d"), "similar-near")
 
 
-def centred(members: DataFrame, classes: DataFrame, sample: int = SIMILAR_SMALL) -> DataFrame:
+def centred(members: DataFrame, classes: DataFrame, sample: int = 64) -> DataFrame:
     """members (key, nid, n) -> (key, nid, z): with the bucket's centre, which need not be in the bucket.
 
     Each member picks its largest bucket. Of those that picked one, the nearest to the bitwise majority of ``sample`` of
@@ -292,28 +294,22 @@ def centred(members: DataFrame, classes: DataFrame, sample: int = SIMILAR_SMALL)
     return written(members.join(best, F.col("key") == F.col("k")).select("key", "nid", "n", "z"), "similar-centred")
 
 
-def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """pairs (a, b) with both sets (x, y) and whether they are that similar, exactly (linked)."""
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").withColumn("i", F.size(F.array_intersect("x", "y")))
-    return both.withColumn("linked", F.col("i") / (F.size("x") + F.size("y") - F.col("i")) >= similarity).drop("i")
-
-
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    return written(compared(pairs, sets, similarity).filter("linked").select("a", "b"), "similar-links")
+    """The pairs (a, b) whose sets (nid, h) are that similar, exactly."""
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").withColumn("i", F.size(F.array_intersect("x", "y")))
+    return written(both.filter(F.col("i") / (F.size("x") + F.size("y") - F.col("i")) >= similarity).select("a", "b"), "similar-links")
 
 
 def star_links(many: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """many (key, nid, n: the members of large buckets) -> the links of members to their buckets' centres, those without
-    one to a next centre, and the frames of the first centres for ``beyond_stars``."""
-    links, frames, left = [], None, many
+    one to a next centre; and the groups (z, nid) of the first centres, which hold each bucket's members together."""
+    links, groups, left = [], None, many
     for k in range(rounds):
         members = centred(left, classes)
+        if groups is None:
+            groups = written(members.select("z", "nid").distinct(), "similar-groups")
         pairs = members.filter("nid <> z").select(F.col("z").alias("a"), F.col("nid").alias("b")).distinct()
-        seen = compared(pairs, sets, similarity)
-        if frames is None:
-            o, n = F.size("x"), F.size("y")
-            seen = frames = written(seen.select("a", "b", "linked", o.alias("o"), n.alias("n"), F.array_except("y", "x").alias("more"), F.array_except("x", "y").alias("less")), "similar-frames")
-        linked = written(seen.filter("linked").select("a", "b"), "similar-links")
+        linked = verified(pairs, sets, similarity)
         links.append(linked)
         if k + 1 < rounds:
             told = linked.select(F.col("a").alias("c"), F.col("b").alias("m"))
@@ -321,32 +317,34 @@ def star_links(many: DataFrame, classes: DataFrame, sets: DataFrame, similarity:
     out = links[0]
     for more in links[1:]:
         out = out.unionByName(more)
-    return out, frames
+    return out, groups
 
 
-def beyond_stars(frames: DataFrame, rooted: Callable, similarity: float) -> DataFrame:
-    """Candidates (a, b) for links between members of one frame in different components; no such link is missing.
+def wider_prints(sets: DataFrame) -> DataFrame:
+    """sets (nid, h) -> (nid, size, f0, f1, ...): fingerprints of WIDER parts."""
 
-    A frame has a centre's set O and members as differences to it: D = (more: A - O, less: O - A). Two sets differ in
-    the elements in which their D differ, so sets that similar, |A ^ B| <= c (|A| + |B|) with c = (1 - s) / (1 + s),
-    share at least (w(A) + w(B)) / 2 elements of their D, where w(A) = |D(A)| - c |A|. At least one of the two, A, is
-    not linked to the centre: w(A) > c |O|. That makes the share over half of D(B): with elements outside of O first in
-    the order (sets come with common hashes last), which hardly two copies share, few others stand among the first
-    |D(B)| - share + 1, the indexed ones.
-    """
-    c = (1 - similarity) / (1 + similarity)
-    size = F.size("more") + F.size("less")
-    split = rooted("a", rooted("b", frames.select("a", "b"), "u"), "v").groupBy("a").agg(F.min("u").alias("low"), F.max("u").alias("high"), F.max("v").alias("own"))
-    split = split.filter("low <> high OR low <> own").select(detached(F.col("a")).alias("z"))
-    open_ = rooted("b", frames.join(split, F.col("a") == F.col("z"), "left_semi"), "u").withColumn("d", size).withColumn("order", F.concat("more", "less"))
-    share = F.floor((c * F.col("o") + F.col("d") - c * F.col("n")) / 2 + 1e-9)  # b shares more than this
-    least = F.greatest(F.lit(1), F.ceil((F.col("d") - c * F.col("n") * (1 + 1 / similarity)) / 2 - 1e-9))  # a shares so many, with a set of fitting size
-    first = lambda n: F.explode(F.slice("order", F.lit(1), F.greatest(n, F.lit(1)).cast("int")))
-    asking = open_.filter("NOT linked").select(F.col("a").alias("z"), first(F.col("d") - least + 1).alias("e"), F.col("b").alias("p"), F.col("u").alias("pu"), F.col("n").alias("pn"))
-    held = open_.select(F.col("a").alias("y"), first(F.col("d") - share).alias("f"), F.col("b").alias("q"), F.col("u").alias("qu"), F.col("n").alias("qn"))
-    fits = f"pu <> qu AND least(pn, qn) >= {similarity} * greatest(pn, qn) - 1e-9"
-    met = asking.join(held, (F.col("z") == F.col("y")) & (F.col("e") == F.col("f")) & F.expr(fits))
-    return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [np.asarray(h, np.int64).view(np.uint64) for h in batch["h"]]
+            prints = np.array([wide_fingerprint(h, WIDER) for h in found], np.int64).reshape(-1, WIDER)
+            yield pd.DataFrame({"nid": batch["nid"], "size": [len(h) for h in found], **{f"f{k}": prints[:, k] for k in range(WIDER)}})
+
+    return written(in_slices(sets.select("nid", "h"), of, "nid long, size long, " + ", ".join(f"f{k} long" for k in range(WIDER))), "similar-wider")
+
+
+def beyond_stars(groups: DataFrame, prints: DataFrame, rooted: Callable, similarity: float, block: int = BLOCK_MEMBERS) -> DataFrame:
+    """Pairs (a, b) of a group's members (z, nid) in different components that can be that similar by their sizes and
+    wider fingerprints (prints). A large group is dealt in blocks, so no task compares it alone; what doesn't fit is
+    never made a row."""
+    told = rooted("nid", groups, "u")
+    split = told.groupBy("z").agg(F.min("u").alias("low"), F.max("u").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high")
+    split = split.select(detached(F.col("z")).alias("g"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    left, right = _sides(prints, WIDER)
+    open_ = written(told.join(split, F.col("z") == F.col("g")).select("z", "nid", "u", "blocks"), "similar-open")
+    here = open_.join(left, F.col("nid") == F.col("a")).select("z", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int").alias("block"), "a", "u", "xn", *[f"x{k}" for k in range(WIDER)])
+    there = open_.join(right, F.col("nid") == F.col("b")).select(F.col("z").alias("y"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "b", F.col("u").alias("v"), "yn", *[f"y{k}" for k in range(WIDER)])
+    fits = _fits(similarity, f"({_distance('x', 'y', WIDER)})", WIDER)
+    return here.join(there, (F.col("z") == F.col("y")) & (F.col("block") == F.col("other")) & F.expr(f"a < b AND u <> v AND {fits}")).select("a", "b")
 
 
 def similar_roots(found: DataFrame, classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, small: int) -> DataFrame:
@@ -356,7 +354,7 @@ def similar_roots(found: DataFrame, classes: DataFrame, sets_of: Callable[[DataF
 
     Buckets of up to ``small`` members compare them all, each member its nearest first, and the others only if that
     leaves them in different components. Larger ones, which are mostly large groups of copies, compare members with
-    centres, and with each other only what can be similar after that.
+    centres, and then those of different components by wider fingerprints. Exact sets decide every link.
     """
     near = near_pairs(found.filter(F.col("n") <= small), classes, similarity)
     many = found.filter(F.col("n") > small)
@@ -365,9 +363,9 @@ def similar_roots(found: DataFrame, classes: DataFrame, sets_of: Callable[[DataF
     sets = sets_of((wanted.unionByName(many.select("nid")) if large else wanted).distinct())
     tree = near.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     linked = verified(tree, sets, similarity)
-    frames = None
+    groups = None
     if large:
-        stars, frames = star_links(many, classes, sets, similarity)
+        stars, groups = star_links(many, classes, sets, similarity)
         linked = linked.unionByName(stars)
     roots = components(linked)
     told = roots.select(detached(F.col("node")).alias("node"), "root")
@@ -377,7 +375,8 @@ def similar_roots(found: DataFrame, classes: DataFrame, sets_of: Callable[[DataF
 
     apart = rooted("b", rooted("a", near.select("a", "b"), "u"), "v").filter("u <> v").select("a", "b")
     if large:
-        apart = apart.unionByName(beyond_stars(frames, rooted, similarity))
+        members = sets.join(many.select(F.col("nid").alias("m")).distinct(), F.col("nid") == F.col("m"), "left_semi")
+        apart = apart.unionByName(beyond_stars(groups, wider_prints(members), rooted, similarity))
     more = verified(written(apart.distinct(), "similar-apart"), sets, similarity)
     return components(linked.unionByName(more)) if not more.isEmpty() else roots
 
@@ -423,7 +422,7 @@ def drop_similar(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float
         def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 found = [shingle_hashes(t, words) for t in batch["t"]]
-                yield pd.DataFrame({"nid": numbers(found), "h": pd.Series([ordered(h, shared.value).view(np.int64) for h in found], dtype=object)})
+                yield pd.DataFrame({"nid": numbers(found), "h": pd.Series([h.view(np.int64) for h in found], dtype=object)})
 
         return written(in_slices(asked, sets, "nid long, h array<long>").dropDuplicates(["nid"]), "similar-sets")
 
