@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
+from heapq import nlargest
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -12,11 +13,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.llm._common import in_slices, table, written
-
-#: A subtree is template if so many different pages of its host hold it, and this share of them.
-MIN_PAGES, MIN_SHARE = 5, 0.1
-#: Template subtrees that are broadcast, at most; beyond, pages are joined with their host's.
+from ravelin.llm._common import detached, in_slices, table, written
+
+#: A subtree is template if so many different pages of its host hold it. A paragraph or other text without parts inside
+#: the article must also stand on this share of them: stock passages recur in articles, too.
+MIN_PAGES, LEAF_SHARE = 5, 0.5
+#: Longest blocks by which pages are told apart.
+TELLING = 3
+#: Articles beside which the rest of the page holds more than this many times their text are teasers.
+TEASER = 4
+#: A list or box with so many links, which make up this share of its text, is a menu where no element is marked as content.
+MENU_LINKS, MENU_SHARE = 3, 0.6
+#: Template subtrees that are broadcast, at most; beyond, they are joined with the subtrees of each page.
 BROADCAST = 100_000
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -35,22 +43,31 @@ CLOSES = {
 SCOPE = {"table", "ul", "ol", "dl", "div", "section", "article", "main", "aside", "nav", "body", "html", "blockquote", "header", "footer", "form", "button", "figure", "fieldset", "details"}
 DROPPED = {"nav", "aside", "footer", "form", "script", "style", "noscript", "template", "iframe", "button", "select", "textarea", "svg", "canvas", "object", "head", "title", "dialog", "menu", "audio", "video"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
-NAMES = re.compile(
-    r"(?:^|[_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|nav\w*|menu\w*|sidebar\w*|side-bar|comment\w*|disqus\w*|respond|repl(?:y|ies)|cookie\w*|consent|gdpr|banner\w*|notice\w*|alert\w*|"
-    r"popup\w*|modal\w*|overlay\w*|newsletter\w*|subscri\w*|signup|share|sharing|social\w*|related\w*|recommend\w*|breadcrumb\w*|footer\w*|masthead|toolbar|widget\w*|pagination|login|search\w*|skip-link)(?:$|[_-])",
-    re.IGNORECASE,
-)
+#: Words of class names and ids that tell furniture, and words that may stand beside them in one name.
+FURNITURE = {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "nav", "navbar", "navigation", "menu", "submenu", "sidebar", "comment", "comments",
+    "disqus", "respond", "reply", "replies", "cookie", "cookies", "consent", "gdpr", "banner", "notice", "notices", "alert", "alerts", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup",
+    "share", "sharing", "social", "related", "recommended", "recommendations", "breadcrumb", "breadcrumbs", "footer", "masthead", "toolbar", "widget", "widgets", "pagination", "pager", "login", "search", "skip",
+}
+BESIDE = {
+    "site", "page", "top", "bottom", "left", "right", "global", "primary", "secondary", "main", "header", "container", "wrapper", "wrap", "list", "box", "area", "section", "bar", "block", "inner", "outer", "content",
+    "group", "panel", "item", "items", "link", "links", "button", "buttons", "form", "slot", "unit", "post", "posts", "article", "articles", "stories", "user", "users", "reader", "readers", "thread", "media", "fixed",
+    "sticky", "mobile", "desktop", "col", "column", "row", "module", "to", "by", "us",
+}
 #: Names that say how a page is laid out around its content, as "has-sidebar" does.
 LAYOUT = re.compile("(?:has|with|without|no|show|hide|is)[-_]", re.IGNORECASE)
-#: Elements whose recurrence marks a template even inside an article. Paragraphs and headings there are never judged so.
-BOXES = {"div", "section", "ul", "ol", "dl", "table", "aside", "form", "nav", "footer", "header", "figure", "details", "fieldset", "center", "address"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parts", "digest")
+    """An element; ``measured`` tells its digest, characters, characters in links, links, and what stands below."""
+
+    __slots__ = ("tag", "attrs", "parts", "digest", "chars", "linked", "links", "blocks", "headings", "inside")
 
     def __init__(self, tag: str, attrs: dict):
         self.tag, self.attrs, self.parts, self.digest = tag, attrs, [], 0
+        self.chars = self.linked = self.links = self.blocks = self.headings = 0
+        self.inside = False
 
 
 class _Builder(HTMLParser):
@@ -100,6 +117,11 @@ def parse(html: str | None) -> Node:
     return builder.root
 
 
+def _told(name: str) -> bool:
+    parts = [p for p in re.split(r"[-_:.]+|\d+", name.lower()) if p]
+    return any(p in FURNITURE for p in parts) and all(p in FURNITURE or p in BESIDE for p in parts)
+
+
 def furniture(node: Node) -> bool:
     """Whether an element is told to be no part of an article by its tag, role, class or id, or is hidden."""
     if node.tag in DROPPED:
@@ -112,7 +134,7 @@ def furniture(node: Node) -> bool:
     names = [n for n in f"{a.get('class', '')} {a.get('id', '')}".split() if not LAYOUT.match(n)]
     if node.tag == "article":
         return any(re.search("comment|teaser|related", n, re.IGNORECASE) for n in names)
-    return node.tag not in ("html", "body", "main") and any(map(NAMES.search, names))
+    return node.tag not in ("html", "body", "main") and any(map(_told, names))
 
 
 def _walk(root: Node, skip) -> Iterator[tuple[Node | str, bool]]:
@@ -128,55 +150,121 @@ def _walk(root: Node, skip) -> Iterator[tuple[Node | str, bool]]:
             stack.extend((p, True) for p in reversed(node.parts))
 
 
-def contents(root: Node) -> tuple[list[Node], bool]:
-    """The elements that hold the article: outermost articles, else main elements, else the whole page (then False)."""
-    for tags, roles in (({"article"}, {"article"}), ({"main"}, {"main"})):
-        found: list[Node] = []
-
-        def skip(n: Node, found=found, tags=tags, roles=roles) -> bool:
-            if n.tag != "#root" and furniture(n):
-                return True
-            if n.tag in tags or n.attrs.get("role", "").lower() in roles:
-                found.append(n)
-                return True
-            return False
+def measured(root: Node) -> None:
+    """Give each element a digest of its tag, class, id and all below it, and its measures."""
+    for node, enters in _walk(root, lambda n: False):
+        if isinstance(node, str) or enters:
+            continue
+        h = blake2b(f"{node.tag}\0{node.attrs.get('class', '')}\0{node.attrs.get('id', '')}".encode("utf-8", "replace"), digest_size=8)
+        unread = node.tag in DROPPED
+        for p in node.parts:
+            if isinstance(p, Node):
+                h.update(b"\1" + p.digest.to_bytes(8, "little", signed=True))
+                node.blocks += p.blocks + (p.tag in BLOCKS)
+                node.headings += p.headings + (p.tag in HEADINGS)
+                if not unread:
+                    node.chars, node.linked, node.links = node.chars + p.chars, node.linked + p.linked, node.links + p.links
+            else:
+                said = " ".join(p.split())
+                h.update(b"\2" + said.encode("utf-8", "replace"))
+                if not unread:
+                    node.chars += len(said)
+        if node.tag == "a":
+            node.linked, node.links = node.chars, 1
+        node.digest = int.from_bytes(h.digest(), "little", signed=True)
+
+
+def _found(root: Node, tag: str, gone) -> list[Node]:
+    """The outermost elements of a tag or role that aren't gone."""
+    out: list[Node] = []
+
+    def skip(n: Node) -> bool:
+        if n is not root and gone(n):
+            return True
+        if n is not root and (n.tag == tag or n.attrs.get("role", "").lower() == tag):
+            out.append(n)
+            return True
+        return False
 
-        for _ in _walk(root, skip):
-            pass
-        if found:
-            return found, True
-    return [root], False
+    for _ in _walk(root, skip):
+        pass
+    return out
 
 
-def hashed(root: Node) -> None:
-    """Give each element a digest of its tag, class, id and all below it."""
-    for node, enters in _walk(root, lambda n: False):
-        if isinstance(node, Node) and not enters:
-            h = blake2b(f"{node.tag}\0{node.attrs.get('class', '')}\0{node.attrs.get('id', '')}".encode("utf-8", "replace"), digest_size=8)
-            for p in node.parts:
-                h.update(b"\1" + p.digest.to_bytes(8, "little", signed=True) if isinstance(p, Node) else b"\2" + " ".join(p.split()).encode("utf-8", "replace"))
-            node.digest = int.from_bytes(h.digest(), "little", signed=True)
+def _length(tops: list[Node], gone) -> int:
+    """Characters of what isn't gone."""
+    return sum(len(node.strip()) for top in tops for node, _ in _walk(top, lambda n, top=top: n is not top and gone(n)) if isinstance(node, str))
 
 
-def candidates(root: Node) -> tuple[set[int], int]:
-    """Digests of the subtrees whose recurrence would remove text, and a digest of the page's content.
+def contents(root: Node, gone=furniture) -> tuple[list[Node], bool]:
+    """The elements that hold the article, and whether the page marks them, by what is left when ``gone`` elements go.
 
-    ``root`` must be hashed. Subtrees outside the article, or furniture, go anyway and aren't counted.
+    Main elements, or the articles in them where these hold half of the text; else articles, unless the rest of the page
+    holds far more text; else the whole page.
     """
+    mains = _found(root, "main", gone)
+    if mains:
+        articles = [a for m in mains for a in _found(m, "article", gone)]
+        return (articles if articles and 2 * _length(articles, gone) >= _length(mains, gone) else mains), True
+    articles = _found(root, "article", gone)
+    if articles and (TEASER + 1) * _length(articles, gone) >= _length([root], gone):
+        return articles, True
+    return [root], False
+
+
+def _mark(root: Node) -> tuple[list[Node], bool]:
+    """The article before templates are known; its elements are marked as inside."""
     tops, marked = contents(root)
-    found: set[int] = set()
-    whole = blake2b(digest_size=8)
     for top in tops:
-        whole.update(top.digest.to_bytes(8, "little", signed=True))
-        for node, enters in _walk(top, furniture):
-            if enters and isinstance(node, Node) and node is not top and not furniture(node) and node.tag in (BOXES if marked else BLOCKS) and node.tag not in ("html", "body"):
-                found.add(node.digest)
-    return found, int.from_bytes(whole.digest(), "little", signed=True)
+        for node, enters in _walk(top, lambda n: False):
+            if enters and isinstance(node, Node):
+                node.inside = True
+    return tops, marked
+
+
+def _leaf(node: Node) -> bool:
+    return node.inside and not node.blocks
+
+
+def candidates(root: Node) -> tuple[set[tuple[int, bool]], int]:
+    """(digest, whether a leaf inside the article) of all block subtrees of a measured page, and a digest of its TELLING
+    longest blocks of text, by which pages are told apart: copies agree in them, also some edited ones."""
+    _mark(root)
+    found: set[tuple[int, bool]] = set()
+    texts: set[tuple[int, int]] = set()
+    for node, enters in _walk(root, lambda n: n.tag in ("script", "style", "head")):
+        if enters and isinstance(node, Node) and node.tag in BLOCKS and node.tag not in ("html", "body"):
+            if node.chars:
+                found.add((node.digest, _leaf(node)))
+            if not node.blocks:
+                texts.add((node.chars, node.digest))
+    page = blake2b(digest_size=8)
+    for _, digest in nlargest(TELLING, texts):
+        page.update(digest.to_bytes(8, "little", signed=True))
+    return found, int.from_bytes(page.digest(), "little", signed=True)
+
+
+def main_text(root: Node, template: frozenset | set = frozenset()) -> tuple[str, int]:
+    """The article's blocks in page order: white space collapsed, blocks joined by an empty line; and how many subtrees
+    were deleted as template. ``template`` holds (digest, leaf) as ``candidates`` tells them.
+
+    Template subtrees go first. The article is chosen by what is left of the page.
+    """
+    measured(root)
+    _mark(root)
+    deleted = 0
+    if template:
+        for node, enters in _walk(root, lambda n: (n.digest, _leaf(n)) in template and n.tag in BLOCKS):
+            if isinstance(node, Node) and enters and node.tag in BLOCKS and (node.digest, _leaf(node)) in template:
+                deleted += 1
+                node.parts, node.attrs = [], {"hidden": ""}
+    tops, marked = contents(root)
 
+    def drop(n: Node) -> bool:
+        if furniture(n) or n.tag == "header" and not (marked and n.headings):
+            return True
+        return not marked and n.tag in BLOCKS and n.links >= MENU_LINKS and n.linked >= MENU_SHARE * n.chars and n.tag not in ("html", "body")
 
-def main_text(root: Node, template: frozenset | set = frozenset()) -> str:
-    """The article's blocks in page order: white space collapsed, blocks joined by an empty line."""
-    tops, _ = contents(root)
     blocks: list[str] = []
     held: list[str] = []
 
@@ -187,8 +275,7 @@ def main_text(root: Node, template: frozenset | set = frozenset()) -> str:
             blocks.append(text)
 
     for top in tops:
-        drop = lambda n, top=top: n is not top and (furniture(n) or n.tag == "header" and top.tag == "#root" or n.digest in template)
-        for node, enters in _walk(top, drop):
+        for node, enters in _walk(top, lambda n, top=top: n is not top and drop(n)):
             if isinstance(node, str):
                 held.append(node)
             elif node.tag in BLOCKS:
@@ -196,64 +283,78 @@ def main_text(root: Node, template: frozenset | set = frozenset()) -> str:
             elif node.tag == "br" or node.tag in DROPPED:
                 held.append(" ")
         close()
-    return "\n\n".join(blocks)
+    return "\n\n".join(blocks), deleted
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, digests): a host's template subtrees, counted once for each different content among its pages.
-
-    Copies of one page count once, so a page that is served often doesn't become its own template. A host has at most
-    (subtrees of a page) / min_share of them.
-    """
+def subtrees(pages: DataFrame) -> DataFrame:
+    """pages (host, row, html) -> (host, row, page, digest, leaf): all block subtrees, and for each page one row with
+    digest null. page tells different pages apart."""
 
-    def subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for host, html in zip(batch["host"], batch["html"]):
+            for host, row, html in zip(batch["host"], batch["row"], batch["html"]):
                 root = parse(html)
-                hashed(root)
-                found, whole = candidates(root)
-                rows += [(host, whole, 0, True), *((host, whole, d, False) for d in found)]
-            yield pd.DataFrame(rows, columns=["host", "page", "digest", "own"])
+                measured(root)
+                found, page = candidates(root)
+                rows += [(host, row, page, None, False), *((host, row, page, digest, leaf) for digest, leaf in found)]
+            host, row, page, digest, leaf = zip(*rows)
+            yield pd.DataFrame({"host": host, "row": row, "page": page, "digest": pd.array(digest, dtype="Int64"), "leaf": leaf})
 
-    seen = in_slices(pages.select(host_of(F.col("url")).alias("host"), "html"), subtrees, "host string, page long, digest long, own boolean")
-    counted = seen.groupBy("host", "own", "digest", "page").agg(F.lit(1).alias("one")).groupBy("host", "own", "digest").agg(F.count("one").alias("n"))
-    counted = written(counted.filter(F.col("own") | (F.col("n") >= min_pages)), "subtrees")
-    hosts = counted.filter("own").select("host", F.col("n").alias("pages"))
-    often = counted.filter("NOT own").join(hosts, "host").filter(F.col("n") >= min_share * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_set("digest").alias("template"))
+    return in_slices(pages.select("host", "row", "html"), cut, "host string, row long, page long, digest long, leaf boolean")
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """page_id, url, text and n_chars of the main text, one row for each page.
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, leaf_share: float = LEAF_SHARE) -> DataFrame:
+    """(host, digest, leaf): the template subtrees of pages (host, row, html), by the different pages that hold them.
+
+    Copies of a page count once, so a page that is served often doesn't become its own template.
+    """
+    seen = subtrees(pages).groupBy("host", "digest", "leaf", "page").agg(F.lit(1).alias("one"))
+    counted = written(seen.groupBy("host", "digest", "leaf").agg(F.count("one").alias("n")).filter(F.col("digest").isNull() | (F.col("n") >= min_pages)), "subtrees")
+    hosts = counted.filter("digest IS NULL").select(F.col("host").alias("h"), F.col("n").alias("pages"))
+    often = counted.filter("digest IS NOT NULL").join(hosts, F.col("host") == F.col("h"))
+    return written(often.filter(~F.col("leaf") | (F.col("n") >= leaf_share * F.col("pages"))).select("host", "digest", "leaf"), "templates")
+
+
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, leaf_share: float = LEAF_SHARE, most: int = BROADCAST) -> DataFrame:
+    """page_id, url, text, n_chars of the main text and n_template (subtrees deleted as template), a row for each page.
 
     * null or empty html, or a page without text: empty text, 0 characters. Broken markup is read as far as it goes.
     * null url: host "", whose pages make up a site of their own.
     * repeated rows: one result each. Null page_id: kept as null. Empty table: no rows. Extra columns are ignored.
     """
-    per_host = written(templates(pages, min_pages, min_share), "templates")
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    size = per_host.agg(F.sum(F.size("template") + 1)).first()[0] or 0
-    rows = rows.join(F.broadcast(per_host) if size <= BROADCAST else per_host, "host", "left")
-    schema = T.StructType([rows.schema["page_id"], rows.schema["url"], T.StructField("text", T.StringType())])
+    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).withColumn("row", F.xxhash64("host", F.coalesce("html", F.lit(""))))
+    known = templates(rows, min_pages, leaf_share)
+    entry = F.struct("digest", "leaf")
+    if known.count() <= most:
+        per_host = known.groupBy(F.col("host").alias("h")).agg(F.collect_list(entry).alias("template"))  # at most ``most`` in all
+        rows = rows.join(F.broadcast(per_host), F.col("host") == F.col("h"), "left")
+    else:
+        held = subtrees(rows).filter("digest IS NOT NULL").groupBy("host", "digest", "leaf", "row").agg(F.lit(1).alias("one"))
+        of = known.select(F.col("host").alias("h"), F.col("digest").alias("d"), F.col("leaf").alias("l"))
+        held = held.join(of, (F.col("host") == F.col("h")) & (F.col("digest") == F.col("d")) & (F.col("leaf") == F.col("l")), "left_semi")
+        per_page = held.groupBy(detached(F.col("row")).alias("r")).agg(F.collect_list(entry).alias("template"))  # one page's
+        rows = rows.join(per_page, F.col("row") == F.col("r"), "left")
+    schema = T.StructType([rows.schema["page_id"], rows.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_template", T.LongType())])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = []
+            texts, deleted = [], []
+            last, known = None, frozenset()
             for html, template in zip(batch["html"], batch["template"]):
-                root = parse(html)
-                if template is not None and len(template):
-                    hashed(root)
-                    texts.append(main_text(root, set(template)))
-                else:
-                    texts.append(main_text(root))
-            yield batch[["page_id", "url"]].assign(text=pd.Series(texts, index=batch.index, dtype=object))
-
-    return in_slices(rows.select("page_id", "url", "html", "template"), read, schema).withColumn("n_chars", F.length("text").cast("long"))
+                if template is not last:
+                    last, known = template, frozenset() if template is None else frozenset((x["digest"], x["leaf"]) for x in template)
+                text, n = main_text(parse(html), known)
+                texts.append(text)
+                deleted.append(n)
+            yield batch[["page_id", "url"]].assign(text=pd.Series(texts, index=batch.index, dtype=object), n_template=pd.Series(deleted, index=batch.index, dtype="int64"))
+
+    out = in_slices(rows.select("page_id", "url", "html", "template"), read, schema)
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template")
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,9 +87,19 @@ PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><a>
 
 
 def test_furniture_goes():
-    assert pages.main_text(pages.parse(PAGE)) == "Title & more\n\nFirst line bold\n\nSecond block\n\nx\n\ny"
-    assert pages.main_text(pages.parse(None)) == "" and pages.main_text(pages.parse("plain words")) == "plain words"
-    assert pages.main_text(pages.parse("<div>" * 5000 + "deep" + "</div>" * 5000)) == "deep"
+    text = lambda html: pages.main_text(pages.parse(html))[0]
+    assert text(PAGE) == "Title & more\n\nFirst line bold\n\nSecond block\n\nx\n\ny"
+    assert text(None) == "" and text("plain words") == "plain words"
+    assert text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
+    # main wins over a teaser; names count whole; a header without a heading is a site's
+    assert text("<main><h1>Real</h1><p>The long real story.</p></main><section><article><p>Card teaser text</p></article></section>") == "Real\n\nThe long real story."
+    for name in ('class="notice-period"', 'id="search-engine-history"', 'class="comment-on-policy"'):
+        assert text(f"<article><p>One</p><div {name}><p>Two</p></div></article>") == "One\n\nTwo"
+    for name in ('class="site-notice"', 'id="comments-area"', 'class="ad-slot-2"', 'role="navigation"', 'style="display: none"', "hidden"):
+        assert text(f"<article><p>One</p><div {name}><p>Two</p></div></article>") == "One"
+    assert text("<main><header>Site tagline</header><p>Text</p></main>") == "Text"
+    assert text("<article><header><h1>Title</h1></header><p>Text</p></article>") == "Title\n\nText"
+    assert text("<body><div><a>a</a> <a>b</a> <a>c</a></div><p>Text with a <a>link</a> only</p></body>") == "Text with a link only"
 
 
 def test_templates_of_a_host(spark):
@@ -104,7 +114,46 @@ def test_templates_of_a_host(spark):
     assert pages.extract(df.filter("false")).count() == 0
 
 
-def test_paragraphs_of_articles_are_no_template(spark):
-    rows = [(k, "http://a.example/", f"<article><p>A common saying of many pages.</p><p>Own {k}</p><div><p>Subscribe now</p></div></article>") for k in range(9)]
+def test_paragraphs_of_articles_go_only_from_most_pages(spark):
+    rows = [
+        (k, "http://a.example/", f"<article>{'<p>A common saying of pages.</p>' * (k % 3 == 0)}<p>Own words of page {k} that are here</p><p>Read our rules.</p><div><p>Subscribe now</p></div></article>")
+        for k in range(24)
+    ]
     got = {r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {f"A common saying of many pages.\n\nOwn {k}" for k in range(9)}
+    own = lambda k: f"Own words of page {k} that are here"
+    assert got == {f"A common saying of pages.\n\n{own(k)}" if k % 3 == 0 else own(k) for k in range(24)}
+
+
+def site(k, host, named):
+    """A page of a host whose furniture is named or not; its menu, notice, form and footer recur, its article doesn't."""
+    tag = lambda name, inner: f"<{name}>{inner}</{name.split()[0]}>" if named else f"<div>{inner}</div>"
+    return (
+        "<html><body>" + tag("header", f"<div>Welcome to {host}</div>") + tag("nav", "<ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li></ul>") + tag('div class="cookie-notice"', "<p>We use cookies.</p>")
+        + tag("article", f"<h1>Story {k} of {host}</h1>" + "".join(f"<p>Paragraph {j} of story {k} of {host}, with some length.</p>" for j in range(4)))
+        + tag("aside", "<p>Most read stories</p><ul><li>One</li><li>Two</li></ul>") + tag('section class="comments"', f"<p>{host} readers say hello</p>") + tag("footer", f"<p>&copy; {host}</p>") + "</body></html>"
+    )
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_templates_alone_give_the_text_that_names_give(spark, most):
+    """The method by itself: the same pages without any name of furniture give the same texts."""
+    want = {(h, k): "\n\n".join([f"Story {k} of {h}", *[f"Paragraph {j} of story {k} of {h}, with some length." for j in range(4)]]) for h in ("a.example", "b.example") for k in range(12)}
+    for named in (True, False):
+        rows = [(k, f"http://{h}/{k}", site(k, h, named)) for h, k in want]
+        got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), most=most).collect()
+        assert {(r.url.split("/")[2], r.page_id): r.text for r in got} == want
+        assert all(r.n_template >= 5 for r in got)
+
+
+def test_an_article_in_copies_is_no_template(spark):
+    rows = [(k, "http://a.example/", site(1, "a.example", False)) for k in range(50)]
+    got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all("Story 1" in r.text and r.n_template == 0 for r in got)
+
+
+def test_broken_and_very_long_pages(spark):
+    long = "<article>" + "<p>word <b>bold</p" * 3 + "".join(f"<p>paragraph {k}" for k in range(20_000)) + "</table></ul>"
+    rows = [(1, "http://a.example/", long), (2, "http://a.example/", "</p></div><<p>x &amp &#x41;&bogus; <"), (2, None, "<![CDATA[x]]><?php a ?><p>y")]
+    got = {(r.page_id, r.url): r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1, "http://a.example/"].endswith("paragraph 19998\n\nparagraph 19999")
+    assert "x & A" in got[2, "http://a.example/"] and got[2, None].endswith("y")
