@@ -184,20 +184,26 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
                     out.append(got[k].tobytes())
             yield pd.DataFrame({"lang": langs, "block": out})
 
-    got = in_slices(ready.filter(chosen).select("lang", "text").limit(2 * sample * len(counts)), cut, "lang string, block binary").toPandas()
+    drawn = ready.filter(chosen).orderBy(draw, "doc_id").limit(2 * sample * len(counts)).select("lang", "text")
+    got = in_slices(drawn, cut, "lang string, block binary").toPandas()
     if got.empty:
         return None
     got = got.sort_values(["lang", "block"])  # the order of partitions has no say
     return train(np.frombuffer(b"".join(got["block"]), np.uint8).reshape(-1, WINDOW), got["lang"].tolist())
 
 
-def predict(texts: Sequence[str | None], model: Model | None, tables: list | None = None) -> tuple[list[str], list[float]]:
-    """Labels and scores of whole texts; ``und`` and 0 for a text without letters, or without a model."""
+def predict(texts: Sequence[str | None], model: Model | None, tables: list | None = None) -> tuple[list[str], list[float], list[float]]:
+    """Labels, scores and confidences of whole texts; ``und``, 0 and 0 for a text without letters, or without a model.
+
+    The score is the label's mean probability over the text's windows, the confidence the mean of each window's largest:
+    a text in two languages has a low score and a high confidence, one in neither has both low.
+    """
     tables = tables or (model.pairs() if model else None)
-    labels, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    labels, scores, sure = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
     held: list[np.ndarray] = []
     owners: list[np.ndarray] = []
     sums = np.zeros((len(texts), len(model.labels) if model else 1))
+    tops = np.zeros(len(texts))
 
     def flush() -> None:
         if not held:
@@ -206,6 +212,7 @@ def predict(texts: Sequence[str | None], model: Model | None, tables: list | Non
         for at in range(0, len(blocks), BLOCK):
             p = probabilities(model, blocks[at : at + BLOCK], tables)
             np.add.at(sums, who[at : at + BLOCK], p * size[at : at + BLOCK, None])
+            np.add.at(tops, who[at : at + BLOCK], p.max(axis=1) * size[at : at + BLOCK])
         held.clear()
         owners.clear()
 
@@ -226,36 +233,37 @@ def predict(texts: Sequence[str | None], model: Model | None, tables: list | Non
     for k in spoken:
         p = sums[k] / sums[k].sum()
         best = int(p.argmax())
-        labels[k], scores[k] = model.labels[best], float(min(1.0, p[best]))
-    return labels, scores
+        labels[k], scores[k], sure[k] = model.labels[best], float(min(1.0, p[best])), float(min(1.0, tops[k] / sums[k].sum()))
+    return labels, scores, sure
 
 
 def identify(docs: DataFrame, model: Model | None, carry: Sequence[str] = ()) -> DataFrame:
-    """doc_id, held_out, lang_pred, score and the carried columns, one row for each input row.
+    """doc_id, held_out, lang_pred, score, confidence and the carried columns, one row for each input row.
 
-    * null or empty text, or one without a letter: lang_pred ``und``, score 0. So too where nothing could be learned.
+    * null or empty text, or one without a letter: lang_pred ``und``, score and confidence 0. So too where nothing could be learned.
     * long texts are read whole, window by window; equal texts get equal results.
     * null doc_id: counts as held out. Repeated rows: one row each. Empty table: no rows.
     * of the columns, only text is an input of a prediction.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").alias("d"), F.col("text").alias("t"), held_out(F.col("doc_id")).alias("h"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)])
-    schema = T.StructType([*[f for f in rows.schema.fields if f.name != "t" or "text" in carry], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*[f for f in rows.schema.fields if f.name != "t" or "text" in carry], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("confidence", T.DoubleType())])
     if "text" in carry:  # it goes to Python once
         rows = rows.drop(f"c{list(carry).index('text')}")
-        schema = T.StructType([*rows.schema.fields, *schema.fields[-2:]])
-    keep = [f.name for f in schema.fields[:-2]]
+        schema = T.StructType([*rows.schema.fields, *schema.fields[-3:]])
+    keep = [f.name for f in schema.fields[:-3]]
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
         tables = own.pairs() if own else None
         for batch in batches:
-            labels, scores = predict(batch["t"].tolist(), own, tables)
-            yield batch[keep].assign(lang_pred=pd.Series(labels, index=batch.index, dtype=object), score=pd.Series(scores, index=batch.index, dtype="float64"))
+            labels, *numbers = predict(batch["t"].tolist(), own, tables)
+            score, confidence = (pd.Series(x, index=batch.index, dtype="float64") for x in numbers)
+            yield batch[keep].assign(lang_pred=pd.Series(labels, index=batch.index, dtype=object), score=score, confidence=confidence)
 
     out = in_slices(rows, label, schema)
     named = {c: F.col("t" if c == "text" else f"c{k}").alias(c) for k, c in enumerate(carry)}
-    return out.select(F.col("d").alias("doc_id"), F.col("h").alias("held_out"), "lang_pred", "score", *named.values())
+    return out.select(F.col("d").alias("doc_id"), F.col("h").alias("held_out"), "lang_pred", "score", "confidence", *named.values())
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,24 @@ import pytest
 from ravelin.llm import langid, licenses, mixing
 
 
+def plainly(text, model):
+    """The network's forward pass, byte by byte: every filter at every place of every window."""
+    raw = text.encode("utf-8", "replace")
+    mean, top, total = np.zeros(len(model.labels)), 0.0, 0
+    for at in range(0, len(raw), langid.WINDOW):
+        part = raw[at : at + langid.WINDOW]
+        classes = [int(langid.CLASSES[b]) for b in part] + [0] * (langid.WINDOW - len(part) + 8)
+        hidden = []
+        for f, w in zip(model.filters, langid.WIDTHS):
+            for k in range(langid.FILTERS):
+                hidden.append(max(sum(float(f[o][classes[p + o]][k]) for o in range(w)) for p in range(langid.WINDOW)))
+        logits = np.maximum(np.array(hidden) + model.bias, 0) @ model.weights + model.shift
+        p = np.exp(logits - logits.max())
+        p /= p.sum()
+        mean, top, total = mean + p * len(part), top + p.max() * len(part), total + len(part)
+    return model.labels[int(mean.argmax())], mean.max() / total, top / total
+
+
 def test_training_learns_and_ignores_padding():
     rng = np.random.default_rng(0)
     text = {"aa": "tha the tho thu", "bb": "oui eau aux que", "cc": "sch ung ein ich"}
@@ -16,9 +34,16 @@ def test_training_learns_and_ignores_padding():
             blocks.append(w[0])
             labels.append(k)
     model = langid.train(np.stack(blocks), labels)
-    got, scores = langid.predict(["the tho tha", "eau oui que aux", "ich ung sch ein " * 500, None, "", "12 34 !!", "的"], model)
+    got, scores, sure = langid.predict(["the tho tha", "eau oui que aux", "ich ung sch ein " * 500, None, "", "12 34 !!", "的"], model)
     assert got[:3] == ["aa", "bb", "cc"] and got[3:6] == ["und"] * 3 and scores[3:6] == [0.0] * 3
-    assert all(0 <= s <= 1 for s in scores) and got[6] in text
+    assert all(0 <= s <= c + 1e-9 <= 1 + 1e-9 for s, c in zip(scores, sure)) and got[6] in text
+    mixed = "the tho tha thu " * 64 + "eau oui que aux " * 64
+    _, (score,), (confidence,) = langid.predict([mixed], model)
+    assert score < 0.6 and confidence > 0.9  # two languages are told window by window
+    for t in ["the tho tha", mixed, "x", "é的 " * 200]:
+        label, score, confidence = plainly(t, model)
+        got, scores, sure = langid.predict(["other words", t], model)
+        assert (got[1], round(scores[1], 4), round(sure[1], 4)) == (label, round(score, 4), round(confidence, 4))
 
 
 def test_pair_tables_are_the_convolution():
@@ -28,8 +53,7 @@ def test_pair_tables_are_the_convolution():
     wide = np.pad(block, ((0, 0), (0, 8)))
     for f, w, r in zip(model.filters, langid.WIDTHS, langid._responses(block, model.pairs())):
         want = sum(f[o][wide[:, o : o + langid.WINDOW]] for o in range(w))
-        f0 = want if w % 2 == 0 else want
-        assert np.allclose(r, f0, atol=1e-4)
+        assert np.allclose(r, want, atol=1e-4)
 
 
 def test_windows_cover_the_whole_text():
@@ -71,7 +95,8 @@ def test_raking_meets_the_margins():
     for c in codes:
         t = rng.uniform(1, 3, c.max() + 1)
         targets.append(t / t.sum() * w.sum())
-    x = mixing.rake(w, codes, targets, 60)
+    x, gap = mixing.rake(w, codes, targets, 60)
+    assert gap <= mixing.TOLERANCE
     for c, t in zip(codes, targets):
         assert np.allclose(np.bincount(c, x), t, rtol=1e-6)
 
@@ -93,8 +118,34 @@ def test_mixing_of_odd_rows(odd, none):
     assert all(0 <= r.probability <= 1 and r.kept is not None for r in got)
     assert {r.source for r in got} >= {"(none)"}
     assert mixing.mix(none).count() == 0
+
+
+def test_cells_beyond_the_driver_get_the_same_chances(spark, sf_dir, odd):
+    targets = {"lang": {"en": 0.4, "de": 0.3, "xx": 0.2}, "source": {"src0": 0.1}}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for df, kind in ((docs, {}), (docs, {"targets": targets}), (odd, {})):
+        told = lambda d: sorted((r.doc_id or -1, r.source, r.topic, round(r.probability, 7), r.kept) for r in d.collect())
+        assert told(mixing.mix(df, max_cells=2, **kind)) == told(mixing.mix(df, **kind))
+
+
+def test_given_targets_are_met(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = mixing.mix(docs, targets={"lang": {"en": 0.4, "de": 0.3}}, budget=0.2, rounds=200).collect()
+    tokens = {}
+    for r in rows:
+        tokens[r.lang] = tokens.get(r.lang, 0) + r.probability * r.n_tokens
+    total = sum(tokens.values())
+    assert abs(tokens["en"] / total - 0.4) < 0.02 and abs(tokens["de"] / total - 0.3) < 0.02
+    assert abs(total / sum(r.n_tokens for r in rows) - 0.2) < 1e-6
+
+
+def test_shares_of_values():
+    natural = {"a": 0.5, "b": 0.3, "c": 0.2}
+    assert mixing.wanted_shares(natural, 1.0, None) == pytest.approx(natural)
+    assert mixing.wanted_shares(natural, 0.5, {"a": 0.2}) == pytest.approx({"a": 0.2, "b": 0.48, "c": 0.32})
+    assert mixing.wanted_shares(natural, 0.5, {"a": 2, "z": 5}) == pytest.approx({"a": 1.0, "b": 0.0, "c": 0.0})
     with pytest.raises(ValueError):
-        mixing.mix(odd, max_cells=2)
+        mixing.wanted_shares(natural, 0.5, {"a": 0, "b": 0, "c": 0})
 
 
 def test_licences(spark, none, odd):
