@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ravelin.shipping import shipped
+from ravelin.storage import exists, file_system, new_path, removed, shared_dir, written  # noqa: F401
 
 #: What counts as white space for line keys and words: [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
@@ -30,36 +31,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a new local one if the
-    master is local (tests), else an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="ravelin-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: lineage ends here and any executor can be lost."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    """Delete a table of the shared folder that nothing reads any more."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def detached(c: Column) -> Column:
     """The same long behind an expression: a join on it gets an exchange of its own,
     so that adaptive execution can split skewed partitions of the other side."""
@@ -78,6 +49,13 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(wanted))
 
 
+def trimmed() -> None:
+    """Give memory that a worker has freed back to the system: workers stay for later tasks."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def in_slices(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str | T.StructType) -> DataFrame:
     """df.mapInPandas(f, schema) with frames of at most SLICE rows; integers with nulls stay exact."""
     shipped(df.sparkSession)
@@ -95,5 +73,6 @@ def in_slices(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
         for out in f(frames()):
             yield from pa.Table.from_pandas(out, schema=arrow, preserve_index=False).combine_chunks().to_batches()
         pa.default_memory_pool().release_unused()
+        trimmed()
 
     return df.mapInArrow(run, kind)

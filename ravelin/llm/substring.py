@@ -1,15 +1,17 @@
 """Substring deduplication over a log-structured fingerprint index.
 
 Every window of 50 words has an anchor: the word 8-gram of least hash in it. Neighbouring windows with one anchor form
-a cell. The index holds, in sorted immutable runs, one entry for each distinct cell: the anchor's hash, a digest of the
-cell's words and the smallest document that holds it. A new batch of documents is merge-joined with the runs, only
-cells that no run holds make a new run, and runs are compacted. Equal windows have equal anchors, so a window can recur
-only under its own anchor: in an equal cell, which the join shows, or in a different cell of the same anchor, whose
-windows are then compared one by one by digests of their words.
+a cell. The index holds sorted immutable runs, one for each batch of documents, with an entry for each distinct cell:
+the anchor's hash, a digest of the cell's words, and the smallest document that holds it, and where. Runs are bucketed
+and sorted by anchor and digest, so that a new batch is merge-joined with them without moving or sorting them anew;
+runs of like size are compacted into one by merge joins. Equal windows have equal anchors, so a window can recur only
+under its own anchor: in an equal cell, which the join shows, or in a different cell of the same anchor, whose windows
+are then compared one by one by 128-bit digests of their words.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -18,12 +20,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm._common import detached, in_slices, new_path, removed, table
+from ravelin.llm._common import detached, exists, file_system, in_slices, new_path, removed, table, written
 
 #: Words in a window and in an anchor.
 WINDOW, ANCHOR = 50, 8
 #: Batches in which a table enters the index, and runs that are compacted into one.
 BATCHES, FANOUT = 2, 2
+#: Anchors that are broadcast at most.
+BROADCAST = 1_000_000
 #: Windows that are handled at a time.
 SEGMENT = 1 << 17
 LOWEST = -(1 << 63)
@@ -96,7 +100,7 @@ class Words:
 def _keyed(docs: DataFrame) -> DataFrame:
     """order (doc_id, null as the least), row (32 bits of a hash of the text, to tell rows of one doc_id apart) and text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("o"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("r"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("o"), F.hash(text).alias("r"), text.alias("text"))
 
 
 def cells(docs: DataFrame) -> DataFrame:
@@ -114,7 +118,7 @@ def cells(docs: DataFrame) -> DataFrame:
                 words = Words(text)
                 for fp, first, last in words.cells():
                     digests = b"".join([words.digest(f, z, 8) for f, z in zip(first.tolist(), last.tolist())])
-                    parts.append((fp, np.frombuffer(digests, "<i8"), np.full(len(fp), o, np.int64), np.full(len(fp), r, np.int64), (first << 8) | (last - first)))
+                    parts.append((fp, np.frombuffer(digests, "<i8"), np.full(len(fp), o, np.int64), np.full(len(fp), r, np.int32), (first << 8) | (last - first)))
                     waiting += len(fp)
                 if waiting > 100_000:
                     yield out()
@@ -122,55 +126,105 @@ def cells(docs: DataFrame) -> DataFrame:
             if parts:
                 yield out()
 
-    return in_slices(_keyed(docs), cut, "fp long, cell long, o long, r long, span long")
+    return in_slices(_keyed(docs), cut, "fp long, cell long, o long, r int, span long")
 
 
 class SubstringIndex:
-    """Sorted immutable runs of (fp, cell, low): distinct cells and the smallest document that holds each.
+    """The runs of an index below ``path`` in the shared folder: tables (fp, cell, low, r, span), bucketed and sorted by
+    (fp, cell), which never change. low is the smallest document that holds the cell in the run or in an older one, r and
+    span say where in the run's own smallest document; fresh says that no older run holds the cell.
 
-    Documents enter in batches of increasing doc_id; runs lie in the shared folder and are never changed, so a lost
-    executor costs nothing. A compaction removes the runs that it replaces.
+    A run's name tells which batches it covers and its buckets. A compacted run covers those that it replaces; they are
+    removed only when it is complete, so a run that another covers, or that isn't complete, doesn't count. An index is
+    opened again by its path.
     """
 
-    SCHEMA = "fp long, cell long, low long"
+    SCHEMA = "fp long, cell long, low long, r int, span long, fresh boolean"
+    NAME = re.compile(r"run-(\d{8})-(\d{8})-(\d{6})")
+
+    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT):
+        self.spark, self.fanout = spark, fanout
+        self.path = (path or new_path(spark, "substring-index")).rstrip("/")
+
+    def runs(self) -> list[str]:
+        """Names of the live runs, oldest first."""
+        if not exists(self.spark, self.path):
+            return []
+        fs, where = file_system(self.spark, self.path)
+        names = [f.getPath().getName() for f in fs.listStatus(where)]
+        matched = {n: self.NAME.fullmatch(n) for n in names}
+        found = {n: (int(m[1]), int(m[2])) for n, m in matched.items() if m and exists(self.spark, f"{self.path}/{n}/_SUCCESS")}
+        return sorted(n for n, (a, b) in found.items() if not any((c, d) != (a, b) and c <= a and b <= d for c, d in found.values()))
+
+    def table(self, run: str) -> DataFrame:
+        """A run as a bucketed table; it is registered where this session doesn't know it."""
+        name = self._name(run)
+        if not self.spark.catalog.tableExists(name):
+            self.spark.sql(f"CREATE TABLE {name} ({self.SCHEMA}) USING parquet CLUSTERED BY (fp, cell) SORTED BY (fp, cell) INTO {int(run[-6:])} BUCKETS LOCATION '{self.path}/{run}'")
+        return self.spark.table(name)
+
+    def _name(self, run: str) -> str:
+        return "ravelin_" + blake2b(f"{self.path}/{run}".encode(), digest_size=12).hexdigest()
+
+    def _write(self, entries: DataFrame, first: int, last: int) -> str:
+        runs = self.runs()
+        buckets = int(runs[0][-6:]) if runs else int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        run = f"run-{first:08d}-{last:08d}-{buckets:06d}"
+        entries.write.format("parquet").bucketBy(buckets, "fp", "cell").sortBy("fp", "cell").option("path", f"{self.path}/{run}").saveAsTable(self._name(run))
+        return run
+
+    def add(self, cells: DataFrame) -> str:
+        """A batch's cells (fp, cell, o, r, span) as a new run, merge-joined with all older ones. Returns the run."""
+        runs = self.runs()
+        new = cells.groupBy("fp", "cell").agg(F.min(F.struct("o", "r", "span")).alias("m")).select("fp", "cell", "m.*")
+        for k, run in enumerate(runs):
+            old = self.table(run).select("fp", "cell", F.col("low").alias(f"low{k}"))
+            new = new.join(old.hint("merge"), ["fp", "cell"], "left")
+        lows = [F.col(f"low{k}") for k in range(len(runs))]
+        before = F.least(*lows) if len(lows) > 1 else lows[0] if lows else F.lit(None).cast("long")
+        last = int(self.NAME.fullmatch(runs[-1])[2]) if runs else 0
+        return self._write(new.select("fp", "cell", F.least(F.col("o"), before).alias("low"), "r", "span", before.isNull().alias("fresh")), last + 1, last + 1)
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout, self.runs = spark, fanout, []
-
-    def _write(self, entries: DataFrame, name: str) -> str:
-        path = new_path(self.spark, name)
-        entries.select("fp", "cell", "low").sortWithinPartitions("fp", "cell").write.parquet(path)
-        return path
+    def compact(self) -> None:
+        """While the newest ``fanout`` runs cover equally many batches: one run in their place, by merge joins. Of a cell
+        in several, the oldest entry stays, with the smallest document of all."""
+        while True:
+            runs = self.runs()
+            some = runs[-self.fanout :]
+            covers = [(int(m[1]), int(m[2])) for m in map(self.NAME.fullmatch, some)]
+            if len(some) < self.fanout or len({b - a for a, b in covers}) > 1:
+                return
+            merged = self.table(some[0])
+            for run in some[1:]:
+                newer = self.table(run).toDF("fp", "cell", "l", "rr", "s", "f")
+                merged = merged.join(newer.hint("merge"), ["fp", "cell"], "full").select(
+                    "fp", "cell", F.least("low", "l").alias("low"), F.coalesce("r", "rr").alias("r"), F.coalesce("span", "s").alias("span"), F.coalesce("fresh", "f").alias("fresh")
+                )
+            self._write(merged, covers[0][0], covers[-1][1])
+            self.remove(some)
+
+    def remove(self, runs: list[str]) -> None:
+        for run in runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(run)}")
+            removed(self.spark, f"{self.path}/{run}")
 
     def entries(self) -> DataFrame:
-        if not self.runs:
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(*self.runs)
-
-    def add(self, docs: DataFrame) -> None:
-        """Merge-join a batch's cells with the runs; those that no run holds make a run of their own."""
-        new = cells(docs).groupBy("fp", "cell").agg(F.min("o").alias("low"))
-        if self.runs:
-            new = new.join(self.entries().select("fp", "cell"), ["fp", "cell"], "left_anti")
-        self.runs.append(self._write(new, "run"))
-        if len(self.runs) >= self.fanout:
-            self.compact()
-
-    def compact(self) -> None:
-        """One sorted run in place of many; a cell that several runs hold keeps its smallest document."""
-        merged = self.entries().groupBy("fp", "cell").agg(F.min("low").alias("low"))
-        old, self.runs = self.runs, [self._write(merged, "compacted")]
-        for path in old:
-            removed(self.spark, path)
-
-    def open_anchors(self) -> DataFrame:
-        """Anchors (fp) that stand in several cells, of different documents: runs never hold a cell twice."""
-        shared = self.entries().groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("a"), F.max("low").alias("b"))
+        out = self.spark.createDataFrame([], self.SCHEMA)
+        for run in self.runs():
+            out = out.unionByName(self.table(run))
+        return out
+
+    def open_anchors(self, among: DataFrame | None = None) -> DataFrame:
+        """Anchors (fp) that stand in several cells, of different documents; ``among`` (fp) bounds where they are looked for."""
+        held = self.entries().filter("fresh").select("fp", "low")
+        if among is not None:
+            held = held.join(among.select(F.col("fp").alias("k")), F.col("fp") == F.col("k"), "left_semi")
+        shared = held.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("a"), F.max("low").alias("b"))
         return shared.filter("n > 1 AND a <> b").select("fp")
 
 
 def _window_digests(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(w1, w2: 96 bits, o, r, at) of every window in the wanted spans (o, r, spans)."""
+    """(w1, w2: 128 bits, o, r, at) of every window in the wanted spans (o, r, spans)."""
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -184,8 +238,8 @@ def _window_digests(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 at = np.unique(np.concatenate([np.arange(s >> 8, (s >> 8) + (s & 255) + 1) for s in spans]))
                 for k in range(0, len(at), SEGMENT):
                     some = at[k : k + SEGMENT]
-                    w = np.frombuffer(b"".join([words.digest(x, x, 12) for x in some.tolist()]), np.dtype([("a", "<i8"), ("b", "<u4")]))
-                    parts.append((w["a"], w["b"].astype(np.int64), np.full(len(some), o, np.int64), np.full(len(some), r, np.int64), some))
+                    w = np.frombuffer(b"".join([words.digest(x, x, 16) for x in some.tolist()]), np.dtype([("a", "<i8"), ("b", "<i8")]))
+                    parts.append((w["a"], w["b"], np.full(len(some), o, np.int64), np.full(len(some), r, np.int32), some))
                     waiting += len(some)
                     if waiting > 100_000:
                         yield out()
@@ -194,7 +248,7 @@ def _window_digests(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield out()
 
     joined = docs.join(wanted, ["o", "r"]).select("o", "r", "text", "spans")
-    return in_slices(joined, digests, "w1 long, w2 long, o long, r long, at long")
+    return in_slices(joined, digests, "w1 long, w2 long, o long, r int, at long")
 
 
 def _batches(docs: DataFrame, n: int) -> list[Column]:
@@ -214,31 +268,66 @@ def _batches(docs: DataFrame, n: int) -> list[Column]:
     return out
 
 
-def remove_repeats(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+def remove_repeats(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT, index: SubstringIndex | None = None, history: DataFrame | None = None) -> DataFrame:
     """Drop every word covered by a window of 50 words that also starts in a document with a smaller doc_id.
 
     Windows are judged on the input. Returns doc_id, n_words, n_removed, text (kept words joined by one space), a row
     for each input row.
 
+    With an ``index``, docs is a further batch of it: what the index holds counts as well, and the batch is added.
+    ``history`` gives the documents that the index was made of; of these only rows are read whose cells share an anchor
+    with different cells of the batch. Earlier results are not revised: batches should come in order of doc_id.
+
     * null or empty text, or white space only: no words. Fewer than 50 words: nothing is removed.
     * null doc_id: a document before all others (as is the least long). Extra columns are ignored.
     * repeated doc_id: rows of one document; they never remove each other's words.
     * empty table: no rows.
     """
-    index = SubstringIndex(docs.sparkSession, fanout)
+    spark = docs.sparkSession
+    own = index is None
+    index = index or SubstringIndex(spark, fanout=fanout)
+    before = index.runs()
+    cuts, added = [], []
     for batch in _batches(docs, batches):
-        index.add(docs.filter(batch))
-    known = index.entries().select(F.col("fp").alias("f"), F.col("cell").alias("c"), "low")
-    met = cells(docs).join(known, (F.col("fp") == F.col("f")) & (F.col("cell") == F.col("c"))).select("fp", "o", "r", "span", "low")
+        cuts.append(written(cells(docs.filter(batch)), "cells"))
+        added.append(index.add(cuts[-1]))
     rows = _keyed(docs)
 
+    # Anchors in several cells: of the batch's, or of anything where the index is only this table's.
+    among = None
+    if before:
+        among = cuts[0].select("fp")
+        for cut in cuts[1:]:
+            among = among.unionByName(cut.select("fp"))
+        among = among.distinct()
+    anchors = written(index.open_anchors(among), "anchors")
+    near = F.broadcast if anchors.count() <= BROADCAST else (lambda df: df)
+    anchors = anchors.select(detached(F.col("fp")).alias("k"))
+    met = None
+    for cut, run in zip(cuts, added):
+        lows = index.table(run).select(detached(F.col("fp")).alias("f"), F.col("cell").alias("c"), "low")
+        held = cut.join(lows, (F.col("fp") == F.col("f")) & (F.col("cell") == F.col("c"))).join(near(anchors), F.col("fp") == F.col("k"), "left")
+        held = held.select("o", "r", "span", (F.col("o") > F.col("low")).alias("gone"), F.col("k").isNotNull().alias("open")).filter("gone OR open")
+        met = held if met is None else met.unionByName(held)
+    met = written(met, "met")
+
     # A cell's first document isn't cleared by the cell itself; its windows may still recur in a different cell.
-    asked = met.filter("NOT (o > low)").select("fp", "o", "r", "span").join(index.open_anchors().select(detached(F.col("fp")).alias("k")), F.col("fp") == F.col("k"), "left_semi")
-    asked = asked.groupBy("o", "r").agg(F.collect_list("span").alias("spans"))  # one document's
-    seen = _window_digests(rows, asked)
-    first = seen.groupBy("w1", "w2").agg(F.min("o").alias("low"), F.max("o").alias("high")).filter("low < high").select(detached(F.col("w1")).alias("v1"), detached(F.col("w2")).alias("v2"), "low")
+    spans = lambda df: df.groupBy("o", "r").agg(F.collect_list("span").alias("spans"))  # noqa: E731  one document's
+    seen = _window_digests(rows, spans(met.filter("NOT gone").select("o", "r", "span")))
+    known = seen.select("w1", "w2", "o")
+    if before and history is not None:
+        held = None
+        for run in before:
+            part = index.table(run).filter("fresh").join(near(anchors), F.col("fp") == F.col("k"), "left_semi").select(F.col("low").alias("o"), "r", "span")
+            held = part if held is None else held.unionByName(part)
+        known = known.unionByName(_window_digests(_keyed(history), spans(held)).select("w1", "w2", "o"))
+    first = known.groupBy("w1", "w2").agg(F.min("o").alias("low"), F.max("o").alias("high")).filter("low < high").select(detached(F.col("w1")).alias("v1"), detached(F.col("w2")).alias("v2"), "low")
     alone = seen.join(first, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2"))).filter("o > low").select("o", "r", F.shiftleft("at", 8).alias("span"))
-    gone = met.filter("o > low").select("o", "r", "span").unionByName(alone).groupBy("o", "r").agg(F.collect_list("span").alias("gone"))
+    gone = met.filter("gone").select("o", "r", "span").unionByName(alone).groupBy("o", "r").agg(F.collect_list("span").alias("gone"))
+    gone = written(gone, "gone")
+    index.compact()
+    if own:
+        index.remove(index.runs())
 
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -67,18 +67,49 @@ def test_odd_rows(odd, none):
     assert substring.remove_repeats(none).count() == 0
 
 
-def test_runs_are_disjoint_and_compacted(spark):
+def test_runs_are_kept_sorted_and_compacted_by_tiers(spark):
     rows = made(9)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    index = substring.SubstringIndex(spark, fanout=3)
-    index.add(df.filter("doc_id < 15"))
-    index.add(df.filter("doc_id >= 15"))
-    assert len(index.runs) == 2
-    entries = index.entries()
-    assert entries.count() == entries.select("fp", "cell").distinct().count()
-    before = sorted(map(tuple, entries.collect()))
-    index.compact()
-    assert len(index.runs) == 1 and sorted(map(tuple, index.entries().collect())) == before
+    index = substring.SubstringIndex(spark, fanout=2)
+    parts = [df.filter(f"doc_id >= {a} AND doc_id < {b}") for a, b in ((0, 10), (10, 20), (20, 30), (30, 99))]
+    lows = {}
+    covers = []
+    for part in parts:
+        cut = substring.cells(part)
+        index.add(cut)
+        for r in cut.collect():
+            lows[r.fp, r.cell] = min(lows.get((r.fp, r.cell), r.o), r.o)
+        index.compact()
+        covers.append([run[4:21] for run in index.runs()])
+    assert covers == [["00000001-00000001"], ["00000001-00000002"], ["00000001-00000002", "00000003-00000003"], ["00000001-00000004"]]
+    got = index.entries().collect()
+    assert {(r.fp, r.cell): r.low for r in got} == lows and len(got) == len(lows)
+    assert "Exchange" not in index.table(index.runs()[0]).groupBy("fp", "cell").count()._jdf.queryExecution().executedPlan().toString().split("isFinalPlan")[-1]
+
+
+def test_a_batch_meets_a_stored_index(spark):
+    """The index is opened again by its path; a new batch gets the results that all documents together would give."""
+    rows = sorted(made(4), key=lambda r: r[0])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    first, second = df.filter("doc_id < 25"), df.filter("doc_id >= 25")
+    index = substring.SubstringIndex(spark)
+    assert got(first, index=index) == by_hand([r for r in rows if r[0] < 25])
+    path, runs = index.path, index.runs()
+    again = substring.SubstringIndex(spark, path)
+    assert again.runs() == runs and runs
+    want = [r for r in by_hand(rows) if r[0] >= 25]
+    assert got(second, index=again, history=first) == want
+    assert sum(int(r[13:21]) - int(r[4:12]) + 1 for r in again.runs()) == 4  # two batches each, compacted or not
+
+
+def test_an_unfinished_run_does_not_count(spark):
+    df = spark.createDataFrame(made(5), "doc_id long, text string")
+    index = substring.SubstringIndex(spark, fanout=9)
+    index.add(substring.cells(df.filter("doc_id < 15")))
+    index.add(substring.cells(df.filter("doc_id >= 15")))
+    runs = index.runs()
+    substring.removed(spark, f"{index.path}/{runs[1]}/_SUCCESS")
+    assert index.runs() == runs[:1]
 
 
 def test_query(spark, sf_dir, texts):
