@@ -77,3 +77,35 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def answer_type(spans: Column, number: Column, date: Column) -> Column:
+    """SPANS, SPAN, NUMBER or DATE, the first that an answer has; null for none."""
+    return F.when(F.size(spans) > 1, "SPANS").when(F.size(spans) == 1, "SPAN").when(number != "", "NUMBER").when(date != "", "DATE")
+
+
+def gold_titles(contexts: Column, facts: Column) -> Column:
+    """Distinct titles of both fields, trimmed and in lower case, without empty ones."""
+    plain = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.lower(F.trim(x)))
+    return F.filter(F.array_union(plain(contexts), plain(facts)), lambda x: x != "")
+
+
+def training_label(label: Column) -> dict[str, Column]:
+    """Complexity, index strategy, action and reason of an outcome label; unknown labels count as the hardest."""
+    pick = lambda z, s, m: F.when(label == "Z", z).when(label == "S", s).otherwise(m)
+    return {"complexity": pick("L0", "L1", "L2"), "index_strategy": pick("None", "BM25", "BM25"), "action": label, "reason": pick("knowledge", "one retrieval", "several steps")}
+
+
+def retrieval_advice(recall_100: Column, recall_5: Column, overlap: Column) -> Column:
+    """What to improve, by recall far down and at the top, and by overlap with gold contexts."""
+    main = (
+        F.when(recall_100 < 0.5, "better recall: more candidates, rewritten queries, hybrid search").when((recall_100 >= 0.8) & (recall_5 < 0.4), "better ranking: another reranker, more documents for the reader")
+        .when((recall_100 >= 0.8) & (recall_5 >= 0.6), "retrieval is good: improve the reader")
+    )
+    return F.array_compact(F.array(main, F.when(overlap < 0.5, "contexts miss the gold ones: check rewritten queries")))
+
+
+def reader_advice(em: Column, empties: Column, extracted: Column, errors: Column) -> Column:
+    """What to improve, by exact match with gold contexts and by shares among the errors."""
+    main = F.when(em >= 0.7, "the reader is good: improve retrieval").when(em >= 0.5, "improve prompts, then retrieval").when(em >= 0.3, "improve prompts or tune the model").otherwise("take a stronger model")
+    return F.array_compact(F.array(main, F.when(empties > 0.3 * errors, "many empty answers: prompt for one"), F.when(extracted > 0.5 * errors, "many wrong extractions: reason step by step")))

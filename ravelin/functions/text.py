@@ -34,10 +34,15 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, r"\s+"), lambda w: w != "")
 
 
+#: An article that no letter, digit or underscore touches.
+WHOLE_ARTICLE = r"(?<![\p{L}\p{N}_])(a|an|the)(?![\p{L}\p{N}_])"
+
+
 def normalize_answer(c: Column) -> Column:
-    """Lower case, punctuation deleted, articles dropped as whole words, white space collapsed."""
+    """Lower case, punctuation deleted, articles dropped as whole words (also beside signs that aren't ASCII punctuation),
+    white space collapsed."""
     plain = F.translate(F.lower(c), PUNCTUATION, "")
-    return F.array_join(F.filter(F.split(plain, r"\s+"), lambda w: ~w.isin(*ARTICLES) & (w != "")), " ")
+    return F.array_join(F.filter(F.split(F.regexp_replace(plain, WHOLE_ARTICLE, " "), r"\s+"), lambda w: w != ""), " ")
 
 
 def answer_tokens(c: Column) -> Column:
@@ -49,11 +54,26 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
 
 
+def float_text(d: Column) -> Column:
+    """A double in the shortest form that reads back: with an exponent below 1e-4 and from 1e16 on, else in full."""
+    s = d.cast("string")
+    form = r"^(-?)(\d)\.(\d+)E(-?\d+)$"
+    sign, whole, part = (F.regexp_extract(s, form, k) for k in (1, 2, 3))
+    part = F.when(part == "0", "").otherwise(part)
+    power = F.nullif(F.regexp_extract(s, form, 4), F.lit("")).cast("int")
+    digits, n = F.concat(whole, part), F.length(part)
+    large = F.when(n <= power, F.concat(digits, F.repeat(F.lit("0"), power - n), F.lit(".0"))).otherwise(F.concat(F.substr(digits, F.lit(1), power + 1), F.lit("."), F.substr(digits, power + 2)))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    exponent = F.concat(whole, F.when(n > 0, F.concat(F.lit("."), part)).otherwise(""), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
+    plain = F.when(F.isnan(d), "nan").when(s == "Infinity", "inf").when(s == "-Infinity", "-inf").otherwise(s)
+    return F.when(power.isNull(), plain).otherwise(F.concat(sign, F.when((power >= 16) | (power < -4), exponent).when(power >= 0, large).otherwise(small)))
+
+
 def number_normalize(c: Column) -> Column:
     """Tokens at spaces and hyphens; numbers as doubles, other tokens without punctuation and articles."""
     def one(w: Column) -> Column:
         plain = F.translate(w, PUNCTUATION, "")
-        return F.coalesce(w.try_cast("double").cast("string"), F.when(plain.isin(*ARTICLES), "").otherwise(plain))
+        return F.coalesce(float_text(w.try_cast("double")), F.when(plain.isin(*ARTICLES), "").otherwise(plain))
 
     return F.array_join(F.filter(F.transform(F.split(F.lower(c), "[ -]"), one), lambda w: w != ""), " ")
 
@@ -185,3 +205,73 @@ def fusion_weights(lexical: Column, semantic: Column, temperature: float = 1.0)
     parts = {k: F.exp(v - top) for k, v in logits.items()}
     total = sum(parts.values(), F.lit(0.0))
     return {k: v / total for k, v in parts.items()}
+
+
+def support_normal(c: Column) -> Column:
+    """A supporting title or paragraph: lower case, without spaces."""
+    return F.replace(F.lower(c), F.lit(" "), F.lit(""))
+
+
+def single_spaced(c: Column) -> Column:
+    return F.regexp_replace(F.lower(F.trim(c)), " +", " ")
+
+
+def supported(text: Column, answer: Column) -> Column:
+    """Whether a text holds an answer, in lower case with single spaces, or normalised."""
+    return F.contains(single_spaced(text), single_spaced(answer)) | F.contains(normalize_answer(text), normalize_answer(answer))
+
+
+def looks_like_title(c: Column) -> Column:
+    """Predictions that are titles rather than answers."""
+    low = F.lower(c)
+    return F.contains(low, F.lit("wikipedia title")) | F.contains(low, F.lit("the great")) | low.startswith("ipedia") | low.startswith("ikipedia")
+
+
+def singular(w: Column) -> Column:
+    """A light stem: plural endings of a word of over three letters go."""
+    return (
+        F.when(F.length(w) <= 3, w).when(w.rlike("(?<![ea])ies$"), F.regexp_replace(w, "ies$", "y")).when(w.rlike("(?<![aeo])es$"), F.regexp_replace(w, "es$", "e"))
+        .when(w.rlike("(?<![us])s$"), F.regexp_replace(w, "s$", "")).otherwise(w)
+    )
+
+
+STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "with")
+
+
+def analyzed(c: Column, stop: Sequence[str] = STOP_WORDS, stem=singular) -> Column:
+    """Tokens without stop words, stemmed: another analyzer for the lexical index."""
+    kept = F.filter(tokens(c), lambda w: ~w.isin(*stop))
+    return F.transform(kept, stem) if stem else kept
+
+
+def without_prompt(text: Column, prompt: Column, end: str | None = None) -> Column:
+    """A generation without the prompt that it repeats: all of it, or a common beginning of over half of the prompt; cut
+    at the end mark."""
+    same = F.zip_with(F.split(text, ""), F.split(prompt, ""), lambda a, b: F.coalesce(a == b, F.lit(False)))
+    common = F.when(F.array_position(same, False) == 0, F.size(same)).otherwise(F.array_position(same, False) - 1)
+    out = F.when(F.startswith(text, prompt) | (common > 0.5 * F.length(prompt)), F.regexp_replace(F.substr(text, common.cast("int") + 1), r"^\s+", "")).otherwise(text)
+    return F.when(F.contains(out, F.lit(end)), F.substring_index(out, end, 1)).otherwise(out) if end else out
+
+
+PLAN_FILLERS = ("convert", "break it down", "step by step", "logical path", "here's", "let me", "i'll", "to answer")
+LINE_FILLERS = ("convert", "break it down", "step by step", "here's the", "here is the", "let me", "i'll")
+
+
+def plan_line(c: Column) -> Column:
+    """The first line of a plan that has an arrow and no filler, else the first line that has no filler, else the first."""
+    lines = F.transform(F.split(c, "\n"), lambda x: F.trim(x))
+    free = lambda x, fillers: ~F.greatest(*[F.contains(F.lower(x), F.lit(p)) for p in fillers])
+    first = lambda found: F.get(found, F.lit(0))
+    arrows = F.filter(lines, lambda x: F.contains(x, F.lit("->")) & free(x, PLAN_FILLERS))
+    return F.coalesce(first(arrows), first(F.filter(lines, lambda x: (x != "") & free(x, LINE_FILLERS))), first(lines))
+
+
+def first_sentence(c: Column) -> Column:
+    """A text through its first full stop, question or exclamation mark before white space; all of it if there is none."""
+    got = F.regexp_extract(c, r"(?s)^(.*?[.!?])\s", 1)
+    return F.when(got == "", c).otherwise(got)
+
+
+def first_prediction(c: Column) -> Column:
+    """A list of predictions as its first, an empty one as the empty answer."""
+    return F.coalesce(F.get(c, F.lit(0)), F.lit(""))

@@ -102,13 +102,44 @@ def difference(a: Column, b: Column) -> Column:
     return F.round(F.abs(a.try_cast("double") - b.try_cast("double")), 3)
 
 
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+
+
+def partial_date(text: Column) -> Column:
+    """year, month and day that a text names, as a struct; null for what it doesn't: 1995-06-17, 17 June 1995, June 17,
+    1995, June 1995, June 17, 1995. Months may be cut to three letters."""
+    low = F.lower(F.trim(text))
+    iso = r"^(\d{4})-(\d{1,2})(?:-(\d{1,2}))?"
+    number = lambda pattern, k=1: F.nullif(F.regexp_extract(low, pattern, k), F.lit("")).cast("int")
+    name = F.regexp_extract(low, r"\b(" + "|".join(m[:3] for m in MONTHS) + r")[a-z]*\b", 1)
+    month = F.nullif(F.array_position(F.array(*[F.lit(m[:3]) for m in MONTHS]), name).cast("int"), F.lit(0))
+    return F.struct(
+        F.coalesce(number(iso), number(r"\b(\d{4})\b")).alias("year"), F.coalesce(number(iso, 2), month).alias("month"),
+        F.coalesce(number(iso, 3), number(r"(?<!-)\b(\d{1,2})(?:st|nd|rd|th)?\b(?!-)")).alias("day"),
+    )
+
+
 def date_difference(a: Column, b: Column, unit: str) -> Column:
-    """Of dates in days, or of their months or years alone."""
-    if unit == "days":
-        return F.abs(F.datediff(a, b))
-    if unit == "months":
-        return F.abs((F.year(a) - F.year(b)) * 12 + F.month(a) - F.month(b))
-    return F.abs(F.year(a) - F.year(b))
+    """The first date less the second in days, months or years, for texts of dates or partial ones.
+
+    A date without a year takes the other's; one with neither year nor month, or with January alone, can't be used. What
+    else is missing counts as 1.
+    """
+    if unit not in ("days", "months", "years"):
+        raise ValueError(f"unknown unit {unit}")
+    x, y = partial_date(a), partial_date(b)
+    usable = lambda p: p.year.isNotNull() | (F.coalesce(p.month, F.lit(1)) != 1)
+    far = F.lit(3000)  # where neither has a year, both are in one
+    year = lambda p, q: F.coalesce(p.year, q.year, far)
+    month = lambda p: F.coalesce(p.month, F.lit(1))
+    if unit == "years":
+        out = year(x, y) - year(y, x)
+    elif unit == "months":
+        out = (year(x, y) - year(y, x)) * 12 + month(x) - month(y)
+    else:
+        day = lambda p, q: F.make_date(year(p, q), month(p), F.coalesce(p.day, F.lit(1)))
+        out = F.datediff(day(x, y), day(y, x))
+    return F.when(usable(x) & usable(y), out)
 
 
 def sorted_distinct(pairs: DataFrame, key: str, value: str, within: Sequence[str] = ()) -> DataFrame:
@@ -121,11 +152,19 @@ def verbalize(template: str, subject: Column, object_: Column) -> Column:
     return F.replace(F.replace(F.lit(template), F.lit("$1"), subject), F.lit("$2"), object_)
 
 
-def chain_facts(entities: DataFrame, predicate: str, order: str, name: str) -> DataFrame:
-    """Each entity related to the next in order. Ordering all entities is the operator's meaning; one task does it."""
-    w = W.orderBy(order)
-    nxt = entities.select(F.col(name).alias("subject"), F.lead(name).over(w).alias("object"))
-    return nxt.filter(F.col("object").isNotNull()).select(F.lit(predicate).alias("predicate"), "subject", "object")
+def chain_facts(entities: DataFrame, predicate: str, order: str, name: str, ranges: int = 64) -> DataFrame:
+    """Each entity related to the next in order (an integer), without one task for all: neighbours within ranges of the
+    order, and the first of each range with the last of the one before."""
+    low, high = entities.agg(F.min(order), F.max(order)).first()
+    if low is None:
+        return entities.select(F.lit(predicate).alias("predicate"), F.col(name).alias("subject"), F.col(name).alias("object")).limit(0)
+    width = max(1, -(-(high - low + 1) // ranges))
+    dealt = entities.select(F.floor((F.col(order) - low) / width).alias("__r"), F.col(order).alias("__o"), F.col(name).alias("subject"))
+    inside = dealt.withColumn("object", F.lead("subject").over(W.partitionBy("__r").orderBy("__o")))
+    firsts = dealt.groupBy("__r").agg(F.min_by("subject", "__o").alias("first"))  # at most ``ranges`` rows
+    nxt = firsts.select("__r", F.lead("first").over(W.orderBy("__r")).alias("next"))
+    out = inside.join(F.broadcast(nxt), "__r").select(F.lit(predicate).alias("predicate"), "subject", F.coalesce("object", "next").alias("object"))
+    return out.filter(F.col("object").isNotNull())
 
 
 def parse_predicate(text: Column) -> dict[str, Column]:

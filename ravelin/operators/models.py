@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
@@ -34,3 +35,19 @@ def merged(base: Mapping, over: Mapping) -> dict:
     for k, v in over.items():
         out[k] = merged(out[k], v) if isinstance(v, Mapping) and isinstance(out.get(k), Mapping) else v
     return out
+
+
+def retrying(call: Callable, times: int = 5, wait: float = 1.0, limited: Callable[[Exception], bool] = lambda e: False, sleep: Callable[[float], None] = time.sleep) -> Callable:
+    """The call, repeated after errors: waits double, and are five times as long where a limit of requests was met. The
+    last error is raised. Spark's own retries of tasks come on top."""
+
+    def run(*args, **kwargs):
+        for k in range(times):
+            try:
+                return call(*args, **kwargs)
+            except Exception as e:  # noqa: BLE001  whatever a service raises
+                if k + 1 == times:
+                    raise
+                sleep(wait * 2**k * (5 if limited(e) else 1))
+
+    return run

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ravelin.shipping import shipped
+
 
 def rate(c: Column, digits: int = 4) -> Column:
     return F.round(F.avg(c.cast("int")), digits)
@@ -75,3 +79,52 @@ def losses(reader: Column, baseline: Column, recall5: Column, strong: Column) ->
 
 def dominant(total: Column, retrieval: Column, reasoning: Column) -> Column:
     return F.when(total <= 0, "none").when(retrieval / total > 0.6, "retrieval").when(reasoning / total > 0.6, "reasoning").otherwise("mixed")
+
+
+class Metric(Protocol):
+    """A metric with a state of its own: a flat row of numbers, empty at first, updated by batches, merged, and read."""
+
+    state: Sequence[str]
+    result: Sequence[str]
+
+    def update(self, batch: pd.DataFrame) -> Sequence[float]: ...
+
+    def merge(self, states: pd.DataFrame) -> Sequence[float]: ...
+
+    def read(self, state: Sequence[float]) -> Sequence[float]: ...
+
+
+class MeanAndTop:
+    """Rows, the mean and the largest value."""
+
+    state, result = ("n", "total", "top"), ("n", "mean", "top")
+
+    def update(self, batch):
+        v = batch.iloc[:, 0].dropna()
+        return len(v), float(v.sum()), float(v.max()) if len(v) else float("-inf")
+
+    def merge(self, states):
+        return states["n"].sum(), states["total"].sum(), states["top"].max()
+
+    def read(self, state):
+        n, total, top = state
+        return n, total / n if n else 0.0, top
+
+
+def accumulated(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], metric: Metric) -> DataFrame:
+    """A metric of each group: batches are updated where they lie, and only their states are shuffled and merged."""
+    shipped(rows.sparkSession)
+    base = rows.select(*keys, *columns)
+    key_types = [f"{f.name} {f.dataType.simpleString()}" for f in base.schema.fields[: len(keys)]]
+    numbers = lambda names: [f"{n} double" for n in names]
+
+    def update(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            got = [(*(k if isinstance(k, tuple) else (k,)), *metric.update(part[list(columns)])) for k, part in frame.groupby(list(keys), dropna=False)]
+            yield pd.DataFrame(got, columns=[*keys, *metric.state])
+
+    def merge(key: tuple, states: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *metric.read(metric.merge(states)))], columns=[*keys, *metric.result])
+
+    states = base.mapInPandas(update, ", ".join([*key_types, *numbers(metric.state)]))
+    return states.groupBy(*keys).applyInPandas(merge, ", ".join([*key_types, *numbers(metric.result)]))

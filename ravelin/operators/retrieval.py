@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ravelin.functions.scoring import cosine
 from ravelin.functions.text import tokens
+from ravelin.sources.index import K1, B, LexicalIndex
+from ravelin.storage import written
 
-K1, B = 1.2, 0.75
 #: Rows of a query side that is broadcast, at most; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -32,30 +34,62 @@ def query_terms(queries: DataFrame, text: Column) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tokens(text))).alias("term"))
 
 
-def bm25(docs: DataFrame, terms: DataFrame, text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, doc_id, score) of every document that shares a term with a query.
+def near_terms(terms: DataFrame):
+    """What marks tables that derive from the query terms for broadcast: their number bounds them."""
+    return F.broadcast if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda df: df)
 
-    Documents are tokenised once; only postings of query terms leave the scan. Document frequencies and the two corpus
-    numbers are aggregated; the query side is broadcast if its size allows.
+
+def bm25(index: LexicalIndex, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, doc_id, score) of every document of a stored index that shares a term with a query."""
+    return index.bm25(terms, near_terms(terms), k1, b)
+
+
+#: Vectors of a query block.
+QUERY_BLOCK = 256
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, vec_id, score): cosine of a stated set of queries to every vector, or to the k best of each query.
+
+    Queries go in blocks of a fixed size: all blocks are written once, and each is broadcast to the vectors in turn.
+    """
+    held = written(queries.withColumn("__n", F.monotonically_increasing_id()), "queries")
+    total = held.count()
+    blocks = max(1, -(-total // block))
+    parts = []
+    for n in range(blocks):
+        # a block has about ``block`` queries: dealt by a hash of their number
+        some = held.filter(F.pmod(F.xxhash64("__n"), F.lit(blocks)) == n).drop("__n")
+        scored = vectors.crossJoin(F.broadcast(some)).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("q")).alias("score"))
+        if k is not None:
+            w = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+            scored = scored.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= k).drop("__k")
+        parts.append(scored)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def containing(docs: DataFrame, passages: DataFrame, words: int = 5) -> DataFrame:
+    """docs (doc_id, text), passages (query_id, passage) -> (query_id, doc_id): the documents that hold a passage.
+
+    A passage's first and last word may stand within longer ones, but words in between stand whole: documents that hold
+    its second to sixth word in a row are found by equality, and then by the whole passage. Passages with too few words
+    are looked for in every document; they are a bounded few.
     """
-    small = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # it bounds all that is derived from the terms
-    near = F.broadcast if small else (lambda df: df)
-    base = docs.select("doc_id", tokens(F.col(text)).alias("ts"))
-    corpus = base.agg(F.count(F.lit(1)).alias("N"), F.avg(F.size("ts")).alias("avgdl"))
-    postings = (
-        base.select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(near(terms.select("term").distinct()), "term", "left_semi")
-        .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    )
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = terms.join(df, "term").crossJoin(F.broadcast(corpus)).withColumn("idf", F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    tf = F.col("tf")
-    part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return postings.join(near(weighed), "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
-
-
-def knn(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, vec_id, score): cosine of a stated, bounded query set to every vector; queries are a broadcast block."""
-    return vectors.crossJoin(F.broadcast(queries)).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("q")).alias("score"))
+    split = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    own = passages.withColumn("__w", split(F.col("passage")))
+    long = own.filter(F.size("__w") >= words + 2).select("query_id", "passage", F.xxhash64(F.slice("__w", 2, words)).alias("g"))
+    w = docs.select("doc_id", split(F.col("text")).alias("w")).filter(F.size("w") >= words)
+    beside = F.arrays_zip(*[F.slice("w", F.lit(k + 1), F.size("w") - words + 1).alias(f"w{k}") for k in range(words)])
+    grams = w.select("doc_id", F.explode(F.array_distinct(F.transform(beside, lambda x: F.xxhash64(F.array(*[x[f"w{k}"] for k in range(words)]))))).alias("g"))
+    pairs = grams.join(bounded(long), "g").select("doc_id", "query_id", "passage")
+    found = docs.select("doc_id", "text").join(pairs, "doc_id").filter(F.contains("text", "passage")).select("query_id", "doc_id")
+    short = own.filter(F.size("__w") < words + 2).select("query_id", "passage")
+    if short.isEmpty():
+        return found.distinct()
+    if short.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
+        raise ValueError(f"over {QUERY_BLOCK} passages of under {words + 2} words")
+    rest = docs.select("doc_id", "text").crossJoin(F.broadcast(short)).filter(F.contains("text", "passage")).select("query_id", "doc_id")
+    return found.unionByName(rest).distinct()
 
 
 def sparse_dot(weights: DataFrame, queries: DataFrame) -> DataFrame:

@@ -16,15 +16,41 @@ def fraction(key: Column, seed: str = "42") -> Column:
     return F.conv(F.substring(order_hash(key, seed), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
+def _lowest(rows: DataFrame, by: str, key: str, wanted: DataFrame, seed: str) -> DataFrame:
+    """The ``want`` rows of each group (wanted: by, want, size) whose hashes are least.
+
+    A hash below a limit that hardly a sample misses cuts large groups down before they are ordered, so no task orders a
+    whole group; a group that the limit left short is taken whole.
+    """
+    u = fraction(F.col(key), seed)
+    w = wanted.select(F.col(by).alias("__b"), "want", "size")
+    limit = (F.col("want") + 6 * F.sqrt(F.col("want")) + 20) / F.col("size")
+    near = rows.join(w, F.col(by).eqNullSafe(F.col("__b"))).filter(u < limit).drop("__b")
+    order = W.partitionBy(by).orderBy(order_hash(F.col(key), seed), key)
+    placed = near.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= F.col("want")).drop("__n")
+    short = placed.groupBy(F.col(by).alias("__b")).agg(F.count(F.lit(1)).alias("__c"), F.first("want").alias("__w"), F.first("size").alias("__s")).filter("__c < __w AND __c < __s")
+    placed = placed.drop("want", "size")
+    if short.isEmpty():
+        return placed
+    rest = rows.join(short.select("__b", "__w"), F.col(by).eqNullSafe(F.col("__b"))).withColumn("__n", F.row_number().over(order)).filter("__n <= __w").drop("__n", "__b", "__w")
+    return placed.join(short.select("__b"), F.col(by).eqNullSafe(F.col("__b")), "left_anti").unionByName(rest)
+
+
 def stratified(rows: DataFrame, by: str, key: str, total: int, seed: str = "42") -> DataFrame:
     """total rows spread evenly over strata; the first strata in order get what is left over."""
-    strata = [r[0] for r in rows.select(by).distinct().orderBy(by).collect()]  # labels of strata: a handful
-    each, over = divmod(total, max(1, len(strata)))
-    want = F.lit(each)
-    for s in strata[:over]:
-        want = F.when(F.col(by) == s, each + 1).otherwise(want)
-    w = W.partitionBy(by).orderBy(order_hash(F.col(key), seed))
-    return rows.withColumn("__n", F.row_number().over(w)).filter((F.col("__n") <= each + 1) & (F.col("__n") <= want)).drop("__n")
+    n = rows.groupBy(by).agg(F.count(F.lit(1)).alias("size"))
+    k = n.count()
+    each, over = divmod(total, max(1, k))
+    first = n.orderBy(by).limit(over).select(F.col(by).alias("__f"), F.lit(1).alias("more"))
+    wanted = n.join(first, F.col(by).eqNullSafe(F.col("__f")), "left").select(by, (F.lit(each) + F.coalesce("more", F.lit(0))).alias("want"), "size")
+    return _lowest(rows, by, key, wanted, seed)
+
+
+def subsampled(rows: DataFrame, by: str, key: str, amount: float, seed: str = "42") -> DataFrame:
+    """Of each group a fraction, rounded up, where amount is at most 1, else so many rows."""
+    n = rows.groupBy(by).agg(F.count(F.lit(1)).alias("size"))
+    want = F.ceil(F.col("size") * amount) if amount <= 1 else F.lit(int(amount))
+    return _lowest(rows, by, key, n.select(by, want.cast("long").alias("want"), "size"), seed)
 
 
 def split(rows: DataFrame, key: str, test: float = 0.2, seed: str = "42") -> DataFrame:

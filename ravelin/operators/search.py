@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ravelin.storage import written
+
 
 class Participant(Protocol):
     """A step of an inference graph: states in, successor states out. States have state_id, question_id, next, score."""
@@ -16,11 +18,11 @@ class Participant(Protocol):
     def __call__(self, states: DataFrame) -> DataFrame: ...
 
 
-def best_first(start: DataFrame, participants: Mapping[str, Participant], end: str, beam: int = 1, steps: int = 20, cut: Callable[[DataFrame], DataFrame] = lambda s: s.checkpoint()) -> DataFrame:
+def best_first(start: DataFrame, participants: Mapping[str, Participant], end: str, beam: int = 1, steps: int = 20, cut: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
     """Expand each question's best open states until all reach ``end`` or the steps are used.
 
     In each step a question's ``beam`` states of least score are expanded, all questions at once; others wait. Lineage is
-    cut each step by ``cut`` (a reliable checkpoint).
+    cut each step by ``cut`` (a table in the shared folder).
     """
     states = start
     for _ in range(steps):
@@ -39,11 +41,12 @@ def best_first(start: DataFrame, participants: Mapping[str, Participant], end: s
 def hops(start: DataFrame, retrieve: Callable[[DataFrame], DataFrame], follow: Callable[[DataFrame], DataFrame], n: int) -> DataFrame:
     """start (query_id, q): n rounds of retrieval; each round's best hit gives the next round's query.
 
-    Returns the hits of all rounds, distinct by query and document, with the hop that found them first.
+    Returns the hits of all rounds, distinct by query and document, with the hop that found them first. Each round's hits
+    are written, so that no round runs the one before again.
     """
     found, queries = None, start
     for hop in range(1, n + 1):
-        got = retrieve(queries).withColumn("hop", F.lit(hop))
+        got = written(retrieve(queries).withColumn("hop", F.lit(hop)), "hop")
         found = got if found is None else found.unionByName(got)
         queries = follow(got.filter("rank = 1"))
     w = W.partitionBy("query_id", "doc_id").orderBy("hop", "rank")

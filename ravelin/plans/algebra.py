@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from ravelin.functions import text as T
 from ravelin.operators import facts as K
-from ravelin.plans.base import query, sql_words, t
+from ravelin.plans.base import query, t
 
 FACTS = """facts AS (
   SELECT 'placed_by' AS predicate, 'o' || o_orderkey AS subject, 'c' || o_custkey AS object FROM orders UNION ALL SELECT 'lives_in', 'c' || c_custkey, 'n' || c_nationkey FROM customer
   UNION ALL SELECT 'in_region', 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'supplies_from', 's' || s_suppkey, 'n' || s_nationkey FROM supplier)"""
 
 _Q = "CASE item_id % 6 WHEN 0 THEN 'How does ' WHEN 1 THEN 'Who is ' WHEN 2 THEN 'what is the name of the place of ' WHEN 3 THEN 'Explain the effect of \"' WHEN 4 THEN 'Compare 1998 and ' ELSE 'So ' END"
-Q_SPARK, Q_SQL = f"{_Q} || array_join(slice(split(text, ' '), 1, 6), ' ')", f"{_Q} || {sql_words('text', 1, 6)}"
+Q_SPARK = Q_SQL = f"{_Q} || text"
 _WORDS = "list_filter(regexp_split_to_array({}, '\\s+'), lambda w: w <> '')"
 
 
@@ -154,13 +154,26 @@ def math_list_agg(spark, d):
     return x.select("l_orderkey", F.size("q").cast("long").alias("n"), F.array_max("q").alias("top"), F.array_min("q").alias("low"), F.when(F.array_contains("q", 10.0), "yes").otherwise("no").alias("has_ten"))
 
 
-_DATES = "date_diff('day', least(a, b), greatest(a, b)) AS days, abs((year(a) - year(b)) * 12 + month(a) - month(b)) AS months, abs(year(a) - year(b)) AS years"
+_DATES = "date_diff('day', b, a) AS days, (year(a) - year(b)) * 12 + month(a) - month(b) AS months, year(a) - year(b) AS years"
 
 
 @query(f"SELECT o_orderkey, {_DATES} FROM (SELECT o_orderkey, o_orderdate::DATE AS a, DATE '1995-06-17' AS b FROM orders)")
 def date_difference(spark, d):
-    a, b = F.col("o_orderdate").cast("date"), F.lit("1995-06-17").cast("date")
-    return t(spark, d, "orders").select("o_orderkey", *[K.date_difference(a, b, u).cast("long").alias(u) for u in ("days", "months", "years")])
+    a = F.col("o_orderdate").cast("date").cast("string")
+    return t(spark, d, "orders").select("o_orderkey", *[K.date_difference(a, F.lit("June 17, 1995"), u).cast("long").alias(u) for u in ("days", "months", "years")])
+
+
+@query("""WITH x AS (SELECT o_orderkey, o_orderkey % 5 AS k, o_orderdate::DATE AS o FROM orders),
+y AS (SELECT o_orderkey, k, CASE WHEN k = 0 THEN o WHEN k = 1 THEN date_trunc('month', o)::DATE WHEN k = 2 THEN make_date(1995, month(o), least(day(o), 28)) WHEN k = 3 THEN make_date(year(o), 1, 1) END AS a, month(o) AS m FROM x)
+SELECT o_orderkey, CASE WHEN k = 2 AND m = 1 THEN NULL ELSE date_diff('day', DATE '1995-06-17', a) END AS days, CASE WHEN k = 2 AND m = 1 THEN NULL ELSE (year(a) - 1995) * 12 + month(a) - 6 END AS months,
+CASE WHEN k = 2 AND m = 1 THEN NULL ELSE year(a) - 1995 END AS years FROM y""")
+def partial_date_difference(spark, d):
+    """Dates in full, without a day, without a year, as a year alone, and no date: a missing year is borrowed, January
+    without a year can't be used."""
+    o, k = F.col("o_orderdate").cast("date"), F.col("o_orderkey") % 5
+    short = F.concat(F.date_format(o, "MMMM "), F.least(F.dayofmonth(o), F.lit(28)).cast("string"))
+    a = F.when(k == 0, F.date_format(o, "d MMM yyyy")).when(k == 1, F.date_format(o, "MMMM yyyy")).when(k == 2, short).when(k == 3, F.date_format(o, "yyyy")).otherwise("sometime")
+    return t(spark, d, "orders").select("o_orderkey", *[K.date_difference(a, F.lit("1995-06-17"), u).cast("long").alias(u) for u in ("days", "months", "years")])
 
 
 @query("SELECT p_brand, p_size, min(p_partkey) AS p_partkey FROM part GROUP BY p_brand, p_size")

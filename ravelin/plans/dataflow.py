@@ -6,14 +6,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ravelin.functions import scoring as S
-from ravelin.functions.text import normalize_answer, tokens
+from ravelin.functions.text import first_sentence, normalize_answer, tokens
 from ravelin.operators import retrieval as R
 from ravelin.operators import routing as O
 from ravelin.operators import sampling as M
 from ravelin.operators import search as H
-from ravelin.plans.base import ANSWERS, answers, query, sql_norm, sql_tokens, sql_words, t, word_slice
+from ravelin.plans.base import ANSWERS, MANY, answers, query, sql_norm, sql_tokens, sql_words, t
 from ravelin.plans.evaluation import ROUTING, routing
-from ravelin.plans.retrieval import BM25, TOP, bench, hits
+from ravelin.plans.retrieval import BM25, TOP, bench, hits, index
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_id % 3 <> 0")
@@ -54,26 +54,27 @@ def route_examples(spark, d):
     return first_rows(routing(spark, d), 3, ["initial_action", "final_action"], F.asc("event_id")).select("initial_action", "final_action", "event_id", F.round("confidence", 4).alias("confidence"))
 
 
-_BLOCKS = "'QID: q' || item_id || chr(10) || replace(left(text, 40), chr(10), ' ') || chr(10) || chr(10) || 'QID: r' || item_id || chr(10) || 'second'"
+_BLOCKS = "'QID: q' || item_id || chr(10) || replace(text, chr(10), ' ') || chr(10) || chr(10) || 'QID: r' || item_id || chr(10) || 'second'"
 
 
-@query("""SELECT 'q' || item_id AS question_id, trim(replace(left(text, 40), chr(10), ' ')) AS chain FROM benchmark UNION ALL SELECT 'r' || item_id, 'second' FROM benchmark""")
+@query("""SELECT 'q' || item_id AS question_id, trim(replace(text, chr(10), ' ')) AS chain FROM benchmark UNION ALL SELECT 'r' || item_id, 'second' FROM benchmark""")
 def chain_block_parse(spark, d):
     b = t(spark, d, "benchmark").select(F.explode(F.split(F.expr(_BLOCKS), r"\n\n")).alias("b"))
     return b.select(F.regexp_extract("b", r"^QID: *([^\n]*)", 1).alias("question_id"), F.trim(F.regexp_extract("b", r"(?s)^[^\n]*\n(.*)$", 1)).alias("chain"))
 
 
 def _retrieve(spark, d, k):
-    docs = t(spark, d, "documents")
-    return lambda q: R.ranked(R.bm25(docs, R.query_terms(q, F.col("q"))).withColumn("score", F.round("score", 6)), k)
+    held = index(spark, d)
+    return lambda q: R.ranked(R.bm25(held, R.query_terms(q, F.col("q"))).withColumn("score", F.round("score", 6)), k)
 
 
-_HOP2 = BM25.replace("bq AS (SELECT item_id AS query_id, unnest(list_distinct(" + sql_tokens(sql_words("text", 1, 8)) + ")) AS term FROM benchmark)", "XX")
+_SENTENCE = "coalesce(nullif(regexp_extract(d.text, '(?s)^(.*?[.!?])\\s', 1), ''), d.text)"
+_HOP2 = BM25.replace("bq AS (SELECT item_id AS query_id, unnest(list_distinct(" + sql_tokens("text") + ")) AS term FROM benchmark)", "XX")
 
 
 def _second(sql):
     """The lexical query's clauses under other names, over the queries of the second hop."""
-    body = sql.replace("XX", f"bq2 AS (SELECT query_id, unnest(list_distinct({sql_tokens(sql_words('d.text', 1, 6))})) AS term FROM hits h JOIN documents d USING (doc_id) WHERE rank = 1)")
+    body = sql.replace("XX", f"bq2 AS (SELECT query_id, unnest(list_distinct({sql_tokens(_SENTENCE)})) AS term FROM hits h JOIN documents d USING (doc_id) WHERE rank = 1)")
     for name in ("hits", "po", "dfs", "sc", "tk", "cs"):
         for a, b in ((f"{name} AS", f"{name}2 AS"), (f"FROM {name} ", f"FROM {name}2 "), (f"FROM {name})", f"FROM {name}2)"), (f"JOIN {name} ", f"JOIN {name}2 "), (f", {name} GROUP", f", {name}2 GROUP")):
             if not (name == "hits" and a == "FROM hits "):
@@ -84,7 +85,7 @@ def _second(sql):
 @query(f"""WITH {BM25}, {_second(_HOP2)} SELECT query_id, doc_id, min(hop) AS hop FROM (SELECT query_id, doc_id, 1 AS hop FROM hits WHERE rank <= 8 UNION ALL SELECT query_id, doc_id, 2 FROM hits2 WHERE rank <= 8) GROUP BY 1, 2""")
 def two_hop_retrieval(spark, d):
     docs = t(spark, d, "documents")
-    follow = lambda top: top.join(docs.select("doc_id", "text"), "doc_id").select("query_id", word_slice(F.col("text"), 1, 6).alias("q"))
+    follow = lambda top: top.join(docs.select("doc_id", "text"), "doc_id").select("query_id", first_sentence(F.col("text")).alias("q"))
     return H.hops(bench(spark, d), _retrieve(spark, d, 8), follow, 2).select("query_id", "doc_id", "hop")
 
 
@@ -97,17 +98,17 @@ def rolling_eviction(spark, d):
     return O.rolling_eviction(h.filter("pos <= 8"), h.filter("pos > 5"), "query_id", 10).select("query_id", "pos", "held", "rank")
 
 
-@query("""SELECT conv_id, string_agg(repeat(' ', 4 * (turn % 3)::INT) || CASE role WHEN 'user' THEN 'Q: ' WHEN 'assistant' THEN 'A: ' ELSE 'O: ' END || left(text, 20), chr(10) ORDER BY turn) AS trace FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id, string_agg(repeat(' ', 4 * (turn % 3)::INT) || CASE role WHEN 'user' THEN 'Q: ' WHEN 'assistant' THEN 'A: ' ELSE 'O: ' END || text, chr(10) ORDER BY turn) AS trace FROM conversations GROUP BY conv_id""")
 def trace_print(spark, d):
     mark = F.when(F.col("role") == "user", "Q: ").when(F.col("role") == "assistant", "A: ").otherwise("O: ")
-    line = F.concat(F.repeat(F.lit(" "), (4 * (F.col("turn") % 3)).cast("int")), mark, F.left("text", F.lit(20)))
+    line = F.concat(F.repeat(F.lit(" "), (4 * (F.col("turn") % 3)).cast("int")), mark, "text")
     lines = F.array_sort(F.collect_list(F.struct("turn", line.alias("line"))))
     return t(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x.line), "\n").alias("trace"))
 
 
-@query("SELECT conv_id, max_by(left(text, 30), turn) FILTER (WHERE role = 'user') AS last_question, max_by(left(text, 30), turn) FILTER (WHERE role = 'assistant') AS last_answer FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, max_by(text, turn) FILTER (WHERE role = 'user') AS last_question, max_by(text, turn) FILTER (WHERE role = 'assistant') AS last_answer FROM conversations GROUP BY conv_id")
 def trace_last(spark, d):
-    last = lambda r: F.max_by(F.when(F.col("role") == r, F.left("text", F.lit(30))), F.when(F.col("role") == r, F.col("turn")))
+    last = lambda r: F.max_by(F.when(F.col("role") == r, F.col("text")), F.when(F.col("role") == r, F.col("turn")))
     return t(spark, d, "conversations").groupBy("conv_id").agg(last("user").alias("last_question"), last("assistant").alias("last_answer"))
 
 
@@ -124,7 +125,7 @@ def head_tail_select(spark, d):
 _WS = "list_distinct(string_split(lower({}), ' '))"
 
 
-@query(f"""WITH {BM25}, h AS (SELECT query_id, rank, d.source, {_WS.format('d.text')} AS w FROM hits JOIN documents d USING (doc_id) WHERE rank <= 5), q AS (SELECT item_id AS query_id, {_WS.format(sql_words('text', 1, 8))} AS qw FROM benchmark),
+@query(f"""WITH {BM25}, h AS (SELECT query_id, rank, d.source, {_WS.format('d.text')} AS w FROM hits JOIN documents d USING (doc_id) WHERE rank <= 5), q AS (SELECT item_id AS query_id, {_WS.format('text')} AS qw FROM benchmark),
 j AS (SELECT a.query_id, a.rank, max(len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w)))) AS mj, bool_and(a.source <> b.source) AS fresh FROM h a JOIN h b ON a.query_id = b.query_id AND b.rank < a.rank GROUP BY 1, 2)
 SELECT h.query_id, h.rank, round(0.7 * least(len(list_intersect(qw, w))::DOUBLE / len(qw), 1) + 0.3 * CASE WHEN mj IS NULL THEN 1 ELSE 0.4 * CASE WHEN fresh THEN 1 ELSE 0.3 END + 0.6 * (1 - mj) END, 6) AS gain FROM h JOIN q USING (query_id) LEFT JOIN j ON j.query_id = h.query_id AND j.rank = h.rank""")
 def mi_gain(spark, d):
@@ -132,25 +133,27 @@ def mi_gain(spark, d):
     h = hits(spark, d, 5).join(docs, "doc_id").select("query_id", "rank", "source", "w")
     b = h.select(F.col("query_id").alias("bq"), F.col("rank").alias("br"), F.col("source").alias("bs"), F.col("w").alias("bw"))
     seen = h.join(b, (F.col("query_id") == F.col("bq")) & (F.col("br") < F.col("rank"))).groupBy("query_id", "rank").agg(F.max(S.jaccard(F.col("w"), F.col("bw"))).alias("mj"), F.bool_and(F.col("source") != F.col("bs")).alias("fresh"))
-    q = F.broadcast(bench(spark, d).select("query_id", F.array_distinct(F.split(F.lower("q"), " ")).alias("qw")))
+    q = R.bounded(bench(spark, d).select("query_id", F.array_distinct(F.split(F.lower("q"), " ")).alias("qw")))
     out = h.join(seen, ["query_id", "rank"], "left").join(q, "query_id")
     relevance = F.least(F.size(F.array_intersect("qw", "w")) / F.size("qw"), F.lit(1.0))
     return out.select("query_id", "rank", F.round(H.gain(relevance, F.col("fresh"), F.col("mj")), 6).alias("gain"))
 
 
-_PLAN = f"{sql_words('b.text', 1, 3)} || ' -> ' || {sql_words('b.text', 4, 7)} || ' -> ' || d.source"
+_HALF = "len(string_split(b.text, ' ')) // 2"
+_PLAN = f"{sql_words('b.text', 1, _HALF)} || ' -> ' || {sql_words('b.text', _HALF + ' + 1', MANY)} || ' -> ' || d.source"
 _PARTS = f"list_transform(string_split(lower({_PLAN}), '->'), lambda p: list_distinct(list_filter(regexp_split_to_array(trim(p), '\\s+'), lambda w: w <> '')))"
 
 
-@query(f"""SELECT doc_id, len(list_filter({_PARTS}, lambda ws: len(ws) > 0 AND len(list_intersect(ws, list_distinct(regexp_split_to_array(lower(d.text), '\\s+')))) >= greatest(1, len(ws) // 2))) AS covered FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id""")
+@query(f"""SELECT doc_id, len(list_filter({_PARTS}, lambda ws: len(ws) > 0 AND len(list_intersect(ws, list_distinct(regexp_split_to_array(lower(d.text), '\\s+')))) >= greatest(1, len(ws) // 2))) AS covered FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id""")
 def plan_coverage(spark, d):
-    b = F.broadcast(t(spark, d, "benchmark").select("item_id", F.col("text").alias("b")))
-    x = t(spark, d, "documents").join(b, F.col("doc_id") % 40 == F.col("item_id"))
-    plan = F.concat(word_slice(F.col("b"), 1, 3), F.lit(" -> "), word_slice(F.col("b"), 4, 7), F.lit(" -> "), F.col("source"))
+    b = t(spark, d, "benchmark").select("item_id", F.split("text", " ").alias("b"))
+    x = t(spark, d, "documents").join(R.bounded(b), F.col("doc_id") % b.count() == F.col("item_id"))
+    half = F.floor(F.size("b") / 2).cast("int")
+    plan = F.concat(F.array_join(F.slice("b", F.lit(1), half), " "), F.lit(" -> "), F.array_join(F.slice("b", half + 1, F.size("b")), " "), F.lit(" -> "), F.col("source"))
     return x.select("doc_id", H.covered(plan, F.col("text")).cast("long").alias("covered"))
 
 
-_LAST = "CASE turn % 3 WHEN 0 THEN '  ' WHEN 1 THEN 'So the answer is ' || left(text, 9) ELSE left(text, 30) END"
+_LAST = "CASE turn % 3 WHEN 0 THEN '  ' WHEN 1 THEN 'So the answer is ' || text ELSE text END"
 
 
 @query(f"SELECT conv_id, turn, trim(s) = '' OR turn >= 5 OR regexp_matches(s, '(?i)answer is') AS exits FROM (SELECT conv_id, turn, {_LAST} AS s FROM conversations)")
@@ -158,11 +161,11 @@ def exit_controller(spark, d):
     return t(spark, d, "conversations").select("conv_id", "turn", H.exits(F.expr(_LAST), F.col("turn"), 5).alias("exits"))
 
 
-@query("""WITH s AS (SELECT c_nationkey, list(c_mktsegment ORDER BY c_custkey) AS xs FROM customer WHERE c_custkey < 60 GROUP BY 1), h AS (SELECT c_nationkey, CASE WHEN list_contains(xs, 'BUILDING') THEN xs ELSE list_prepend('BUILDING', xs) END AS held, list_filter(xs, lambda x: x <> 'BUILDING') AS rest FROM s)
+@query("""WITH s AS (SELECT c_nationkey, list(c_mktsegment ORDER BY c_custkey) AS xs FROM customer GROUP BY 1), h AS (SELECT c_nationkey, CASE WHEN list_contains(xs, 'BUILDING') THEN xs ELSE list_prepend('BUILDING', xs) END AS held, list_filter(xs, lambda x: x <> 'BUILDING') AS rest FROM s)
 SELECT c_nationkey, array_to_string(held, ',') AS no_op, array_to_string(list_prepend('BUILDING', rest), ',') AS top, array_to_string(list_append(rest, 'BUILDING'), ',') AS bottom FROM h""")
 def pin_reorder(spark, d):
     xs = F.array_sort(F.collect_list(F.struct("c_custkey", "c_mktsegment")))
-    s = t(spark, d, "customer").filter("c_custkey < 60").groupBy("c_nationkey").agg(F.transform(xs, lambda x: x.c_mktsegment).alias("xs"))
+    s = t(spark, d, "customer").groupBy("c_nationkey").agg(F.transform(xs, lambda x: x.c_mktsegment).alias("xs"))
     return s.select("c_nationkey", *[F.array_join(O.pinned(F.col("xs"), F.lit("BUILDING"), p), ",").alias(p) for p in ("no_op", "top", "bottom")])
 
 
@@ -197,10 +200,10 @@ def nth_of_k_sample(spark, d):
 
 
 @query("""SELECT source, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS contexts FROM (SELECT d.source, d.doc_id, coalesce(l.quality, 0) = 1 AS s, bool_or(coalesce(l.quality, 0) = 1) OVER (PARTITION BY d.source, d.lang) AS a, d.lang
-FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.doc_id < 300) WHERE s OR NOT a GROUP BY source""")
+FROM documents d LEFT JOIN labels l USING (doc_id)) WHERE s OR NOT a GROUP BY source""")
 def gold_context_or_all(spark, d):
     """Supporting contexts of each question (a source and language), all of them where none supports."""
-    x = t(spark, d, "documents").filter("doc_id < 300").join(t(spark, d, "labels"), "doc_id", "left")
+    x = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id", "left")
     q = x.groupBy("source", "lang").agg(F.collect_list(F.struct("doc_id", (F.coalesce("quality", F.lit(0)) == 1).alias("s"))).alias("c"))
     kept = F.filter("c", lambda x: x.s)
     q = q.select("source", F.explode(F.when(F.size(kept) == 0, F.col("c")).otherwise(kept)).alias("x")).groupBy("source").agg(F.array_sort(F.collect_list("x.doc_id")).alias("ids"))
@@ -212,9 +215,9 @@ def fit_budget(spark, d):
     return M.within_budget(t(spark, d, "conversations"), "conv_id", "turn", F.length("text"), 1500).select("conv_id", "turn", "used")
 
 
-@query("SELECT conv_id, string_agg(CASE role WHEN 'user' THEN '<q> ' ELSE '<a> ' END || left(text, 15), ' ' ORDER BY turn) AS chain FROM conversations WHERE role <> 'system' GROUP BY conv_id")
+@query("SELECT conv_id, string_agg(CASE role WHEN 'user' THEN '<q> ' ELSE '<a> ' END || text, ' ' ORDER BY turn) AS chain FROM conversations WHERE role <> 'system' GROUP BY conv_id")
 def reasoning_chain_text(spark, d):
-    part = F.concat(F.when(F.col("role") == "user", "<q> ").otherwise("<a> "), F.left("text", F.lit(15)))
+    part = F.concat(F.when(F.col("role") == "user", "<q> ").otherwise("<a> "), "text")
     x = F.array_sort(F.collect_list(F.struct("turn", part.alias("p"))))
     return t(spark, d, "conversations").filter("role <> 'system'").groupBy("conv_id").agg(F.array_join(F.transform(x, lambda y: y.p), " ").alias("chain"))
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ravelin.functions import scoring as S
 from ravelin.functions.text import tokens
 from ravelin.operators import reports as R
+from ravelin.operators import retrieval as O
 from ravelin.operators.align import bags_f1  # noqa: F401
 from ravelin.operators.similarity import indel_ratio
-from ravelin.plans.base import ANSWERS, answers, query, sql_tokens, sql_words, t, word_slice
+from ravelin.plans.base import ANSWERS, answers, query, sql_tokens, t
 from ravelin.plans.retrieval import BM25, hits
 from ravelin.plans.scores import SQL_EM, SQL_IN, SQL_RECALL, sql_f1
 
@@ -147,8 +148,8 @@ def _retrieved(spark, d):
     """Titles retrieved for each benchmark item, and gold titles: sources of the documents that hold its text."""
     docs = t(spark, d, "documents").select("doc_id", "text", F.col("source").alias("title"))
     got = hits(spark, d).join(docs, "doc_id").groupBy("query_id").agg(F.collect_set("title").alias("ret"))
-    b = F.broadcast(t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")))
-    gold = docs.join(b, F.contains("text", "passage")).groupBy("query_id").agg(F.collect_set("title").alias("gold"))
+    b = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    gold = O.containing(docs, b).join(docs.select("doc_id", "title"), "doc_id").groupBy("query_id").agg(F.collect_set("title").alias("gold"))
     every = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
     none = F.array().cast("array<string>")
     return every.join(got, "query_id", "left").join(gold, "query_id", "left").select("query_id", F.coalesce("ret", none).alias("ret"), F.coalesce("gold", none).alias("gold"))
@@ -184,15 +185,15 @@ def context_overlap(spark, d):
 
 
 def _first_found(spark, d):
-    """The rank of the first hit that holds a benchmark item's first three words; null if none does."""
-    gold = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), word_slice(F.col("text"), 1, 3).alias("a"))
-    h = hits(spark, d).join(t(spark, d, "documents").select("doc_id", "text"), "doc_id").join(F.broadcast(gold), "query_id")
+    """The rank of the first hit that holds a benchmark item; null if none does."""
+    gold = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("a"))
+    h = hits(spark, d).join(t(spark, d, "documents").select("doc_id", "text"), "doc_id").join(O.bounded(gold), "query_id")
     found = h.filter(F.contains(F.lower("text"), F.lower("a"))).groupBy("query_id").agg(F.min("rank").alias("found"))
     return gold.select("query_id").join(found, "query_id", "left")
 
 
 FOUND = f"""{BM25}, ff AS (SELECT b.item_id AS query_id, min(rank) AS found FROM benchmark b LEFT JOIN (SELECT h.* FROM hits h JOIN documents d USING (doc_id) JOIN benchmark b2 ON b2.item_id = h.query_id
-  WHERE contains(lower(d.text), lower({sql_words('b2.text', 1, 3)}))) x ON x.query_id = b.item_id GROUP BY b.item_id)"""
+  WHERE contains(lower(d.text), lower(b2.text))) x ON x.query_id = b.item_id GROUP BY b.item_id)"""
 _AT = "coalesce(found <= {0}, false)"
 
 
@@ -318,11 +319,11 @@ def cascade_decision(spark, d):
 
 
 @query(f"""WITH b AS (SELECT item_id, list_distinct({sql_tokens('text')}) AS ts, text FROM benchmark) SELECT d.doc_id, round(CASE WHEN length(d.text) < 2 THEN 0.0 WHEN d.doc_id % 7 = 0 THEN 0.8
-ELSE 1 / (1 + exp(-(len(list_intersect({sql_tokens('d.text')}, b.ts))::DOUBLE / 10 - 1))) END, 6) AS confidence FROM documents d JOIN b ON d.doc_id % 40 = b.item_id""")
+ELSE 1 / (1 + exp(-(len(list_intersect({sql_tokens('d.text')}, b.ts))::DOUBLE / 10 - 1))) END, 6) AS confidence FROM documents d JOIN b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id""")
 def confidence_score(spark, d):
     """A logistic of a lexical logit; 0.8 without contexts (every seventh document here), 0 for an answer under two characters."""
     b = t(spark, d, "benchmark").select("item_id", F.array_distinct(tokens(F.col("text"))).alias("ts"))
-    x = t(spark, d, "documents").join(F.broadcast(b), F.col("doc_id") % 40 == F.col("item_id"))
+    x = t(spark, d, "documents").join(O.bounded(b), F.col("doc_id") % b.count() == F.col("item_id"))
     logit = F.size(F.array_intersect(tokens(F.col("text")), "ts")) / 10 - 1
     c = F.when(F.length("text") < 2, 0.0).when(F.col("doc_id") % 7 == 0, 0.8).otherwise(1 / (1 + F.exp(-logit)))
     return x.select("doc_id", F.round(c, 6).alias("confidence"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ravelin.functions import scoring as S
 from ravelin.functions.text import answer_tokens
 from ravelin.operators.align import aligned_f1 as aligned
-from ravelin.plans.base import ANSWERS, answers, query, sql_answer_tokens, sql_norm, sql_words, t, word_slice
+from ravelin.plans.base import ANSWERS, MANY, answers, query, sql_answer_tokens, sql_norm, sql_words, t, word_slice
 
 _G, _P = sql_answer_tokens("gold"), sql_answer_tokens("prediction")
 
@@ -47,12 +47,12 @@ def answer_recall(spark, d):
 
 
 @query(f"""
-WITH {ANSWERS}, g AS (SELECT question_id, prediction, unnest([gold, {sql_words('reply', 1, 6)}, {sql_words('question', 2, 9)}]) AS gold FROM qa)
+WITH {ANSWERS}, g AS (SELECT question_id, prediction, unnest([gold, reply, {sql_words('question', 2, MANY)}]) AS gold FROM qa)
 SELECT question_id, max({SQL_EM}) AS em, round(max({sql_f1()}), 6) AS f1 FROM g GROUP BY question_id
 """)
 def max_over_gold(spark, d):
     a = answers(spark, d)
-    golds = a.select("question_id", "prediction", F.explode(F.array("gold", word_slice(F.col("reply"), 1, 6), word_slice(F.col("question"), 2, 9))).alias("gold"))
+    golds = a.select("question_id", "prediction", F.explode(F.array("gold", "reply", word_slice(F.col("question"), 2, MANY))).alias("gold"))
     return golds.groupBy("question_id").agg(F.max(S.exact_match(F.col("gold"), F.col("prediction"))).alias("em"), F.round(F.max(S.token_f1(F.col("gold"), F.col("prediction"))), 6).alias("f1"))
 
 
@@ -72,11 +72,11 @@ def _sql_pair(a, b):
 
 
 @query(f"""
-WITH {ANSWERS}, s AS (SELECT question_id, {sql_words('reply', 1, 6)} AS g1, {sql_words('reply', 7, 12)} AS g2, {sql_words('reply', 5, 10)} AS p1, {sql_words('question', 1, 6)} AS p2 FROM qa)
+WITH {ANSWERS}, s AS (SELECT question_id, reply AS g1, question AS g2, {sql_words('question', 3, MANY)} AS p1, {sql_words('reply', 5, MANY)} AS p2 FROM qa)
 SELECT question_id, round(greatest(({_sql_pair('g1', 'p1')}) + ({_sql_pair('g2', 'p2')}), ({_sql_pair('g1', 'p2')}) + ({_sql_pair('g2', 'p1')})) / 2, 6) AS f1 FROM s
 """)
 def aligned_f1(spark, d):
-    a = answers(spark, d).select("question_id", F.array(word_slice(F.col("reply"), 1, 6), word_slice(F.col("reply"), 7, 12)).alias("g"), F.array(word_slice(F.col("reply"), 5, 10), word_slice(F.col("question"), 1, 6)).alias("p"))
+    a = answers(spark, d).select("question_id", F.array("reply", "question").alias("g"), F.array(word_slice(F.col("question"), 3, MANY), word_slice(F.col("reply"), 5, MANY)).alias("p"))
     spans = lambda c: F.transform(c, answer_tokens)
     return a.select("question_id", F.round(aligned(spans(F.col("g")), spans(F.col("p"))), 6).alias("f1"))
 

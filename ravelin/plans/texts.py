@@ -28,15 +28,15 @@ def drop_normalize(spark, d):
 
 
 @query(f"""
-SELECT item_id, array_to_string(list_filter(string_split('Which ' || {sql_words('text', 1, 10)} || ' is where', ' '),
+SELECT item_id, array_to_string(list_filter(string_split('Which ' || text || ' is where', ' '),
        lambda w: lower(w) NOT IN ('who','what','when','where','why','which','how','does','is')), ' ') AS query FROM benchmark
 """)
 def remove_wh_words(spark, d):
-    x = F.concat(F.lit("Which "), T.first_words(F.col("text"), 10), F.lit(" is where"))
+    x = F.concat(F.lit("Which "), "text", F.lit(" is where"))
     return t(spark, d, "benchmark").select("item_id", T.without_wh_words(x).alias("query"))
 
 
-_SENTENCE = "CASE doc_id % 4 WHEN 0 THEN 'Therefore, ' WHEN 1 THEN '12 + 3 = 15 ' WHEN 2 THEN 'so ' ELSE '' END || left(text, 60)"
+_SENTENCE = "CASE doc_id % 4 WHEN 0 THEN 'Therefore, ' WHEN 1 THEN '12 + 3 = 15 ' WHEN 2 THEN 'so ' ELSE '' END || text"
 
 
 @query(f"""
@@ -55,7 +55,7 @@ def _sql_clean(x):
     return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
 
 
-_RAW = "CASE item_id % 3 WHEN 0 THEN '\"I need to find ' WHEN 1 THEN '[tell me who is ' ELSE 'what is ' END || CASE WHEN item_id % 3 = 2 THEN '' ELSE left(text, 40) END"
+_RAW = "CASE item_id % 3 WHEN 0 THEN '\"I need to find ' WHEN 1 THEN '[tell me who is ' ELSE 'what is ' END || CASE WHEN item_id % 3 = 2 THEN '' ELSE text END"
 
 
 @query(f"SELECT item_id, CASE WHEN length(c) < 2 THEN lower(trim(q)) ELSE c END AS query FROM (SELECT item_id, q, {_sql_clean('q')} AS c FROM (SELECT item_id, {_RAW} AS q FROM benchmark))")
@@ -63,7 +63,7 @@ def clean_query(spark, d):
     return t(spark, d, "benchmark").select("item_id", T.clean_query(F.expr(_RAW)).alias("query"))
 
 
-_AGENT = "'Thought: ' || left(text, 30) || chr(10) || 'Action: ' || CASE conv_id % 7 WHEN 0 THEN 'Z' WHEN 1 THEN 'S-Sparse' WHEN 2 THEN 's-dense now' WHEN 3 THEN 'use S-Hybrid' WHEN 4 THEN 'M' WHEN 5 THEN 'none' ELSE 'go' END || chr(10) || 'Search: ' || substr(text, 5, 25) || chr(10) || CASE WHEN conv_id % 7 = 6 THEN 'then S-Dense' ELSE 'Answer: ' || right(text, 12) END"
+_AGENT = "'Thought: ' || replace(text, chr(10), ' ') || chr(10) || 'Action: ' || CASE conv_id % 7 WHEN 0 THEN 'Z' WHEN 1 THEN 'S-Sparse' WHEN 2 THEN 's-dense now' WHEN 3 THEN 'use S-Hybrid' WHEN 4 THEN 'M' WHEN 5 THEN 'none' ELSE 'go' END || chr(10) || 'Search: ' || replace(substr(text, 5), chr(10), ' ') || chr(10) || CASE WHEN conv_id % 7 = 6 THEN 'then S-Dense' ELSE 'Answer: ' || text END"
 _RAW_AGENT = f"SELECT conv_id, turn, {_AGENT} AS s FROM conversations"
 
 
@@ -76,7 +76,7 @@ def truncate_at_action(spark, d):
     return _agent(spark, d).select("conv_id", "turn", T.until_action(F.col("s")).alias("kept"))
 
 
-_EVIDENCE = "CASE turn % 4 WHEN 0 THEN 'No information here' WHEN 1 THEN 'No mention of it, but ' || left(text, 20) WHEN 2 THEN left(text, 30) ELSE 'It is unknown' END"
+_EVIDENCE = "CASE turn % 4 WHEN 0 THEN 'No information here' WHEN 1 THEN 'No mention of it, but ' || text WHEN 2 THEN text ELSE 'It is unknown' END"
 
 
 @query(f"""
@@ -142,10 +142,10 @@ _SAID = "CASE item_id % 3 WHEN 0 THEN 'So the answer is: ' || p || '.' WHEN 1 TH
 
 @query(f"""
 SELECT item_id, CASE WHEN regexp_matches(s, '(?i)^.*answer is:? ?(.+?)\\.?$') THEN regexp_extract(s, '(?i).*answer is:? ?(.*?)\\.?$', 1) ELSE regexp_replace(s, '\\.$', '') END AS answer
-FROM (SELECT item_id, {_SAID} AS s FROM (SELECT item_id, replace(replace({sql_words('text', 1, 4)}, chr(10), ' '), '.', '') AS p FROM benchmark))
+FROM (SELECT item_id, {_SAID} AS s FROM (SELECT item_id, replace(replace(text, chr(10), ' '), '.', '') AS p FROM benchmark))
 """)
 def extract_answer(spark, d):
-    p = t(spark, d, "benchmark").select("item_id", F.replace(F.replace(T.first_words(F.col("text"), 4), F.lit("\n"), F.lit(" ")), F.lit("."), F.lit("")).alias("p"))
+    p = t(spark, d, "benchmark").select("item_id", F.replace(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), F.lit("."), F.lit("")).alias("p"))
     return p.select("item_id", T.extract_answer(F.expr(_SAID)).alias("answer"))
 
 
@@ -161,13 +161,13 @@ def long_para_filter(spark, d):
 
 
 @query(f"""
-SELECT d.doc_id, len(list_intersect(string_split(lower({sql_words('d.text', 1, 12)}), ' '), string_split(lower({sql_words('b.text', 1, 12)}), ' '))) AS shared
-FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id
+SELECT d.doc_id, len(list_intersect(string_split(lower(d.text), ' '), string_split(lower(b.text), ' '))) AS shared
+FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id
 """)
 def title_question_overlap(spark, d):
-    b = t(spark, d, "benchmark").select("item_id", F.split(F.lower(T.first_words(F.col("text"), 12)), " ").alias("q"))
-    x = t(spark, d, "documents").select("doc_id", F.split(F.lower(T.first_words(F.col("text"), 12)), " ").alias("w"))
-    return x.join(b, F.col("doc_id") % 40 == F.col("item_id")).select("doc_id", F.size(F.array_intersect("w", "q")).cast("long").alias("shared"))
+    b = t(spark, d, "benchmark").select("item_id", F.split(F.lower("text"), " ").alias("q"))
+    x = t(spark, d, "documents").select("doc_id", F.split(F.lower("text"), " ").alias("w"))
+    return x.join(b, F.col("doc_id") % b.count() == F.col("item_id")).select("doc_id", F.size(F.array_intersect("w", "q")).cast("long").alias("shared"))
 
 
 _LIST = "'1. ' || p_name || chr(10) || '2. ' || p_type || chr(10) || chr(10) || '3.  ' || p_name || chr(10) || p_brand"
@@ -181,7 +181,7 @@ def numbered_list_parse(spark, d):
     return t(spark, d, "part").select("p_partkey", F.array_join(T.numbered_list(F.expr(_LIST)), "|").alias("items"))
 
 
-_QUESTION = "CASE item_id % 9 WHEN 0 THEN 'What ' WHEN 1 THEN 'who ' WHEN 2 THEN 'When ' WHEN 3 THEN 'where ' WHEN 4 THEN 'Why ' WHEN 5 THEN 'how ' WHEN 6 THEN 'Which ' ELSE 'The ' END || left(text, 20)"
+_QUESTION = "CASE item_id % 9 WHEN 0 THEN 'What ' WHEN 1 THEN 'who ' WHEN 2 THEN 'When ' WHEN 3 THEN 'where ' WHEN 4 THEN 'Why ' WHEN 5 THEN 'how ' WHEN 6 THEN 'Which ' ELSE 'The ' END || text"
 
 
 @query(f"""
@@ -204,6 +204,6 @@ def letter_concat(spark, d):
     return t(spark, d, "customer").select("c_custkey", F.array_join(F.transform(w, lambda x: F.substring(x, 2, 1)), "").alias("letters"))
 
 
-@query(f"SELECT item_id, array_to_string(list_reverse(string_split({sql_words('text', 1, 8)}, ' ')), ' ') AS reversed FROM benchmark")
+@query("SELECT item_id, array_to_string(list_reverse(string_split(text, ' ')), ' ') AS reversed FROM benchmark")
 def reverse_sequence(spark, d):
-    return t(spark, d, "benchmark").select("item_id", F.array_join(F.reverse(F.split(T.first_words(F.col("text"), 8), " ")), " ").alias("reversed"))
+    return t(spark, d, "benchmark").select("item_id", F.array_join(F.reverse(F.split("text", " ")), " ").alias("reversed"))

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ravelin.functions.scoring import bag_f1
 from ravelin.functions.text import answer_tokens, normalize_answer
+from ravelin.functions.text import first_sentence as first_sentence_of
+from ravelin.operators import retrieval as R
 from ravelin.operators import sampling as M
 from ravelin.operators.models import generated
-from ravelin.plans.base import ANSWERS, answers, query, sql_answer_tokens, sql_norm, sql_words, t, word_slice
+from ravelin.plans.base import ANSWERS, answers, query, sql_answer_tokens, sql_norm, t
 from ravelin.plans.retrieval import BM25, hits
 from ravelin.plans.scores import _sql_bag
 
@@ -79,9 +81,8 @@ SELECT source, doc_id FROM documents, m QUALIFY row_number() OVER (PARTITION BY
 def equalised_subsample(spark, d):
     """As many rows of each group as the smallest has."""
     x = t(spark, d, "documents").select("source", "doc_id")
-    k = x.groupBy("source").agg(F.count(F.lit(1)).alias("c")).agg(F.min("c").alias("k"))
-    w = W.partitionBy("source").orderBy(M.order_hash(F.col("doc_id")))
-    return x.withColumn("n", F.row_number().over(w)).crossJoin(F.broadcast(k)).filter("n <= k").select("source", "doc_id")
+    least = x.groupBy("source").agg(F.count(F.lit(1)).alias("c")).agg(F.min("c")).first()[0] or 0
+    return M.subsampled(x, "source", "doc_id", max(2, least)).select("source", "doc_id")
 
 
 @query("SELECT o_orderkey, CASE WHEN u < 0.5 THEN 'simple' WHEN u < 0.8 THEN 'chain' ELSE 'tree' END AS config FROM (SELECT o_orderkey, ('0x' || substr(md5('cfg|' || o_orderkey), 1, 8))::BIGINT / 4294967296.0 AS u FROM orders)")
@@ -93,16 +94,16 @@ def weighted_choice(spark, d):
 @query("SELECT DISTINCT doc_id, source AS title FROM documents")
 def support_pid_titles(spark, d):
     """Titles out of pids "pid___title___para"."""
-    pid = F.concat_ws("___", F.col("doc_id").cast("string"), "source", F.left("text", F.lit(10)))
+    pid = F.concat_ws("___", F.col("doc_id").cast("string"), "source", "text")
     return t(spark, d, "documents").select("doc_id", F.get(F.split(pid, "___"), F.lit(1)).alias("title")).distinct()
 
 
 @query(f"""SELECT s.source, coalesce(title, '') AS title, coalesce(para, '') AS para FROM (SELECT source, unnest(list_zip(titles, paras[1:2])) AS z, z[1] AS title, z[2] AS para FROM
-(SELECT source, list(lang ORDER BY doc_id) AS titles, list({sql_words('text', 1, 3)} ORDER BY doc_id) AS paras FROM documents WHERE doc_id < 60 GROUP BY source)) s""")
+(SELECT source, list(lang ORDER BY doc_id) AS titles, list(text ORDER BY doc_id) AS paras FROM documents GROUP BY source)) s""")
 def context_encodings(spark, d):
     """Parallel arrays of titles and paragraphs of unequal length as rows; what is missing is empty."""
-    x = F.array_sort(F.collect_list(F.struct("doc_id", "lang", word_slice(F.col("text"), 1, 3).alias("p"))))
-    g = t(spark, d, "documents").filter("doc_id < 60").groupBy("source").agg(x.alias("x"))
+    x = F.array_sort(F.collect_list(F.struct("doc_id", "lang", F.col("text").alias("p"))))
+    g = t(spark, d, "documents").groupBy("source").agg(x.alias("x"))
     g = g.select("source", F.transform("x", lambda y: y.lang).alias("titles"), F.slice(F.transform("x", lambda y: y.p), 1, 2).alias("paras"))
     z = g.select("source", F.explode(F.arrays_zip("titles", "paras")).alias("z"))
     return z.select("source", F.coalesce("z.titles", F.lit("")).alias("title"), F.coalesce("z.paras", F.lit("")).alias("para"))
@@ -121,25 +122,23 @@ def status_tally(spark, d):
     return t(spark, d, "orders").agg(F.count_if(s == "F").alias("success"), F.count_if(s == "O").alias("failed"), F.count_if(~s.isin("F", "O")).alias("skipped"))
 
 
-_A = sql_words("b.text", 1, 3)
+_A = "b.text"
 
 
 @query(f"""WITH {BM25} SELECT h.query_id, h.rank, contains(lower(d.text), lower({_A})) OR contains({sql_norm('d.text')}, {sql_norm(_A)}) OR (len({sql_answer_tokens(_A)}) > 1 AND len(list_filter({sql_answer_tokens(_A)}, lambda x: NOT list_contains({sql_answer_tokens('d.text')}, x))) = 0) AS found
 FROM hits h JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = h.query_id WHERE rank <= 5""")
 def answer_in_context(spark, d):
     """An answer as it stands, without punctuation, or by all of its words."""
-    gold = F.broadcast(t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), word_slice(F.col("text"), 1, 3).alias("a")))
+    gold = R.bounded(t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("a")))
     h = hits(spark, d, 5).join(t(spark, d, "documents").select("doc_id", "text"), "doc_id").join(gold, "query_id")
     words = answer_tokens(F.col("a"))
     every = (F.size(words) > 1) & (F.size(F.array_except(words, answer_tokens(F.col("text")))) == 0)
     return h.select("query_id", "rank", (F.contains(F.lower("text"), F.lower("a")) | F.contains(normalize_answer(F.col("text")), normalize_answer(F.col("a"))) | every).alias("found"))
 
 
-@query("SELECT doc_id, coalesce(nullif(regexp_extract(text, '^(.*?[.!?])\\s', 1), ''), text) AS sentence FROM documents WHERE NOT contains(left(text, 400), chr(10) || chr(10))")
+@query("SELECT doc_id, coalesce(nullif(regexp_extract(text, '(?s)^(.*?[.!?])\\s', 1), ''), text) AS sentence FROM documents")
 def first_sentence(spark, d):
-    got = F.regexp_extract("text", r"^(.*?[.!?])\s", 1)
-    x = t(spark, d, "documents").filter(~F.contains(F.left("text", F.lit(400)), F.lit("\n\n")))
-    return x.select("doc_id", F.when(got == "", F.col("text")).otherwise(got).alias("sentence"))
+    return t(spark, d, "documents").select("doc_id", first_sentence_of(F.col("text")).alias("sentence"))
 
 
 @query("SELECT c_custkey, trim(regexp_replace(regexp_replace(lower(x), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS plain FROM (SELECT c_custkey, c_name || '; (' || c_mktsegment || ')  -' AS x FROM customer)")
@@ -162,11 +161,11 @@ def chain_valid(spark, d):
     return t(spark, d, "lineitem").groupBy("l_orderkey").agg((F.array_sort(F.collect_list("l_partkey")) == F.array_sort(F.collect_list(p))).alias("valid"))
 
 
-@query("(SELECT source AS title, 'both' AS side FROM documents WHERE lang = 'en' INTERSECT SELECT source, 'both' FROM documents WHERE lang = 'de') UNION ALL (SELECT source, 'first' FROM documents WHERE doc_id < 100 EXCEPT SELECT source, 'first' FROM documents WHERE doc_id < 10)")
+@query("(SELECT source AS title, 'both' AS side FROM documents WHERE lang = 'en' INTERSECT SELECT source, 'both' FROM documents WHERE lang = 'de') UNION ALL (SELECT source, 'first' FROM documents WHERE lang = 'fr' EXCEPT SELECT source, 'first' FROM documents WHERE lang = 'es' AND length(text) < 500)")
 def title_set_ops(spark, d):
     x = t(spark, d, "documents")
     of = lambda c: x.filter(c).select(F.col("source").alias("title"))
-    return of("lang = 'en'").intersect(of("lang = 'de'")).withColumn("side", F.lit("both")).unionByName(of("doc_id < 100").subtract(of("doc_id < 10")).withColumn("side", F.lit("first")))
+    return of("lang = 'en'").intersect(of("lang = 'de'")).withColumn("side", F.lit("both")).unionByName(of("lang = 'fr'").subtract(of("lang = 'es' AND length(text) < 500")).withColumn("side", F.lit("first")))
 
 
 @query("SELECT doc_id, CASE WHEN toxic = 1 THEN 'L2' WHEN quality = 1 THEN 'L1' ELSE 'L0' END AS complexity, CASE WHEN toxic = 1 THEN 'None' WHEN quality = 1 THEN 'Hybrid' ELSE 'None' END AS index_strategy FROM labels")
@@ -175,10 +174,10 @@ def label_mapping(spark, d):
     return t(spark, d, "labels").select("doc_id", level.alias("complexity"), F.when(level == "L1", "Hybrid").otherwise("None").alias("index_strategy"))
 
 
-@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS number FROM (SELECT DISTINCT doc_id FROM documents WHERE lang = 'es')")
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS number FROM (SELECT DISTINCT doc_id FROM documents)")
 def sequential_numbers(spark, d):
     """Numbers in order of the id without one task for all rows: places within ranges, and the ranges' offsets."""
-    x = t(spark, d, "documents").filter("lang = 'es'").select("doc_id").distinct()
+    x = t(spark, d, "documents").select("doc_id").distinct()
     x = x.withColumn("b", F.floor(F.col("doc_id") / 100))
     sizes = x.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("b", (F.sum("n").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("before"))  # ranges, not rows
@@ -192,8 +191,8 @@ def source_row_counts(spark, d):
     return n("documents", "A").unionByName(n("pages", "B"))
 
 
-@query("SELECT item_id, coalesce(nullif(regexp_extract(p, 'Search: *([^\\n]*)', 1), ''), p) AS q, contains(p, 'Search:') AS asked FROM (SELECT item_id, CASE item_id % 2 WHEN 0 THEN 'Search: ' || left(text, 12) ELSE left(text, 12) END AS p FROM benchmark)")
+@query("SELECT item_id, coalesce(nullif(regexp_extract(p, 'Search: *([^\\n]*)', 1), ''), p) AS q, contains(p, 'Search:') AS asked FROM (SELECT item_id, CASE item_id % 2 WHEN 0 THEN 'Search: ' || text ELSE text END AS p FROM benchmark)")
 def search_line(spark, d):
-    p = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("Search: "), F.left("text", F.lit(12)))).otherwise(F.left("text", F.lit(12)))
+    p = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("Search: "), "text")).otherwise(F.col("text"))
     got = F.regexp_extract(p, r"Search: *([^\n]*)", 1)
     return t(spark, d, "benchmark").select("item_id", F.when(got == "", p).otherwise(got).alias("q"), F.contains(p, F.lit("Search:")).alias("asked"))

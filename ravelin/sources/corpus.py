@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PARAGRAPH = "id string, title string, paragraph_index int, paragraph_text string, url string, is_abstract boolean"
@@ -55,11 +56,31 @@ def nested_contexts(raw: DataFrame, column: str, text: str) -> DataFrame:
     return rows.dropDuplicates(["id"]).select("id", "title", F.lit(0).alias("paragraph_index"), "paragraph_text", F.lit("").alias("url"), F.lit(True).alias("is_abstract"))
 
 
-def passages_tsv(spark: SparkSession, path: str, done: DataFrame | None = None) -> DataFrame:
-    """Tab-separated id, text, title with a header; ids in ``done`` were written before and are left out."""
-    rows = spark.read.schema("id string, text string, title string").option("sep", "\t").option("header", True).csv(path)
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): the lines of text files, numbered from 0 within each file, without bringing a file to one task.
+
+    Lines are numbered within the splits in which Spark reads a file, and the splits' counts give the offsets.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value")
+    counts = raw.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))  # a row a split
+    w = W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, 0)
+    offsets = counts.select(F.col("file").alias("f"), F.col("start").alias("s"), "first", (F.sum("n").over(w) - F.col("n")).alias("before"))
+    out = raw.join(F.broadcast(offsets), (F.col("file") == F.col("f")) & (F.col("start") == F.col("s")))  # as many rows as splits
+    return out.select("file", (F.col("before") + F.col("at") - F.col("first")).alias("line"), "value")
+
+
+def passages_tsv(spark: SparkSession, path: str, done: DataFrame | None = None, start_line: int = 0, batch: int | None = None) -> DataFrame:
+    """Tab-separated id, text, title with a header, from ``start_line`` on (0: the first after the header); ids in
+    ``done`` were written before and are left out. ``batch`` adds a batch number for encoders."""
+    if start_line or batch:
+        lines = numbered_lines(spark, path).filter(F.col("line") > start_line)
+        part = F.from_csv("value", "id string, text string, title string", {"sep": "\t"})
+        rows = lines.select((F.col("line") - 1).alias("line"), part.alias("p")).select("line", "p.*")
+    else:
+        rows = spark.read.schema("id string, text string, title string").option("sep", "\t").option("header", True).csv(path)
     rows = rows.join(done.select("id"), "id", "left_anti") if done is not None else rows
-    return rows.select("id", "title", F.lit(0).alias("paragraph_index"), F.col("text").alias("paragraph_text"), F.lit("").alias("url"), F.lit(True).alias("is_abstract"))
+    extra = [F.floor(F.col("line") / batch).alias("batch")] if batch else []
+    return rows.select("id", "title", F.lit(0).alias("paragraph_index"), F.col("text").alias("paragraph_text"), F.lit("").alias("url"), F.lit(True).alias("is_abstract"), *extra)
 
 
 def write_corpus(paragraphs: DataFrame, corpus: str, path: str, mode: str = "overwrite") -> None:
@@ -81,6 +102,31 @@ def prompt_examples(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.posexplode(parts).alias("pos", "p")).select("pos", F.get_json_object(F.regexp_extract("p", r"^([^\n]*)", 1), "$.qid").alias("qid"), F.btrim(F.regexp_replace("p", r"^[^\n]*\n", ""), F.lit(" \n\r\t")).alias("example"))
 
 
-def write_results(rows: DataFrame, path: str, kind: str = "json") -> None:
+KINDS = {".json": "json", ".jsonl": "json", ".csv": "csv", ".parquet": "parquet"}
+
+
+def write_results(rows: DataFrame, path: str, kind: str | None = None) -> None:
+    """Rows as JSON lines, CSV with a header, or Parquet; the kind is told by the path's ending where it isn't given."""
+    kind = kind or next((k for end, k in KINDS.items() if path.rstrip("/").endswith(end)), "json")
     w = rows.write.mode("overwrite")
     w.option("header", True).csv(path) if kind == "csv" else w.json(path) if kind == "json" else w.parquet(path)
+
+
+def reload_results(spark: SparkSession, path: str, schema: str, key: str = "question_id") -> DataFrame:
+    """Results of earlier runs, by key; where a key was written more than once the last line counts."""
+    rows = numbered_lines(spark, path).select(F.struct("file", "line").alias("at"), F.from_json("value", schema).alias("r")).filter(F.col(f"r.{key}").isNotNull())
+    return rows.groupBy(F.col(f"r.{key}").alias("__k")).agg(F.max_by("r", "at").alias("r")).select("r.*")
+
+
+ROUTING_LOG = "question_id string, initial_action string, confidence double, final_action string, cascaded boolean, dataset string, question_text string"
+
+
+def read_routing_log(spark: SparkSession, path: str) -> DataFrame:
+    """A routing log: CSV with a header."""
+    return spark.read.schema(ROUTING_LOG).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+
+
+def write_routing_log(rows: DataFrame, path: str) -> None:
+    """The log's columns in order, confidences with four digits."""
+    names = [c.split(" ")[0] for c in ROUTING_LOG.split(", ")]
+    rows.select(*[F.round("confidence", 4).alias("confidence") if n == "confidence" else n for n in names]).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
