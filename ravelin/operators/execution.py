@@ -329,7 +329,7 @@ def _each(head: str, operation: str, question: str, model: Model, state: DataFra
     else:
         value = F.col("answer") if listed else F.array("answer")
         if part == "key":
-            pair = F.struct(F.when(F.lit(listed), F.to_json("answer")).otherwise(F.col("answer").cast("string")).alias("key"), F.col("item.value").alias("value"))
+            pair = F.struct((F.to_json("answer") if listed else F.col("answer")).alias("key"), F.col("item.value").alias("value"))
         else:
             pair = F.struct((F.col("item.key") if part == "value" else F.col("item")).alias("key"), value.alias("value"))
         rows = got.groupBy("qid").agg(F.bool_and(F.col("answer").isNotNull()).alias("sound"), F.array_sort(F.collect_list(F.struct("pos", pair.alias("pair")))).alias("held"))
