@@ -325,10 +325,10 @@ def drop_f1_by_type(spark, d):
     return a.groupBy("action").agg(F.round(F.avg("f1"), 6).alias("f1"))
 
 
-@query("SELECT user_id, count(*) AS n, round(sum(value) / count(*), 6) AS mean, max(value) AS top FROM events GROUP BY user_id")
+@query("SELECT user_id, count(*) AS n, round(sum(value) / count(*), 4) AS mean, max(value) AS top FROM events GROUP BY user_id")
 def accumulated_metric(spark, d):
     """A metric with a state of its own, updated by batches and merged: mean and largest value of each user's events."""
     from ravelin.operators.reports import MeanAndTop, accumulated
 
     out = accumulated(t(spark, d, "events"), ["user_id"], ["value"], MeanAndTop())
-    return out.select("user_id", F.col("n").cast("long").alias("n"), F.round("mean", 6).alias("mean"), "top")
+    return out.select("user_id", F.col("n").cast("long").alias("n"), F.round("mean", 4).alias("mean"), "top")
