@@ -24,6 +24,8 @@ ROW, PAD = 576, 255
 #: Payloads of one digest are kept once for each of so many salts, so that copies meet in as many groups.
 SALTS = 256
 LEVEL = 5
+#: Pictures that a task keeps for further copies.
+HELD = 64
 ITEMS = "array<struct<position:int,kind:string,text:string,ref:string,caption:string>>"
 _MEDIA = {"img", "audio", "video", "source", "embed"}
 _PNG = b"\x89PNG\r\n\x1a\n"
@@ -150,11 +152,20 @@ def sequences(html: Column) -> Column:
 
 
 def stored_media(payloads: DataFrame, salts: int = SALTS) -> DataFrame:
-    """payloads (salt, digest, payload) -> (salt, digest, stored): one picture for each digest and salt."""
+    """payloads (salt, digest, payload) -> (salt, digest, stored): one picture for each digest and salt. Copies that a task
+    meets one after the other are encoded once; HELD pictures wait for theirs."""
 
     def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, bytes] = {}
         for batch in batches:
-            yield pd.DataFrame({"salt": batch["salt"], "digest": batch["digest"], "stored": [png_encode(p) for p in batch["payload"]]})
+            out = []
+            for digest, payload in zip(batch["digest"], batch["payload"]):
+                picture = held.pop(digest, None) or png_encode(payload)
+                held[digest] = picture  # the latest last
+                if len(held) > HELD:
+                    del held[next(iter(held))]
+                out.append(picture)
+            yield pd.DataFrame({"salt": batch["salt"], "digest": batch["digest"], "stored": out})
 
     return in_slices(payloads.select("salt", "digest", "payload"), store, "salt int, digest string, stored binary").groupBy("digest", "salt").agg(F.first("stored").alias("stored"))
 
@@ -198,7 +209,8 @@ def feature(payload: bytes) -> str:
 
 
 def measured(items: DataFrame) -> DataFrame:
-    """Read stored bytes back and describe them: the media items with their digests, sizes and feature."""
+    """Read stored bytes back and describe them: the media items with their digests, sizes and feature, and their place and
+    caption as parsed. An item whose reference wasn't resolved has nulls."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from hashlib import sha256
@@ -206,13 +218,18 @@ def measured(items: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for doc_id, stored in zip(batch["doc_id"], batch["stored"]):
+                if stored is None:
+                    rows.append((doc_id, *[None] * 7))
+                    continue
                 payload = png_decode(stored)
                 rows.append((doc_id, len(payload.rstrip(bytes([PAD]))), len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), sha256(stored).hexdigest(), feature(payload)))
+            batch = batch.reset_index(drop=True)
             out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-            yield out.astype({"doc_id": batch["doc_id"].dtype})
+            whole = {n: pd.array(out[n].tolist(), dtype="Int64") for n in ("n_bytes", "payload_bytes", "tail_crc32", "media_bytes")}
+            yield out.assign(doc_id=batch["doc_id"], **whole, position=batch["position"], caption=batch["caption"])
 
     kind = items.schema["doc_id"].dataType.simpleString()
-    return in_slices(items.filter("kind = 'media'").select("doc_id", "stored"), read, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return in_slices(items.filter("kind = 'media'").select("doc_id", "stored", "position", "caption"), read, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, position int, caption string")
 
 
 def text_media(docs: DataFrame, salts: int = SALTS) -> DataFrame:

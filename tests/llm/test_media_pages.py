@@ -49,11 +49,11 @@ def expected(doc_id, text):
 
 
 def test_media_query(spark, sf_dir, texts):
-    assert sorted(map(tuple, media.op4_media(spark, sf_dir).collect())) == sorted(expected(d, t) for d, t in texts.items())
+    assert sorted(map(tuple, media.op4_media(spark, sf_dir).collect())) == sorted((*expected(d, t), 1, "one sample a byte") for d, t in texts.items())
 
 
 def test_media_of_odd_rows(odd, none):
-    got = sorted(map(tuple, media.text_media(odd).collect()), key=repr)
+    got = sorted((tuple(r)[:8] for r in media.text_media(odd).collect()), key=repr)
     assert got == sorted((expected(r.doc_id, r.text) for r in odd.collect()), key=repr)
     assert media.text_media(none).count() == 0
 
@@ -70,6 +70,20 @@ def test_sequences_stay_aligned(spark):
     assert [len(r["items"]) for r in media.assemble(items, ["k"]).collect()] == [6]
 
 
+def test_unresolved_references_and_copies(spark, monkeypatch):
+    a = "0a"
+    page = f'<p>One<figure><img src="media:{a}"><figcaption>First</figcaption></figure><img src="media:ff" alt="lost">'
+    stored = media.png_encode(b"x" * media.ROW)
+    items = media.resolve(spark.createDataFrame([(1, page), (None, page)], "doc_id long, html string"), spark.createDataFrame([(s, a, stored) for s in range(2)], "salt int, digest string, stored binary"), ["doc_id"], salts=2)
+    got = {(r.doc_id, r.position): (r.n_bytes, r.media_sha256, r.caption) for r in media.measured(items).collect()}
+    found = (media.ROW, hashlib.sha256(stored).hexdigest(), "First")
+    assert got == {(d, p): x for d in (1, None) for p, x in ((1, found), (2, (None, None, "lost")))}
+    df = spark.createDataFrame([(k % 3, "same " * 50 if k % 4 else f"own {k}") for k in range(400)], "doc_id long, text string")
+    rows = media.text_media(df).collect()
+    assert len(rows) == 400 and len({(r.payload_sha256, r.media_sha256) for r in rows}) == 101
+    assert all(r.payload_bytes == media.ROW and r.position == 1 for r in rows)
+
+
 def plain(h):
     m = re.search(r"<article>(.*?)</article>", h, re.S)[1]
     return "\n\n".join(x for x in (" ".join(H.unescape(re.sub("<[^>]*>", " ", b)).split()) for b in re.split("</?(?:p|h1)>", m)) if x)
