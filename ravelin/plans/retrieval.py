@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ravelin.functions.scoring import cosine, jaccard
 from ravelin.functions.text import tokens
 from ravelin.operators import retrieval as R
-from ravelin.operators.similarity import best_matches, indel_ratio, near_duplicates, similar_sets
+from ravelin.operators.similarity import best_matches, indel_ratio, near_duplicates, set_classes, shingle_sets, similar_sets
 from ravelin.plans.base import query, sql_tokens, t
 from ravelin.sources.index import LexicalIndex
 from ravelin.storage import new_path
@@ -212,9 +212,19 @@ def best_paragraph_match(spark, d):
     return best_matches(h, score, 1.5)
 
 
-@query("""
-WITH s AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) AS sh
-           FROM (SELECT doc_id, string_split(lower(text), ' ') AS w FROM documents) WHERE len(w) >= 5),
+_SHINGLED = """s0 AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')))) AS sh
+           FROM (SELECT doc_id, string_split(lower(text), ' ') AS w FROM documents) WHERE len(w) >= 5)"""
+
+
+@query(f"WITH {_SHINGLED} SELECT doc_id, min(doc_id) OVER (PARTITION BY sh) AS representative, count(*) OVER (PARTITION BY sh) AS members FROM s0")
+def near_duplicate_classes(spark, d):
+    """Which document stands for a document's equals in ``near_duplicate_pairs``."""
+    out = set_classes(shingle_sets(t(spark, d, "documents")))
+    return out.select(F.col("id").alias("doc_id"), "representative", "members")
+
+
+@query(f"""
+WITH {_SHINGLED}, s AS (SELECT min(doc_id) AS doc_id, sh FROM s0 GROUP BY sh),
 x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
 SELECT a, b, round(c::DOUBLE / (na + nb - c), 6) AS similarity FROM p WHERE c::DOUBLE / (na + nb - c) >= 0.8
@@ -224,7 +234,7 @@ def near_duplicate_pairs(spark, d):
 
 
 @query(f"""
-WITH s AS (SELECT conv_id * 100 + turn AS id, list_distinct({sql_tokens('text')}) AS ts FROM conversations WHERE role = 'user')
+WITH s AS (SELECT min(id) AS id, ts FROM (SELECT conv_id * 100 + turn AS id, list_sort(list_distinct({sql_tokens('text')})) AS ts FROM conversations WHERE role = 'user') GROUP BY ts)
 SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.ts, b.ts))::DOUBLE / len(list_distinct(list_concat(a.ts, b.ts))), 6) AS similarity
 FROM s a JOIN s b ON a.id < b.id WHERE len(list_intersect(a.ts, b.ts))::DOUBLE / len(list_distinct(list_concat(a.ts, b.ts))) >= 0.5
 """)
