@@ -9,6 +9,7 @@ from ravelin.functions.scoring import cosine, jaccard
 from ravelin.functions.text import tokens
 from ravelin.operators import retrieval as R
 from ravelin.operators.similarity import best_matches, indel_ratio, near_duplicates, set_classes, shingle_sets, similar_sets
+from ravelin.operators.vectors import VectorIndex
 from ravelin.plans.base import query, sql_tokens, t
 from ravelin.sources.index import LexicalIndex
 from ravelin.storage import new_path
@@ -275,6 +276,17 @@ def exact_script_knn(spark, d):
     return R.knn(e, q).select("query_id", F.col("vec_id").alias("doc_id"), F.round(F.col("score") + 1.0, 5).alias("score"))
 
 
+@query("SELECT count(*) AS queries, true AS recalled FROM embeddings WHERE vec_id % 100 = 0")
+def approximate_knn(spark, d):
+    """Whether a search of the nearest cells finds nine of ten of the ten nearest vectors that a full search finds."""
+    e = t(spark, d, "embeddings").select("vec_id", "embedding")
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = VectorIndex(spark, new_path(spark, "vector-index")).create(e).search(q, 10).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    exact = R.knn(e, q.withColumnRenamed("embedding", "q"), 10).select("query_id", "vec_id")
+    both = exact.join(found, ["query_id", "vec_id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("queries"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("recalled"))
+
+
 @query("SELECT doc_id, source AS paragraph_type FROM documents WHERE source IN ('src1', 'src2') OR source IS NULL OR source = ''")
 def paragraph_type_filter(spark, d):
     c = F.col("source")

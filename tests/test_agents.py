@@ -156,3 +156,15 @@ def test_knn_in_blocks_and_passages(spark, sf_dir):
     docs = spark.createDataFrame([(1, "xx one two three four five six sevens and"), (2, "one two three four five six"), (3, "short one")], "doc_id long, text string")
     p = spark.createDataFrame([(7, "x one two three four five six seven"), (8, "short"), (9, "one two three four five six seven eight")], "query_id long, passage string")
     assert sorted((r.query_id, r.doc_id) for r in R.containing(docs, p).collect()) == [(7, 1), (8, 3)]
+
+
+def test_an_approximate_index_recalls(spark, sf_dir, tmp_path):
+    from ravelin.operators.vectors import VectorIndex
+
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    q = e.select(F.col("vec_id").alias("query_id"), "embedding")
+    index = VectorIndex(spark, str(tmp_path / "v")).create(e, cells=16)
+    assert index.exists() and spark.read.parquet(index.path + "/vectors").count() == e.count()
+    exact = {(r.query_id, r.vec_id) for r in R.knn(e, q.withColumnRenamed("embedding", "q"), 5).collect()}
+    recall = lambda probes: len({(r.query_id, r.vec_id) for r in index.search(q, 5, probes).collect()} & exact) / len(exact)
+    assert recall(16) == 1.0 and recall(12) >= 0.9  # vectors without clusters need many cells
