@@ -15,8 +15,10 @@ from ravelin.functions.scoring import cosine
 from ravelin.shipping import shipped
 from ravelin.storage import exists, removed
 
-#: Vectors that centres are fitted on, at most; rounds of fitting; cells that a search reads of so many.
-SAMPLE, ROUNDS, CELLS, PROBES = 20_000, 12, 64, 24
+#: Vectors that centres are fitted on, at most; rounds of fitting; cells.
+SAMPLE, ROUNDS, CELLS = 20_000, 12, 64
+#: A search reads as many cells as hold this share of the nearest vectors of a few of the sample.
+RECALL, NEAREST, ASKED = 0.98, 10, 256
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -36,6 +38,18 @@ def fitted(vectors: np.ndarray, cells: int, rounds: int = ROUNDS, seed: int = 3)
     return centres
 
 
+def probes_for(vectors: np.ndarray, centres: np.ndarray, recall: float = RECALL, k: int = NEAREST, asked: int = ASKED) -> int:
+    """How many cells hold that share of the k nearest vectors of some of the vectors."""
+    x = _unit(vectors.astype(np.float64))
+    q = x[:asked]
+    near = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :k]
+    place = np.empty((len(q), len(centres)), np.int64)
+    order = np.argsort(-(q @ centres.T), axis=1, kind="stable")
+    np.put_along_axis(place, order, np.arange(len(centres))[None].repeat(len(q), 0), axis=1)
+    own = (x @ centres.T).argmax(axis=1)
+    return int(np.ceil(np.quantile(np.take_along_axis(place, own[near], axis=1) + 1, recall)))
+
+
 class VectorIndex:
     """Vectors (vec_id, embedding) in folders by their nearest centre, below a path."""
 
@@ -46,19 +60,22 @@ class VectorIndex:
         """Fit the centres on a bounded sample, the vectors whose hashes are least, and index every vector."""
         removed(self.spark, self.path)
         some = vectors.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
-        centres = fitted(np.stack(some["embedding"].to_numpy()), cells) if len(some) else np.zeros((0, 1))
+        sampled = np.stack(some["embedding"].to_numpy()) if len(some) else np.zeros((0, 1))
+        centres = fitted(sampled, cells) if len(some) else sampled
+        probes = probes_for(sampled, centres) if len(some) else 1
         told = self._dealt(vectors, centres, 1).withColumn("cell", F.get("cells", F.lit(0))).drop("cells")
         told.repartition(F.col("cell"), F.pmod(F.xxhash64("vec_id"), F.lit(4))).write.partitionBy("cell").parquet(f"{self.path}/vectors")
-        rows = [(k, [float(v) for v in c]) for k, c in enumerate(centres)]
-        self.spark.createDataFrame(rows, "cell int, centre array<double>").coalesce(1).write.parquet(f"{self.path}/centres")
+        rows = [(k, [float(v) for v in c], probes) for k, c in enumerate(centres)]
+        self.spark.createDataFrame(rows, "cell int, centre array<double>, probes int").coalesce(1).write.parquet(f"{self.path}/centres")
         return self
 
     def exists(self) -> bool:
         return exists(self.spark, f"{self.path}/centres/_SUCCESS")
 
-    def centres(self) -> np.ndarray:
+    def centres(self) -> tuple[np.ndarray, int]:
+        """The centres, and how many cells a search reads."""
         rows = sorted(self.spark.read.parquet(f"{self.path}/centres").collect())  # as many as cells
-        return np.array([r.centre for r in rows]) if rows else np.zeros((0, 1))
+        return (np.array([r.centre for r in rows]), rows[0].probes) if rows else (np.zeros((0, 1)), 1)
 
     def _dealt(self, rows: DataFrame, centres: np.ndarray, n: int) -> DataFrame:
         """rows with the n nearest centres of their embedding (cells)."""
@@ -73,9 +90,10 @@ class VectorIndex:
 
         return rows.mapInPandas(deal, schema)
 
-    def search(self, queries: DataFrame, k: int, probes: int = PROBES) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
         """queries (query_id, embedding) -> (query_id, vec_id, score): the k best of the cells nearest to each query."""
-        asked = self._dealt(queries.select("query_id", "embedding"), self.centres(), probes)
+        centres, usual = self.centres()
+        asked = self._dealt(queries.select("query_id", "embedding"), centres, probes or usual)
         asked = asked.select("query_id", F.col("embedding").alias("q"), F.explode("cells").alias("cell"))
         held = self.spark.read.parquet(f"{self.path}/vectors").join(asked, "cell")
         w = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
