@@ -50,7 +50,7 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def trimmed() -> None:
-    """Give memory that a worker has freed back to the system: workers stay for later tasks."""
+    """Give memory that this process has freed back to the system: workers and drivers stay for what comes later."""
     gc.collect()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.llm._common import in_slices, table, written
+from ravelin.llm._common import in_slices, table, trimmed, written
 
 #: Words of the automaton, at most. It bounds what is brought to the driver and sent to executors.
 LEXICON = 40_000
@@ -347,6 +347,8 @@ def build_lexicon(docs: DataFrame, vocabulary: str, words: int = LEXICON) -> str
     path = os.path.join(tempfile.mkdtemp(prefix="ravelin-"), name)
     compile_lexicon({r.word: bpe.merge(r.word) for r in top}, path)
     docs.sparkSession.sparkContext.addFile(path)
+    del bpe, top
+    trimmed()
     return name
 
 

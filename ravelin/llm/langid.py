@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.llm._common import in_slices, table
+from ravelin.llm._common import in_slices, table, trimmed
 
 #: Bytes in a window, widths of filters, filters of each width.
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
@@ -189,7 +189,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     if got.empty:
         return None
     got = got.sort_values(["lang", "block"])  # the order of partitions has no say
-    return train(np.frombuffer(b"".join(got["block"]), np.uint8).reshape(-1, WINDOW), got["lang"].tolist())
+    model = train(np.frombuffer(b"".join(got["block"]), np.uint8).reshape(-1, WINDOW), got["lang"].tolist())
+    del got
+    trimmed()
+    return model
 
 
 def predict(texts: Sequence[str | None], model: Model | None, tables: list | None = None) -> tuple[list[str], list[float], list[float]]:

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.llm._common import detached, in_slices, table, written
+from ravelin.llm._common import detached, in_slices, table, trimmed, written
 from ravelin.llm.components import components
 
 #: Words in a shingle, the hash's seed, and the largest number of differing bits of a link.
@@ -149,8 +149,8 @@ def _one_each(marked: DataFrame, grouped: DataFrame) -> DataFrame:
 SIMILAR_WORDS, SIMILARITY = 5, 0.8
 #: 64-bit parts of a wide fingerprint, and of the wider one of large groups' members. Sets of FEW hashes or more may miss
 #: the estimated distance by SLACK of all bits, smaller ones, whose majorities are coarse, by SLACK_FEW: over 5 deviations.
-PARTS, WIDER, FEW = 8, 64, 64
-SLACK, SLACK_FEW = {PARTS: 50, WIDER: 140}, {PARTS: 67, WIDER: 536}
+PARTS, WIDER, FEW = 8, 32, 64
+SLACK, SLACK_FEW = {PARTS: 50, WIDER: 92}, {PARTS: 67, WIDER: 268}
 #: Buckets up to this size compare their members pair by pair; members of larger ones meet so many rounds of centres, and
 #: each other in blocks of this size.
 SIMILAR_SMALL, ROUNDS, BLOCK_MEMBERS = 128, 2, 512
@@ -237,7 +237,9 @@ def common_hashes(texts: DataFrame, words: int, similarity: float, least: int =
         bound = level
     if bound is None:
         return _NONE
-    return np.sort(counts.filter(F.col("level") >= bound).select("key").toArrow()["key"].to_numpy().view(np.uint64))
+    keys = np.sort(counts.filter(F.col("level") >= bound).select("key").toArrow()["key"].to_numpy().view(np.uint64))
+    trimmed()
+    return keys
 
 
 def same_shingles(base: DataFrame) -> DataFrame:
