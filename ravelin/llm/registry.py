@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ravelin.llm import bpe, exact, langid, licenses, lines, media, mixing, pages, simhash, substring
+from ravelin.llm import audit, bpe, exact, langid, licenses, lines, media, mixing, pages, quality, simhash, substring
 
 
 def queries() -> dict:
@@ -17,8 +17,17 @@ def queries() -> dict:
         "op8_simhash": simhash.op8_simhash,
         "op9_language": langid.op9_language,
         "op10_mixing": mixing.op10_mixing,
+        "op11_quality": quality.op11_quality,
+        "op13_filter_audit": audit.op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": lines.ORACLE, "op5_exact_dedup": exact.ORACLE, "op6_licenses": licenses.ORACLE, "op10_mixing": mixing.ORACLE}
+    return {
+        "op1_line_dedup": lines.ORACLE,
+        "op5_exact_dedup": exact.ORACLE,
+        "op6_licenses": licenses.ORACLE,
+        "op10_mixing": mixing.ORACLE,
+        "op11_quality": quality.ORACLE,
+        "op13_filter_audit": audit.ORACLE,
+    }
