@@ -49,6 +49,13 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(wanted))
 
 
+def discarded(df: DataFrame) -> None:
+    """Delete the folder of a table that ``written`` returned and that nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        removed(df.sparkSession, files[0].rpartition("/")[0])
+
+
 def trimmed() -> None:
     """Give memory that this process has freed back to the system: workers and drivers stay for what comes later."""
     gc.collect()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ravelin.llm import audit, bpe, exact, langid, licenses, lines, media, mixing, pages, quality, simhash, substring
+from ravelin.llm import audit, bpe, exact, langid, licenses, lines, media, mixing, pages, phrases, quality, simhash, substring
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_language": langid.op9_language,
         "op10_mixing": mixing.op10_mixing,
         "op11_quality": quality.op11_quality,
+        "op12_phrases": phrases.op12_phrases,
         "op13_filter_audit": audit.op13_filter_audit,
     }
 
@@ -29,5 +30,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_licenses": licenses.ORACLE,
         "op10_mixing": mixing.ORACLE,
         "op11_quality": quality.ORACLE,
+        "op12_phrases": phrases.ORACLE,
         "op13_filter_audit": audit.ORACLE,
     }
