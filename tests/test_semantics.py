@@ -2,6 +2,7 @@
 
 import itertools
 import json
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ from ravelin.functions import scoring as S
 from ravelin.functions import text as T
 from ravelin.operators import facts, reports, retrieval, routing, sampling, search
 from ravelin.operators.align import assignment, bags_f1
-from ravelin.operators.similarity import ratio, similar_sets
+from ravelin.operators.similarity import ratio, set_classes, similar_sets
 from ravelin.sources import corpus
 
 
@@ -85,9 +86,15 @@ def test_similar_sets_match_brute_force(spark):
 
     rnd = random.Random(4)
     rows = [(i, sorted(rnd.sample(range(14), rnd.randint(1, 9)))) for i in range(60)]
-    got = {(r.a, r.b) for r in similar_sets(spark.createDataFrame(rows, "id int, ts array<int>"), 0.6).collect()}
-    want = {(a, b) for (a, x), (b, y) in itertools.combinations(rows, 2) if len({*x} & {*y}) / len({*x} | {*y}) >= 0.6 - 1e-12}
-    assert got == want
+    sets = spark.createDataFrame(rows, "id int, ts array<int>")
+    first = {}
+    for i, ts in rows:
+        first.setdefault(tuple(ts), i)
+    assert len(first) < len(rows)
+    want = {(a, b) for (x, a), (y, b) in itertools.combinations(first.items(), 2) if len({*x} & {*y}) / len({*x} | {*y}) >= 0.6 - 1e-12}
+    assert {(r.a, r.b) for r in similar_sets(sets, 0.6).collect()} == want
+    members = Counter(first[tuple(ts)] for _, ts in rows)
+    assert {tuple(r) for r in set_classes(sets).collect()} == {(i, first[tuple(ts)], members[first[tuple(ts)]]) for i, ts in rows}
 
 
 def test_actions(spark):
