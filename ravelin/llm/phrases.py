@@ -22,6 +22,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -115,15 +116,17 @@ class Lexicon:
 
     def __init__(self, names: list[str], bases: list[int]):
         self.bases = bases
-        self.shards = [tuple(np.load(SparkFiles.get(f"{name}-{part}.npy"), mmap_mode="r") for part in ("places", "sizes", "ends", "text")) for name in names]
+        self.shards = [tuple(np.asarray(np.load(SparkFiles.get(f"{name}-{part}.npy"), mmap_mode="r")) for part in ("places", "sizes", "ends", "text")) for name in names]
 
     def find(self, words: list[bytes]) -> list[int]:
         hashes = _word_hashes(words)
         shard, out = hashes % np.uint64(len(self.shards)), [-1] * len(words)
         for s, (places, sizes, ends, text) in enumerate(self.shards):
             at = np.flatnonzero(shard == s)
-            for i, slot in zip(at.tolist(), PerfectHash(places, sizes.tolist()).slots(hashes[at]).tolist(), strict=True):
-                if slot >= 0 and text[ends[slot] : ends[slot + 1]].tobytes() == words[i]:
+            slots = PerfectHash(places, sizes.tolist()).slots(hashes[at])
+            at, slots = at[slots >= 0], slots[slots >= 0]
+            for i, slot, begin, end in zip(at.tolist(), slots.tolist(), ends[slots].tolist(), ends[slots + 1].tolist(), strict=True):
+                if len(words[i]) == end - begin and text[begin:end].tobytes() == words[i]:
                     out[i] = self.bases[s] + slot
         return out
 
@@ -170,8 +173,8 @@ def build_lexicon(words: DataFrame) -> tuple[list[str], list[int], DataFrame]:
     dealt = written(in_slices(words, shard, "lang string, word string, n long, shard long"), "words")
     folder, names, bases, base, parts = Path(tempfile.mkdtemp(prefix="ravelin-")), [], [], 0, []
     for s in range(shards):
-        own = dealt.filter(F.col("shard") == s).drop("shard").toPandas()
-        keys = [_named(x, w.encode("utf-8", "surrogatepass")) for x, w in zip(own["lang"], own["word"], strict=True)]
+        own = dealt.filter(F.col("shard") == s).drop("shard").toArrow()
+        keys = [_named(x, w.encode("utf-8", "surrogatepass")) for x, w in zip(own["lang"].to_pylist(), own["word"].to_pylist(), strict=True)]
         hashes = _word_hashes(keys)
         if len(np.unique(hashes)) < len(hashes):
             raise ValueError("two frequent words have the same 64-bit hash")
@@ -186,9 +189,9 @@ def build_lexicon(words: DataFrame) -> tuple[list[str], list[int], DataFrame]:
             spark.sparkContext.addFile(str(folder / f"{name}-{part}.npy"))
         names.append(name)
         bases.append(base)
-        if len(own):
-            parts.append(written(spark.createDataFrame(own.assign(id=slots.astype("int64") + base)[["id", "lang", "word", "n"]], "id long, lang string, word string, n long"), "words"))
-        base += len(own)
+        if len(keys):
+            parts.append(written(spark.createDataFrame(own.append_column("id", pa.array(slots.astype("int64") + base))).select("id", "lang", "word", "n"), "words"))
+        base += len(keys)
     out = parts[0] if parts else spark.createDataFrame([], "id long, lang string, word string, n long")
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -223,22 +226,16 @@ def encoded(docs: DataFrame, names: list[str], bases: list[int]) -> DataFrame:
     """Rows of ids: runs of frequent words."""
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon, known = Lexicon(names, bases), {}
+        lexicon = Lexicon(names, bases)
 
         def arrays() -> Iterator[np.ndarray]:
             for batch in batches:
                 for lang, group in batch.groupby("lang")["text"]:
-                    own = known.setdefault(lang, {BREAK: -1})
-                    for text in group:
-                        words = tokens(text)
-                        if new := list(set(words) - own.keys()):
-                            if sum(map(len, known.values())) > 4 * HELD:
-                                for x in known.values():
-                                    x.clear()
-                                    x[BREAK] = -1
-                                new = list(set(words) - {BREAK})
-                            own.update(zip(new, lexicon.find([_named(lang, w) for w in new]), strict=True))
-                        yield squeezed(np.fromiter(map(own.__getitem__, words), "int32", len(words)))
+                    texts = [tokens(text) for text in group]
+                    words = list(set().union(*texts) - {BREAK})
+                    ids = dict(zip(words, lexicon.find([_named(lang, w) for w in words]), strict=True)) | {BREAK: -1}
+                    for x in texts:
+                        yield squeezed(np.fromiter(map(ids.__getitem__, x), "int32", len(x)))
 
         yield from _blobs(arrays())
 
@@ -252,19 +249,16 @@ def _keys(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return at, ids[at].astype("uint64") << np.uint64(32) | ids[at + 1].astype("uint64")
 
 
-def _sums(rows: DataFrame, size: int, places) -> np.ndarray:
-    """Sums over tasks of arrays of ``size`` counters: places(row) gives the counters that a row of ids adds one to."""
+def _sums(rows: DataFrame, size: int, places, least: int | None = None) -> np.ndarray:
+    """Sums over tasks of arrays of ``size`` counters: places(row) gives the counters that a row of ids adds one to. With
+    ``least``, only whether a sum reaches it."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(size, "int64" if size <= SLOTS else "int32")
+        total = np.zeros(size, "int32" if size > SLOTS else "int64")
         for batch in batches:
-            for blob in batch["ids"]:
-                at = places(blob)
-                if len(at) * 8 < size:
-                    at, n = np.unique(at, return_counts=True)
-                    total[at] += n.astype(total.dtype)
-                else:
-                    total += np.bincount(at, minlength=size).astype(total.dtype)
+            at = [places(blob) for blob in batch["ids"]]
+            at, n = np.unique(np.concatenate(at), return_counts=True) if at else ([], np.empty(0, "int64"))
+            total[at] += n.astype(total.dtype)
         node = TaskContext.get().partitionId() // NODE
         for chunk in range(0, size, CHUNK):
             x = total[chunk : chunk + CHUNK]
@@ -272,22 +266,24 @@ def _sums(rows: DataFrame, size: int, places) -> np.ndarray:
                 narrow = x.astype(np.min_scalar_type(int(x.max())))
                 yield pd.DataFrame({"chunk": [chunk // CHUNK], "node": [node], "width": [narrow.itemsize], "counts": [narrow.tobytes()]})
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add(batches: Iterator[pd.DataFrame], last: bool = False) -> Iterator[pd.DataFrame]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, width, counts in zip(batch["chunk"], batch["width"], batch["counts"], strict=True):
                 x = np.frombuffer(counts, f"<u{width}")
                 held[chunk] = held[chunk] + x if chunk in held else x.astype("int64")
         for chunk, x in held.items():
-            yield pd.DataFrame({"chunk": [chunk], "node": [0], "width": [8], "counts": [x.tobytes()]})
+            told = np.packbits(x >= least) if last and least is not None else x
+            yield pd.DataFrame({"chunk": [chunk], "node": [0], "width": [8], "counts": [told.tobytes()]})
 
     kind = "chunk int, node int, width int, counts binary"
     parts = in_slices(rows, count, kind).repartition("chunk", "node")
     nodes = in_slices(parts, add, kind).repartition("chunk")
-    out = np.zeros(size, "int64")
-    for r in in_slices(nodes, add, kind).select("chunk", "counts").toPandas().itertuples():
-        x = np.frombuffer(r.counts, "<i8")
-        out[r.chunk * CHUNK : r.chunk * CHUNK + len(x)] = x
+    got = in_slices(nodes, lambda batches: add(batches, True), kind).select("chunk", "counts").toArrow()
+    out = np.zeros(size, bool if least is not None else "int64")
+    for chunk, counts in zip(got["chunk"].to_pylist(), got["counts"].to_pylist(), strict=True):
+        x = np.frombuffer(counts, "<i8") if least is None else np.unpackbits(np.frombuffer(counts, "uint8"))[: min(CHUNK, size - chunk * CHUNK)].astype(bool)
+        out[chunk * CHUNK : chunk * CHUNK + len(x)] = x
     return out
 
 
@@ -295,8 +291,10 @@ def candidates(rows: DataFrame, words: int, least: int) -> DataFrame:
     """(key): distinct keys in rows of ids whose counter of the sketch reaches ``least``, as longs."""
     bits = int(np.clip(max(words // 8, 1).bit_length(), *SKETCH))
     shift = np.uint64(64 - bits)
-    alive = _sums(rows, 1 << bits, lambda blob: (_mix(_keys(blob)[1], 99) >> shift).astype("int64")) >= least
+    alive = _sums(rows, 1 << bits, lambda blob: (_mix(_keys(blob)[1], 99) >> shift).astype("int64"), least)
     sent = rows.sparkSession.sparkContext.broadcast(np.packbits(alive))
+    del alive
+    trimmed()
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         on = np.unpackbits(sent.value).astype(bool)
@@ -328,7 +326,7 @@ def lengthened(rows: DataFrame, words: int, least: int) -> tuple[DataFrame, Data
     rows = rows.withColumn("next", F.lit(None).cast("binary"))
     parts, base = [], 0
     for b in range(blocks):
-        stored = StoredKeys(found.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).toPandas()["key"].to_numpy("int64").view("uint64"))
+        stored = StoredKeys(found.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).toArrow()["key"].to_numpy().view("uint64"))
         sent = spark.sparkContext.broadcast(stored)
         counts = _sums(rows, max(1, len(stored.keys)), lambda blob, sent=sent: (x := sent.value.find(_keys(blob)[1]))[x >= 0])[: len(stored.keys)]
         often = np.flatnonzero(counts >= least)
@@ -337,8 +335,8 @@ def lengthened(rows: DataFrame, words: int, least: int) -> tuple[DataFrame, Data
         base += len(often)
         if len(often):
             keys = stored.keys[often]
-            frame = pd.DataFrame({"id": ids[often].astype("int64"), "head": (keys >> np.uint64(32)).astype("int64"), "tail": (keys & np.uint64((1 << 32) - 1)).astype("int64"), "n": counts[often]})
-            parts.append(written(spark.createDataFrame(frame, kind), "phrases"))
+            found_ = {"id": ids[often].astype("int64"), "head": (keys >> np.uint64(32)).astype("int64"), "tail": (keys & np.uint64((1 << 32) - 1)).astype("int64"), "n": counts[often]}
+            parts.append(written(spark.createDataFrame(pa.table(found_)), "phrases"))
             before, rows = rows, written(_with_ids(rows, sent, spark.sparkContext.broadcast(ids)), "ids")
             discarded(before)
     discarded(found)
