@@ -288,7 +288,8 @@ def _sums(rows: DataFrame, size: int, places, least: int | None = None) -> np.nd
 
 
 def candidates(rows: DataFrame, words: int, least: int) -> DataFrame:
-    """(key): distinct keys in rows of ids whose counter of the sketch reaches ``least``, as longs."""
+    """(key): distinct keys in rows of ids whose counter of the sketch reaches ``least``, as longs. Tasks send their own
+    distinct keys packed by hash."""
     bits = int(np.clip(max(words // 8, 1).bit_length(), *SKETCH))
     shift = np.uint64(64 - bits)
     alive = _sums(rows, 1 << bits, lambda blob: (_mix(_keys(blob)[1], 99) >> shift).astype("int64"), least)
@@ -296,6 +297,15 @@ def candidates(rows: DataFrame, words: int, least: int) -> DataFrame:
     del alive
     trimmed()
 
+    parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def packed(held: list[np.ndarray]) -> pd.DataFrame:
+        x = np.unique(np.concatenate(held))
+        part = (_mix(x, 5) % np.uint64(parts)).astype("int32")
+        order = np.argsort(part, kind="stable")
+        own, begin = np.unique(part[order], return_index=True)
+        return pd.DataFrame({"part": own, "keys": [k.tobytes() for k in np.split(x[order], begin[1:])] if len(own) else []})
+
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         on = np.unpackbits(sent.value).astype(bool)
         held, n = [], 0
@@ -308,12 +318,19 @@ def candidates(rows: DataFrame, words: int, least: int) -> DataFrame:
                     held = [np.unique(np.concatenate(held))]
                     n = len(held[0])
                 if n > 3 * HELD:
-                    yield pd.DataFrame({"key": held[0].view("int64")})
+                    yield packed(held)
                     held, n = [], 0
         if held:
-            yield pd.DataFrame({"key": np.unique(np.concatenate(held)).view("int64")})
+            yield packed(held)
+
+    def united(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The different keys of a partition, which has all packs of its parts."""
+        held = np.empty(0, "uint64")
+        for batch in batches:
+            held = np.unique(np.concatenate([held, *(np.frombuffer(x, "<u8") for x in batch["keys"])]))
+        yield pd.DataFrame({"key": held.view("int64")})
 
-    return in_slices(rows, keys, "key long").distinct()
+    return in_slices(in_slices(rows, keys, "part int, keys binary").repartition("part"), united, "key long")
 
 
 def lengthened(rows: DataFrame, words: int, least: int) -> tuple[DataFrame, DataFrame | None]:
