@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.operators.facts import TRUE, parse_predicate
+from ravelin.storage import written
 
 #: (asks: key columns and q, the question's text; the step's template) -> asks with a column answer: an array of strings
 #: where the template asks for a list, else a string; null for no valid answer.
@@ -242,6 +243,24 @@ def find_model(question: str, models: Mapping[str, str]) -> str:
     return found.pop()
 
 
+def resolved_models(questions: DataFrame, models: DataFrame) -> DataFrame:
+    """questions (qid, question: a predicate) and models (predicate, model) -> (qid, question, model): the one model whose
+    predicate has the question's name, as many arguments, and "?" where it has. Null for no model or several, for a name
+    that a model has with another number of arguments, and for what is no predicate."""
+
+    def shaped(text: Column) -> list[Column]:
+        p = parse_predicate(text)
+        return [p["name"].alias("name"), F.size(p["args"]).alias("n"), F.transform(p["args"], lambda x: F.contains(x, F.lit("?"))).alias("shape")]
+
+    own = models.select("model", *shaped(F.col("predicate")))
+    named = own.groupBy(F.col("name").alias("m_name")).agg(F.collect_set("n").alias("lengths"))
+    shapes = own.groupBy(F.col("name").alias("s_name"), F.col("shape").alias("s_shape")).agg(F.min("model").alias("first"), F.max("model").alias("last"))
+    asked = questions.select("qid", "question", *shaped(F.col("question")))
+    found = asked.join(named, F.col("name") == F.col("m_name"), "left").join(shapes, (F.col("name") == F.col("s_name")) & (F.col("shape") == F.col("s_shape")), "left")
+    fits = (F.col("lengths") == F.array("n")) & (F.col("first") == F.col("last")) & F.col("question").rlike(r"^[^(]*\(.*\)$")
+    return found.select("qid", "question", F.when(fits, F.col("first")).alias("model"))
+
+
 # Operations.
 
 
@@ -360,6 +379,7 @@ def run_steps(questions: DataFrame, steps: Sequence[Step], models: Mapping[str,
         empty = a == "" if got.kind == "scalar" else F.size(a) == 0
         state = state.withColumn("steps_done", F.when(F.col("status") == "ok", F.lit(k)).otherwise(F.col("steps_done")))
         state = state.withColumn("status", F.when(F.col("status") != "ok", F.col("status")).when(a.isNull(), "failed").when(empty, "empty").otherwise("ok"))
+        state = written(state, "steps")  # or each step would plan all that came before it anew
         answers[k] = got
     last, a = answers[len(steps)], F.col(f"a{len(steps)}")
     shown = F.array(a) if last.kind == "scalar" else a if last.kind == "list" else F.transform(a, lambda x: F.to_json(x))
@@ -371,7 +391,8 @@ def json_or_text(c: Column) -> Column:
     return F.coalesce(F.from_json(F.when(c.rlike(r"(?s)^\s*\[.*\]\s*$"), c), "array<string>"), F.array(c))
 
 
-def truth(c: Column) -> Column:
-    """yes, 1 and true are true, no, 0 and false are not, in any case; anything else is an error."""
+def truth(c: Column, strict: bool = True) -> Column:
+    """yes, 1 and true are true, no, 0 and false are not, in any case; anything else is an error, or null if not strict."""
     low = F.lower(c)
-    return F.when(low.isin(*TRUE), True).when(low.isin("no", "0", "false"), False).otherwise(F.raise_error(F.concat(F.lit("neither true nor false: "), F.coalesce(c, F.lit("null")))).cast("boolean"))
+    told = F.when(low.isin(*TRUE), True).when(low.isin("no", "0", "false"), False)
+    return told.otherwise(F.raise_error(F.concat(F.lit("neither true nor false: "), F.coalesce(c, F.lit("null")))).cast("boolean")) if strict else told

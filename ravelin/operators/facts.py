@@ -105,41 +105,70 @@ def difference(a: Column, b: Column) -> Column:
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 
+#: Days of each month in a leap year.
+DAYS = (31, 29, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
+
+
 def partial_date(text: Column) -> Column:
-    """year, month and day that a text names, as a struct; null for what it doesn't: 1995-06-17, 17 June 1995, June 17,
-    1995, June 1995, June 17, 1995. Months may be cut to three letters."""
+    """year, month and day that a text names, as a struct; null for what it doesn't: 1995-06-17, 1995/06/17, 17 June 1995,
+    June 17, 1995, June 1995, June 17, 06/17/1995, 17.06.1995. Months may be cut to three letters. Of two numbers before a
+    year the first is the month, unless only the second can be. Two digits of a year are 1969 to 2068.
+
+    ``sound`` is false where a day or month can't be, as in June 31."""
     low = F.lower(F.trim(text))
-    iso = r"^(\d{4})-(\d{1,2})(?:-(\d{1,2}))?"
-    number = lambda pattern, k=1: F.nullif(F.regexp_extract(low, pattern, k), F.lit("")).cast("int")
+    iso = r"^(\d{4})[-/.](\d{1,2})(?:[-/.](\d{1,2}))?(?!\d)"
+    numeric = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})(?!\d)"
+    forms = {
+        "first": (numeric, 1), "second": (numeric, 2), "last": (numeric, 3), "iso_year": (iso, 1), "iso_month": (iso, 2), "iso_day": (iso, 3),
+        "year": (r"\b(\d{4})\b", 1), "day": (r"(?<![-/.\d])\b(\d{1,2})(?:st|nd|rd|th)?\b(?![-/.]\d)", 1),
+    }
     name = F.regexp_extract(low, r"\b(" + "|".join(m[:3] for m in MONTHS) + r")[a-z]*\b", 1)
-    month = F.nullif(F.array_position(F.array(*[F.lit(m[:3]) for m in MONTHS]), name).cast("int"), F.lit(0))
-    return F.struct(
-        F.coalesce(number(iso), number(r"\b(\d{4})\b")).alias("year"), F.coalesce(number(iso, 2), month).alias("month"),
-        F.coalesce(number(iso, 3), number(r"(?<!-)\b(\d{1,2})(?:st|nd|rd|th)?\b(?!-)")).alias("day"),
-    )
+    parts = F.struct(*[F.nullif(F.regexp_extract(low, form, k), F.lit("")).cast("int").alias(n) for n, (form, k) in forms.items()], F.nullif(F.array_position(F.array(*[F.lit(m[:3]) for m in MONTHS]), name).cast("int"), F.lit(0)).alias("month"))
+
+    def read(x: Column) -> Column:
+        swapped = (x["first"] > 12) & (x["second"] <= 12)
+        full = F.when(x["last"] >= 100, x["last"]).when(x["last"] < 69, x["last"] + 2000).otherwise(x["last"] + 1900)
+        numbers = x["first"].isNotNull()
+        return F.struct(
+            F.when(numbers, full).otherwise(F.coalesce(x["iso_year"], x["year"])).alias("year"),
+            F.when(numbers, F.when(swapped, x["second"]).otherwise(x["first"])).otherwise(F.coalesce(x["iso_month"], x["month"])).alias("month"),
+            F.when(numbers, F.when(swapped, x["first"]).otherwise(x["second"])).otherwise(F.coalesce(x["iso_day"], x["day"])).alias("day"),
+        )
+
+    def judged(x: Column) -> Column:
+        longest = F.try_element_at(F.array(*[F.lit(n) for n in DAYS]), F.when(x["month"].between(1, 12), x["month"]))
+        fits = F.coalesce(x["month"].between(1, 12), F.lit(True)) & F.coalesce(x["day"].between(1, F.coalesce(longest, F.lit(31))), F.lit(True))
+        return F.struct(x["year"].alias("year"), x["month"].alias("month"), x["day"].alias("day"), fits.alias("sound"))
+
+    return _once(_once(parts, read), judged)
+
+
+def _once(value: Column, of) -> Column:
+    """of(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
 
 
 def date_difference(a: Column, b: Column, unit: str) -> Column:
     """The first date less the second in days, months or years, for texts of dates or partial ones.
 
     A date without a year takes the other's; one with neither year nor month, or with January alone, can't be used. What
-    else is missing counts as 1.
+    else is missing counts as 1. Null for a day that the calendar doesn't have, February 29 in the other's year included.
     """
     if unit not in ("days", "months", "years"):
         raise ValueError(f"unknown unit {unit}")
-    x, y = partial_date(a), partial_date(b)
-    usable = lambda p: p.year.isNotNull() | (F.coalesce(p.month, F.lit(1)) != 1)
     far = F.lit(3000)  # where neither has a year, both are in one
-    year = lambda p, q: F.coalesce(p.year, q.year, far)
-    month = lambda p: F.coalesce(p.month, F.lit(1))
-    if unit == "years":
-        out = year(x, y) - year(y, x)
-    elif unit == "months":
-        out = (year(x, y) - year(y, x)) * 12 + month(x) - month(y)
-    else:
-        day = lambda p, q: F.make_date(year(p, q), month(p), F.coalesce(p.day, F.lit(1)))
-        out = F.datediff(day(x, y), day(y, x))
-    return F.when(usable(x) & usable(y), out)
+
+    def told(z: Column) -> Column:
+        x, y = z["x"], z["y"]
+        usable = lambda p: p["sound"] & (p["year"].isNotNull() | (F.coalesce(p["month"], F.lit(1)) != 1))
+        year = lambda p, q: F.coalesce(p["year"], q["year"], far)
+        month = lambda p: F.coalesce(p["month"], F.lit(1))
+        day = lambda p, q: F.try_make_timestamp(year(p, q), month(p), F.coalesce(p["day"], F.lit(1)), F.lit(0), F.lit(0), F.lit(0)).cast("date")
+        days = F.datediff(day(x, y), day(y, x))  # null if the calendar lacks one of them
+        out = {"years": year(x, y) - year(y, x), "months": (year(x, y) - year(y, x)) * 12 + month(x) - month(y), "days": days}[unit]
+        return F.when(usable(x) & usable(y) & days.isNotNull(), out)
+
+    return _once(F.struct(partial_date(a).alias("x"), partial_date(b).alias("y")), told)
 
 
 def sorted_distinct(pairs: DataFrame, key: str, value: str, within: Sequence[str] = ()) -> DataFrame:

@@ -176,6 +176,18 @@ def partial_date_difference(spark, d):
     return t(spark, d, "orders").select("o_orderkey", *[K.date_difference(a, F.lit("1995-06-17"), u).cast("long").alias(u) for u in ("days", "months", "years")])
 
 
+@query("""WITH x AS (SELECT o_orderkey, o_orderkey % 6 AS k, o_orderdate::DATE AS o FROM orders), y AS (SELECT o_orderkey, CASE k WHEN 3 THEN NULL WHEN 4 THEN CASE WHEN year(o) % 4 = 0 THEN make_date(year(o), 2, 29) END ELSE o END AS a,
+CASE WHEN k = 1 AND day(o) < 13 THEN make_date(year(o), day(o), month(o)) ELSE a END AS b FROM x, LATERAL (SELECT CASE k WHEN 3 THEN NULL WHEN 4 THEN CASE WHEN year(o) % 4 = 0 THEN make_date(year(o), 2, 29) END ELSE o END AS a) z)
+SELECT o_orderkey, date_diff('day', DATE '1995-06-17', b) AS days, (year(b) - 1995) * 12 + month(b) - 6 AS months, year(b) - 1995 AS years FROM y""")
+def date_forms(spark, d):
+    """Dates in numbers, month first, day first (told only by a day over 12) and year first, and days that the calendar
+    doesn't have: June 31, and February 29 but for leap years."""
+    o, k = F.col("o_orderdate").cast("date"), F.col("o_orderkey") % 6
+    a = F.when(k == 0, F.date_format(o, "MM/dd/yyyy")).when(k == 1, F.date_format(o, "dd/MM/yyyy")).when(k == 2, F.date_format(o, "yyyy/MM/dd")).when(k == 3, F.date_format(o, "'June 31', yyyy")).when(k == 4, F.date_format(o, "'February 29', yyyy"))
+    a = a.otherwise(F.date_format(o, "M-d-yy"))
+    return t(spark, d, "orders").select("o_orderkey", *[K.date_difference(a, F.lit("June 17, 1995"), u).cast("long").alias(u) for u in ("days", "months", "years")])
+
+
 @query("SELECT p_brand, p_size, min(p_partkey) AS p_partkey FROM part GROUP BY p_brand, p_size")
 def sorted_distinct_values(spark, d):
     return K.sorted_distinct(t(spark, d, "part").select("p_brand", "p_size", "p_partkey"), "p_partkey", "p_size", ["p_brand"])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ravelin.operators import execution as X
 from ravelin.operators import facts as K
+from ravelin.operators import routed as R
 from ravelin.plans.algebra import FACTS
 from ravelin.plans.base import query, t
 
@@ -124,12 +125,17 @@ def math_dispatch(spark, d):
     return t(spark, d, "orders").select("o_orderkey", X.math_answer(F.expr(_MATH_Q)).alias("answer"))
 
 
-@query("SELECT * FROM (VALUES ('lives_in(c1, ?)', 'people'), ('lives_in(?, n1)', 'places'), ('lives_in(c1, n1)', 'checks'), ('in_region(n1, ?)', 'places')) v(question, model)")
+_MODELS = [("lives_in($1, ?)", "people"), ("lives_in(?, $1)", "places"), ("lives_in($1, $2)", "checks"), ("in_region($1, ?)", "places"), ("placed_by($1, ?)", "people"), ("placed_by($1, ?)", "orders")]
+_ASKED = "CASE length(subject) % 3 WHEN 0 THEN predicate || '(' || subject || ', ?)' WHEN 1 THEN predicate || '(?, ' || object || ')' ELSE predicate || '(' || subject || ', ' || object || ')' END"
+
+
+@query(f"""WITH {FACTS} SELECT predicate || subject AS qid, {_ASKED} AS question, CASE WHEN predicate = 'lives_in' THEN CASE length(subject) % 3 WHEN 0 THEN 'people' WHEN 1 THEN 'places' ELSE 'checks' END
+WHEN predicate = 'in_region' AND length(subject) % 3 = 0 THEN 'places' END AS model FROM facts""")
 def model_resolution(spark, d):
-    """The one model whose predicate has the question's name and asks for the same arguments."""
-    models = {"lives_in($1, ?)": "people", "lives_in(?, $1)": "places", "lives_in($1, $2)": "checks", "in_region($1, ?)": "places"}
-    asked = ["lives_in(c1, ?)", "lives_in(?, n1)", "lives_in(c1, n1)", "in_region(n1, ?)"]
-    return spark.createDataFrame([(q, X.find_model(q, models)) for q in asked], "question string, model string")
+    """A question for each fact, and the one model that answers its form; two models share the orders' form, none has the
+    suppliers'."""
+    questions = K.fact_base(spark, d).select(F.concat("predicate", "subject").alias("qid"), F.expr(_ASKED).alias("question"))
+    return X.resolved_models(questions, spark.createDataFrame(_MODELS, "predicate string, model string"))
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 2 ELSE 1 END::BIGINT AS n, CASE o_orderkey % 3 WHEN 0 THEN o_orderstatus WHEN 1 THEN o_orderpriority ELSE '[' || o_orderpriority END AS first FROM orders""")
@@ -152,8 +158,52 @@ def submodel_slices(spark, d):
     return x.select("model", "predicate", F.concat("subject", F.lit(" "), "predicate", F.lit(" "), "object", F.lit(".")).alias("sentence"), F.concat(F.lit("list("), "predicate", F.lit(")")).alias("of_list"))
 
 
-@query("SELECT o_orderkey, o_orderkey % 2 = 0 AS truth FROM orders WHERE o_orderkey % 4 < 3")
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN NULL ELSE o_orderkey % 2 = 0 OR o_orderkey % 4 = 2 END AS truth FROM orders")
 def truth_test(spark, d):
-    """yes, 1 and true in any case; anything that says neither is an error."""
-    text = F.expr("CASE o_orderkey % 4 WHEN 0 THEN 'Yes' WHEN 1 THEN 'FALSE' WHEN 2 THEN '1' END")
-    return t(spark, d, "orders").filter("o_orderkey % 4 < 3").select("o_orderkey", X.truth(text).alias("truth"))
+    """yes, 1 and true in any case; what says neither is told as null here (an error where the test is strict)."""
+    text = F.expr("CASE o_orderkey % 4 WHEN 0 THEN 'Yes' WHEN 1 THEN 'FALSE' WHEN 2 THEN '1' ELSE o_orderpriority END")
+    return t(spark, d, "orders").select("o_orderkey", X.truth(text, strict=False).alias("truth"))
+
+
+_REGION = "'r' || (s_suppkey % 5)"
+
+
+def _programs(spark, d):
+    """A program for each supplier, of five kinds."""
+    s = t(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("s"), F.expr(_REGION).alias("r"), (F.col("s_suppkey") % 6).alias("kind"))
+    own, nations = F.concat(F.lit("(select) [kb] supplies_from("), "s", F.lit(", ?)")), F.concat(F.lit("(select) [kb] in_region(?, "), "r", F.lit(")"))
+    steps = [
+        [own, F.lit("(project_values_flat) [kb] in_region(#1, ?)")],
+        [nations, F.lit("(project) [kb] lives_in(?, #1)"), F.lit("(projectValues) [math] count(#2)"), F.lit("(filterValues_keys) [math] is_greater(#3 | 6)"), F.lit("(select) [math] count(#4)")],
+        [own, nations, F.lit("(filter(#1)) [math] belongs_to(#1 | #2)")],
+        [F.lit("(project_values_unique) [title] what is #C about")],
+        [own, F.lit("(projectKeys) [kb] in_region(#1, ?)")],
+        [own, F.lit("(guess) [kb] in_region(#1, ?)")],
+    ]
+    kind = F.array(*[F.array(*x) for x in steps])
+    programs = s.select(F.col("s").alias("qid"), F.posexplode(F.get(kind, F.col("kind").cast("int"))).alias("p", "text")).select("qid", (F.col("p") + 1).alias("step"), "text")
+    return programs, s.select(F.col("s").alias("qid"), (F.col("s_suppkey") % 4).cast("int").alias("paras"))
+
+
+@query(f"""WITH {FACTS}, s AS (SELECT 's' || s_suppkey AS qid, {_REGION} AS r, s_suppkey % 6 AS kind, (s_suppkey % 4)::INT AS paras, 'n' || s_nationkey AS n FROM supplier), g AS (SELECT subject AS n, object AS region FROM facts WHERE predicate = 'in_region'),
+c AS (SELECT object AS n, count(*) AS k FROM facts WHERE predicate = 'lives_in' GROUP BY object), b AS (SELECT g.region, count(*) FILTER (WHERE k > 6) AS large FROM g LEFT JOIN c USING (n) GROUP BY g.region)
+SELECT qid, CASE WHEN kind > 3 THEN 'failed' ELSE 'ok' END AS status, CASE kind WHEN 0 THEN 2 WHEN 1 THEN 5 WHEN 2 THEN 3 WHEN 3 THEN 1 ELSE 2 END AS steps_done,
+CASE kind WHEN 0 THEN '["' || g.region || '"]' WHEN 1 THEN '"' || b.large || '"' WHEN 2 THEN CASE WHEN g.region = s.r THEN '["' || n || '"]' ELSE '[]' END WHEN 3 THEN CASE paras WHEN 0 THEN '[]' WHEN 1 THEN '["even"]' ELSE '["even", "odd"]' END END AS answer
+FROM s JOIN g USING (n) JOIN b ON b.region = s.r""")
+def routed_programs(spark, d):
+    """Programs as data, a different one for each supplier; those of two kinds fail at their second step."""
+    programs, contexts = _programs(spark, d)
+    facts = K.fact_base(spark, d)
+    title = R.text_model(lambda q: F.when(q.rlike(r"PARA_\d*[02468] "), "even").otherwise("odd"))
+    return R.run_programs(programs, {"kb": R.kb_model(facts), "math": R.math_model(), "title": title}, contexts).results
+
+
+@query(f"""WITH {FACTS}, s AS (SELECT 's' || s_suppkey AS qid, s_suppkey % 6 AS kind, 'n' || s_nationkey AS n FROM supplier), g AS (SELECT subject AS n, object AS region FROM facts WHERE predicate = 'in_region')
+SELECT qid, 1 AS step, 0 AS place, 'supplies_from(' || qid || ', ?)' AS question, '["' || n || '"]' AS answer FROM s WHERE kind IN (0, 2, 4, 5) UNION ALL
+SELECT qid, 2, 0, 'in_region(' || n || ', ?)', '["' || region || '"]' FROM s JOIN g USING (n) WHERE kind = 0""")
+def routed_tasks(spark, d):
+    """What the first two steps of some kinds of programs ask the facts, in the order of a stack of tasks."""
+    programs, contexts = _programs(spark, d)
+    kept = programs.filter("step < 3 AND text LIKE '% [kb] %' AND NOT text LIKE '%in_region(?,%' AND NOT text LIKE '%lives_in%'")
+    ran = R.run_programs(kept, {"kb": R.kb_model(K.fact_base(spark, d))}, contexts)
+    return ran.tasks.filter("task IS NOT NULL").select("qid", "step", F.get("task", F.lit(0)).alias("place"), "question", "answer")

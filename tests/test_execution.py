@@ -104,6 +104,8 @@ def test_functions(spark, q, want):
 
 
 @pytest.mark.parametrize("a, b, days, months, years", [
+    ("06/20/1995", "June 17, 1995", 3, 0, 0), ("20/06/1995", "17.06.1995", 3, 0, 0), ("1995/06/20", "6/17/95", 3, 0, 0), ("June 31, 1995", "1995", None, None, None), ("February 29", "1995", None, None, None), ("February 29", "1996-02-01", 28, 0, 0),
+    ("13/13/1995", "1995", None, None, None), ("1995-13-01", "1995", None, None, None), ("June 1995", "31 May 1995", 1, 1, 0), ("20 June", "12/25/1994", -188, -6, 0), ("February 29", "March 1", None, None, None),
     ("1995-06-17", "June 10, 1995", 7, 0, 0), ("March 1996", "5 May 1995", 301, 10, 1), ("June 17", "1990-06-10", 7, 0, 0), ("1980", "1985", -1827, -60, -5), ("sometime", "1985", None, None, None), ("January 5", "1985", None, None, None), ("March 5", "March 2", 3, 0, 0),
 ])
 def test_dates(spark, a, b, days, months, years):
@@ -116,3 +118,25 @@ def test_truth(spark):
     df = spark.createDataFrame([("maybe",)], "x string")
     with pytest.raises(Exception, match="neither true nor false"):
         df.select(X.truth(F.col("x"))).collect()
+
+
+def test_plans_grow_by_one_step_at_a_time(people, models):
+    """A step's plan reads what the step before has written."""
+
+    def joins(n):
+        done = X.run_steps(people, [KIN, *[X.Step("project_values_flat_unique", f"likes(#{k + 1}, ?)") for k in range(n)]], models)
+        return done._jdf.queryExecution().optimizedPlan().toString().count("Join")
+
+    assert joins(1) == joins(3)
+
+
+def test_models_by_the_form_of_a_question(spark):
+    models = spark.createDataFrame([("f($1, ?)", "x"), ("f(?, $1)", "y"), ("g($1)", "z"), ("h($1, ?)", "x"), ("h($2, ?)", "y"), ("k($1)", "x"), ("k($1, $2)", "y")], "predicate string, model string")
+    asked = {"f(a, ?)": "x", "f(?, a)": "y", "f(a, b)": None, "f(a)": None, "g(b)": "z", "h(a, ?)": None, "k(a)": None, "words": None, "n(a)": None}
+    questions = spark.createDataFrame(list(enumerate(asked)), "qid int, question string")
+    assert {r.question: r.model for r in X.resolved_models(questions, models).collect()} == asked
+
+
+def test_truth_that_is_not_strict(spark):
+    df = spark.createDataFrame([("maybe",), (None,), ("YES",), ("0",)], "x string")
+    assert [r.t for r in df.select(X.truth(F.col("x"), strict=False).alias("t")).collect()] == [None, None, True, False]
