@@ -13,10 +13,14 @@ from pyspark.sql import types as T
 
 from ravelin.functions.scoring import cosine
 from ravelin.shipping import shipped
-from ravelin.storage import exists, removed
-
-#: Vectors that centres are fitted on, at most; rounds of fitting; cells.
-SAMPLE, ROUNDS, CELLS = 20_000, 12, 64
+from ravelin.storage import exists, removed, written
+
+#: Vectors that the first centres are fitted on, at most, and for each of these, its own; rounds of fitting.
+SAMPLE, OWN_SAMPLE, ROUNDS = 20_000, 2_000, 12
+#: Fewest and most cells: the most bound what is sent to every task.
+CELLS = (16, 1 << 16)
+#: Rows of asked cells that are broadcast, at most; parts of a cell where there are more.
+FEW, SALTS = 10_000, 8
 #: A search reads as many cells as hold this share of the nearest vectors of a few of the sample.
 RECALL, NEAREST, ASKED = 0.98, 10, 256
 
@@ -38,6 +42,11 @@ def fitted(vectors: np.ndarray, cells: int, rounds: int = ROUNDS, seed: int = 3)
     return centres
 
 
+def cells_for(rows: int) -> int:
+    """About the square root of the rows, as a power of two."""
+    return int(np.clip(1 << max(0, int(np.ceil(np.log2(max(rows, 1)) / 2))), *CELLS))
+
+
 def probes_for(vectors: np.ndarray, centres: np.ndarray, recall: float = RECALL, k: int = NEAREST, asked: int = ASKED) -> int:
     """How many cells hold that share of the k nearest vectors of some of the vectors."""
     x = _unit(vectors.astype(np.float64))
@@ -51,24 +60,52 @@ def probes_for(vectors: np.ndarray, centres: np.ndarray, recall: float = RECALL,
 
 
 class VectorIndex:
-    """Vectors (vec_id, embedding) in folders by their nearest centre, below a path."""
+    """Vectors (vec_id, embedding) in folders by their nearest centre, below a path. Centres come in two levels: a few over
+    all vectors, and under each of these its own, fitted side by side."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def create(self, vectors: DataFrame, cells: int = CELLS, sample: int = SAMPLE) -> VectorIndex:
-        """Fit the centres on a bounded sample, the vectors whose hashes are least, and index every vector."""
+    def create(self, vectors: DataFrame, cells: int | None = None, sample: int = SAMPLE) -> VectorIndex:
+        """Fit the centres on bounded samples, the vectors whose hashes are least, and index every vector. The number of
+        cells follows the number of vectors unless it is given."""
         removed(self.spark, self.path)
+        cells = cells or cells_for(vectors.count())
         some = vectors.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
         sampled = np.stack(some["embedding"].to_numpy()) if len(some) else np.zeros((0, 1))
-        centres = fitted(sampled, cells) if len(some) else sampled
+        centres = self._centres(vectors, sampled, cells) if len(some) else sampled
         probes = probes_for(sampled, centres) if len(some) else 1
-        told = self._dealt(vectors, centres, 1).withColumn("cell", F.get("cells", F.lit(0))).drop("cells")
-        told.repartition(F.col("cell"), F.pmod(F.xxhash64("vec_id"), F.lit(4))).write.partitionBy("cell").parquet(f"{self.path}/vectors")
         rows = [(k, [float(v) for v in c], probes) for k, c in enumerate(centres)]
+        self._put(vectors, centres)
         self.spark.createDataFrame(rows, "cell int, centre array<double>, probes int").coalesce(1).write.parquet(f"{self.path}/centres")
         return self
 
+    def _centres(self, vectors: DataFrame, sampled: np.ndarray, cells: int) -> np.ndarray:
+        """Few cells are fitted on the sample at once; many as groups of their own under the first ones."""
+        if cells <= CELLS[0] * 16:
+            return fitted(sampled, cells)
+        first = fitted(sampled, int(np.sqrt(cells)))
+        own = -(-cells // len(first))
+
+        def fit(frame: pd.DataFrame) -> pd.DataFrame:
+            got = fitted(np.stack(frame["embedding"].to_numpy()), own)
+            return pd.DataFrame({"cell": frame["cell"].iloc[0], "centre": [c.tolist() for c in got]})
+
+        dealt = self._dealt(vectors.select("vec_id", "embedding"), first, 1).withColumn("cell", F.get("cells", F.lit(0)))
+        place = F.row_number().over(W.partitionBy("cell").orderBy(F.xxhash64("vec_id"), "vec_id"))  # the rank limit holds before the shuffle
+        few = dealt.withColumn("__n", place).filter(F.col("__n") <= OWN_SAMPLE).select("cell", "embedding")
+        got = few.groupBy("cell").applyInPandas(fit, "cell int, centre array<double>").toPandas()  # as many as cells
+        return np.stack(got.sort_values(["cell", "centre"], key=lambda c: c if c.name == "cell" else c.map(tuple))["centre"].to_numpy())
+
+    def _put(self, vectors: DataFrame, centres: np.ndarray) -> None:
+        told = self._dealt(vectors, centres, 1).withColumn("cell", F.get("cells", F.lit(0))).drop("cells")
+        told.repartition(F.col("cell"), F.pmod(F.xxhash64("vec_id"), F.lit(4))).write.mode("append").partitionBy("cell").parquet(f"{self.path}/vectors")
+
+    def add(self, vectors: DataFrame) -> VectorIndex:
+        """Further vectors, dealt to the cells that are there."""
+        self._put(vectors, self.centres()[0])
+        return self
+
     def exists(self) -> bool:
         return exists(self.spark, f"{self.path}/centres/_SUCCESS")
 
@@ -81,21 +118,30 @@ class VectorIndex:
         """rows with the n nearest centres of their embedding (cells)."""
         shipped(self.spark)
         schema = T.StructType([*rows.schema.fields, T.StructField("cells", T.ArrayType(T.IntegerType()))])
+        sent = self.spark.sparkContext.broadcast(centres)
 
         def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                if len(frame):
-                    near = np.argsort(-(_unit(np.stack(frame["embedding"].to_numpy()).astype(np.float64)) @ centres.T), axis=1, kind="stable")[:, :n]
-                    yield frame.assign(cells=near.astype(np.int32).tolist())
+                for at in range(0, len(frame), 512):
+                    part = frame.iloc[at : at + 512]
+                    near = np.argsort(-(_unit(np.stack(part["embedding"].to_numpy()).astype(np.float64)) @ sent.value.T), axis=1, kind="stable")[:, :n]
+                    yield part.assign(cells=near.astype(np.int32).tolist())
 
         return rows.mapInPandas(deal, schema)
 
     def search(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
-        """queries (query_id, embedding) -> (query_id, vec_id, score): the k best of the cells nearest to each query."""
+        """queries (query_id, embedding) -> (query_id, vec_id, score): the k best of the cells nearest to each query. All
+        queries are joined at once; few are broadcast, many meet the vectors by cell and a salt, so that no cell is one
+        task's."""
         centres, usual = self.centres()
         asked = self._dealt(queries.select("query_id", "embedding"), centres, probes or usual)
-        asked = asked.select("query_id", F.col("embedding").alias("q"), F.explode("cells").alias("cell"))
-        held = self.spark.read.parquet(f"{self.path}/vectors").join(asked, "cell")
+        asked = written(asked.select("query_id", F.col("embedding").alias("q"), F.explode("cells").alias("cell")), "asked")
+        vectors = self.spark.read.parquet(f"{self.path}/vectors")
+        if asked.limit(FEW + 1).count() <= FEW:
+            held = vectors.join(F.broadcast(asked), "cell")
+        else:
+            salted = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            held = vectors.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int")).join(salted, ["cell", "salt"])
         w = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
         scored = held.select("query_id", "vec_id", cosine(F.col("embedding"), F.col("q")).alias("score"))
         return scored.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= k).drop("__n")

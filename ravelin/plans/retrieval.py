@@ -26,10 +26,13 @@ _INDEXES: dict[tuple, LexicalIndex] = {}
 
 
 def index(spark, d) -> LexicalIndex:
-    """The documents' lexical index, built once in an application."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _INDEXES:
-        _INDEXES[key] = LexicalIndex(spark, new_path(spark, "lexical-index")).create(t(spark, d, "documents"))
+    """The documents' lexical index, built once in an application and anew where the documents' files have changed."""
+    key, source = (spark.sparkContext.applicationId, d), f"{d}/documents.parquet"
+    held = _INDEXES.get(key)
+    if held is None or not held.fresh(source):
+        if held is not None:
+            held.delete()
+        _INDEXES[key] = LexicalIndex(spark, new_path(spark, "lexical-index")).create(t(spark, d, "documents"), source=source)
     return _INDEXES[key]
 
 
@@ -53,6 +56,25 @@ def bm25_topk(spark, d):
     return hits(spark, d)
 
 
+@query(f"WITH {BM25} SELECT query_id, doc_id, score, rank FROM hits")
+def bounded_topk(spark, d):
+    """The same hits from the blocks of documents that can hold them."""
+    terms = R.query_terms(bench(spark, d), F.col("q"))
+    return R.ranked(index(spark, d).top(terms, TOP, R.near_terms(terms)).withColumn("score", F.round("score", 6)), TOP)
+
+
+@query(f"""WITH {BM25.replace('FROM documents', "FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN source || ' ' || text ELSE text END AS text FROM documents WHERE doc_id % 7 <> 2)")} SELECT query_id, doc_id, score, rank FROM hits""")
+def maintained_topk(spark, d):
+    """Hits of an index to which batches were added, some documents again with another text, and from which some were
+    removed."""
+    docs = t(spark, d, "documents").select("doc_id", "text", "source")
+    held = LexicalIndex(spark, new_path(spark, "maintained-index")).create(docs.filter("doc_id % 2 = 0"), buckets=8)
+    held.add(docs.filter("doc_id % 2 = 1 AND doc_id % 5 <> 1"))
+    held.remove(docs.filter("doc_id % 7 = 2"))
+    held.add(docs.filter("doc_id % 5 = 1 AND doc_id % 7 <> 2").withColumn("text", F.concat("source", F.lit(" "), "text")))
+    return R.ranked(R.bm25(held, R.query_terms(bench(spark, d), F.col("q"))).withColumn("score", F.round("score", 6)), TOP)
+
+
 @query(f"""WITH {BM25}, m AS (SELECT h.query_id, bool_or(contains(lower(d.text), lower(g.a))) AS found
   FROM hits h JOIN documents d USING (doc_id) JOIN (SELECT item_id, text AS a FROM benchmark) g ON g.item_id = h.query_id WHERE rank <= 5 GROUP BY h.query_id)
 SELECT count(*) AS questions, round(avg(CAST(coalesce(found, false) AS INT)), 6) AS recall FROM benchmark LEFT JOIN m ON item_id = query_id""")

@@ -1,33 +1,81 @@
-"""A stored lexical index: postings by term, and the corpus' size. Queries read the postings of their terms only."""
+"""A stored lexical index: postings by term in segments, removed documents, and the corpus' size.
+
+Segments and lists of removed documents are tables that never change; a version of the index is a table that names them.
+Batches are added and documents removed without touching what is there; ``merge`` makes one segment of all. Queries read
+the postings of their terms only, and ``top`` only those of blocks of documents that can hold one of the best.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ravelin.functions.text import tokens
-from ravelin.storage import exists, removed
+from ravelin.storage import exists, file_system, removed
 
 #: Folders that postings are dealt to by a hash of their term, and the files that a folder's postings are spread over.
 BUCKETS, SPREAD = 64, 4
+#: Neighbouring document ids of a block, and blocks of a query that are scored first.
+BLOCK, LEAD = 64, 4
 K1, B = 1.2, 0.75
+POSTINGS, BOUNDS = "doc_id long, dl int, term string, tf long, block long, bucket int", "term string, block long, most_tf long, least_dl int, bucket int"
+
+
+class Corpus(NamedTuple):
+    N: int
+    avgdl: float
+    buckets: int
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Tells a folder's or file's content by its files' names, sizes and times."""
+    fs, where = file_system(spark, path)
+    found, it = [], fs.listFiles(where, True)
+    while it.hasNext():
+        f = it.next()
+        found.append(f"{f.getPath().getName()} {f.getLen()} {f.getModificationTime()}")
+    rows = spark.createDataFrame([(x,) for x in found], "x string")
+    return rows.agg(F.md5(F.array_join(F.array_sort(F.collect_list("x")), "\n").cast("binary"))).first()[0]
+
+
 class LexicalIndex:
-    """Postings (term, doc_id, tf, dl) below a path, in folders by a hash of the term, sorted by term."""
+    """Postings (term, doc_id, tf, dl) below a path, in folders by a hash of the term, sorted by term and block."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    # Versions.
+
+    def _version(self) -> int | None:
+        fs, where = file_system(self.spark, f"{self.path}/versions")
+        if not fs.exists(where):
+            return None
+        names = [int(s.getPath().getName()) for s in fs.listStatus(where)]
+        return max((n for n in names if exists(self.spark, f"{self.path}/versions/{n}/_SUCCESS")), default=None)
+
+    def _listed(self) -> list:
+        """The tables of the newest version: seq, kind, N, total, buckets, source."""
+        version = self._version()
+        return [] if version is None else sorted(self.spark.read.parquet(f"{self.path}/versions/{version}").collect(), key=lambda r: r.seq)  # a row for each batch
+
+    def _publish(self, rows: list) -> None:
+        """A new version, complete or not there at all; of concurrent writers one fails, as the folder exists."""
+        version = (self._version() or 0) + 1
+        schema = "seq int, kind string, N long, total long, buckets int, source string"
+        self.spark.createDataFrame([tuple(r) for r in rows], schema).coalesce(1).write.mode("error").parquet(f"{self.path}/versions/{version}")
+
     def exists(self) -> bool:
         """Whether the index is there and complete."""
-        return exists(self.spark, f"{self.path}/corpus/_SUCCESS")
+        return self._version() is not None
 
     def delete(self) -> bool:
         """Remove the index; whether there was one."""
@@ -35,41 +83,153 @@ class LexicalIndex:
         removed(self.spark, self.path)
         return found
 
-    def create(self, docs: DataFrame, key: str = "doc_id", text: str = "text", analyze: Callable[[Column], Column] = tokens, force: bool = False, buckets: int = BUCKETS) -> LexicalIndex:
-        """Index docs. An index that is there is an error, unless ``force`` puts the new one in its place. The corpus'
-        numbers are written last: until then the index doesn't exist."""
+    def fresh(self, source: str) -> bool:
+        """Whether the index was created from the files that are at ``source`` now."""
+        rows = self._listed()
+        return bool(rows) and rows[0].source == fingerprint(self.spark, source)
+
+    # Writing.
+
+    def create(self, docs: DataFrame, key: str = "doc_id", text: str = "text", analyze: Callable[[Column], Column] = tokens, force: bool = False, buckets: int = BUCKETS, stem: Callable[[DataFrame], DataFrame] | None = None, source: str | None = None) -> LexicalIndex:
+        """Index docs. An index that is there is an error, unless ``force`` puts the new one in its place. The version is
+        written last: until then the index doesn't exist. ``stem`` maps a table's column term to stems; ``source`` is the
+        path that docs were read from, by which a stale index is known."""
         if self.exists() and not force:
             raise FileExistsError(self.path)
+        mark = fingerprint(self.spark, source) if source else None
         removed(self.spark, self.path)
-        base = docs.select(F.col(key).alias("doc_id"), analyze(F.col(text)).alias("ts"))
-        postings = base.select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-        # a frequent term's postings go to several files
-        dealt = postings.withColumn("bucket", bucket_of(F.col("term"), buckets)).repartition(F.col("bucket"), F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)))
-        dealt.sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(f"{self.path}/postings")
-        numbers = base.select(F.size("ts").alias("s")).agg(F.count(F.lit(1)).alias("N"), F.coalesce(F.avg("s"), F.lit(0.0)).alias("avgdl"))
-        numbers.withColumn("buckets", F.lit(buckets)).coalesce(1).write.parquet(f"{self.path}/corpus")
+        self._publish([self._segment(1, docs, key, text, analyze, stem, buckets, mark)])
         return self
 
-    def corpus(self):
-        """N, avgdl and buckets: one row."""
-        return self.spark.read.parquet(f"{self.path}/corpus").first()
+    def add(self, docs: DataFrame, key: str = "doc_id", text: str = "text", analyze: Callable[[Column], Column] = tokens, stem: Callable[[DataFrame], DataFrame] | None = None) -> LexicalIndex:
+        """A further batch as a segment of its own; a document that is there already is replaced."""
+        rows = self._listed()
+        seq = rows[-1].seq + 1
+        gone = self._removal(seq, docs.select(F.col(key).cast("long").alias("doc_id")))
+        self._publish([*rows, *gone, self._segment(seq + 1, docs, key, text, analyze, stem, rows[0].buckets, None)])
+        return self
+
+    def remove(self, ids: DataFrame) -> LexicalIndex:
+        """Documents (doc_id) that no query finds any more."""
+        rows = self._listed()
+        self._publish([*rows, *self._removal(rows[-1].seq + 1, ids.select(F.col("doc_id").cast("long").alias("doc_id")))])
+        return self
+
+    def merge(self) -> LexicalIndex:
+        """One segment of all that is left; older tables go."""
+        rows = self._listed()
+        seq = rows[-1].seq + 1
+        path = f"{self.path}/tables/{seq}"
+        self._written(path, self.postings(), self._docs(), rows[0].buckets)
+        c = self.spark.read.parquet(f"{path}/docs").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).first()
+        self._publish([(seq, "segment", c.n, c.total, rows[0].buckets, rows[0].source)])
+        for r in rows:
+            removed(self.spark, f"{self.path}/tables/{r.seq}")
+        return self
+
+    def _segment(self, seq: int, docs: DataFrame, key: str, text: str, analyze, stem, buckets: int, source: str | None) -> tuple:
+        path = f"{self.path}/tables/{seq}"
+        base = docs.select(F.col(key).cast("long").alias("doc_id"), analyze(F.col(text)).alias("ts"))
+        each = base.select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
+        counted = each.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+        if stem is not None:
+            counted = stem(counted).groupBy("doc_id", "dl", "term").agg(F.sum("tf").alias("tf"))
+        self._written(path, counted, base.select("doc_id", F.greatest(F.size("ts"), F.lit(0)).alias("dl")), buckets)
+        c = self.spark.read.parquet(f"{path}/docs").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).first()
+        return (seq, "segment", c.n, c.total, buckets, source)
+
+    def _written(self, path: str, postings: DataFrame, docs: DataFrame, buckets: int) -> None:
+        block = F.floor(F.col("doc_id") / BLOCK).cast("long")
+        dealt = postings.select("doc_id", "dl", "term", "tf").withColumn("block", block).withColumn("bucket", bucket_of(F.col("term"), buckets))
+        # a frequent term's postings go to several files, blocks stay whole
+        spread = dealt.repartition(F.col("bucket"), F.pmod(F.xxhash64("block"), F.lit(SPREAD)))
+        spread.sortWithinPartitions("bucket", "term", "block", "doc_id").write.partitionBy("bucket").parquet(f"{path}/postings")
+        held = self.spark.read.schema(POSTINGS).parquet(f"{path}/postings")
+        bounds = held.groupBy("bucket", "term", "block").agg(F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"))
+        bounds.repartition("bucket").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/bounds")
+        docs.write.parquet(f"{path}/docs")
+
+    def _removal(self, seq: int, ids: DataFrame) -> list:
+        path = f"{self.path}/tables/{seq}"
+        self._docs().join(ids.distinct(), "doc_id", "left_semi").write.parquet(f"{path}/docs")
+        c = self.spark.read.schema("doc_id long, dl int").parquet(f"{path}/docs").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).first()
+        if c.n == 0:
+            removed(self.spark, path)
+            return []
+        return [(seq, "removal", c.n, c.total, None, None)]
+
+    # Reading.
+
+    def corpus(self) -> Corpus:
+        """Documents that are left, their mean length and the number of folders."""
+        rows = self._listed()
+        sign = {"segment": 1, "removal": -1}
+        n, total = sum(sign[r.kind] * r.N for r in rows), sum(sign[r.kind] * r.total for r in rows)
+        return Corpus(n, total / n if n else 0.0, rows[0].buckets)
+
+    def _live(self, name: str, schema: str) -> DataFrame:
+        """A table of all segments without the documents that were removed after their segment was written."""
+        rows = self._listed()
+        read = lambda r, what, schema_: self.spark.read.schema(schema_).parquet(f"{self.path}/tables/{r.seq}/{what}").withColumn("__seq", F.lit(r.seq))
+        parts = reduce(DataFrame.unionByName, [read(r, name, schema) for r in rows if r.kind == "segment"])
+        gone = [read(r, "docs", "doc_id long, dl int") for r in rows if r.kind == "removal"]
+        if not gone:
+            return parts.drop("__seq")
+        last = reduce(DataFrame.unionByName, gone).groupBy(F.col("doc_id").alias("__id")).agg(F.max("__seq").alias("__gone"))
+        return parts.join(last, F.col("doc_id") == F.col("__id"), "left").filter(F.col("__gone").isNull() | (F.col("__seq") > F.col("__gone"))).drop("__seq", "__id", "__gone")
+
+    def _docs(self) -> DataFrame:
+        return self._live("docs", "doc_id long, dl int")
 
     def postings(self) -> DataFrame:
-        schema = "doc_id long, dl int, term string, tf long, bucket int"
-        return self.spark.read.schema(schema).parquet(f"{self.path}/postings")
+        return self._live("postings", POSTINGS)
+
+    def _bounds(self) -> DataFrame:
+        """(term, block, most_tf, least_dl); of removed documents too, so they are bounds still."""
+        parts = [self.spark.read.schema(BOUNDS).parquet(f"{self.path}/tables/{r.seq}/bounds") for r in self._listed() if r.kind == "segment"]
+        return reduce(DataFrame.unionByName, parts)
 
     def of_terms(self, terms: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """The postings of terms (term); their folders alone are read."""
         wanted = terms.select("term").distinct().withColumn("bucket", bucket_of(F.col("term"), self.corpus().buckets))
-        return self.postings().join(near(wanted), ["bucket", "term"]).select("term", "doc_id", "tf", "dl")
+        return self.postings().join(near(wanted), ["bucket", "term"]).select("term", "doc_id", "tf", "dl", "block")
+
+    def _weighed(self, terms: DataFrame, held: DataFrame, c: Corpus) -> DataFrame:
+        df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        return terms.join(df, "term").withColumn("idf", F.log(1 + (F.lit(c.N) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
     def bm25(self, terms: DataFrame, near: Callable[[DataFrame], DataFrame], k1: float = K1, b: float = B) -> DataFrame:
         """terms (query_id, term) -> (query_id, doc_id, score) of every document that shares a term with a query. near
         marks what derives from the terms for broadcast, if their number allows."""
         c = self.corpus()
         held = self.of_terms(terms, near)
-        df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        weighed = terms.join(df, "term").withColumn("idf", F.log(1 + (F.lit(c.N) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-        tf = F.col("tf")
-        part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.lit(c.avgdl)))
-        return held.join(near(weighed), "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+        weighed = self._weighed(terms, held, c)
+        return held.join(near(weighed), "term").groupBy("query_id", "doc_id").agg(F.sum(_part(F.col("tf"), F.col("dl"), c, k1, b)).alias("score"))
+
+    def candidates(self, terms: DataFrame, k: int, near: Callable[[DataFrame], DataFrame], k1: float = K1, b: float = B) -> DataFrame:
+        """(query_id, term, doc_id, part): postings of the blocks that can hold one of a query's k best documents.
+
+        A block's bound for a query adds up, over its terms, what the largest frequency in the shortest document would
+        give. The LEAD blocks of the highest bounds are scored first; blocks whose bound is under the k-th best score of
+        these can't matter.
+        """
+        c = self.corpus()
+        held = self.of_terms(terms, near)
+        weighed = self._weighed(terms, held, c).withColumn("bucket", bucket_of(F.col("term"), c.buckets))
+        bound = self._bounds().join(near(weighed), ["bucket", "term"]).groupBy("query_id", "block").agg(F.sum(_part(F.col("most_tf"), F.col("least_dl"), c, k1, b)).alias("bound"))
+        lead = bound.withColumn("__n", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bound"), "block"))).filter(F.col("__n") <= LEAD).select("query_id", "block")
+        parts = held.join(near(weighed.drop("bucket")), "term").select("query_id", "term", "doc_id", "block", _part(F.col("tf"), F.col("dl"), c, k1, b).alias("part"))
+        scores = parts.join(lead, ["query_id", "block"]).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
+        place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score")))
+        least = scores.withColumn("__n", place).filter(F.col("__n") <= k).groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k)
+        open_ = bound.join(least, "query_id", "left").filter(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 1e-6)).select("query_id", "block")
+        return parts.join(open_, ["query_id", "block"]).select("query_id", "term", "doc_id", "part")
+
+    def top(self, terms: DataFrame, k: int, near: Callable[[DataFrame], DataFrame], k1: float = K1, b: float = B) -> DataFrame:
+        """(query_id, doc_id, score) of documents among which are each query's k best, with their whole scores."""
+        return self.candidates(terms, k, near, k1, b).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
+
+
+def _part(tf: Column, dl: Column, c: Corpus, k1: float, b: float) -> Column:
+    """What a posting adds to a score; it grows with tf and falls with dl."""
+    return F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.lit(c.avgdl)))
