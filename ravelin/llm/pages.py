@@ -15,9 +15,15 @@ from pyspark.sql import types as T
 
 from ravelin.llm._common import detached, in_slices, table, written
 
-#: A subtree is template if so many different pages of its host hold it. A paragraph or other text without parts inside
-#: the article must also stand on this share of them: stock passages recur in articles, too.
+#: A subtree outside the article is template if so many different pages of its host hold it. Inside, headings, lists,
+#: tables and quotations recur in real articles: only boxes of links or fields are template by that number, and paragraphs
+#: that stand on this share of the host's pages as well.
 MIN_PAGES, LEAF_SHARE = 5, 0.5
+#: Share of links in a box of links.
+LINKED = 0.3
+#: An element that its name, role or tag (form) tells as furniture but that holds this share of the page's text outside
+#: links, and so many characters of it, is a wrapper of the page.
+WRAPS, WRAPPED = 0.8, 200
 #: Longest blocks by which pages are told apart.
 TELLING = 3
 #: Articles beside which the rest of the page holds more than this many times their text are teasers.
@@ -42,6 +48,9 @@ CLOSES = {
 #: An implied end looks no further up than these.
 SCOPE = {"table", "ul", "ol", "dl", "div", "section", "article", "main", "aside", "nav", "body", "html", "blockquote", "header", "footer", "form", "button", "figure", "fieldset", "details"}
 DROPPED = {"nav", "aside", "footer", "form", "script", "style", "noscript", "template", "iframe", "button", "select", "textarea", "svg", "canvas", "object", "head", "title", "dialog", "menu", "audio", "video"}
+#: Of these a form can be a wrapper around a whole page; the others' text is never read.
+UNREAD = DROPPED - {"form"}
+FIELDS = {"input", "textarea", "select", "button", "form"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
 #: Words of class names and ids that tell furniture, and words that may stand beside them in one name.
 FURNITURE = {
@@ -52,22 +61,27 @@ FURNITURE = {
 BESIDE = {
     "site", "page", "top", "bottom", "left", "right", "global", "primary", "secondary", "main", "header", "container", "wrapper", "wrap", "list", "box", "area", "section", "bar", "block", "inner", "outer", "content",
     "group", "panel", "item", "items", "link", "links", "button", "buttons", "form", "slot", "unit", "post", "posts", "article", "articles", "stories", "user", "users", "reader", "readers", "thread", "media", "fixed",
-    "sticky", "mobile", "desktop", "col", "column", "row", "module", "to", "by", "us",
+    "sticky", "mobile", "desktop", "col", "column", "row", "module", "to", "by", "us", "body", "cta", "this", "story", "reading", "more", "v", "holder", "zone", "now",
 }
+#: Beginnings of words that tell furniture, as in "commentlist".
+BEGINNINGS = re.compile("comment(?!ar|at)|advert|adsby|sponsor|taboola|outbrain|disqus|sharedaddy|addthis|newsletter|breadcrumb")
+COMMENTS = re.compile("comment(?!ar|at)|disqus|respond|repl(?:y|ies)", re.IGNORECASE)
 #: Names that say how a page is laid out around its content, as "has-sidebar" does.
 LAYOUT = re.compile("(?:has|with|without|no|show|hide|is)[-_]", re.IGNORECASE)
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: What recurs in articles of a host without being its template.
+SOLID = HEADINGS | {"ul", "ol", "dl", "li", "table", "blockquote", "figure", "pre"}
 
 
 class Node:
     """An element; ``measured`` tells its digest, characters, characters in links, links, and what stands below."""
 
-    __slots__ = ("tag", "attrs", "parts", "digest", "chars", "linked", "links", "blocks", "headings", "inside")
+    __slots__ = ("tag", "attrs", "parts", "digest", "chars", "linked", "links", "blocks", "headings", "fields", "solid", "inside", "wraps")
 
     def __init__(self, tag: str, attrs: dict):
         self.tag, self.attrs, self.parts, self.digest = tag, attrs, [], 0
-        self.chars = self.linked = self.links = self.blocks = self.headings = 0
-        self.inside = False
+        self.chars = self.linked = self.links = self.blocks = self.headings = self.fields = self.solid = 0
+        self.inside = self.wraps = False
 
 
 class _Builder(HTMLParser):
@@ -119,11 +133,14 @@ def parse(html: str | None) -> Node:
 
 def _told(name: str) -> bool:
     parts = [p for p in re.split(r"[-_:.]+|\d+", name.lower()) if p]
-    return any(p in FURNITURE for p in parts) and all(p in FURNITURE or p in BESIDE for p in parts)
+    told = [p in FURNITURE or bool(BEGINNINGS.match(p)) for p in parts]
+    return any(told) and all(t or p in BESIDE for t, p in zip(told, parts, strict=True))
 
 
 def furniture(node: Node) -> bool:
     """Whether an element is told to be no part of an article by its tag, role, class or id, or is hidden."""
+    if node.wraps:
+        return False
     if node.tag in DROPPED:
         return True
     a = node.attrs
@@ -156,12 +173,14 @@ def measured(root: Node) -> None:
         if isinstance(node, str) or enters:
             continue
         h = blake2b(f"{node.tag}\0{node.attrs.get('class', '')}\0{node.attrs.get('id', '')}".encode("utf-8", "replace"), digest_size=8)
-        unread = node.tag in DROPPED
+        unread = node.tag in UNREAD
         for p in node.parts:
             if isinstance(p, Node):
                 h.update(b"\1" + p.digest.to_bytes(8, "little", signed=True))
                 node.blocks += p.blocks + (p.tag in BLOCKS)
                 node.headings += p.headings + (p.tag in HEADINGS)
+                node.fields += p.fields + (p.tag in FIELDS)
+                node.solid += p.solid + (p.tag in SOLID)
                 if not unread:
                     node.chars, node.linked, node.links = node.chars + p.chars, node.linked + p.linked, node.links + p.links
             else:
@@ -172,6 +191,10 @@ def measured(root: Node) -> None:
         if node.tag == "a":
             node.linked, node.links = node.chars, 1
         node.digest = int.from_bytes(h.digest(), "little", signed=True)
+    least = max(WRAPPED, WRAPS * (root.chars - root.linked))
+    for node, enters in _walk(root, lambda n: n.tag in UNREAD or n.chars - n.linked < least):
+        if isinstance(node, Node) and enters and node.tag not in UNREAD and node.chars - node.linked >= least and "hidden" not in node.attrs:
+            node.wraps = not COMMENTS.search(f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}")
 
 
 def _found(root: Node, tag: str, gone) -> list[Node]:
@@ -212,30 +235,62 @@ def contents(root: Node, gone=furniture) -> tuple[list[Node], bool]:
     return [root], False
 
 
+def _densest(root: Node) -> Node:
+    """The element whose own paragraphs, and half of those one level below, hold most text outside links."""
+    points: dict[int, float] = {}
+    best, above = root, [root]
+    for node, enters in _walk(root, lambda n: n is not root and furniture(n)):
+        if isinstance(node, str) or node.tag not in BLOCKS:
+            continue
+        if not enters:
+            if above[-1] is node:
+                above.pop()
+            continue
+        if not node.blocks and not furniture(node):
+            for k, part in ((1, 1.0), (2, 0.5)):
+                if len(above) >= k:
+                    parent = above[-k]
+                    points[id(parent)] = points.get(id(parent), 0.0) + part * (node.chars - node.linked)
+                    if points[id(parent)] > points.get(id(best), 0.0):
+                        best = parent
+        above.append(node)
+    return best
+
+
 def _mark(root: Node) -> tuple[list[Node], bool]:
-    """The article before templates are known; its elements are marked as inside."""
+    """The article before templates are known; its elements are marked as inside. Where a page marks none, the densest
+    element is taken for it."""
     tops, marked = contents(root)
-    for top in tops:
+    for top in tops if marked else [_densest(root)]:
         for node, enters in _walk(top, lambda n: False):
             if enters and isinstance(node, Node):
                 node.inside = True
     return tops, marked
 
 
-def _leaf(node: Node) -> bool:
-    return node.inside and not node.blocks
+def _kind(node: Node) -> int | None:
+    """How often a block subtree must recur to be template: 0 outside the article and 1 for boxes of links or fields inside
+    it, on MIN_PAGES pages; 2 for a paragraph inside it, on LEAF_SHARE of the pages as well. Nothing else inside it can be
+    template, and no element that wraps the page."""
+    if node.wraps or node.tag not in BLOCKS or node.tag in ("html", "body"):
+        return None
+    if not node.inside:
+        return 0
+    if node.fields or (node.links and node.linked >= LINKED * node.chars):
+        return 1
+    return 2 if node.tag in ("p", "div", "section") and not node.solid else None
 
 
-def candidates(root: Node) -> tuple[set[tuple[int, bool]], int]:
-    """(digest, whether a leaf inside the article) of all block subtrees of a measured page, and a digest of its TELLING
-    longest blocks of text, by which pages are told apart: copies agree in them, also some edited ones."""
+def candidates(root: Node) -> tuple[set[tuple[int, int]], int]:
+    """(digest, kind) of all block subtrees of a measured page that can be template, and a digest of its TELLING longest
+    blocks of text, by which pages are told apart: copies agree in them, also some edited ones."""
     _mark(root)
-    found: set[tuple[int, bool]] = set()
+    found: set[tuple[int, int]] = set()
     texts: set[tuple[int, int]] = set()
     for node, enters in _walk(root, lambda n: n.tag in ("script", "style", "head")):
         if enters and isinstance(node, Node) and node.tag in BLOCKS and node.tag not in ("html", "body"):
-            if node.chars:
-                found.add((node.digest, _leaf(node)))
+            if node.chars and (kind := _kind(node)) is not None:
+                found.add((node.digest, kind))
             if not node.blocks:
                 texts.add((node.chars, node.digest))
     page = blake2b(digest_size=8)
@@ -246,16 +301,18 @@ def candidates(root: Node) -> tuple[set[tuple[int, bool]], int]:
 
 def main_text(root: Node, template: frozenset | set = frozenset()) -> tuple[str, int]:
     """The article's blocks in page order: white space collapsed, blocks joined by an empty line; and how many subtrees
-    were deleted as template. ``template`` holds (digest, leaf) as ``candidates`` tells them.
+    were deleted as template. ``template`` holds (digest, kind) as ``candidates`` tells them.
 
-    Template subtrees go first. The article is chosen by what is left of the page.
+    Template subtrees go first. The article is chosen by what is left of the page. An element that holds nearly all of a
+    page's text isn't furniture, whatever its name.
     """
     measured(root)
     _mark(root)
     deleted = 0
     if template:
-        for node, enters in _walk(root, lambda n: (n.digest, _leaf(n)) in template and n.tag in BLOCKS):
-            if isinstance(node, Node) and enters and node.tag in BLOCKS and (node.digest, _leaf(node)) in template:
+        gone = {id(n) for n, enters in _walk(root, lambda n: False) if enters and isinstance(n, Node) and (n.digest, _kind(n)) in template}
+        for node, enters in _walk(root, lambda n: id(n) in gone):
+            if isinstance(node, Node) and enters and id(node) in gone:
                 deleted += 1
                 node.parts, node.attrs = [], {"hidden": ""}
     tops, marked = contents(root)
@@ -291,8 +348,8 @@ def host_of(url: Column) -> Column:
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """pages (host, row, html) -> (host, row, page, digest, leaf): all block subtrees, and for each page one row with
-    digest null. page tells different pages apart."""
+    """pages (host, row, html) -> (host, row, page, digest, kind): all block subtrees that can be template, and for each
+    page one row with digest null. page tells different pages apart."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -301,23 +358,23 @@ def subtrees(pages: DataFrame) -> DataFrame:
                 root = parse(html)
                 measured(root)
                 found, page = candidates(root)
-                rows += [(host, row, page, None, False), *((host, row, page, digest, leaf) for digest, leaf in found)]
-            host, row, page, digest, leaf = zip(*rows)
-            yield pd.DataFrame({"host": host, "row": row, "page": page, "digest": pd.array(digest, dtype="Int64"), "leaf": leaf})
+                rows += [(host, row, page, None, 0), *((host, row, page, digest, kind) for digest, kind in found)]
+            host, row, page, digest, kind = zip(*rows)
+            yield pd.DataFrame({"host": host, "row": row, "page": page, "digest": pd.array(digest, dtype="Int64"), "kind": kind})
 
-    return in_slices(pages.select("host", "row", "html"), cut, "host string, row long, page long, digest long, leaf boolean")
+    return in_slices(pages.select("host", "row", "html"), cut, "host string, row long, page long, digest long, kind int")
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, leaf_share: float = LEAF_SHARE) -> DataFrame:
-    """(host, digest, leaf): the template subtrees of pages (host, row, html), by the different pages that hold them.
+    """(host, digest, kind): the template subtrees of pages (host, row, html), by the different pages that hold them.
 
     Copies of a page count once, so a page that is served often doesn't become its own template.
     """
-    seen = subtrees(pages).groupBy("host", "digest", "leaf", "page").agg(F.lit(1).alias("one"))
-    counted = written(seen.groupBy("host", "digest", "leaf").agg(F.count("one").alias("n")).filter(F.col("digest").isNull() | (F.col("n") >= min_pages)), "subtrees")
+    seen = subtrees(pages).groupBy("host", "digest", "kind", "page").agg(F.lit(1).alias("one"))
+    counted = written(seen.groupBy("host", "digest", "kind").agg(F.count("one").alias("n")).filter(F.col("digest").isNull() | (F.col("n") >= min_pages)), "subtrees")
     hosts = counted.filter("digest IS NULL").select(F.col("host").alias("h"), F.col("n").alias("pages"))
     often = counted.filter("digest IS NOT NULL").join(hosts, F.col("host") == F.col("h"))
-    return written(often.filter(~F.col("leaf") | (F.col("n") >= leaf_share * F.col("pages"))).select("host", "digest", "leaf"), "templates")
+    return written(often.filter((F.col("kind") < 2) | (F.col("n") >= leaf_share * F.col("pages"))).select("host", "digest", "kind"), "templates")
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, leaf_share: float = LEAF_SHARE, most: int = BROADCAST) -> DataFrame:
@@ -329,14 +386,14 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, leaf_share: float = LE
     """
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).withColumn("row", F.xxhash64("host", F.coalesce("html", F.lit(""))))
     known = templates(rows, min_pages, leaf_share)
-    entry = F.struct("digest", "leaf")
+    entry = F.struct("digest", "kind")
     if known.count() <= most:
         per_host = known.groupBy(F.col("host").alias("h")).agg(F.collect_list(entry).alias("template"))  # at most ``most`` in all
         rows = rows.join(F.broadcast(per_host), F.col("host") == F.col("h"), "left")
     else:
-        held = subtrees(rows).filter("digest IS NOT NULL").groupBy("host", "digest", "leaf", "row").agg(F.lit(1).alias("one"))
-        of = known.select(F.col("host").alias("h"), F.col("digest").alias("d"), F.col("leaf").alias("l"))
-        held = held.join(of, (F.col("host") == F.col("h")) & (F.col("digest") == F.col("d")) & (F.col("leaf") == F.col("l")), "left_semi")
+        held = subtrees(rows).filter("digest IS NOT NULL").groupBy("host", "digest", "kind", "row").agg(F.lit(1).alias("one"))
+        of = known.select(F.col("host").alias("h"), F.col("digest").alias("d"), F.col("kind").alias("l"))
+        held = held.join(of, (F.col("host") == F.col("h")) & (F.col("digest") == F.col("d")) & (F.col("kind") == F.col("l")), "left_semi")
         per_page = held.groupBy(detached(F.col("row")).alias("r")).agg(F.collect_list(entry).alias("template"))  # one page's
         rows = rows.join(per_page, F.col("row") == F.col("r"), "left")
     schema = T.StructType([rows.schema["page_id"], rows.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_template", T.LongType())])
@@ -347,7 +404,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, leaf_share: float = LE
             last, known = None, frozenset()
             for html, template in zip(batch["html"], batch["template"]):
                 if template is not last:
-                    last, known = template, frozenset() if template is None else frozenset((x["digest"], x["leaf"]) for x in template)
+                    last, known = template, frozenset() if template is None else frozenset((x["digest"], x["kind"]) for x in template)
                 text, n = main_text(parse(html), known)
                 texts.append(text)
                 deleted.append(n)

@@ -171,3 +171,54 @@ def test_broken_and_very_long_pages(spark):
     got = {(r.page_id, r.url): r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[1, "http://a.example/"].endswith("paragraph 19998\n\nparagraph 19999")
     assert "x & A" in got[2, "http://a.example/"] and got[2, None].endswith("y")
+
+
+def extracted(spark, htmls, url="http://a.example/"):
+    rows = [(k, f"{url}{k}", h) for k, h in enumerate(htmls)]
+    return [r.text for r in sorted(pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())]
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_what_recurs_in_articles_stays(spark, tag):
+    """Section headings, lists, tables and quotations that many or all articles of a host hold."""
+    menu = "<ul><li><a href=1>One page</a></li><li><a href=2>Another page</a></li></ul>"
+    recipe = lambda k: f"<body>{menu}<{tag}><h1>Dish {k}</h1><p>The story of dish number {k}, which is told at some length here.</p><h2>Ingredients</h2><ul><li>Salt</li><li>Water</li></ul><h2>Method</h2><p>Cook dish {k} as you like it best.</p><table><tr><td>Serves</td><td>4</td></tr></table></{tag}></body>"
+    want = [f"Dish {k}\n\nThe story of dish number {k}, which is told at some length here.\n\nIngredients\n\nSalt\n\nWater\n\nMethod\n\nCook dish {k} as you like it best.\n\nServes\n\n4" for k in range(8)]
+    assert extracted(spark, [recipe(k) for k in range(8)]) == want
+    quote = "<blockquote><p>What we know is little, and what we do not know is immense.</p></blockquote>"
+    essay = lambda k: f"<{tag}><p>Essay number {k} begins with these words of its own.</p>{quote if k % 7 == 0 else ''}<p>And essay {k} ends with others.</p></{tag}>"
+    got = extracted(spark, [essay(k) for k in range(40)])
+    assert all(("What we know is little" in x) == (k % 7 == 0) and f"essay {k} ends" in x for k, x in enumerate(got))
+
+
+def test_links_and_fields_that_recur_in_articles_go(spark):
+    box = "<div><p>Read <a href=1>the first of our stories</a></p><p><a href=2>and a second one</a></p></div><div>Your mail: <input name=m></div>"
+    got = extracted(spark, [f"<article><h1>Story {k}</h1><p>Text of story {k} in its own words.</p>{box}</article>" for k in range(8)])
+    assert got == [f"Story {k}\n\nText of story {k} in its own words." for k in range(8)]
+
+
+STORY = "<h1>The title</h1>" + "".join(f"<p>Paragraph {k} of a story that is long enough to be told from furniture by its text.</p>" for k in range(4))
+TOLD = "The title\n\n" + "\n\n".join(f"Paragraph {k} of a story that is long enough to be told from furniture by its text." for k in range(4))
+
+
+def test_wrappers_of_a_page_are_no_furniture():
+    text = lambda html: pages.main_text(pages.parse(html))[0]
+    for html in (
+        f'<body><form id="aspnetForm" action="/"><input type=hidden><article>{STORY}</article><footer>end</footer></form></body>', f'<form><div>{STORY}</div><nav><a>menu</a></nav></form>',
+        f'<body><div class="widget Blog"><div class="post">{STORY}</div></div><div class="sidebar">side</div></body>', f'<main><div id="search">{STORY}</div></main>', f'<div class="page-overlay"><div role="dialog">{STORY}</div></div>',
+    ):
+        assert text(html) == TOLD
+    # comments aren't a wrapper, however long, and a short form isn't an article
+    assert text(f'<article><h1>Short</h1><p>One line.</p><div class="comment-list">{STORY}</div></article>') == "Short\n\nOne line."
+    assert text("<body><p>Hello</p><form><p>Log in here</p><input></form></body>") == "Hello"
+
+
+@pytest.mark.parametrize("name", ["commentlist", "comment-body", "post-comments-v3", "adsbygoogle", "newsletter-cta", "share-this-story", "related-reading", "taboola", "outbrain-widget", "advert-zone"])
+def test_further_names_of_furniture(name):
+    assert pages.main_text(pages.parse(f'<article>{STORY}<div class="{name}"><p>Something else that is no part of it</p></div></article>'))[0] == TOLD
+
+
+@pytest.mark.parametrize("name", ["story-body", "reading", "commentary", "article-body", "adventure", "this-story"])
+def test_names_of_articles(name):
+    got = pages.main_text(pages.parse(f'<body><p>Before it.</p><div class="{name}">{STORY}</div></body>'))[0]
+    assert got == f"Before it.\n\n{TOLD}"
