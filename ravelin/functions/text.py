@@ -54,6 +54,11 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
 
 
+def plain_words(c: Column) -> Column:
+    """Lower-case letters, digits and underscores of any script; everything between is one space."""
+    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", " "))
+
+
 def float_text(d: Column) -> Column:
     """A double in the shortest form that reads back: with an exponent below 1e-4 and from 1e16 on, else in full."""
     s = d.cast("string")

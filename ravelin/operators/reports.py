@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ravelin.functions.text import plain_words
+
 from ravelin.shipping import shipped
 
 
@@ -128,3 +130,20 @@ def accumulated(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], me
 
     states = base.mapInPandas(update, ", ".join([*key_types, *numbers(metric.state)]))
     return states.groupBy(*keys).applyInPandas(merge, ", ".join([*key_types, *numbers(metric.result)]))
+
+
+def error_kind(prediction: Column, golds: Column, similarity: Column) -> Column:
+    """What is wrong with a wrong prediction, by the first rule that fits. golds is an array of texts; similarity (0 to 1) is
+    the best ratio of the plain prediction to a plain gold answer, by whatever measure. Null predictions are empty."""
+    said = F.coalesce(prediction, F.lit(""))
+    plain, low = plain_words(said), F.lower(said)
+    count = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+    n = count(said)
+    usual = F.aggregate(golds, F.lit(0.0), lambda a, g: a + count(g)) / F.size(golds)
+    return (
+        F.when(F.trim(said) == "", "empty_prediction").when(said.startswith("Error"), "llm_error")
+        .when(F.contains(low, F.lit("don't know")) | F.contains(low, F.lit("cannot")), "refusal")
+        .when(F.exists(golds, lambda g: F.contains(plain, plain_words(g))), "answer_embedded")
+        .when(similarity > 0.7, "high_similarity").when(similarity > 0.4, "moderate_similarity")
+        .when(n > usual * 2, "too_verbose").when((n < usual * 0.5) & (n > 0), "too_short").otherwise("completely_wrong")
+    )

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ravelin.functions.scoring import cosine
 from ravelin.functions.text import tokens
+from ravelin.shipping import shipped
 from ravelin.sources.index import K1, B, LexicalIndex
 from ravelin.storage import written
 
@@ -44,52 +47,101 @@ def bm25(index: LexicalIndex, terms: DataFrame, k1: float = K1, b: float = B) ->
     return index.bm25(terms, near_terms(terms), k1, b)
 
 
-#: Vectors of a query block.
-QUERY_BLOCK = 256
+#: Vectors of a block on either side, and blocks of queries that are broadcast, at most.
+QUERY_BLOCK, VECTOR_BLOCK, NEAR_BLOCKS = 256, 2048, 64
+
+
+def _packed(rows: DataFrame, key: str, vector: str, size: int, name: str) -> DataFrame:
+    """Blocks of up to ``size`` vectors of unit length, one row each: ids, and the vectors end to end."""
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, held = [], []
+        for f in frames:
+            for i, v in zip(f[key], f[vector], strict=True):
+                ids.append(i)
+                held.append(v)
+                if len(ids) == size:
+                    yield block(ids, held)
+                    ids, held = [], []
+        if ids:
+            yield block(ids, held)
+
+    def block(ids: list, held: list) -> pd.DataFrame:
+        x = np.stack(held).astype("float64")
+        with np.errstate(invalid="ignore", divide="ignore"):
+            unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+        return pd.DataFrame({f"{name}_ids": [ids], f"{name}_data": [unit.tobytes()]})
+
+    return rows.select(key, vector).filter(F.col(vector).isNotNull()).mapInPandas(pack, f"{name}_ids array<long>, {name}_data binary")
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int | None = None, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, vec_id, score): cosine of a stated set of queries to every vector, or to the k best of each query.
 
-    Queries go in blocks of a fixed size: all blocks are written once, and each is broadcast to the vectors in turn.
+    Both sides are packed into blocks; a plan of one join pairs every block of vectors with every block of queries, and a
+    pair is one product of matrices, of which a query's k best go on. Few blocks of queries are broadcast, many are
+    written and read by each task. A vector of length 0 has no score; null vectors are left out.
     """
-    held = written(queries.withColumn("__n", F.monotonically_increasing_id()), "queries")
-    total = held.count()
-    blocks = max(1, -(-total // block))
-    parts = []
-    for n in range(blocks):
-        # a block has about ``block`` queries: dealt by a hash of their number
-        some = held.filter(F.pmod(F.xxhash64("__n"), F.lit(blocks)) == n).drop("__n")
-        scored = vectors.crossJoin(F.broadcast(some)).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("q")).alias("score"))
-        if k is not None:
-            w = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-            scored = scored.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= k).drop("__k")
-        parts.append(scored)
-    return reduce(DataFrame.unionByName, parts)
+    shipped(vectors.sparkSession)
+    asked = written(_packed(queries, "query_id", "q", block, "q"), "query-blocks")
+    few = asked.limit(NEAR_BLOCKS + 1).count() <= NEAR_BLOCKS
+    pairs = _packed(vectors, "vec_id", "embedding", VECTOR_BLOCK, "v").crossJoin(F.broadcast(asked) if few else asked)
+
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for v_ids, v, q_ids, q in zip(f["v_ids"], f["v_data"], f["q_ids"], f["q_data"], strict=True):
+                scores = np.frombuffer(q).reshape(len(q_ids), -1) @ np.frombuffer(v).reshape(len(v_ids), -1).T
+                v_ids = np.asarray(v_ids)
+                if k is not None and len(v_ids) > k:
+                    # ties at the k-th score all go on: the final rank decides between them by id
+                    least = -np.partition(-np.nan_to_num(scores, nan=-2.0), k - 1, axis=1)[:, k - 1 : k]
+                    at = np.nonzero(scores >= least)
+                else:
+                    at = np.nonzero(~np.isnan(scores))
+                yield pd.DataFrame({"query_id": np.asarray(q_ids)[at[0]], "vec_id": v_ids[at[1]], "score": scores[at]})
+
+    out = pairs.mapInPandas(score, "query_id long, vec_id long, score double")
+    if k is None:
+        return out
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    return out.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= k).drop("__k")
 
 
 def containing(docs: DataFrame, passages: DataFrame, words: int = 5) -> DataFrame:
     """docs (doc_id, text), passages (query_id, passage) -> (query_id, doc_id): the documents that hold a passage.
 
     A passage's first and last word may stand within longer ones, but words in between stand whole: documents that hold
-    its second to sixth word in a row are found by equality, and then by the whole passage. Passages with too few words
-    are looked for in every document; they are a bounded few.
+    its second to sixth word in a row, or all words in between if these are fewer, are found by equality, and then by the
+    whole passage. Passages of one or two words have none in between; they are looked for in every document, in blocks.
     """
     split = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    own = passages.withColumn("__w", split(F.col("passage")))
-    long = own.filter(F.size("__w") >= words + 2).select("query_id", "passage", F.xxhash64(F.slice("__w", 2, words)).alias("g"))
-    w = docs.select("doc_id", split(F.col("text")).alias("w")).filter(F.size("w") >= words)
-    beside = F.arrays_zip(*[F.slice("w", F.lit(k + 1), F.size("w") - words + 1).alias(f"w{k}") for k in range(words)])
-    grams = w.select("doc_id", F.explode(F.array_distinct(F.transform(beside, lambda x: F.xxhash64(F.array(*[x[f"w{k}"] for k in range(words)]))))).alias("g"))
-    pairs = grams.join(bounded(long), "g").select("doc_id", "query_id", "passage")
-    found = docs.select("doc_id", "text").join(pairs, "doc_id").filter(F.contains("text", "passage")).select("query_id", "doc_id")
-    short = own.filter(F.size("__w") < words + 2).select("query_id", "passage")
+    own = passages.withColumn("__w", split(F.col("passage"))).withColumn("__n", F.least(F.lit(words), F.size("__w") - 2))
+    keyed = own.filter("__n >= 1").select("query_id", "passage", "__n", F.xxhash64(F.slice("__w", F.lit(2), F.col("__n"))).alias("g"))
+    sizes = sorted(r[0] for r in keyed.select("__n").distinct().collect())  # as many as ``words``
+    w = docs.select("doc_id", split(F.col("text")).alias("w"))
+    found = docs.select("doc_id").limit(0).select(F.lit(None).cast(passages.schema["query_id"].dataType).alias("query_id"), "doc_id")
+    parts = []
+    for n in sizes:
+        each = _word_grams(w, n)
+        parts.append(each.join(bounded(keyed.filter(F.col("__n") == n).drop("__n")), "g").select("doc_id", "query_id", "passage"))
+    if parts:
+        pairs = reduce(DataFrame.unionByName, parts)
+        found = docs.select("doc_id", "text").join(pairs, "doc_id").filter(F.contains("text", "passage")).select("query_id", "doc_id")
+    short = own.filter("__n < 1").select("query_id", "passage")
     if short.isEmpty():
         return found.distinct()
-    if short.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
-        raise ValueError(f"over {QUERY_BLOCK} passages of under {words + 2} words")
-    rest = docs.select("doc_id", "text").crossJoin(F.broadcast(short)).filter(F.contains("text", "passage")).select("query_id", "doc_id")
-    return found.unionByName(rest).distinct()
+    number = F.floor(F.monotonically_increasing_id() / QUERY_BLOCK)
+    blocks = written(short.withColumn("__b", number).groupBy("__b").agg(F.collect_list(F.struct("query_id", "passage")).alias("held")).drop("__b"), "passages")  # a block's
+    near = F.broadcast(blocks) if blocks.limit(NEAR_BLOCKS + 1).count() <= NEAR_BLOCKS else blocks
+    met = docs.select("doc_id", "text").crossJoin(near).select("doc_id", F.explode(F.filter("held", lambda x: F.contains(F.col("text"), x["passage"]))).alias("p"))
+    return found.unionByName(met.select("p.query_id", "doc_id")).distinct()
+
+
+def _word_grams(w: DataFrame, n: int) -> DataFrame:
+    """(doc_id, g): hashes of all runs of n words of w (doc_id, w)."""
+    beside = F.arrays_zip(*[F.slice("w", F.lit(k + 1), F.size("w") - n + 1).alias(f"w{k}") for k in range(n)])
+    grams = F.transform(beside, lambda x: F.xxhash64(F.array(*[x[f"w{k}"] for k in range(n)])))
+    return w.filter(F.size("w") >= n).select("doc_id", F.explode(F.array_distinct(grams)).alias("g"))
 
 
 def sparse_dot(weights: DataFrame, queries: DataFrame) -> DataFrame:

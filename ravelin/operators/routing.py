@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ravelin.operators.order import placed
+
 
 def unprocessed(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return rows.join(done.select(key), key, "left_anti")
@@ -49,9 +51,8 @@ def rolling_eviction(existing: DataFrame, new: DataFrame, by: str, k: int, base:
 def head_tail(rows: DataFrame, by: str, order: str, ends: int, limit: int) -> DataFrame:
     """All rows of a group up to ``limit``; of larger ones the first and the last ``ends``."""
     n = rows.groupBy(F.col(by).alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
-    w = W.partitionBy(by).orderBy(order)
-    placed = rows.withColumn("place", F.row_number().over(w).cast("long")).join(n, F.col(by) == F.col("__b"))
-    return placed.filter((F.col("__n") <= limit) | (F.col("place") <= ends) | (F.col("place") > F.col("__n") - ends)).drop("__b", "__n")
+    each = placed(rows, [order], [by]).join(n, F.col(by) == F.col("__b"))
+    return each.filter((F.col("__n") <= limit) | (F.col("place") <= ends) | (F.col("place") > F.col("__n") - ends)).drop("__b", "__n")
 
 
 def pinned(paras: Column, pin: Column, position: str) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ravelin.operators.order import placed
+
 
 def order_hash(key: Column, seed: str = "42") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")).cast("binary"))
@@ -60,19 +62,16 @@ def split(rows: DataFrame, key: str, test: float = 0.2, seed: str = "42") -> Dat
 def oversampled(rows: DataFrame, by: str, key: str, target: int) -> DataFrame:
     """Each class repeated, row by row in turn, until it has ``target`` rows; larger classes stay. Column copy counts from 0."""
     n = rows.groupBy(F.col(by).alias("__b")).agg(F.count(F.lit(1)).alias("__c"))
-    w = W.partitionBy(by).orderBy(key)
-    placed = rows.withColumn("__i", F.row_number().over(w) - 1).join(n, F.col(by) == F.col("__b"))
-    copies = F.floor((F.greatest(F.lit(target), F.col("__c")) - 1 - F.col("__i")) / F.col("__c"))
-    return placed.withColumn("copy", F.explode(F.sequence(F.lit(0), copies.cast("int")))).drop("__i", "__b", "__c")
+    each = placed(rows, [key], [by]).withColumnRenamed("place", "__i").join(n, F.col(by) == F.col("__b"))
+    copies = F.floor((F.greatest(F.lit(target), F.col("__c")) - F.col("__i")) / F.col("__c"))
+    return each.withColumn("copy", F.explode(F.sequence(F.lit(0), copies.cast("int")))).drop("__i", "__b", "__c")
 
 
 def nth_of(rows: DataFrame, order: str, k: int, nth: list[int], by: str) -> DataFrame:
     """Rows whose place within their group, modulo k, is one of nth."""
-    w = W.partitionBy(by).orderBy(order)
-    return rows.withColumn("__i", (F.row_number().over(w) - 1) % k).filter(F.col("__i").isin(*nth)).drop("__i")
+    return placed(rows, [order], [by]).filter(((F.col("place") - 1) % k).isin(*nth)).drop("place")
 
 
 def within_budget(rows: DataFrame, by: str, order: str, cost: Column, budget: int) -> DataFrame:
     """The longest run of rows, in order, whose summed cost stays within the budget."""
-    w = W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn("used", F.sum(cost).over(w)).filter(F.col("used") <= budget)
+    return placed(rows, [order], [by], cost).filter(F.col("used") <= budget).drop("place")

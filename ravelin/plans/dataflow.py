@@ -161,12 +161,13 @@ def exit_controller(spark, d):
     return t(spark, d, "conversations").select("conv_id", "turn", H.exits(F.expr(_LAST), F.col("turn"), 5).alias("exits"))
 
 
-@query("""WITH s AS (SELECT c_nationkey, list(c_mktsegment ORDER BY c_custkey) AS xs FROM customer GROUP BY 1), h AS (SELECT c_nationkey, CASE WHEN list_contains(xs, 'BUILDING') THEN xs ELSE list_prepend('BUILDING', xs) END AS held, list_filter(xs, lambda x: x <> 'BUILDING') AS rest FROM s)
-SELECT c_nationkey, array_to_string(held, ',') AS no_op, array_to_string(list_prepend('BUILDING', rest), ',') AS top, array_to_string(list_append(rest, 'BUILDING'), ',') AS bottom FROM h""")
+@query("""WITH s AS (SELECT l_orderkey, list(l_returnflag || l_linestatus ORDER BY l_linenumber, l_returnflag || l_linestatus) AS xs FROM lineitem GROUP BY 1), h AS (SELECT l_orderkey, CASE WHEN list_contains(xs, 'RF') THEN xs ELSE list_prepend('RF', xs) END AS held, list_filter(xs, lambda x: x <> 'RF') AS rest FROM s)
+SELECT l_orderkey, array_to_string(held, ',') AS no_op, array_to_string(list_prepend('RF', rest), ',') AS top, array_to_string(list_append(rest, 'RF'), ',') AS bottom FROM h""")
 def pin_reorder(spark, d):
-    xs = F.array_sort(F.collect_list(F.struct("c_custkey", "c_mktsegment")))
-    s = t(spark, d, "customer").groupBy("c_nationkey").agg(F.transform(xs, lambda x: x.c_mktsegment).alias("xs"))
-    return s.select("c_nationkey", *[F.array_join(O.pinned(F.col("xs"), F.lit("BUILDING"), p), ",").alias(p) for p in ("no_op", "top", "bottom")])
+    """The lines of each order, a few, with one pinned."""
+    xs = F.array_sort(F.collect_list(F.struct("l_linenumber", F.concat("l_returnflag", "l_linestatus").alias("x"))))
+    s = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(xs, lambda x: x.x).alias("xs"))
+    return s.select("l_orderkey", *[F.array_join(O.pinned(F.col("xs"), F.lit("RF"), p), ",").alias(p) for p in ("no_op", "top", "bottom")])
 
 
 @query(f"""WITH {BM25}, b AS (SELECT query_id, doc_id, rank, score, 1 AS depth FROM hits WHERE rank <= 3) SELECT query_id, doc_id, rank AS place FROM b""")

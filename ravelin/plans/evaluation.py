@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ravelin.functions import scoring as S
-from ravelin.functions.text import tokens
+from ravelin.functions.text import plain_words, tokens
 from ravelin.operators import reports as R
 from ravelin.operators import retrieval as O
+from ravelin.operators.agents import sequence_ratio
 from ravelin.operators.align import bags_f1  # noqa: F401
-from ravelin.operators.similarity import indel_ratio
-from ravelin.plans.base import ANSWERS, answers, query, sql_tokens, t
+from ravelin.plans.base import ANSWERS, answers, query, sql_norm, sql_tokens, t
 from ravelin.plans.retrieval import BM25, hits
 from ravelin.plans.scores import SQL_EM, SQL_IN, SQL_RECALL, sql_f1
 
@@ -239,16 +239,36 @@ def loss_breakdown(spark, d):
 _PRED = "CASE question_id % 8 WHEN 0 THEN '' WHEN 1 THEN 'Error: timeout' WHEN 2 THEN 'I cannot say' ELSE prediction END"
 
 
+def _wrong(spark, d):
+    """Wrong predictions; a question has its gold answer and that answer's last words as another."""
+    a = answers(spark, d).withColumn("p", F.expr(_PRED)).filter(S.exact_match(F.col("gold"), F.col("p")) == 0)
+    return a.select("question_id", "p", "gold", F.array("gold", F.expr(_OTHER)).alias("golds"))
+
+
 def _errors(spark, d):
-    """Wrong predictions and their kind; similarity by the ratio of the common subsequence."""
-    a = answers(spark, d).withColumn("p", F.expr(_PRED)).withColumn("ratio", indel_ratio(F.lower("gold"), F.lower("p")) / 100)
-    low, np_, ng = F.lower("p"), F.size(F.split("p", " ")), F.size(F.split("gold", " "))
-    kind = (
-        F.when(F.trim("p") == "", "empty_prediction").when(F.col("p").startswith("Error"), "llm_error").when(F.contains(low, F.lit("don't know")) | F.contains(low, F.lit("cannot")), "refusal")
-        .when(F.contains(low, F.lower("gold")), "answer_embedded").when(F.col("ratio") > 0.7, "high_similarity").when(F.col("ratio") > 0.4, "moderate_similarity")
-        .when(np_ > ng * 2, "too_verbose").when(np_ < ng * 0.5, "too_short").otherwise("completely_wrong")
-    )
-    return a.filter(S.exact_match(F.col("gold"), F.col("p")) == 0).select("question_id", "p", "gold", kind.alias("kind"), F.length("p").alias("len_p"), F.length("gold").alias("len_g"))
+    """Wrong predictions and their kind, by the ratio of matching blocks of the plain texts."""
+    a = _wrong(spark, d).withColumn("g", F.explode("golds"))
+    ratio = sequence_ratio(plain_words(F.col("p")), plain_words(F.col("g")))
+    best = a.withColumn("ratio", ratio).groupBy("question_id", "p", "gold", "golds").agg(F.max("ratio").alias("ratio"))
+    kind = R.error_kind(F.col("p"), F.col("golds"), F.col("ratio"))
+    return best.select("question_id", "p", "gold", kind.alias("kind"), F.length("p").alias("len_p"), F.length("gold").alias("len_g"))
+
+
+_OTHER = "coalesce(nullif(substring(gold, 200), ''), gold)"
+_PLAIN = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
+_COUNT = "len(list_filter(regexp_split_to_array({}, '\\s+'), lambda w: w <> ''))"
+_SET = "list_distinct(string_split({}, ' '))"
+
+
+@query(f"""WITH {ANSWERS}, e AS (SELECT question_id, {_PRED} AS p, gold, [gold, {_OTHER}] AS golds FROM qa WHERE {sql_norm('gold')} <> {sql_norm(f'({_PRED})')}), n AS (SELECT *, {_PLAIN.format('p')} AS pp, list_transform(golds, lambda g: {_PLAIN.format('g')}) AS pg, {_COUNT.format('p')} AS np,
+list_sum(list_transform(golds, lambda g: {_COUNT.format('g')}))::DOUBLE / 2 AS ng FROM e), s AS (SELECT *, len(list_intersect({_SET.format('pp')}, {_SET.format('pg[1]')}))::DOUBLE / greatest(1, len({_SET.format('pp')})) AS sim FROM n)
+SELECT question_id, CASE WHEN trim(p) = '' THEN 'empty_prediction' WHEN p LIKE 'Error%' THEN 'llm_error' WHEN contains(lower(p), 'don''t know') OR contains(lower(p), 'cannot') THEN 'refusal' WHEN contains(pp, pg[1]) OR contains(pp, pg[2]) THEN 'answer_embedded'
+WHEN sim > 0.7 THEN 'high_similarity' WHEN sim > 0.4 THEN 'moderate_similarity' WHEN np > ng * 2 THEN 'too_verbose' WHEN np < ng * 0.5 AND np > 0 THEN 'too_short' ELSE 'completely_wrong' END AS kind FROM s""")
+def error_kinds(spark, d):
+    """The kind of each wrong prediction, with the share of its words in the gold answer for a similarity."""
+    words = lambda c: F.array_distinct(F.split(plain_words(c), " "))
+    share = F.size(F.array_intersect(words(F.col("p")), words(F.col("gold")))) / F.greatest(F.lit(1), F.size(words(F.col("p"))))
+    return _wrong(spark, d).select("question_id", R.error_kind(F.col("p"), F.col("golds"), share).alias("kind"))
 
 
 @query()

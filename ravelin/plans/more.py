@@ -265,12 +265,16 @@ _BASE = {"retrieval": {"hybrid": False, "k": 5}, "tree": {"on": False}, "cascade
 _GRID = {"A": {}, "B": {"retrieval": {"hybrid": True}}, "C": {"retrieval": {"hybrid": True}, "cascade": {"on": True}}, "D": {"retrieval": {"hybrid": True}, "cascade": {"on": True}, "tree": {"on": True}}}
 
 
-@query("SELECT * FROM (VALUES ('A', 'retrieval.hybrid', 'false'), ('A', 'retrieval.k', '5'), ('A', 'tree.on', 'false'), ('A', 'cascade.on', 'false'), ('B', 'retrieval.hybrid', 'true'), ('B', 'retrieval.k', '5'), ('B', 'tree.on', 'false'), ('B', 'cascade.on', 'false'), "
-       "('C', 'retrieval.hybrid', 'true'), ('C', 'retrieval.k', '5'), ('C', 'tree.on', 'false'), ('C', 'cascade.on', 'true'), ('D', 'retrieval.hybrid', 'true'), ('D', 'retrieval.k', '5'), ('D', 'tree.on', 'true'), ('D', 'cascade.on', 'true')) v(experiment, setting, value)")
+@query(f"""WITH {ANSWERS}, v(experiment, setting, value) AS (VALUES ('A', 'retrieval.hybrid', 'false'), ('A', 'retrieval.k', '5'), ('A', 'tree.on', 'false'), ('A', 'cascade.on', 'false'), ('B', 'retrieval.hybrid', 'true'), ('B', 'retrieval.k', '5'), ('B', 'tree.on', 'false'), ('B', 'cascade.on', 'false'),
+('C', 'retrieval.hybrid', 'true'), ('C', 'retrieval.k', '5'), ('C', 'tree.on', 'false'), ('C', 'cascade.on', 'true'), ('D', 'retrieval.hybrid', 'true'), ('D', 'retrieval.k', '5'), ('D', 'tree.on', 'true'), ('D', 'cascade.on', 'true')),
+k AS (SELECT question_id, dataset, chr((65 + question_id % 4)::INT) AS experiment FROM qa)
+SELECT dataset, experiment, setting, value, count(*) AS questions FROM k JOIN v USING (experiment) GROUP BY ALL""")
 def ablation_grid(spark, d):
-    """The settings of each experiment: its own laid over the base."""
+    """Which settings each data set's questions run with: an experiment's own laid over the base."""
     rows = [(name, f"{part}.{k}", str(v).lower()) for name, over in _GRID.items() for part, held in merged(_BASE, over).items() for k, v in held.items()]
-    return spark.createDataFrame(rows, "experiment string, setting string, value string")
+    grid = spark.createDataFrame(rows, "experiment string, setting string, value string")
+    asked = answers(spark, d).groupBy("dataset", F.char(65 + F.col("question_id") % 4).alias("experiment")).agg(F.count(F.lit(1)).alias("questions"))
+    return asked.join(F.broadcast(grid), "experiment").select("dataset", "experiment", "setting", "value", "questions")  # a fixed few rows
 
 
 @query(f"WITH {ANSWERS}, n AS (SELECT action, count(*) AS c FROM qa GROUP BY action) SELECT action, c AS n, round((SELECT sum(c) FROM n)::DOUBLE / ((SELECT count(*) FROM n) * c), 6) AS weight FROM n")

@@ -257,13 +257,14 @@ def near_duplicate_pairs(spark, d):
 
 
 @query(f"""
-WITH s AS (SELECT min(id) AS id, ts FROM (SELECT conv_id * 100 + turn AS id, list_sort(list_distinct({sql_tokens('text')})) AS ts FROM conversations WHERE role = 'user') GROUP BY ts)
+WITH s AS (SELECT min(id) AS id, ts FROM (SELECT conv_id * 100 + turn AS id, list_sort(list_distinct({sql_tokens('text')})) AS ts FROM conversations) GROUP BY ts)
 SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.ts, b.ts))::DOUBLE / len(list_distinct(list_concat(a.ts, b.ts))), 6) AS similarity
-FROM s a JOIN s b ON a.id < b.id WHERE len(list_intersect(a.ts, b.ts))::DOUBLE / len(list_distinct(list_concat(a.ts, b.ts))) >= 0.5
+FROM s a JOIN s b ON a.id < b.id WHERE len(list_intersect(a.ts, b.ts))::DOUBLE / len(list_distinct(list_concat(a.ts, b.ts))) >= 0.25
 """)
 def jaccard_pairs(spark, d):
-    s = t(spark, d, "conversations").filter("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.array_distinct(tokens(F.col("text"))).alias("ts"))
-    return similar_sets(s, 0.5)
+    """Turns that share a quarter of their words."""
+    s = t(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.array_distinct(tokens(F.col("text"))).alias("ts"))
+    return similar_sets(s, 0.25)
 
 
 @query(f"""

@@ -6,11 +6,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ravelin.functions.scoring import bag_f1
-from ravelin.functions.text import answer_tokens, normalize_answer
+from ravelin.functions.text import answer_tokens, normalize_answer, plain_words
 from ravelin.functions.text import first_sentence as first_sentence_of
 from ravelin.operators import retrieval as R
 from ravelin.operators import sampling as M
 from ravelin.operators.models import generated
+from ravelin.operators.order import placed
 from ravelin.plans.base import ANSWERS, answers, query, sql_answer_tokens, sql_norm, t
 from ravelin.plans.retrieval import BM25, hits
 from ravelin.plans.scores import _sql_bag
@@ -101,12 +102,12 @@ def support_pid_titles(spark, d):
 @query(f"""SELECT s.source, coalesce(title, '') AS title, coalesce(para, '') AS para FROM (SELECT source, unnest(list_zip(titles, paras[1:2])) AS z, z[1] AS title, z[2] AS para FROM
 (SELECT source, list(lang ORDER BY doc_id) AS titles, list(text ORDER BY doc_id) AS paras FROM documents GROUP BY source)) s""")
 def context_encodings(spark, d):
-    """Parallel arrays of titles and paragraphs of unequal length as rows; what is missing is empty."""
-    x = F.array_sort(F.collect_list(F.struct("doc_id", "lang", F.col("text").alias("p"))))
-    g = t(spark, d, "documents").groupBy("source").agg(x.alias("x"))
-    g = g.select("source", F.transform("x", lambda y: y.lang).alias("titles"), F.slice(F.transform("x", lambda y: y.p), 1, 2).alias("paras"))
-    z = g.select("source", F.explode(F.arrays_zip("titles", "paras")).alias("z"))
-    return z.select("source", F.coalesce("z.titles", F.lit("")).alias("title"), F.coalesce("z.paras", F.lit("")).alias("para"))
+    """Parallel lists of titles and paragraphs of unequal length as rows: a source has a title for each document and a
+    paragraph for its first two; what is missing is empty."""
+    x = t(spark, d, "documents").select("doc_id", "source", "lang", "text")
+    first = x.select("source", F.col("doc_id").alias("p_id"), F.col("text").alias("p")).withColumn("n", F.row_number().over(W.partitionBy("source").orderBy("p_id"))).filter("n <= 2")  # the rank limit holds before the shuffle
+    both = x.join(first.select("p_id", "p"), F.col("doc_id") == F.col("p_id"), "left")
+    return both.select("source", F.coalesce("lang", F.lit("")).alias("title"), F.coalesce("p", F.lit("")).alias("para"))
 
 
 @query("SELECT item_id, pos FROM benchmark JOIN (VALUES (7, 0), (3, 1), (11, 2), (900, 3)) v(k, pos) ON item_id = k")
@@ -141,10 +142,10 @@ def first_sentence(spark, d):
     return t(spark, d, "documents").select("doc_id", first_sentence_of(F.col("text")).alias("sentence"))
 
 
-@query("SELECT c_custkey, trim(regexp_replace(regexp_replace(lower(x), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS plain FROM (SELECT c_custkey, c_name || '; (' || c_mktsegment || ')  -' AS x FROM customer)")
+@query("SELECT doc_id, md5(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}_]+', ' ', 'g'))) AS plain FROM documents")
 def diagnosis_normalize(spark, d):
-    x = F.concat("c_name", F.lit("; ("), "c_mktsegment", F.lit(")  -"))
-    return t(spark, d, "customer").select("c_custkey", F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"[^a-z0-9_\s]", " "), r"\s+", " ")).alias("plain"))
+    """Whole texts in lower case with letters, digits and underscores of any script, single spaces between."""
+    return t(spark, d, "documents").select("doc_id", F.md5(plain_words(F.coalesce("text", F.lit(""))).cast("binary")).alias("plain"))
 
 
 @query("SELECT p_partkey, line FROM (SELECT p_partkey, list_filter(['plan: first', 'let us think -> so', p_type || ' -> ' || p_brand, 'a -> b'], lambda x: contains(x, '->') AND NOT contains(lower(x), 'let us'))[1] AS line FROM part)")
@@ -176,13 +177,9 @@ def label_mapping(spark, d):
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS number FROM (SELECT DISTINCT doc_id FROM documents)")
 def sequential_numbers(spark, d):
-    """Numbers in order of the id without one task for all rows: places within ranges, and the ranges' offsets."""
-    x = t(spark, d, "documents").select("doc_id").distinct()
-    x = x.withColumn("b", F.floor(F.col("doc_id") / 100))
-    sizes = x.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("b", (F.sum("n").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("before"))  # ranges, not rows
-    w = W.partitionBy("b").orderBy("doc_id")
-    return x.withColumn("i", F.row_number().over(w)).join(before, "b").select("doc_id", (F.col("before") + F.col("i") - 1).alias("number"))
+    """Numbers in order of the id, from ranges that are numbered side by side."""
+    x = placed(t(spark, d, "documents").select("doc_id").distinct(), ["doc_id"])
+    return x.select("doc_id", (F.col("place") - 1).alias("number"))
 
 
 @query("SELECT 'A' AS id, count(*) AS n FROM documents UNION ALL SELECT 'B', count(*) FROM pages")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ravelin.functions.stem import porter, stemmed
 from ravelin.operators import models, sparse
+from ravelin.operators import retrieval as R
 from ravelin.operators import similarity as S
 from ravelin.sources.blocks import blocks
 
@@ -188,3 +189,53 @@ def test_blocks_of_lines(spark):
     random.Random(1).shuffle(rows)
     got = blocks(spark.createDataFrame(rows, "path string, line_no int, line string"), "QID").collect()
     assert sorted(map(tuple, got)) == [("a", 0, "1", "x\ny"), ("a", 1, "2", ""), ("a", 2, "3", "z"), ("b", 0, "4", "")]
+
+
+def test_passages_of_any_length_in_documents(spark):
+    rnd = random.Random(4)
+    words = ["ab", "b", "abc", "c", "aé", "d"]
+    docs = [(i, " ".join(rnd.choices(words, k=rnd.randint(0, 14)))) for i in range(80)] + [(99, None)]
+    passages = [(i, " ".join(rnd.choices(words, k=rnd.randint(1, 8)))) for i in range(700)]  # over two blocks of short ones
+    passages += [(900 + i, t[rnd.randrange(5) : 30]) for i, t in docs[:40] if len(t) > 12]
+    got = R.containing(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(passages, "query_id long, passage string"))
+    assert {(r.query_id, r.doc_id) for r in got.collect()} == {(q, i) for q, p in passages for i, t in docs if t is not None and p in t}
+
+
+@pytest.mark.parametrize("k", [None, 3])
+def test_nearest_vectors_in_blocks(spark, k, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(R, "NEAR_BLOCKS", 2 if k else 64)
+    rng = np.random.default_rng(1)
+    x = rng.integers(-2, 3, size=(300, 3)).astype(float)  # many ties, some of length 0
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    queries = df.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    out = R.knn(df, queries, k, block=4)
+    got = {(r.query_id, r.vec_id): round(r.score, 9) for r in out.collect()}
+    norm = np.sqrt((x * x).sum(1))
+    want = {}
+    for i in range(0, 300, 10):
+        if norm[i]:
+            own = sorted(((-round(float(x[i] @ x[j] / norm[i] / norm[j]), 9) + 0.0, j) for j in range(300) if norm[j]))
+            want |= {(i, j): -s + 0.0 for s, j in (own if k is None else own[:k])}
+    if k is None:
+        assert got == want
+    else:  # equal scores may differ in their last digit, so the ids of the last place are free
+        assert sorted((q, s) for (q, _), s in got.items()) == sorted((q, s) for (q, _), s in want.items())
+
+
+def test_places_and_sums_in_groups_of_any_size(spark):
+    from ravelin.operators.order import placed
+
+    rnd = random.Random(2)
+    rows = [(rnd.choice(["a", "a", "a", None, "b"]), i, rnd.randint(0, 5)) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, i int, c int").repartition(6)
+    got = {r.i: (r.place, r.used) for r in placed(df, ["i"], ["g"], F.col("c")).collect()}
+    seen, spent = Counter(), Counter()
+    for g, i, c in sorted(rows, key=lambda r: r[1]):
+        seen[g] += 1
+        spent[g] += c
+        assert got[i] == (seen[g], spent[g])
+    assert [r.place for r in placed(df, ["i"]).orderBy("i").collect()] == list(range(1, 501))
+    assert placed(df.filter("false"), ["i"], ["g"]).count() == 0
