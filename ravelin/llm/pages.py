@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 from heapq import nlargest
 from html.parser import HTMLParser
@@ -131,7 +132,13 @@ def parse(html: str | None) -> Node:
     return builder.root
 
 
-def _told(name: str) -> bool:
+@lru_cache(maxsize=8192)
+def _told(names: str) -> bool:
+    """Whether one of the names of an element, of its class and id, tells furniture. Pages of a site share their names."""
+    return any(_tells(n) for n in names.split() if not LAYOUT.match(n))
+
+
+def _tells(name: str) -> bool:
     parts = [p for p in re.split(r"[-_:.]+|\d+", name.lower()) if p]
     told = [p in FURNITURE or bool(BEGINNINGS.match(p)) for p in parts]
     return any(told) and all(t or p in BESIDE for t, p in zip(told, parts, strict=True))
@@ -146,12 +153,12 @@ def furniture(node: Node) -> bool:
     a = node.attrs
     if not a:
         return False
-    if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none", a.get("style", "")):
+    if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or ("style" in a and re.search(r"display\s*:\s*none", a["style"])):
         return True
-    names = [n for n in f"{a.get('class', '')} {a.get('id', '')}".split() if not LAYOUT.match(n)]
+    names = f"{a.get('class', '')} {a.get('id', '')}"
     if node.tag == "article":
-        return any(re.search("comment|teaser|related", n, re.IGNORECASE) for n in names)
-    return node.tag not in ("html", "body", "main") and any(map(_told, names))
+        return any(re.search("comment|teaser|related", n, re.IGNORECASE) for n in names.split() if not LAYOUT.match(n))
+    return node.tag not in ("html", "body", "main") and names != " " and _told(names)
 
 
 def _walk(root: Node, skip) -> Iterator[tuple[Node | str, bool]]:
