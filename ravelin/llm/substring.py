@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from hashlib import blake2b
+from functools import reduce
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pandas as pd
@@ -75,6 +76,11 @@ class Words:
         """Of the words that the windows first to last cover."""
         return blake2b(memoryview(self.whole)[int(self.starts[first]) : int(self.ends[last + WINDOW - 1])], digest_size=size).digest()
 
+    def sha(self, span: int) -> bytes:
+        """Of the words that the windows of a span cover."""
+        first = span >> 8
+        return sha256(memoryview(self.whole)[int(self.starts[first]) : int(self.ends[first + (span & 255) + WINDOW - 1])]).digest()
+
     def cells(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(anchor hashes, first windows, last windows) by segments of the text."""
         for a in range(0, self.n - WINDOW + 1, SEGMENT):
@@ -103,8 +109,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("o"), F.hash(text).alias("r"), text.alias("text"))
 
 
-def cells(docs: DataFrame) -> DataFrame:
-    """(fp, cell, o, r, span): the cells of all texts; span holds the first window and how many more."""
+def cells(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """(fp, cell, o, r, span): the cells of all texts; cell has ``bits`` bits of a digest of all words, span holds the first
+    window and how many more."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -118,7 +125,7 @@ def cells(docs: DataFrame) -> DataFrame:
                 words = Words(text)
                 for fp, first, last in words.cells():
                     digests = b"".join([words.digest(f, z, 8) for f, z in zip(first.tolist(), last.tolist())])
-                    parts.append((fp, np.frombuffer(digests, "<i8"), np.full(len(fp), o, np.int64), np.full(len(fp), r, np.int32), (first << 8) | (last - first)))
+                    parts.append((fp, np.frombuffer(digests, "<i8") >> (64 - bits), np.full(len(fp), o, np.int64), np.full(len(fp), r, np.int32), (first << 8) | (last - first)))
                     waiting += len(fp)
                 if waiting > 100_000:
                     yield out()
@@ -132,7 +139,7 @@ def cells(docs: DataFrame) -> DataFrame:
 class SubstringIndex:
     """The runs of an index below ``path`` in the shared folder: tables (fp, cell, low, r, span), bucketed and sorted by
     (fp, cell), which never change. low is the smallest document that holds the cell in the run or in an older one, r and
-    span say where in the run's own smallest document; fresh says that no older run holds the cell.
+    span say where in that document; fresh says that no older run holds the cell.
 
     A run's name tells which batches it covers and its buckets. A compacted run covers those that it replaces; they are
     removed only when it is complete, so a run that another covers, or that isn't complete, doesn't count. An index is
@@ -176,18 +183,19 @@ class SubstringIndex:
     def add(self, cells: DataFrame) -> str:
         """A batch's cells (fp, cell, o, r, span) as a new run, merge-joined with all older ones. Returns the run."""
         runs = self.runs()
-        new = cells.groupBy("fp", "cell").agg(F.min(F.struct("o", "r", "span")).alias("m")).select("fp", "cell", "m.*")
+        new = cells.groupBy("fp", "cell").agg(F.min(F.struct(F.col("o").alias("low"), "r", "span")).alias("own"))
         for k, run in enumerate(runs):
-            old = self.table(run).select("fp", "cell", F.col("low").alias(f"low{k}"))
+            old = self.table(run).select("fp", "cell", F.struct("low", "r", "span").alias(f"old{k}"))
             new = new.join(old.hint("merge"), ["fp", "cell"], "left")
-        lows = [F.col(f"low{k}") for k in range(len(runs))]
-        before = F.least(*lows) if len(lows) > 1 else lows[0] if lows else F.lit(None).cast("long")
+        olds = [F.col(f"old{k}") for k in range(len(runs))]
+        first = F.least("own", *olds) if olds else F.col("own")
+        fresh = reduce(lambda a, b: a & b, [c.isNull() for c in olds], F.lit(True))
         last = int(self.NAME.fullmatch(runs[-1])[2]) if runs else 0
-        return self._write(new.select("fp", "cell", F.least(F.col("o"), before).alias("low"), "r", "span", before.isNull().alias("fresh")), last + 1, last + 1)
+        return self._write(new.select("fp", "cell", first.alias("first"), fresh.alias("fresh")).select("fp", "cell", "first.*", "fresh"), last + 1, last + 1)
 
     def compact(self) -> None:
         """While the newest ``fanout`` runs cover equally many batches: one run in their place, by merge joins. Of a cell
-        in several, the oldest entry stays, with the smallest document of all."""
+        in several, the entry of the smallest document stays."""
         while True:
             runs = self.runs()
             some = runs[-self.fanout :]
@@ -197,9 +205,9 @@ class SubstringIndex:
             merged = self.table(some[0])
             for run in some[1:]:
                 newer = self.table(run).toDF("fp", "cell", "l", "rr", "s", "f")
-                merged = merged.join(newer.hint("merge"), ["fp", "cell"], "full").select(
-                    "fp", "cell", F.least("low", "l").alias("low"), F.coalesce("r", "rr").alias("r"), F.coalesce("span", "s").alias("span"), F.coalesce("fresh", "f").alias("fresh")
-                )
+                here, there = F.when(F.col("low").isNotNull(), F.struct("low", "r", "span")), F.when(F.col("l").isNotNull(), F.struct(F.col("l").alias("low"), F.col("rr").alias("r"), F.col("s").alias("span")))
+                merged = merged.join(newer.hint("merge"), ["fp", "cell"], "full").select("fp", "cell", F.least(here, there).alias("first"), F.coalesce("fresh", "f").alias("fresh"))
+                merged = merged.select("fp", "cell", "first.*", "fresh")
             self._write(merged, covers[0][0], covers[-1][1])
             self.remove(some)
 
@@ -223,32 +231,62 @@ class SubstringIndex:
         return shared.filter("n > 1 AND a <> b").select("fp")
 
 
-def _window_digests(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(w1, w2: 128 bits, o, r, at) of every window in the wanted spans (o, r, spans)."""
+#: What is read of a text again: windows, cells that are held to recur, and the cells that they are held to equal.
+WINDOWS, CLAIM, FIRST = 0, 1, 2
+
+
+def _read(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (o, r, kind, span, fp, cell) -> (kind, o, r, at, a, b, words). Of WINDOWS a row for each window of the spans, a
+    and b are 128 bits of a digest of its words and ``at`` is its place; of other kinds a row for each span, a and b are fp and
+    cell, ``at`` is the span and words the SHA-256 of all words of the cell."""
 
-    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             parts, waiting = [], 0
 
             def out() -> pd.DataFrame:
-                return pd.DataFrame(dict(zip(("w1", "w2", "o", "r", "at"), (np.concatenate(x) for x in zip(*parts)))))
+                names = ("kind", "o", "r", "at", "a", "b", "words")
+                return pd.DataFrame(dict(zip(names, (np.concatenate(x) for x in zip(*parts)))))
+
+            def put(kind: int, o: int, r: int, at: np.ndarray, a: np.ndarray, b: np.ndarray, words: np.ndarray) -> None:
+                parts.append((np.full(len(at), kind, np.int32), np.full(len(at), o, np.int64), np.full(len(at), r, np.int32), at, a, b, words))
 
             for o, r, text, spans in zip(batch["o"], batch["r"], batch["text"], batch["spans"]):
                 words = Words(text)
-                at = np.unique(np.concatenate([np.arange(s >> 8, (s >> 8) + (s & 255) + 1) for s in spans]))
+                windows = [np.arange(s["span"] >> 8, (s["span"] >> 8) + (s["span"] & 255) + 1) for s in spans if s["kind"] == WINDOWS]
+                at = np.unique(np.concatenate(windows)) if windows else np.empty(0, np.int64)
                 for k in range(0, len(at), SEGMENT):
                     some = at[k : k + SEGMENT]
                     w = np.frombuffer(b"".join([words.digest(x, x, 16) for x in some.tolist()]), np.dtype([("a", "<i8"), ("b", "<i8")]))
-                    parts.append((w["a"], w["b"], np.full(len(some), o, np.int64), np.full(len(some), r, np.int32), some))
+                    put(WINDOWS, o, r, some, w["a"], w["b"], np.full(len(some), None, object))
                     waiting += len(some)
-                    if waiting > 100_000:
-                        yield out()
-                        parts, waiting = [], 0
+                for kind in (CLAIM, FIRST):
+                    own = [s for s in spans if s["kind"] == kind]
+                    if own:
+                        shas = np.empty(len(own), object)
+                        shas[:] = [words.sha(s["span"]) for s in own]
+                        put(kind, o, r, *(np.array([s[x] for s in own], np.int64) for x in ("span", "fp", "cell")), shas)
+                        waiting += len(own)
+                if waiting > 100_000:
+                    yield out()
+                    parts, waiting = [], 0
             if parts:
                 yield out()
 
-    joined = docs.join(wanted, ["o", "r"]).select("o", "r", "text", "spans")
-    return in_slices(joined, digests, "w1 long, w2 long, o long, r int, at long")
+    spans = wanted.groupBy("o", "r").agg(F.collect_list(F.struct("kind", "span", "fp", "cell")).alias("spans"))  # one document's
+    joined = docs.join(spans, ["o", "r"]).select("o", "r", "text", "spans")
+    return in_slices(joined, read, "kind int, o long, r int, at long, a long, b long, words binary")
+
+
+def _spans(df: DataFrame, kind: int) -> DataFrame:
+    return df.select("o", "r", F.lit(kind).alias("kind"), "span", "fp", "cell")
+
+
+def _repeated_windows(seen: DataFrame, known: DataFrame) -> DataFrame:
+    """(o, r, span): windows of seen (a, b, o, r, at) that start in a smaller document of known (a, b, o), too."""
+    first = known.groupBy("a", "b").agg(F.min("o").alias("low"), F.max("o").alias("high")).filter("low < high").select(detached(F.col("a")).alias("v1"), detached(F.col("b")).alias("v2"), "low")
+    alone = seen.join(first, (F.col("a") == F.col("v1")) & (F.col("b") == F.col("v2"))).filter("o > low")
+    return alone.select("o", "r", F.shiftleft("at", 8).alias("span"))
 
 
 def _batches(docs: DataFrame, n: int) -> list[Column]:
@@ -268,15 +306,20 @@ def _batches(docs: DataFrame, n: int) -> list[Column]:
     return out
 
 
-def remove_repeats(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT, index: SubstringIndex | None = None, history: DataFrame | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT, index: SubstringIndex | None = None, history: DataFrame | None = None, bits: int = 64) -> DataFrame:
     """Drop every word covered by a window of 50 words that also starts in a document with a smaller doc_id.
 
+    Cells that meet in the index by an anchor and ``bits`` bits of a digest are verified by the SHA-256 of all their words
+    against the first document's; where that fails, all windows of the anchor are judged one by one. Fewer bits only cost
+    time.
+
     Windows are judged on the input. Returns doc_id, n_words, n_removed, text (kept words joined by one space), a row
     for each input row.
 
     With an ``index``, docs is a further batch of it: what the index holds counts as well, and the batch is added.
-    ``history`` gives the documents that the index was made of; of these only rows are read whose cells share an anchor
-    with different cells of the batch. Earlier results are not revised: batches should come in order of doc_id.
+    ``history`` gives the documents that the index was made of; of these only rows are read that hold a cell which recurs in
+    the batch, or share an anchor with different cells of it. Without it, cells of older documents are taken by their digest.
+    Earlier results are not revised: batches should come in order of doc_id.
 
     * null or empty text, or white space only: no words. Fewer than 50 words: nothing is removed.
     * null doc_id: a document before all others (as is the least long). Extra columns are ignored.
@@ -289,7 +332,7 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT
     before = index.runs()
     cuts, added = [], []
     for batch in _batches(docs, batches):
-        cuts.append(written(cells(docs.filter(batch)), "cells"))
+        cuts.append(written(cells(docs.filter(batch), bits), "cells"))
         added.append(index.add(cuts[-1]))
     rows = _keyed(docs)
 
@@ -305,29 +348,43 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT
     anchors = anchors.select(detached(F.col("fp")).alias("k"))
     met = None
     for cut, run in zip(cuts, added):
-        lows = index.table(run).select(detached(F.col("fp")).alias("f"), F.col("cell").alias("c"), "low")
+        lows = index.table(run).select(detached(F.col("fp")).alias("f"), F.col("cell").alias("c"), "low", F.col("r").alias("low_r"), F.col("span").alias("low_span"))
         held = cut.join(lows, (F.col("fp") == F.col("f")) & (F.col("cell") == F.col("c"))).join(near(anchors), F.col("fp") == F.col("k"), "left")
-        held = held.select("o", "r", "span", (F.col("o") > F.col("low")).alias("gone"), F.col("k").isNotNull().alias("open")).filter("gone OR open")
+        held = held.withColumn("gone", F.col("o") > F.col("low")).withColumn("open", F.col("k").isNotNull()).filter("gone OR open")
+        held = held.select("o", "r", "span", "fp", "cell", "gone", *[F.when(F.col("gone"), F.col(c)).alias(c) for c in ("low", "low_r", "low_span")])
         met = held if met is None else met.unionByName(held)
     met = written(met, "met")
 
+    # Texts are read once: windows where an anchor stands in different cells, cells that recur, and the first of each.
     # A cell's first document isn't cleared by the cell itself; its windows may still recur in a different cell.
-    spans = lambda df: df.groupBy("o", "r").agg(F.collect_list("span").alias("spans"))  # noqa: E731  one document's
-    seen = _window_digests(rows, spans(met.filter("NOT gone").select("o", "r", "span")))
-    known = seen.select("w1", "w2", "o")
-    if before and history is not None:
-        held = None
-        for run in before:
-            part = index.table(run).filter("fresh").join(near(anchors), F.col("fp") == F.col("k"), "left_semi").select(F.col("low").alias("o"), "r", "span")
-            held = part if held is None else held.unionByName(part)
-        known = known.unionByName(_window_digests(_keyed(history), spans(held)).select("w1", "w2", "o"))
-    first = known.groupBy("w1", "w2").agg(F.min("o").alias("low"), F.max("o").alias("high")).filter("low < high").select(detached(F.col("w1")).alias("v1"), detached(F.col("w2")).alias("v2"), "low")
-    alone = seen.join(first, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2"))).filter("o > low").select("o", "r", F.shiftleft("at", 8).alias("span"))
-    gone = met.filter("gone").select("o", "r", "span").unionByName(alone).groupBy("o", "r").agg(F.collect_list("span").alias("gone"))
-    gone = written(gone, "gone")
-    index.compact()
+    older = _keyed(history) if before and history is not None else None
+    claims = met.filter("gone")
+    firsts = claims.select(F.col("low").alias("o"), F.col("low_r").alias("r"), F.col("low_span").alias("span"), "fp", "cell").distinct()
+    wanted = _spans(met.filter("NOT gone"), WINDOWS).unionByName(_spans(claims, CLAIM)).unionByName(_spans(firsts, FIRST))
+    read = written(_read(rows, wanted), "read")
+    known = read.filter(F.col("kind") != CLAIM)
+    if older is not None:
+        parts = [index.table(run).filter("fresh").join(near(anchors), F.col("fp") == F.col("k"), "left_semi").select(F.col("low").alias("o"), "r", "span", "fp", "cell") for run in before]
+        known = known.unionByName(written(_read(older, _spans(reduce(DataFrame.unionByName, parts), WINDOWS).unionByName(_spans(firsts, FIRST))), "read"))
+    windows, seen = known.filter(F.col("kind") == WINDOWS).select("a", "b", "o"), read.filter(F.col("kind") == WINDOWS)
+    equal = known.filter(F.col("kind") == FIRST).select(detached(F.col("a")).alias("v1"), detached(F.col("b")).alias("v2"), F.col("words").alias("first_words"))
+    told = read.filter(F.col("kind") == CLAIM).join(equal, (F.col("a") == F.col("v1")) & (F.col("b") == F.col("v2")), "left")
+    told = told.withColumn("same", F.col("first_words").isNull() | (F.col("words") == F.col("first_words")))
+    gone = told.filter("same").select("o", "r", F.col("at").alias("span")).unionByName(_repeated_windows(seen, windows))
+    unlike = written(told.filter("NOT same").select(F.col("a").alias("x")).distinct(), "unlike")
+    if not unlike.isEmpty():  # digests of different words are equal: every window of these anchors is looked at
+        among_these = lambda df: df.join(unlike, F.col("fp") == F.col("x"), "left_semi").select("o", "r", "span", "fp", "cell")
+        again = written(_read(rows, _spans(reduce(DataFrame.unionByName, map(among_these, cuts)), WINDOWS)), "read")
+        both = again.select("a", "b", "o")
+        if older is not None:
+            parts = [among_these(index.table(run).filter("fresh").withColumnRenamed("low", "o")) for run in before]
+            both = both.unionByName(_read(older, _spans(reduce(DataFrame.unionByName, parts), WINDOWS)).select("a", "b", "o"))
+        gone = gone.unionByName(_repeated_windows(again, both))
+    gone = written(gone.groupBy("o", "r").agg(F.collect_list("span").alias("gone")), "gone")  # one document's
     if own:
         index.remove(index.runs())
+    else:
+        index.compact()
 
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

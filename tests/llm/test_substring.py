@@ -117,3 +117,15 @@ def test_query(spark, sf_dir, texts):
 
     want = sorted((d, n, g, hashlib.sha256(t.encode()).hexdigest()) for d, n, g, t in by_hand(list(texts.items())))
     assert sorted(map(tuple, substring.op7_substring(spark, sf_dir).collect())) == want
+
+
+@pytest.mark.parametrize("bits", [1, 8])
+def test_digests_that_collide_are_found_out(spark, bits):
+    """Cells of one anchor whose digests are equal and whose words aren't: a common passage whose ends differ."""
+    rnd = random.Random(bits)
+    words = [f"w{i}" for i in range(3000)]
+    core = rnd.sample(words, 40)
+    rows = [(d, " ".join([*rnd.sample(words, 30), *core, *rnd.sample(words, 30)])) for d in range(40)] + made(9, 20)
+    rows += [(100 + d, " ".join([*core, *words[: 20 + d]])) for d in range(6)] + [(200 + d, rows[d][1]) for d in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(df, bits=bits) == by_hand(rows)
