@@ -155,8 +155,13 @@ def copy_question(then: str, end: str = END, calls: int = 1) -> Callable[[DataFr
 
 
 def context_of(titles: Column, paras: Column, words: int) -> Column:
-    docs = F.zip_with(titles, paras, lambda t, p: F.concat(F.lit("Wikipedia Title: "), t, F.lit("\n"), first_words(F.trim(p), words)))
-    return F.array_join(docs, "\n\n")
+    """Paragraphs of so many words, each below its title, unless it begins with a line of it."""
+
+    def doc(title: Column, para: Column) -> Column:
+        text = F.trim(first_words(para, words))
+        return F.when(F.startswith(text, F.lit("Wikipedia Title: ")), text).otherwise(F.concat(F.lit("Wikipedia Title: "), title, F.lit("\n"), text))
+
+    return F.array_join(F.zip_with(titles, paras, doc), "\n\n")
 
 
 def generate_titles(generate: Generate, then: str, prompt: str = "", words: int = 350, context: str = "no") -> Callable[[DataFrame], DataFrame]:

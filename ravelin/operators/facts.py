@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ravelin.operators.order import placed
+
 TRUE = ("yes", "1", "true")
 
 
@@ -181,19 +183,11 @@ def verbalize(template: str, subject: Column, object_: Column) -> Column:
     return F.replace(F.replace(F.lit(template), F.lit("$1"), subject), F.lit("$2"), object_)
 
 
-def chain_facts(entities: DataFrame, predicate: str, order: str, name: str, ranges: int = 64) -> DataFrame:
-    """Each entity related to the next in order (an integer), without one task for all: neighbours within ranges of the
-    order, and the first of each range with the last of the one before."""
-    low, high = entities.agg(F.min(order), F.max(order)).first()
-    if low is None:
-        return entities.select(F.lit(predicate).alias("predicate"), F.col(name).alias("subject"), F.col(name).alias("object")).limit(0)
-    width = max(1, -(-(high - low + 1) // ranges))
-    dealt = entities.select(F.floor((F.col(order) - low) / width).alias("__r"), F.col(order).alias("__o"), F.col(name).alias("subject"))
-    inside = dealt.withColumn("object", F.lead("subject").over(W.partitionBy("__r").orderBy("__o")))
-    firsts = dealt.groupBy("__r").agg(F.min_by("subject", "__o").alias("first"))  # at most ``ranges`` rows
-    nxt = firsts.select("__r", F.lead("first").over(W.orderBy("__r")).alias("next"))
-    out = inside.join(F.broadcast(nxt), "__r").select(F.lit(predicate).alias("predicate"), "subject", F.coalesce("object", "next").alias("object"))
-    return out.filter(F.col("object").isNotNull())
+def chain_facts(entities: DataFrame, predicate: str, order: str, name: str) -> DataFrame:
+    """Each entity related to the next in order, without one task for all: neighbours by their places."""
+    own = placed(entities.select(F.col(order).alias("__o"), F.col(name).alias("subject")), ["__o", "subject"])
+    after = own.select((F.col("place") - 1).alias("__p"), F.col("subject").alias("object"))
+    return own.join(after, F.col("place") == F.col("__p")).select(F.lit(predicate).alias("predicate"), "subject", "object")
 
 
 def parse_predicate(text: Column) -> dict[str, Column]:
