@@ -176,9 +176,10 @@ def _walk(root: Node, skip) -> Iterator[tuple[Node | str, bool]]:
 
 def measured(root: Node) -> None:
     """Give each element a digest of its tag, class, id and all below it, and its measures."""
-    for node, enters in _walk(root, lambda n: False):
-        if isinstance(node, str) or enters:
-            continue
+    nodes = [root]
+    for node in nodes:  # parents before their parts
+        nodes.extend([p for p in node.parts if isinstance(p, Node)])
+    for node in reversed(nodes):
         h = blake2b(f"{node.tag}\0{node.attrs.get('class', '')}\0{node.attrs.get('id', '')}".encode("utf-8", "replace"), digest_size=8)
         unread = node.tag in UNREAD
         for p in node.parts:
@@ -314,15 +315,20 @@ def main_text(root: Node, template: frozenset | set = frozenset()) -> tuple[str,
     page's text isn't furniture, whatever its name.
     """
     measured(root)
-    _mark(root)
+    tops, marked = _mark(root)
     deleted = 0
-    if template:
-        gone = {id(n) for n, enters in _walk(root, lambda n: False) if enters and isinstance(n, Node) and (n.digest, _kind(n)) in template}
-        for node, enters in _walk(root, lambda n: id(n) in gone):
-            if isinstance(node, Node) and enters and id(node) in gone:
-                deleted += 1
-                node.parts, node.attrs = [], {"hidden": ""}
-    tops, marked = contents(root)
+    digests = {d for d, _ in template}
+    nodes = [root] if digests else []
+    for node in nodes:
+        for p in node.parts:
+            if isinstance(p, Node):
+                if p.digest in digests and (p.digest, _kind(p)) in template:
+                    deleted += 1
+                    p.parts, p.attrs = [], {"hidden": ""}
+                else:
+                    nodes.append(p)
+    if deleted:
+        tops, marked = contents(root)
 
     def drop(n: Node) -> bool:
         if furniture(n) or n.tag == "header" and not (marked and n.headings):
