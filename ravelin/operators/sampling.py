@@ -75,3 +75,14 @@ def nth_of(rows: DataFrame, order: str, k: int, nth: list[int], by: str) -> Data
 def within_budget(rows: DataFrame, by: str, order: str, cost: Column, budget: int) -> DataFrame:
     """The longest run of rows, in order, whose summed cost stays within the budget."""
     return placed(rows, [order], [by], cost).filter(F.col("used") <= budget).drop("place")
+
+
+def subselected(passages: DataFrame, key: str, k: int, nth: list[int], include: DataFrame | None = None, exclude: DataFrame | None = None) -> DataFrame:
+    """Passages whose place in the order of the key, from 1, modulo k is one of nth, and those that ``include`` (key) lists,
+    without those that ``exclude`` (key) lists. Listed keys count once; null keys match none."""
+    each = placed(passages, [key]).withColumn("__in", (F.col("place") % k).isin(*nth)).drop("place")
+    if include is not None:
+        listed = include.select(F.col(key).alias("__k")).distinct().withColumn("__listed", F.lit(True))
+        each = each.join(listed, F.col(key) == F.col("__k"), "left").withColumn("__in", F.col("__in") | F.coalesce("__listed", F.lit(False))).drop("__k", "__listed")
+    each = each.filter("__in").drop("__in")
+    return each if exclude is None else each.join(exclude.select(F.col(key).alias("__k")), F.col(key) == F.col("__k"), "left_anti")

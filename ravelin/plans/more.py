@@ -52,6 +52,16 @@ def answer_type_filter(spark, d):
     return kept.orderBy(M.order_hash(o)).limit(300)
 
 
+@query("""WITH p AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS place FROM customer), k AS (SELECT c_custkey FROM p WHERE (place % 4 IN (1, 2) OR c_custkey IN (SELECT s_suppkey FROM supplier)) AND c_custkey NOT IN (SELECT n_nationkey FROM nation))
+SELECT o_orderkey, c_custkey FROM k JOIN orders ON o_custkey = c_custkey WHERE o_orderkey % 5 IN (1, 3)""")
+def passage_subselect(spark, d):
+    """Questions (orders) whose answer is one span or a date, of every first and second passage (customer) in four, with
+    listed ones in any case and others in none."""
+    of = lambda name, key: t(spark, d, name).select(F.col(key).alias("c_custkey"))
+    kept = M.subselected(of("customer", "c_custkey"), "c_custkey", 4, [1, 2], of("supplier", "s_suppkey"), of("nation", "n_nationkey"))
+    return t(spark, d, "orders").filter("o_orderkey % 5 IN (1, 3)").join(kept, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_custkey")
+
+
 @query(f"WITH {ANSWERS} SELECT question_id, coalesce(e.event_type, 'unclassified') AS classified FROM qa LEFT JOIN events e ON e.event_id = question_id AND e.event_id % 3 <> 0")
 def left_lookup(spark, d):
     """Every prediction with its classification, where it has one."""

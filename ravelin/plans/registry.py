@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ravelin.plans import algebra, base, dataflow, evaluation, execution, joins, more, participants, retrieval, scores, texts, variants  # noqa: F401
+from ravelin.plans import algebra, base, dataflow, evaluation, execution, joins, more, participants, readers, retrieval, scores, texts, variants  # noqa: F401
 
 
 def queries() -> dict:

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PARAGRAPH = "id string, title string, paragraph_index int, paragraph_text string, url string, is_abstract boolean"
+#: Splits of files whose offsets are broadcast, at most.
+NEAR_SPLITS = 100_000
 QUESTION = (
     "dataset string, question_id string, question_text string, "
     "answers_objects array<struct<number:string,date:struct<day:string,month:string,year:string>,spans:array<string>>>, "
@@ -65,7 +67,8 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     counts = raw.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))  # a row a split
     w = W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, 0)
     offsets = counts.select(F.col("file").alias("f"), F.col("start").alias("s"), "first", (F.sum("n").over(w) - F.col("n")).alias("before"))
-    out = raw.join(F.broadcast(offsets), (F.col("file") == F.col("f")) & (F.col("start") == F.col("s")))  # as many rows as splits
+    near = F.broadcast(offsets) if raw.rdd.getNumPartitions() <= NEAR_SPLITS else offsets  # a row for each split
+    out = raw.join(near, (F.col("file") == F.col("f")) & (F.col("start") == F.col("s")))
     return out.select("file", (F.col("before") + F.col("at") - F.col("first")).alias("line"), "value")
 
 

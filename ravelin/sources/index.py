@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from ravelin.functions.text import tokens
 from ravelin.storage import exists, file_system, removed
 
-#: Folders that postings are dealt to by a hash of their term, and the files that a folder's postings are spread over.
-BUCKETS, SPREAD = 64, 4
+#: Folders that postings are dealt to by a hash of their term; the files that a folder's postings are spread over are one for
+#: so many documents, and SPREAD at least.
+BUCKETS, SPREAD, SPREAD_DOCS = 64, 4, 250_000
 #: Neighbouring document ids of a block, and blocks of a query that are scored first.
 BLOCK, LEAD = 64, 4
 K1, B = 1.2, 0.75
@@ -142,7 +143,8 @@ class LexicalIndex:
         block = F.floor(F.col("doc_id") / BLOCK).cast("long")
         dealt = postings.select("doc_id", "dl", "term", "tf").withColumn("block", block).withColumn("bucket", bucket_of(F.col("term"), buckets))
         # a frequent term's postings go to several files, blocks stay whole
-        spread = dealt.repartition(F.col("bucket"), F.pmod(F.xxhash64("block"), F.lit(SPREAD)))
+        files = max(SPREAD, -(-docs.count() // SPREAD_DOCS))
+        spread = dealt.repartition(F.col("bucket"), F.pmod(F.xxhash64("block"), F.lit(files)))
         spread.sortWithinPartitions("bucket", "term", "block", "doc_id").write.partitionBy("bucket").parquet(f"{path}/postings")
         held = self.spark.read.schema(POSTINGS).parquet(f"{path}/postings")
         bounds = held.groupBy("bucket", "term", "block").agg(F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"))
