@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ravelin.functions.scoring import cosine
 from ravelin.functions.text import tokens
 from ravelin.shipping import shipped
 from ravelin.sources.index import K1, B, LexicalIndex

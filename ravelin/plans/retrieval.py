@@ -235,8 +235,8 @@ def best_paragraph_match(spark, d):
     return best_matches(h, score, 1.5)
 
 
-_SHINGLED = """s0 AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')))) AS sh
-           FROM (SELECT doc_id, string_split(lower(text), ' ') AS w FROM documents) WHERE len(w) >= 5)"""
+_SHINGLED = """s0 AS (SELECT doc_id, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')))) END AS sh
+           FROM (SELECT doc_id, string_split(lower(coalesce(text, '')), ' ') AS w FROM documents))"""
 
 
 @query(f"WITH {_SHINGLED} SELECT doc_id, min(doc_id) OVER (PARTITION BY sh) AS representative, count(*) OVER (PARTITION BY sh) AS members FROM s0")
