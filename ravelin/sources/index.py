@@ -7,6 +7,7 @@ the postings of their terms only, and ``top`` only those of blocks of documents
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from functools import reduce
 from typing import NamedTuple
@@ -44,8 +45,7 @@ def fingerprint(spark: SparkSession, path: str) -> str:
     while it.hasNext():
         f = it.next()
         found.append(f"{f.getPath().getName()} {f.getLen()} {f.getModificationTime()}")
-    rows = spark.createDataFrame([(x,) for x in found], "x string")
-    return rows.agg(F.md5(F.array_join(F.array_sort(F.collect_list("x")), "\n").cast("binary"))).first()[0]
+    return hashlib.md5("\n".join(sorted(found)).encode()).hexdigest()
 
 
 class LexicalIndex:
@@ -53,6 +53,7 @@ class LexicalIndex:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._known: tuple[int, list] | None = None  # a version never changes
 
     # Versions.
 
@@ -66,7 +67,12 @@ class LexicalIndex:
     def _listed(self) -> list:
         """The tables of the newest version: seq, kind, N, total, buckets, source."""
         version = self._version()
-        return [] if version is None else sorted(self.spark.read.parquet(f"{self.path}/versions/{version}").collect(), key=lambda r: r.seq)  # a row for each batch
+        if version is None:
+            return []
+        if self._known is None or self._known[0] != version:
+            rows = self.spark.read.parquet(f"{self.path}/versions/{version}").collect()  # a row for each batch
+            self._known = (version, sorted(rows, key=lambda r: r.seq))
+        return self._known[1]
 
     def _publish(self, rows: list) -> None:
         """A new version, complete or not there at all; of concurrent writers one fails, as the folder exists."""
@@ -82,6 +88,7 @@ class LexicalIndex:
         """Remove the index; whether there was one."""
         found = self.exists()
         removed(self.spark, self.path)
+        self._known = None
         return found
 
     def fresh(self, source: str) -> bool:
@@ -99,6 +106,7 @@ class LexicalIndex:
             raise FileExistsError(self.path)
         mark = fingerprint(self.spark, source) if source else None
         removed(self.spark, self.path)
+        self._known = None
         self._publish([self._segment(1, docs, key, text, analyze, stem, buckets, mark)])
         return self
 
