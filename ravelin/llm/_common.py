@@ -37,6 +37,12 @@ def detached(c: Column) -> Column:
     return c.bitwiseXOR(F.lit(0).cast("long"))
 
 
+def met(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the corpus: sorted and merged, never collected by the driver to be broadcast,
+    whatever size the session lets it broadcast."""
+    return df.hint("merge")
+
+
 #: Rows and bytes that go to a Python function at a time. Texts are long: this bounds memory, not what is processed.
 SLICE, SLICE_BYTES = 512, 8 << 20
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm._common import detached, written
+from ravelin.llm._common import detached, met, written
 
 
 def _state(links: DataFrame) -> tuple:
@@ -15,13 +15,13 @@ def _state(links: DataFrame) -> tuple:
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.min("b").alias("low")).select(detached(F.col("a")).alias("k"), F.least("a", "low").alias("low"))
-    return both.filter("b > a").join(low, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
+    return both.filter("b > a").join(met(low), F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     low = down.groupBy("a").agg(F.min("b").alias("low"))
-    moved = down.join(low.select(detached(F.col("a")).alias("k"), "low"), F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b")
+    moved = down.join(met(low.select(detached(F.col("a")).alias("k"), "low")), F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b")
     return moved.unionByName(low.select("a", F.col("low").alias("b"))).distinct()
 
 

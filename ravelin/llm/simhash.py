@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.llm._common import detached, in_slices, table, trimmed, written
+from ravelin.llm._common import detached, in_slices, met, table, trimmed, written
 from ravelin.llm.components import components
 
 #: Words in a shingle, the hash's seed, and the largest number of differing bits of a link.
@@ -73,10 +73,10 @@ def links(prints: DataFrame, small: int = SMALL) -> DataFrame:
     ).selectExpr("fp", "v", f"{_masked('seg', 'v % 32')} AS rest")
     shared = variant.groupBy("v", "rest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = shared.select(F.col("v").alias("w"), detached(F.col("rest")).alias("r"), "n")
-    found = written(variant.join(shared, (F.col("v") == F.col("w")) & (F.col("rest") == F.col("r"))).select("fp", "v", "rest", "n"), "variants")
+    found = written(variant.join(met(shared), (F.col("v") == F.col("w")) & (F.col("rest") == F.col("r"))).select("fp", "v", "rest", "n"), "variants")
 
     few = found.filter(F.col("n") <= small).select("v", "rest", "fp")
-    pairs = few.join(few.withColumnRenamed("fp", "gp"), ["v", "rest"]).filter("fp < gp AND bit_count(fp ^ gp) <= 2").select(F.col("fp").alias("a"), F.col("gp").alias("b"))
+    pairs = few.join(met(few.withColumnRenamed("fp", "gp")), ["v", "rest"]).filter("fp < gp AND bit_count(fp ^ gp) <= 2").select(F.col("fp").alias("a"), F.col("gp").alias("b"))
 
     many = found.filter(F.col("n") > small).selectExpr("fp", "v", "rest", "CASE WHEN v < 32 THEN shiftrightunsigned(fp, 32) ELSE fp & 4294967295L END AS other",
                                                          "CASE WHEN v < 32 THEN fp & 4294967295L ELSE shiftrightunsigned(fp, 32) END AS own")
@@ -89,7 +89,7 @@ def links(prints: DataFrame, small: int = SMALL) -> DataFrame:
     grouped = one.unionByName(two)
     keys = ["v", "own", "j", "k", "other"]
     low = grouped.groupBy(*keys).agg(F.min("fp").alias("low"), F.count(F.lit(1)).alias("m")).filter("m > 1").select(detached(F.col("own")).alias("own"), *[c for c in keys if c != "own"], "low")
-    stars = grouped.join(low, keys).filter("fp <> low").select(F.col("low").alias("a"), F.col("fp").alias("b"))
+    stars = grouped.join(met(low), keys).filter("fp <> low").select(F.col("low").alias("a"), F.col("fp").alias("b"))
     return pairs.unionByName(stars).distinct()
 
 
@@ -107,10 +107,10 @@ def near_groups(docs: DataFrame, words: int = WORDS, seed: int = SEED, small: in
     base = written(fingerprinted(base, words, seed), "fingerprints")
     classes = base.groupBy(F.col("__fp").alias("fp")).agg(F.min("__id").alias("low"))
     roots = components(links(classes.select("fp"), small))
-    rooted = classes.join(roots.select(F.col("node"), "root"), F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    rooted = classes.join(met(roots.select(F.col("node"), "root")), F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = written(rooted.join(least, "root").select(F.col("fp").alias("key"), "component_id"), "named")
-    return base.join(named, F.col("__fp") == F.col("key"), "left").select(
+    named = written(rooted.join(met(least), "root").select(F.col("fp").alias("key"), "component_id"), "named")
+    return base.join(met(named), F.col("__fp") == F.col("key"), "left").select(
         F.col("__id").alias("doc_id"), F.col("__fp").alias("fp"), "component_id", *[F.col(f"__c{k}").alias(c) for k, c in enumerate(carry)]
     )
 

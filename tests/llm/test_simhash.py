@@ -200,3 +200,12 @@ def test_similar_of_odd_rows(odd, none):
 
 def test_estimated_distance():
     assert simhash.largest_distance(0.8) == 77 and simhash.largest_distance(1.0) == 0
+
+
+def test_nothing_of_the_corpus_is_broadcast(spark, sf_dir):
+    """Tables that grow with the corpus are merged, though they are far under the size that a session broadcasts."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    prints = simhash.fingerprinted(docs.select(docs.text.alias("t"))).selectExpr("__fp AS fp").distinct()
+    for out in (simhash.links(prints), simhash.near_groups(docs)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
