@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import SparkFiles, TaskContext
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,9 +35,9 @@ LEAST, LONGEST, TOP, FACTOR = 100, 5, 2000, 1000
 #: Candidates that have slots at a time, and words of one file of the lexicon: what the driver and a task hold.
 SLOTS, SHARD_WORDS = 1 << 21, 1 << 19
 #: Binary logarithms of the fewest and most counters of a sketch; it has about one for every eight words of the corpus.
-SKETCH = (12, 24)
-#: Counters that travel together, and tasks whose counters are summed first.
-CHUNK, NODE = 1 << 14, 32
+SKETCH = (12, 28)
+#: Counters that travel together, those that a task holds, and chunks that one task adds up.
+CHUNK, COUNTERS, ADDED = 1 << 14, 1 << 21, 128
 #: Ids that are kept together, and distinct words that a task holds.
 BLOB, HELD = 1 << 14, 200_000
 UNKNOWN, BREAK = "und", b"\xff"
@@ -249,42 +249,71 @@ def _keys(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return at, ids[at].astype("uint64") << np.uint64(32) | ids[at + 1].astype("uint64")
 
 
+def _added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Places and counts of several parts as one: places in order, each once."""
+    at, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(at, kind="stable")
+    at, n = at[order], n[order]
+    begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
+    return at[begin], np.add.reduceat(n, begin) if len(at) else n
+
+
+def _counted(blobs: Iterator[bytes], places, most: int = COUNTERS) -> Iterator[pd.DataFrame]:
+    """Counters that rows of ids add to, by chunks: their places in the chunk and counts. About ``most`` are held at a
+    time, however many counters there are."""
+
+    def out(at: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+        own, begin = np.unique(at // CHUNK, return_index=True)
+        counts = [x.astype(np.min_scalar_type(int(x.max()))) for x in np.split(n, begin[1:])]
+        return pd.DataFrame({"chunk": own, "width": [x.itemsize for x in counts], "places": [x.astype("<u2").tobytes() for x in np.split(at % CHUNK, begin[1:])], "counts": [x.tobytes() for x in counts]})
+
+    held, n = [], 0
+    for blob in blobs:
+        at, counts = np.unique(places(blob), return_counts=True)
+        held.append((at.astype("int64"), counts.astype("int64")))
+        n += len(at)
+        if n > most:
+            held = [_added(held)]
+            n = len(held[0][0])
+            if n > most // 2:
+                yield out(*held[0])
+                held, n = [], 0
+    if n:
+        yield out(*_added(held))
+
+
 def _sums(rows: DataFrame, size: int, places, least: int | None = None) -> np.ndarray:
-    """Sums over tasks of arrays of ``size`` counters: places(row) gives the counters that a row of ids adds one to. With
-    ``least``, only whether a sum reaches it."""
+    """Sums over tasks of ``size`` counters: places(row) gives the counters that a row of ids adds one to. With ``least``,
+    only whether a sum reaches it, as packed bits. Tasks send the counters that they have, and each of those that add them
+    up has at most ADDED chunks or so."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(size, "int32" if size > SLOTS else "int64")
-        for batch in batches:
-            at = [places(blob) for blob in batch["ids"]]
-            at, n = np.unique(np.concatenate(at), return_counts=True) if at else ([], np.empty(0, "int64"))
-            total[at] += n.astype(total.dtype)
-        node = TaskContext.get().partitionId() // NODE
-        for chunk in range(0, size, CHUNK):
-            x = total[chunk : chunk + CHUNK]
-            if x.any():
-                narrow = x.astype(np.min_scalar_type(int(x.max())))
-                yield pd.DataFrame({"chunk": [chunk // CHUNK], "node": [node], "width": [narrow.itemsize], "counts": [narrow.tobytes()]})
-
-    def add(batches: Iterator[pd.DataFrame], last: bool = False) -> Iterator[pd.DataFrame]:
+        yield from _counted((blob for batch in batches for blob in batch["ids"]), places)
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for chunk, width, counts in zip(batch["chunk"], batch["width"], batch["counts"], strict=True):
-                x = np.frombuffer(counts, f"<u{width}")
-                held[chunk] = held[chunk] + x if chunk in held else x.astype("int64")
+            for chunk, width, at, counts in zip(batch["chunk"], batch["width"], batch["places"], batch["counts"], strict=True):
+                if chunk not in held:
+                    held[chunk] = np.zeros(CHUNK, "int64")
+                held[chunk][np.frombuffer(at, "<u2")] += np.frombuffer(counts, f"<u{width}")
         for chunk, x in held.items():
-            told = np.packbits(x >= least) if last and least is not None else x
-            yield pd.DataFrame({"chunk": [chunk], "node": [0], "width": [8], "counts": [told.tobytes()]})
-
-    kind = "chunk int, node int, width int, counts binary"
-    parts = in_slices(rows, count, kind).repartition("chunk", "node")
-    nodes = in_slices(parts, add, kind).repartition("chunk")
-    got = in_slices(nodes, lambda batches: add(batches, True), kind).select("chunk", "counts").toArrow()
-    out = np.zeros(size, bool if least is not None else "int64")
+            yield pd.DataFrame({"chunk": [chunk], "counts": [(np.packbits(x >= least) if least is not None else x).tobytes()]})
+
+    chunks = -(-size // CHUNK)
+    adders = min(chunks, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chunks // ADDED)))
+    parts = in_slices(rows, count, "chunk int, width int, places binary, counts binary").repartition(adders, "chunk")
+    got = in_slices(parts, add, "chunk int, counts binary").toArrow()
+    kind, each = ("<i8", CHUNK) if least is None else ("uint8", CHUNK // 8)
+    out = np.zeros(chunks * each, kind)
     for chunk, counts in zip(got["chunk"].to_pylist(), got["counts"].to_pylist(), strict=True):
-        x = np.frombuffer(counts, "<i8") if least is None else np.unpackbits(np.frombuffer(counts, "uint8"))[: min(CHUNK, size - chunk * CHUNK)].astype(bool)
-        out[chunk * CHUNK : chunk * CHUNK + len(x)] = x
-    return out
+        out[chunk * each : (chunk + 1) * each] = np.frombuffer(counts, kind)
+    return out[:size] if least is None else out
+
+
+def _on(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether bits of a packed array are set."""
+    return packed[at >> 3] >> (7 - (at & 7)).astype("uint8") & 1 == 1
 
 
 def candidates(rows: DataFrame, words: int, least: int) -> DataFrame:
@@ -293,7 +322,7 @@ def candidates(rows: DataFrame, words: int, least: int) -> DataFrame:
     bits = int(np.clip(max(words // 8, 1).bit_length(), *SKETCH))
     shift = np.uint64(64 - bits)
     alive = _sums(rows, 1 << bits, lambda blob: (_mix(_keys(blob)[1], 99) >> shift).astype("int64"), least)
-    sent = rows.sparkSession.sparkContext.broadcast(np.packbits(alive))
+    sent = rows.sparkSession.sparkContext.broadcast(alive)
     del alive
     trimmed()
 
@@ -307,12 +336,12 @@ def candidates(rows: DataFrame, words: int, least: int) -> DataFrame:
         return pd.DataFrame({"part": own, "keys": [k.tobytes() for k in np.split(x[order], begin[1:])] if len(own) else []})
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        on = np.unpackbits(sent.value).astype(bool)
+        alive = sent.value
         held, n = [], 0
         for batch in batches:
             for blob in batch["ids"]:
                 x = _keys(blob)[1]
-                held.append(np.unique(x[on[(_mix(x, 99) >> shift).astype("int64")]]))
+                held.append(np.unique(x[_on(alive, (_mix(x, 99) >> shift).astype("int64"))]))
                 n += len(held[-1])
                 if n > 4 * HELD:
                     held = [np.unique(np.concatenate(held))]

@@ -90,3 +90,24 @@ def test_squeezed():
 def test_tokens():
     assert phrases.tokens("A,b\x0bC d\x1ce") == [b"a", b"\xff", b"b", b"\xff", b"c", b"d\x1ce"]
     assert phrases.tokens(None) == phrases.tokens("") == []
+
+
+def test_a_task_holds_the_counters_of_its_rows_alone(monkeypatch):
+    """A sketch for 6 GB has 2^27 counters; a task's memory follows its rows, and sums are exact over all its parts."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    blobs = [rng.integers(0, 1 << 27, 5_000).astype("int64") for _ in range(40)]
+    blobs.append(np.repeat(blobs[0], 300))
+    tracemalloc.start()
+    got = {}
+    for frame in phrases._counted(iter(blobs), lambda x: x, most=60_000):
+        for chunk, width, at, counts in zip(frame["chunk"], frame["width"], frame["places"], frame["counts"]):
+            for a, n in zip(np.frombuffer(at, "<u2").tolist(), np.frombuffer(counts, f"<u{width}").tolist()):
+                got[chunk * phrases.CHUNK + a] = got.get(chunk * phrases.CHUNK + a, 0) + n
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    at, n = np.unique(np.concatenate(blobs), return_counts=True)
+    assert got == dict(zip(at.tolist(), n.tolist()))
+    assert peak < 128 << 20
+    assert phrases.SKETCH[1] >= 27
