@@ -104,3 +104,21 @@ def test_vectors_are_added_and_found(spark, tmp_path):
     want = {i: set(np.argsort(-(unit @ unit[i]))[:10].tolist()) for i in range(0, 3000, 30)}
     assert np.mean([len(got[i] & want[i]) / 10 for i in want]) >= 0.9
     assert [cells_for(n) for n in (0, 100, 10_000, 10**6, 10**9)] == [16, 16, 128, 1024, 32768]
+
+
+def test_pairs_of_queries_and_documents_are_not_shuffled(spark, tmp_path):
+    """Postings go to the tasks of their documents; what queries make of them is added up there."""
+    index = LexicalIndex(spark, str(tmp_path / "i")).create(frame(spark, {i: f"w{i % 7} w{i % 5} x" for i in range(200)}), buckets=2)
+    terms = R.query_terms(spark.createDataFrame([(q, f"w{q} x") for q in range(9)], "query_id long, q string"), F.col("q"))
+    for df in (R.bm25(index, terms), index.top(terms, 5, F.broadcast)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(query_id" not in plan.split("BroadcastExchange")[0]
+
+
+def test_terms_are_counted_within_a_document(spark):
+    from ravelin.sources.index import _counted
+
+    base = spark.createDataFrame([(1, ["b", "a", "b", "b"]), (2, ["a"]), (3, []), (4, None)], "doc_id long, ts array<string>")
+    got = _counted(base)
+    assert sorted(map(tuple, got.collect())) == [(1, 4, "a", 1), (1, 4, "b", 3), (2, 1, "a", 1)]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
