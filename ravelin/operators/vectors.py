@@ -11,16 +11,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.functions.scoring import cosine
 from ravelin.shipping import shipped
-from ravelin.storage import exists, removed, written
+from ravelin.storage import exists, removed
 
 #: Vectors that the first centres are fitted on, at most, and for each of these, its own; rounds of fitting.
 SAMPLE, OWN_SAMPLE, ROUNDS = 20_000, 2_000, 12
 #: Fewest and most cells: the most bound what is sent to every task.
 CELLS = (16, 1 << 16)
-#: Rows of asked cells that are broadcast, at most; parts of a cell where there are more.
-FEW, SALTS = 10_000, 8
+#: Queries and vectors of a cell that meet at a time.
+QUERY_BLOCK, VECTOR_BLOCK = 256, 2048
 #: A search reads as many cells as hold this share of the nearest vectors of a few of the sample.
 RECALL, NEAREST, ASKED = 0.98, 10, 256
 
@@ -130,18 +129,54 @@ class VectorIndex:
         return rows.mapInPandas(deal, schema)
 
     def search(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
-        """queries (query_id, embedding) -> (query_id, vec_id, score): the k best of the cells nearest to each query. All
-        queries are joined at once; few are broadcast, many meet the vectors by cell and a salt, so that no cell is one
-        task's."""
+        """queries (query_id, embedding) -> (query_id, vec_id, score): the k best of the cells nearest to each query.
+
+        Both sides are packed into blocks by cell, which meet by a merged join whatever their number; a pair of blocks is
+        one product of matrices, of which a query's k best go on. Vectors of length 0 have no score."""
         centres, usual = self.centres()
-        asked = self._dealt(queries.select("query_id", "embedding"), centres, probes or usual)
-        asked = written(asked.select("query_id", F.col("embedding").alias("q"), F.explode("cells").alias("cell")), "asked")
-        vectors = self.spark.read.parquet(f"{self.path}/vectors")
-        if asked.limit(FEW + 1).count() <= FEW:
-            held = vectors.join(F.broadcast(asked), "cell")
-        else:
-            salted = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-            held = vectors.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int")).join(salted, ["cell", "salt"])
+        asked = self._dealt(queries.select("query_id", "embedding"), centres, probes or usual).select("query_id", "embedding", F.explode("cells").alias("cell"))
+        asked = _blocks(asked.repartition("cell").sortWithinPartitions("cell"), "query_id", QUERY_BLOCK, "q")
+        held = _blocks(self.spark.read.parquet(f"{self.path}/vectors"), "vec_id", VECTOR_BLOCK, "v")
+        pairs = held.join(asked.hint("merge"), F.col("v_cell") == F.col("q_cell"))
+
+        def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                for v_ids, v, q_ids, q in zip(f["v_ids"], f["v_data"], f["q_ids"], f["q_data"], strict=True):
+                    scores = np.frombuffer(q).reshape(len(q_ids), -1) @ np.frombuffer(v).reshape(len(v_ids), -1).T
+                    if len(v_ids) > k:
+                        # ties at the k-th score all go on: the final rank decides between them by id
+                        at = np.nonzero(scores >= -np.partition(-np.nan_to_num(scores, nan=-2.0), k - 1, axis=1)[:, k - 1 : k])
+                    else:
+                        at = np.nonzero(~np.isnan(scores))
+                    yield pd.DataFrame({"query_id": np.asarray(q_ids)[at[0]], "vec_id": np.asarray(v_ids)[at[1]], "score": scores[at]})
+
         w = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-        scored = held.select("query_id", "vec_id", cosine(F.col("embedding"), F.col("q")).alias("score"))
+        scored = pairs.select("v_ids", "v_data", "q_ids", "q_data").mapInPandas(score, "query_id long, vec_id long, score double")
         return scored.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= k).drop("__n")
+
+
+def _blocks(rows: DataFrame, key: str, size: int, name: str) -> DataFrame:
+    """Rows (key, embedding, cell), those of a cell next to each other, as blocks of up to ``size`` vectors of unit length:
+    the cell, ids, and the vectors end to end."""
+    shipped(rows.sparkSession)
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, ids, held = None, [], []
+        for f in frames:
+            for c, i, v in zip(f["cell"], f[key], f["embedding"], strict=True):
+                if ids and (c != cell or len(ids) == size):
+                    yield block(cell, ids, held)
+                    ids, held = [], []
+                cell = c
+                ids.append(i)
+                held.append(v)
+        if ids:
+            yield block(cell, ids, held)
+
+    def block(cell: int, ids: list, held: list) -> pd.DataFrame:
+        x = np.stack(held).astype("float64")
+        with np.errstate(invalid="ignore", divide="ignore"):
+            unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+        return pd.DataFrame({f"{name}_cell": [cell], f"{name}_ids": [ids], f"{name}_data": [unit.tobytes()]})
+
+    return rows.select("cell", key, "embedding").mapInPandas(pack, f"{name}_cell int, {name}_ids array<long>, {name}_data binary")

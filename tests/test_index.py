@@ -122,3 +122,12 @@ def test_terms_are_counted_within_a_document(spark):
     got = _counted(base)
     assert sorted(map(tuple, got.collect())) == [(1, 4, "a", 1), (1, 4, "b", 3), (2, 1, "a", 1)]
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_asked_cells_are_not_broadcast(spark, tmp_path):
+    """Their vectors are repeated for every cell, which files hide: many times more than their size on disk."""
+    df = spark.createDataFrame([(i, [float(i % 7), float(i % 5) + 1, 1.0]) for i in range(200)], "vec_id long, embedding array<double>")
+    index = VectorIndex(spark, str(tmp_path / "v")).create(df, cells=4)
+    found = index.search(df.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 3, probes=4)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 12
