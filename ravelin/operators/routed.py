@@ -133,6 +133,28 @@ def _filled(question: Column, values: Column) -> Column:
 
 
 def run_programs(programs: DataFrame, models: Mapping[str, Model], contexts: DataFrame | None = None) -> Routed:
+    """``_run`` over different programs: questions with the same steps, and as many paragraphs where a step names them, are
+    answered by the one of the least qid, so that what they go over isn't held once for each question."""
+    programs = written(programs.select("qid", F.col("step").cast("int").alias("step"), "text").filter("qid IS NOT NULL").distinct().groupBy("qid", "step").agg(F.max("text").alias("text")), "programs")
+    told = programs.groupBy("qid").agg(F.to_json(F.array_sort(F.collect_list(F.struct("step", F.coalesce("text", F.lit("")).alias("text"), F.col("text").isNull().alias("none"))))).alias("steps"))
+    if contexts is not None:
+        many = contexts.filter("qid IS NOT NULL AND paras > 0").groupBy("qid").agg(F.max("paras").cast("int").alias("paras"))
+        told = told.join(many, "qid", "left").withColumn("paras", F.when(F.contains("steps", F.lit("#C")), F.coalesce("paras", F.lit(0))))
+    else:
+        told = told.withColumn("paras", F.lit(None).cast("int"))
+    told = told.select("qid", F.sha2(F.concat_ws("|", F.col("paras").cast("string"), "steps"), 256).alias("program"))
+    first = told.groupBy(F.col("program").alias("p")).agg(F.min("qid").alias("first"))
+    classes = written(told.join(first, F.col("program") == F.col("p")).select("qid", "first"), "program-classes")
+    chosen = classes.filter("qid = first").select("qid")
+    ran = _run(programs.join(chosen, "qid"), models, contexts)
+
+    def spread(df: DataFrame) -> DataFrame:
+        return df.withColumnRenamed("qid", "first").join(classes, "first").select("qid", *[c for c in df.columns if c != "qid"])
+
+    return Routed(spread(ran.results), spread(ran.tasks))
+
+
+def _run(programs: DataFrame, models: Mapping[str, Model], contexts: DataFrame | None = None) -> Routed:
     """programs (qid, step: 1, 2, ... without gaps, text) run over all questions at once.
 
     contexts (qid, paras: how many paragraphs the question has) is what "#C" goes over. select asks its question once;

@@ -78,3 +78,20 @@ def test_text_and_elements(spark):
     row = spark.createDataFrame([('"a \\"b\\""', '["k", [1, "x"]]')], "t string, p string")
     got = row.select(R.as_text(F.col("t")), R.as_text(F.col("p")), R.element(F.col("p"), 0), R.element(F.col("p"), 1), R.element(F.col("p"), 2), R._quoted(F.lit('a"b\\')), R._is_pair(F.col("p"))).first()
     assert tuple(got) == ('a "b"', '["k", [1, "x"]]', '"k"', '[1,"x"]', None, '"a\\"b\\\\"', True)
+
+
+def test_equal_programs_run_once(spark, models):
+    asked = []
+
+    def kb(asks):
+        asked.extend(r.qid for r in asks.select("qid").collect())
+        return models["kb"](asks)
+
+    steps = ["(select) [kb] kin(dan, ?)", "(project) [read] #C"]
+    rows = [(q, k, text) for q in "abcd" for k, text in enumerate(steps, 1)] + [("x", 1, steps[0]), ("y", 1, steps[0])]
+    contexts = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2), ("x", 1), ("y", 2)], "qid string, paras int")
+    ran = R.run_programs(spark.createDataFrame(rows, "qid string, step int, text string"), {"kb": kb, "read": models["read"]}, contexts)
+    assert sorted(asked) == ["a", "c", "d", "x"]
+    got = {r.qid: (r.status, r.steps_done, r.answer) for r in ran.results.collect()}
+    assert len(got) == 6 and got["a"] == got["b"] != got["c"] and got["x"] == got["y"]
+    assert sorted((r.question, r.answer) for r in ran.tasks.filter("qid = 'b'").collect()) == sorted((r.question, r.answer) for r in ran.tasks.filter("qid = 'a'").collect())
