@@ -33,10 +33,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest doc_id: groups of texts whose sets
-    of five-word shingles have a Jaccard similarity of 0.8 or more. Null and empty texts are one group, null doc_ids come
-    last."""
-    return simhash.drop_similar(docs).select(*COLUMNS)
+    """One document of each group of near duplicates stays, the one with the smallest doc_id: groups of texts whose
+    fingerprints op8 links, or whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Null and empty
+    texts are one group, null doc_ids come last."""
+    return simhash.drop_near(docs).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

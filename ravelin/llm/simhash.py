@@ -93,6 +93,12 @@ def links(prints: DataFrame, small: int = SMALL) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
+def _rooted(classes: DataFrame, small: int) -> DataFrame:
+    """classes (fp and other columns, a row for each fingerprint) with ``root``, the smallest fingerprint that links reach."""
+    roots = components(links(classes.select("fp"), small))
+    return classes.join(met(roots.select(F.col("node"), "root")), F.col("fp") == F.col("node"), "left").select(*classes.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def near_groups(docs: DataFrame, words: int = WORDS, seed: int = SEED, small: int = SMALL, carry: Sequence[str] = ()) -> DataFrame:
     """Fingerprint and component of every row: doc_id, fp (signed long), component_id and the carried columns.
 
@@ -105,9 +111,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, seed: int = SEED, small: in
     """
     base = docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("t"), *[F.col(c).alias(f"__c{k}") for k, c in enumerate(carry)])
     base = written(fingerprinted(base, words, seed), "fingerprints")
-    classes = base.groupBy(F.col("__fp").alias("fp")).agg(F.min("__id").alias("low"))
-    roots = components(links(classes.select("fp"), small))
-    rooted = classes.join(met(roots.select(F.col("node"), "root")), F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(base.groupBy(F.col("__fp").alias("fp")).agg(F.min("__id").alias("low")), small)
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = written(rooted.join(met(least), "root").select(F.col("fp").alias("key"), "component_id"), "named")
     return base.join(met(named), F.col("__fp") == F.col("key"), "left").select(
@@ -383,21 +387,11 @@ def similar_roots(found: DataFrame, classes: DataFrame, sets_of: Callable[[DataF
     return components(linked.unionByName(more)) if not more.isEmpty() else roots
 
 
-def drop_similar(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, small: int = SIMILAR_SMALL) -> DataFrame:
-    """The rows of docs that stay when of each group of similar texts the one with the smallest doc_id stays.
-
-    Texts are similar if their sets of word shingles (A-Z lower-cased) have a Jaccard similarity of at least
-    ``similarity``; groups are the components of such links. Sets that similar share one of their first hashes, in an
-    order in which hashes of many texts come last; those pairs are compared exactly, unless their fingerprints are
-    further apart than such sets can be. All columns are kept.
-
-    * null or empty text, or white space only: one group. Fewer words than a shingle: all of them are one shingle.
-    * null doc_ids come after all others; of equal rows any one stays. Empty table: no rows.
-    """
+def similar_groups(marked: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, small: int = SIMILAR_SMALL) -> DataFrame:
+    """Rows of ``_marked`` documents -> (doc_id, __row, group): the components of similar texts, for each row."""
     parts = [f"f{k}" for k in range(PARTS)]
-    marked = _marked(docs)
     rows = marked.select(F.col("doc_id").alias("d"), F.col("__row").alias("r"), F.col("text").alias("t"))
-    shared = docs.sparkSession.sparkContext.broadcast(common_hashes(rows, words, similarity))
+    shared = marked.sparkSession.sparkContext.broadcast(common_hashes(rows, words, similarity))
     long = lambda name: T.StructField(name, T.LongType())
     schema = T.StructType([*[f for f in rows.schema.fields if f.name != "t"], *map(long, ["nid", "size", *parts]), T.StructField("head", T.ArrayType(T.LongType()))])
 
@@ -431,5 +425,41 @@ def drop_similar(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float
     roots = similar_roots(same_shingles(classes), classes.drop("r", "head"), sets_of, similarity, small)
     roots = roots.select(detached(F.col("node")).alias("node"), "root")
     grouped = base.select("d", "r", "nid").join(roots, F.col("nid") == F.col("node"), "left")
-    grouped = grouped.select(F.col("d").alias("doc_id"), F.col("r").alias("__row"), F.coalesce("root", "nid").alias("group"), F.lit(False).alias("unnamed"))
-    return _one_each(marked, written(grouped, "similar-grouped"))
+    grouped = grouped.select(F.col("d").alias("doc_id"), F.col("r").alias("__row"), F.coalesce("root", "nid").alias("group"))
+    return written(grouped, "similar-grouped")
+
+
+def drop_similar(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, small: int = SIMILAR_SMALL) -> DataFrame:
+    """The rows of docs that stay when of each group of similar texts the one with the smallest doc_id stays.
+
+    Texts are similar if their sets of word shingles (A-Z lower-cased) have a Jaccard similarity of at least
+    ``similarity``; groups are the components of such links. Sets that similar share one of their first hashes, in an
+    order in which hashes of many texts come last; those pairs are compared exactly, unless their fingerprints are
+    further apart than such sets can be. All columns are kept.
+
+    * null or empty text, or white space only: one group. Fewer words than a shingle: all of them are one shingle.
+    * null doc_ids come after all others; of equal rows any one stays. Empty table: no rows.
+    """
+    marked = _marked(docs)
+    grouped = similar_groups(marked, words, similarity, small)
+    return _one_each(marked, grouped.withColumn("unnamed", F.lit(False)))
+
+
+def drop_near(docs: DataFrame, small: int = SMALL) -> DataFrame:
+    """The rows of docs that stay when of each group of near duplicates the one with the smallest doc_id stays.
+
+    Groups are the components of the links of ``near_groups`` (fingerprints that differ in at most two bits) and of
+    ``drop_similar`` (sets of shingles that are similar), so edited copies that fingerprints tell apart go as well. All
+    columns are kept; odd rows are as in ``drop_similar``.
+    """
+    marked = _marked(docs)
+    prints = written(fingerprinted(marked.select(F.col("__row").alias("r"), F.col("text").alias("t"))), "near-prints")
+    rooted = _rooted(prints.select(F.col("__fp").alias("fp")).distinct(), small)
+    told = written(prints.distinct().join(met(rooted), F.col("__fp") == F.col("fp")).select("r", F.col("root").alias("print")), "near-rooted")
+    grouped = similar_groups(marked)
+    pairs = written(grouped.select("__row", "group").distinct().join(met(told), F.col("__row") == F.col("r")).select("group", "print").distinct(), "near-pairs")
+    low = pairs.groupBy("print").agg(F.min("group").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(detached(F.col("print")).alias("p"), "low")
+    joined = components(pairs.join(met(low), F.col("print") == F.col("p")).select(F.col("low").alias("a"), F.col("group").alias("b")))
+    joined = joined.select(detached(F.col("node")).alias("node"), "root")
+    whole = grouped.join(met(joined), F.col("group") == F.col("node"), "left").select("doc_id", "__row", F.coalesce("root", "group").alias("group"), F.lit(False).alias("unnamed"))
+    return _one_each(marked, written(whole, "near-grouped"))

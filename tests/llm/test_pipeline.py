@@ -1,9 +1,11 @@
 """Each stage against a plain version on its own input."""
 
+import random
+
 import corpus_pipeline as C
 from compare import plain
 from test_lines_exact import by_hand as lines_by_hand
-from test_simhash import jaccard_roots
+from test_simhash import by_hand, edited, jaccard_roots, near, roots
 
 from ravelin.llm import langid, mixing
 
@@ -77,3 +79,19 @@ def test_run_writes_each_stage_for_the_next(spark, sf_dir, monkeypatch):
     assert all("documents.parquet" in f for f in read["one"])
     assert read["two"] and all("/stage-one-" in f for f in read["two"])
     assert read["three"] and all("/stage-two-" in f for f in read["three"])
+
+
+def test_near_dedup_has_the_links_of_fingerprints_and_of_shingles(spark):
+    """A chain: one phrase over and over with other ends has one fingerprint, edited copies of such a text are similar."""
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    phrase, other = [word() for _ in range(31)], [word() for _ in range(200)]
+    texts = [" ".join(phrase * 40 + [word() for _ in range(20)]) for _ in range(3)]
+    texts += [" ".join(other), edited(rnd, other, 3), "one of its own", None, ""]
+    texts.append(" ".join([*texts[1].split(), word()]))
+    prints, sets = [by_hand(t) for t in texts], jaccard_roots([t or "" for t in texts])
+    ids = range(len(texts))
+    assert near(prints[0], prints[1]) and sets[0] != sets[1] and sets[3] == sets[4] and not near(prints[3], prints[4])
+    want = roots(ids, [(a, b) for a in ids for b in range(a) if near(prints[a], prints[b]) or sets[a] == sets[b]])
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in C.near_dedup(spark, docs, "").collect()} == {*want.values()} == {0, 3, 5, 6}
