@@ -60,7 +60,8 @@ def algebra_filter_keys(spark, d):
     """Customers by a supplier's nation, where that is in region r1: the key is asked about, the pair stays."""
     q = t(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("qid")).withColumn("v1", F.col("qid"))
     steps = [X.Step("select", "supplies_from($1, ?)"), X.Step("project", "lives_in(?, #1)"), X.Step("filterKeys", "in_region(#2, r1)")]
-    return _pairs(X.run_steps(q, steps, _models(spark, d))).filter("value <> ''")
+    shared = X.run_shared(q, steps, _models(spark, d))
+    return shared.spread(_pairs(shared.done).filter("value <> ''"))
 
 
 @query(f"""WITH {FACTS} SELECT s.subject AS qid, '["' || g.object || '"]' AS key, string_agg(l.subject, ',' ORDER BY l.subject) AS value FROM facts s JOIN facts g ON g.predicate = 'in_region' AND g.subject = s.object

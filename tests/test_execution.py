@@ -44,6 +44,21 @@ def test_project_values_and_keys(people, models):
     assert got["q1"][2] == ['{"key":"yes","value":["rye","tea"]}', '{"key":"yes","value":["tea"]}']
 
 
+def test_questions_with_the_same_answers_are_answered_once(spark, models):
+    """Long lists are made once for each different answer that they follow from, not once for each question."""
+    people = spark.createDataFrame([("q1", "dan"), ("q2", "eve"), ("q3", "nobody"), ("q4", "dan"), ("q5", "dan")], "qid string, v1 string")
+    asked = []
+
+    def counted(asks, template):
+        asked.append(asks.count())
+        return models["kb"](asks, template)
+
+    got = run(people, [KIN, X.Step("project", "likes(#1, ?)"), X.Step("filterKeys", "likes(#2, tea)")], {"kb": counted})
+    assert asked == [5, 4, 4]
+    both = ['{"key":"ann","value":["rye","tea"]}', '{"key":"bob","value":["tea"]}']
+    assert got == {"q1": ("ok", 3, both), "q2": ("empty", 3, None), "q3": ("empty", 1, None), "q4": ("ok", 3, both), "q5": ("ok", 3, both)}
+
+
 def test_filters(people, models):
     pairs = [KIN, X.Step("project", "likes(#1, ?)"), X.Step("projectValues", "count(#2)", "math")]
     assert run(people, [*pairs, X.Step("filterValues_keys", "is_greater(#3 | 1)", "math")], models) == {"q1": ("ok", 4, ["ann"]), "q2": ("empty", 4, None), "q3": ("empty", 1, None)}
