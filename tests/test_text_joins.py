@@ -239,3 +239,30 @@ def test_places_and_sums_in_groups_of_any_size(spark):
         assert got[i] == (seen[g], spent[g])
     assert [r.place for r in placed(df, ["i"]).orderBy("i").collect()] == list(range(1, 501))
     assert placed(df.filter("false"), ["i"], ["g"]).count() == 0
+
+
+def test_near_ratio_is_the_ratio_or_nothing():
+    rnd = random.Random(8)
+    for _ in range(400):
+        a = "".join(rnd.choice("abcdé ") for _ in range(rnd.randint(0, 400)))
+        b = edited(rnd, a, rnd.randint(0, 30)) if rnd.random() < 0.9 else a[::-1]
+        b = rnd.choice([b, b[20:], b[100:] + b[:100], "zz" + b])
+        for least in (97.0, 90.0, 60.0):
+            r = S.ratio(a, b)
+            assert S.near_ratio(a, b, least) == (r if r >= least - 1e-9 else 0.0)
+
+
+@pytest.mark.parametrize("most", [1 << 20, 1 << 28])
+def test_similar_texts_join_what_can_match_only(spark, monkeypatch, most):
+    """Texts of common syllables: substrings of other texts are no rows, few pairs are compared; in one pass and several."""
+    monkeypatch.setattr(S, "FILTER_MOST", most)
+    rnd = random.Random(5)
+    syllables = ["".join(rnd.choice("aeiou lnrst") for _ in range(2)) for _ in range(60)]
+    texts = ["".join(rnd.choices(syllables, k=500)) for _ in range(120)]
+    texts += [edited(rnd, t, 20) for t in texts[:30]] + ["ab" * 20_000, "ab" * 19_900 + "c"]
+    made = {}
+    monkeypatch.setattr(S, "written", lambda df, name, of=S.written: made.setdefault((name, len(made)), of(df, name)))
+    got = S.similar_texts(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), 97.0).collect()
+    rows = {name: sum(df.count() for (n, _), df in made.items() if n == name) for name, _ in made}
+    assert {(r.a, r.b) for r in got} == {(i, 120 + i) for i in range(30)} | {(150, 151)}
+    assert rows["met"] < 10_000 and rows["text-pairs"] < 200 < sum(map(len, texts)) / 500
