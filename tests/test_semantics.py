@@ -209,3 +209,26 @@ def test_event_stream(spark, sf_dir, tmp_path):
     q.stop()
     batch = events.tumbling(spark.read.parquet(f"{sf_dir}/events.parquet"), "1 hour")
     assert sorted(map(tuple, spark.sql("SELECT * FROM ravelin_events").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_sets_of_frequent_tokens_are_compared_in_blocks(spark, monkeypatch):
+    """Sets of a quarter in common out of few tokens: pairs that share a prefix token are no rows. Sizes and frequencies differ."""
+    import random
+
+    from ravelin.operators import similarity as S
+
+    rnd = random.Random(4)
+    tokens = [f"t{i}" for i in range(60)]
+    rows = [(i, rnd.sample(tokens, rnd.choice([1, 2, 5, 12, 25]))) for i in range(300)] + [(900 + i, [f"t{i}", "t59"]) for i in range(20)]
+    monkeypatch.setattr(S, "MEET", 0)
+    monkeypatch.setattr(S, "BLOCK", 64)
+    monkeypatch.setattr(S, "COUNTED", 100)
+    made = {}
+    monkeypatch.setattr(S, "written", lambda df, name, of=S.written: made.setdefault(name, of(df, name)))
+    got = similar_sets(spark.createDataFrame(rows, "id int, ts array<string>"), 0.5)
+    first = {}
+    for i, ts in rows:
+        first.setdefault(frozenset(ts), i)
+    want = {(min(i, j), max(i, j)) for (x, i) in first.items() for (y, j) in first.items() if i < j and len(x & y) / len(x | y) >= 0.5}
+    assert {(r.a, r.b) for r in got.collect()} == want and len(want) > 20
+    assert made["set-pairs"].count() == len(want)
