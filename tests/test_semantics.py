@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import tempfile
 from collections import Counter
 
 import numpy as np
@@ -232,3 +233,28 @@ def test_sets_of_frequent_tokens_are_compared_in_blocks(spark, monkeypatch):
     want = {(min(i, j), max(i, j)) for (x, i) in first.items() for (y, j) in first.items() if i < j and len(x & y) / len(x | y) >= 0.5}
     assert {(r.a, r.b) for r in got.collect()} == want and len(want) > 20
     assert made["set-pairs"].count() == len(want)
+
+
+def test_nearest_by_rounded_scores_need_few_rows(spark):
+    """Blocks pass on what can be among the k nearest after rounding, not every pair."""
+    import numpy as np
+
+    from ravelin.operators import retrieval as R
+    from ravelin.plans.retrieval import dense_hits
+
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(6000, 4))
+    x[1::3] = x[0::3] + rnd.normal(size=(2000, 4)) * 1e-6  # ties by rounding
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1)
+    with tempfile.TemporaryDirectory() as d:
+        vectors.write.parquet(f"{d}/embeddings.parquet")
+        got = {(r.query_id, r.doc_id, r.rank) for r in dense_hits(spark, d).collect()}
+        q = vectors.filter("vec_id % 100 = 0").selectExpr("vec_id AS query_id", "embedding AS q")
+        assert R.knn(vectors, q, 11, slack=5e-5).count() < 60 * 6000 / 20
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round((1 + u[::100] @ u.T) / 2, 5)
+    want = set()
+    for i in range(60):
+        order = [j for j in np.lexsort((np.arange(6000), -s[i])) if j != 100 * i][:10]
+        want |= {(100 * i, int(j), n + 1) for n, j in enumerate(order)}
+    assert len(got - want) <= 6  # a score may round otherwise
