@@ -1,6 +1,8 @@
 """Batches, removals and merges of the lexical index against rebuilds; bounded top-k; vectors that are added."""
 
 import random
+import tempfile
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from ravelin.functions.stem import stemmed
 from ravelin.operators import retrieval as R
 from ravelin.operators.vectors import VectorIndex, cells_for
+from ravelin.sources import index as I
 from ravelin.sources.index import LexicalIndex
 
 WORDS = [f"w{i}" for i in range(40)]
@@ -131,3 +134,14 @@ def test_asked_cells_are_not_broadcast(spark, tmp_path):
     found = index.search(df.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 3, probes=4)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.count() == 12
+
+
+def test_postings_are_sorted_by_as_many_tasks_as_the_corpus_needs(spark, monkeypatch):
+    from ravelin.sources import index as I
+
+    monkeypatch.setattr(I, "SORTED", 10)
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat('a b c d e f g h ', id) AS text")
+    with tempfile.TemporaryDirectory() as d:
+        I.LexicalIndex(spark, f"{d}/i").create(docs)
+        tasks = {f.name.split("-")[1] for f in Path(d).rglob("postings/**/part-*.parquet")}
+        assert len(tasks) > 4  # the session's number of partitions
