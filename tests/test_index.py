@@ -145,3 +145,63 @@ def test_postings_are_sorted_by_as_many_tasks_as_the_corpus_needs(spark, monkeyp
         I.LexicalIndex(spark, f"{d}/i").create(docs)
         tasks = {f.name.split("-")[1] for f in Path(d).rglob("postings/**/part-*.parquet")}
         assert len(tasks) > 4  # the session's number of partitions
+
+
+def test_the_best_of_each_task_are_those_of_all_pairs(spark, tmp_path):
+    rnd = random.Random(9)
+    docs = {i: " ".join(rnd.choices(WORDS[:15], k=rnd.choice([0, 3, 20]))) for i in range(400)} | {i: "w1 w2" for i in range(400, 450)}
+    index = LexicalIndex(spark, str(tmp_path / "i")).create(frame(spark, docs), buckets=2)
+    terms = R.query_terms(spark.createDataFrame([("a", "w1 w2 w3"), ("b", "w14"), ("c", "none"), ("d", "w1")], "query_id string, q string"), F.col("q"))
+    want = R.ranked(R.bm25(index, terms).withColumn("score", F.round("score", 6)), 7)
+    got = R.lexical(index, terms, 7)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "HashAggregate" not in plan  # no row for each pair of query and document
+    assert R.lexical(index, terms.filter("false"), 7).count() == 0
+    # queries that are too many to be broadcast
+    assert sorted(map(tuple, R.ranked(index.best(terms, 7, lambda df: df).withColumn("score", F.round("score", 6)), 7).select(got.columns).collect())) == sorted(map(tuple, got.collect()))
+
+
+@pytest.mark.parametrize(("cells", "pairs"), [(1, 1), (12, 10), (1000, 7), (9, 1000)])
+def test_documents_are_scored_whole_and_a_few_at_a_time(monkeypatch, cells, pairs):
+    import pandas as pd
+
+    monkeypatch.setattr(I, "CELLS", cells)
+    monkeypatch.setattr(I, "PAIRS", pairs)
+    rnd = random.Random(4)
+    rows = [(t, d, rnd.randint(1, 9), 5) for d in range(30) for t in sorted(rnd.sample(range(6), rnd.randint(1, 6)))]
+    begins = np.array([0, 2, 3, 6, 7, 9, 10])
+    frames = (pd.DataFrame(rows[i : i + 11], columns=["no", "doc_id", "tf", "dl"]) for i in range(0, len(rows), 11))
+    parts = [list(zip(*(x.tolist() for x in p), strict=True)) for p in I._documents(frames, begins, 3)]
+    assert [r for p in parts for r in p] == rows
+    held = [{r[1] for r in p} for p in parts]
+    assert sum(map(len, held)) == 30  # no document in two parts
+    for p, d in zip(parts, held, strict=True):
+        assert len(d) == 1 or len(d) * 3 <= cells and sum(begins[r[0] + 1] - begins[r[0]] for r in p) <= pairs
+    assert list(I._documents(iter([]), begins, 3)) == []
+
+
+def test_bounds_are_sorted_by_as_many_tasks_as_the_corpus_needs(spark, monkeypatch):
+    monkeypatch.setattr(I, "SORTED", 10)
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('a b c d e f g h ', id) AS text")
+    with tempfile.TemporaryDirectory() as d:
+        index = I.LexicalIndex(spark, f"{d}/i").create(docs, buckets=2)
+        index._bounds()
+        assert len({f.name.split("-")[1] for f in Path(d).rglob("bounds/**/part-*.parquet")}) > 2  # the buckets
+
+
+def _unbroadcast(spark, make):
+    """The plan of make() where Spark broadcasts nothing by itself."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return make()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_texts_are_not_shuffled_to_meet_hits(spark, sf_dir):
+    from ravelin.plans import dataflow, retrieval
+
+    for make in (lambda: retrieval.rerank_topk(spark, sf_dir), lambda: retrieval.hit_dedupe(spark, sf_dir), lambda: dataflow.rolling_eviction(spark, sf_dir)):
+        assert "SortMergeJoin" not in _unbroadcast(spark, make)
