@@ -205,3 +205,15 @@ def test_texts_are_not_shuffled_to_meet_hits(spark, sf_dir):
 
     for make in (lambda: retrieval.rerank_topk(spark, sf_dir), lambda: retrieval.hit_dedupe(spark, sf_dir), lambda: dataflow.rolling_eviction(spark, sf_dir)):
         assert "SortMergeJoin" not in _unbroadcast(spark, make)
+
+
+def test_sparse_weights_are_ranked_by_as_many_tasks_as_the_corpus_needs(spark, sf_dir, monkeypatch):
+    from ravelin.plans import retrieval
+
+    want = sorted(map(tuple, retrieval.sparse(spark, sf_dir).collect()))
+    monkeypatch.setattr(retrieval, "SORTED", 10)
+    got = retrieval.sparse(spark, sf_dir)
+    assert got.rdd.getNumPartitions() == 20  # of 200 documents
+    assert sorted(map(tuple, got.collect())) == want
+    monkeypatch.setattr(retrieval, "MANY_TERMS", 0)  # no term is broadcast
+    assert sorted(map(tuple, retrieval.sparse(spark, sf_dir).collect())) == want
