@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ravelin.operators.retrieval import bounded
 from ravelin.operators.search import gain
 from ravelin.storage import written
 
@@ -27,6 +28,13 @@ def plan_parts(plan: Column) -> Column:
     return F.transform(F.split(F.lower(F.coalesce(plan, F.lit(""))), "->"), lambda p: F.trim(p))
 
 
+def _known(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, title, words) of the documents that were found, one row each; no others are grouped or split into words."""
+    some = docs.join(bounded(written(ids.distinct(), "ids")), "doc_id", "left_semi")
+    one = some.groupBy("doc_id").agg(F.max(F.struct(F.lower(F.coalesce("title", F.lit(""))).alias("title"), F.coalesce("text", F.lit("")).alias("text"))).alias("d"))
+    return one.select("doc_id", "d.title", words(F.col("d.text")).alias("words"))
+
+
 def _with_docs(nodes: DataFrame, held: DataFrame) -> DataFrame:
     """A row for each document of each node's path, with its place, title and words."""
     return nodes.select("question_id", "node", F.posexplode("docs").alias("pos", "doc_id")).join(held, "doc_id")
@@ -76,9 +84,6 @@ def tree_search(questions: DataFrame, retrieve: Retrieve, docs: DataFrame, width
     * questions of one id are one, docs of one id are one; no questions, no rows.
     """
     questions = written(questions.groupBy("question_id").agg(*[F.coalesce(F.max(c), F.lit("")).alias(c) for c in ("question", "plan")]), "questions")
-    held = docs.groupBy("doc_id").agg(F.max(F.struct(F.lower(F.coalesce("title", F.lit(""))).alias("title"), F.coalesce("text", F.lit("")).alias("text"))).alias("d"))
-    held = written(held.select("doc_id", "d.title", words(F.col("d.text")).alias("words")), "tree-docs")
-
     def found(asks: DataFrame, k: int) -> DataFrame:
         got = retrieve(asks.select("query_id", "q"), k).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x.doc_id).alias("new"))
         return asks.join(got, "query_id", "left").withColumn("new", F.coalesce("new", F.array().cast("array<bigint>")))
@@ -86,6 +91,8 @@ def tree_search(questions: DataFrame, retrieve: Retrieve, docs: DataFrame, width
     root = found(questions.select(F.col("question_id").alias("query_id"), F.col("question").alias("q")), first)
     beam = root.select(F.col("query_id").alias("question_id"), F.lit("0").alias("node"), "q", F.lit(0.0).alias("score"), F.lit(0).alias("depth"), F.col("new").alias("docs"))
     asked = questions.select("question_id", F.lower("question").alias("cq"))
+    beam = written(beam, "roots")
+    held = written(_known(docs, beam.select(F.explode("docs").alias("doc_id"))), "tree-docs")
     beam = written(answerable(beam, questions, held, depth), "beam")
     order = W.partitionBy("question_id").orderBy(F.desc("score"), F.asc("node"))
     for level in range(1, depth + 1):
@@ -96,6 +103,8 @@ def tree_search(questions: DataFrame, retrieve: Retrieve, docs: DataFrame, width
         asked = written(asked.unionByName(queries.select("question_id", "cq")).distinct(), "asked")
         asks = queries.select("question_id", "node", F.concat("node", F.lit("."), "place").alias("child"), F.col("cq").alias("q")).withColumn("query_id", F.concat("question_id", F.lit("|"), "child"))
         children = written(found(asks, hits).filter(F.size("new") > 0), "children")
+        fresh = children.select(F.explode("new").alias("doc_id")).join(held.select("doc_id"), "doc_id", "left_anti")
+        held = written(held.unionByName(_known(docs, fresh)), "tree-docs")
         scored = _gains(children, open_, questions, held)
         grown = children.join(scored, "query_id").join(open_.select("question_id", "node", F.col("score").alias("before"), F.col("docs").alias("path")), ["question_id", "node"])
         grown = grown.select("question_id", F.col("child").alias("node"), "q", F.round(F.col("before") + F.col("gain"), 6).alias("score"), F.lit(level).alias("depth"), F.concat("path", "new").alias("docs"))

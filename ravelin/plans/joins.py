@@ -14,6 +14,7 @@ from ravelin.plans.base import MANY, query, sql_tokens, t
 from ravelin.plans.dataflow import _BLOCKS
 from ravelin.plans.retrieval import BM25, bench, hits, index
 from ravelin.sources.blocks import blocks
+from ravelin.storage import written
 
 #: Least ratio of whole texts: at most three characters of a hundred differ.
 CLOSE = 97.0
@@ -45,7 +46,7 @@ def _quoted(spark, d):
 def passage_matches(spark, d):
     """The first lexical hit of each quotation, if it holds the quotation with a partial ratio of over 95."""
     q = _quoted(spark, d)
-    first = R.ranked(R.bm25(index(spark, d), R.query_terms(q, F.col("q"))).withColumn("score", F.round("score", 6)), 1)
+    first = R.bounded(written(R.lexical(index(spark, d), R.query_terms(q, F.col("q")), 1), "hits"))
     texts = t(spark, d, "documents").select("doc_id", "text")
     return S.matching_passages(first.select("query_id", "rank", "doc_id").join(R.bounded(q), "query_id").join(texts, "doc_id"))
 
@@ -58,7 +59,7 @@ def tree_retrieval(spark, d):
     plan = F.concat(F.array_join(F.slice("b", F.lit(1), half), " "), F.lit(" -> "), F.array_join(F.slice("b", half + 1, F.size("b")), " "), F.lit(" -> item "), F.col("item_id").cast("string"))
     questions = b.select(F.col("item_id").cast("string").alias("question_id"), F.col("text").alias("question"), plan.alias("plan"))
     held = index(spark, d)
-    retrieve = lambda asks, k: R.ranked(R.bm25(held, R.query_terms(asks, F.col("q"))).withColumn("score", F.round("score", 6)), k)
+    retrieve = lambda asks, k: R.lexical(held, R.query_terms(asks, F.col("q")), k)
     docs = t(spark, d, "documents").select("doc_id", F.col("source").alias("title"), "text")
     return tree.tree_search(questions, retrieve, docs, depth=3).select("question_id", "node", "q", "score", "depth", F.size("docs").alias("found"), "done", "place")
 

@@ -84,3 +84,13 @@ def test_tree_search(spark):
     want = {i: by_hand(q, p, docs, find, 3, 3, 3, 3, 2) for i, (q, p) in asked.items()}
     assert {i: sorted(x, key=lambda n: n[-1]) for i, x in got.items()} == want
     assert tree.tree_search(questions.filter("false"), retrieve, held).count() == 0
+
+
+def test_only_documents_that_were_found_are_read_as_words(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "Ada", f"w{i} x") for i in range(40)] + [(3, "Bo", "w3 y")], "doc_id long, title string, text string")
+    held, kept = [], tree.written
+    monkeypatch.setattr(tree, "written", lambda df, name: (out := kept(df, name), held.append([r.doc_id for r in out.collect()]) if name == "tree-docs" else None)[0])
+    retrieve = lambda asks, k: asks.select("query_id", F.when(F.col("q").contains("->") | (F.col("q") == "w3"), 3).otherwise(5).cast("long").alias("doc_id"), F.lit(1).alias("rank"))
+    questions = spark.createDataFrame([("q", "w3", "w3 -> w5")], "question_id string, question string, plan string")
+    assert tree.tree_search(questions, retrieve, docs, depth=2).count() > 0
+    assert max(map(len, held)) <= 2 and {i for x in held for i in x} <= {3, 5}
