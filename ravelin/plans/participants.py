@@ -11,6 +11,7 @@ from ravelin.operators import agents as A
 from ravelin.operators import retrieval as R
 from ravelin.plans.base import query, sql_tokens, sql_words, t
 from ravelin.plans.retrieval import BM25, index
+from ravelin.storage import written
 
 
 def _states(spark, d, first="go"):
@@ -65,7 +66,8 @@ def _retrieve(spark, d, k=10):
     held, docs = index(spark, d), t(spark, d, "documents").select("doc_id", F.concat("source", F.lit(" "), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("paragraph_text"))
 
     def of(asks):
-        best = R.ranked(R.bm25(held, R.query_terms(asks, F.col("q"))).withColumn("score", F.round("score", 6)), k)
+        # the hits are few, so texts aren't shuffled to meet them
+        best = R.bounded(written(R.lexical(held, R.query_terms(asks, F.col("q")), k), "hits"))
         return best.join(docs, "doc_id").select("query_id", "title", "paragraph_text", "score")
 
     return of

@@ -201,9 +201,10 @@ def _unbroadcast(spark, make):
 
 
 def test_texts_are_not_shuffled_to_meet_hits(spark, sf_dir):
-    from ravelin.plans import dataflow, retrieval
+    from ravelin.plans import dataflow, participants, retrieval
 
-    for make in (lambda: retrieval.rerank_topk(spark, sf_dir), lambda: retrieval.hit_dedupe(spark, sf_dir), lambda: dataflow.rolling_eviction(spark, sf_dir)):
+    asks = spark.createDataFrame([("s", "the of and")], "query_id string, q string")
+    for make in (lambda: participants._retrieve(spark, sf_dir)(asks), lambda: retrieval.rerank_topk(spark, sf_dir), lambda: retrieval.hit_dedupe(spark, sf_dir), lambda: dataflow.rolling_eviction(spark, sf_dir)):
         assert "SortMergeJoin" not in _unbroadcast(spark, make)
 
 
