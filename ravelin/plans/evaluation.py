@@ -144,15 +144,24 @@ def cascade_weighted(spark, d):
     return g.groupBy("cascaded").agg(F.sum("n").alias("n"), F.round(F.sum(F.col("em") * F.col("n")) / F.sum(F.col("n")), 4).alias("em"))
 
 
+def _none():
+    return F.array().cast("array<string>")
+
+
+def _titles(spark, d):
+    """Titles retrieved for each benchmark item."""
+    docs = t(spark, d, "documents").select("doc_id", F.col("source").alias("title"))
+    got = hits(spark, d).join(docs, "doc_id").groupBy("query_id").agg(F.collect_set("title").alias("ret"))
+    every = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
+    return every.join(got, "query_id", "left").select("query_id", F.coalesce("ret", _none()).alias("ret"))
+
+
 def _retrieved(spark, d):
     """Titles retrieved for each benchmark item, and gold titles: sources of the documents that hold its text."""
     docs = t(spark, d, "documents").select("doc_id", "text", F.col("source").alias("title"))
-    got = hits(spark, d).join(docs, "doc_id").groupBy("query_id").agg(F.collect_set("title").alias("ret"))
     b = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     gold = O.containing(docs, b).join(docs.select("doc_id", "title"), "doc_id").groupBy("query_id").agg(F.collect_set("title").alias("gold"))
-    every = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
-    none = F.array().cast("array<string>")
-    return every.join(got, "query_id", "left").join(gold, "query_id", "left").select("query_id", F.coalesce("ret", none).alias("ret"), F.coalesce("gold", none).alias("gold"))
+    return _titles(spark, d).join(gold, "query_id", "left").select("query_id", "ret", F.coalesce("gold", _none()).alias("gold"))
 
 
 RETRIEVED = f"""{BM25}, rt AS (SELECT query_id, list(DISTINCT source) AS ret FROM hits JOIN documents USING (doc_id) GROUP BY query_id),
@@ -173,7 +182,7 @@ def retrieval_quality(spark, d):
 @query(f"WITH {RETRIEVED} SELECT round(avg(len(ret)), 4) AS mean, min(len(ret)) AS low, max(len(ret)) AS high, count(*) FILTER (WHERE len(ret) = 0) AS empty, round(100.0 * avg(CAST(len(ret) = 0 AS INT)), 4) AS empty_pct FROM rg")
 def retrieval_volume(spark, d):
     n = F.size("ret").cast("long")
-    return _retrieved(spark, d).agg(F.round(F.avg(n), 4).alias("mean"), F.min(n).alias("low"), F.max(n).alias("high"), F.count_if(n == 0).alias("empty"), F.round(100.0 * F.avg((n == 0).cast("int")), 4).alias("empty_pct"))
+    return _titles(spark, d).agg(F.round(F.avg(n), 4).alias("mean"), F.min(n).alias("low"), F.max(n).alias("high"), F.count_if(n == 0).alias("empty"), F.round(100.0 * F.avg((n == 0).cast("int")), 4).alias("empty_pct"))
 
 
 @query(f"WITH {RETRIEVED} SELECT CASE WHEN len(gold) = 0 OR hit = 0 THEN 'none' WHEN hit = len(gold) THEN 'perfect' ELSE 'partial' END AS overlap, count(*) AS n, round(avg(CASE WHEN len(gold) = 0 THEN 0 ELSE hit / len(gold) END), 4) AS ratio FROM rg GROUP BY 1")

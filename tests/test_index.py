@@ -208,6 +208,13 @@ def test_texts_are_not_shuffled_to_meet_hits(spark, sf_dir):
         assert "SortMergeJoin" not in _unbroadcast(spark, make)
 
 
+def test_volume_looks_for_no_passages(spark, sf_dir, monkeypatch):
+    from ravelin.plans import evaluation
+
+    monkeypatch.setattr(evaluation.O, "containing", None)
+    assert evaluation.retrieval_volume(spark, sf_dir).count() == 1
+
+
 def test_sparse_weights_are_ranked_by_as_many_tasks_as_the_corpus_needs(spark, sf_dir, monkeypatch):
     from ravelin.plans import retrieval
 
