@@ -266,3 +266,24 @@ def test_similar_texts_join_what_can_match_only(spark, monkeypatch, most):
     rows = {name: sum(df.count() for (n, _), df in made.items() if n == name) for name, _ in made}
     assert {(r.a, r.b) for r in got} == {(i, 120 + i) for i in range(30)} | {(150, 151)}
     assert rows["met"] < 10_000 and rows["text-pairs"] < 200 < sum(map(len, texts)) / 500
+
+
+def test_texts_that_share_a_passage_are_no_candidates(spark, monkeypatch):
+    """A few pieces in common don't make a pair to align; texts are looked up in the filters of their lengths only."""
+    monkeypatch.setattr(S, "FILTER_BITS", 128)
+    monkeypatch.setattr(S, "FILTER_MOST", 1 << 20)
+    rnd = random.Random(11)
+    some = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    texts = []
+    for n in (700, 1000, 1400, 2000):
+        for _ in range(5):
+            passage = some(60)
+            texts += [some(n // 2) + passage + some(n // 2 + k) for k in range(10)]
+    texts += [edited(rnd, t, len(t) // 50) for t in texts[::10]]
+    made = []
+    monkeypatch.setattr(S, "written", lambda df, name, of=S.written: made.append((name, of(df, name))) or made[-1][1])
+    got = S.similar_texts(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), 97.0).collect()
+    assert {(r.a, r.b) for r in got} == {(10 * k, 200 + k) for k in range(20)}
+    assert sum(df.count() for n, df in made if n == "text-pairs") == 20
+    passes = [df.select("id").distinct().count() for n, df in made if n == "met"]
+    assert len(passes) > 2 and sum(passes) <= 2 * len(texts)
