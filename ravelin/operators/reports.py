@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
+from pandas.core.groupby import DataFrameGroupBy
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -83,17 +84,22 @@ def dominant(total: Column, retrieval: Column, reasoning: Column) -> Column:
     return F.when(total <= 0, "none").when(retrieval / total > 0.6, "retrieval").when(reasoning / total > 0.6, "reasoning").otherwise("mixed")
 
 
+#: Rows whose groups are updated at a time.
+UPDATED = 1 << 16
+
+
 class Metric(Protocol):
-    """A metric with a state of its own: a flat row of numbers, empty at first, updated by batches, merged, and read."""
+    """A metric with a state of its own: a flat row of numbers for each group, updated by batches of rows, merged, and read,
+    for all groups of a batch at once."""
 
     state: Sequence[str]
     result: Sequence[str]
 
-    def update(self, batch: pd.DataFrame) -> Sequence[float]: ...
+    def update(self, groups: DataFrameGroupBy) -> pd.DataFrame: ...
 
-    def merge(self, states: pd.DataFrame) -> Sequence[float]: ...
+    def merge(self, groups: DataFrameGroupBy) -> pd.DataFrame: ...
 
-    def read(self, state: Sequence[float]) -> Sequence[float]: ...
+    def read(self, states: pd.DataFrame) -> pd.DataFrame: ...
 
 
 class MeanAndTop:
@@ -101,35 +107,53 @@ class MeanAndTop:
 
     state, result = ("n", "total", "top"), ("n", "mean", "top")
 
-    def update(self, batch):
-        v = batch.iloc[:, 0].dropna()
-        return len(v), float(v.sum()), float(v.max()) if len(v) else float("-inf")
+    def update(self, groups):
+        v = groups[groups.obj.columns[0]]
+        return pd.DataFrame({"n": v.count(), "total": v.sum(), "top": v.max().astype(float).fillna(float("-inf"))})
 
-    def merge(self, states):
-        return states["n"].sum(), states["total"].sum(), states["top"].max()
+    def merge(self, groups):
+        return groups.agg({"n": "sum", "total": "sum", "top": "max"})
 
-    def read(self, state):
-        n, total, top = state
-        return n, total / n if n else 0.0, top
+    def read(self, states):
+        return pd.DataFrame({"n": states["n"], "mean": states["total"] / states["n"].clip(lower=1), "top": states["top"]})
 
 
 def accumulated(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], metric: Metric) -> DataFrame:
-    """A metric of each group: batches are updated where they lie, and only their states are shuffled and merged."""
+    """A metric of each group: batches are updated where they lie, and only their states are shuffled and merged. States are
+    merged in the order of their keys, a batch of groups at a time; the last group's is held back for the next batch."""
     shipped(rows.sparkSession)
+    keys, columns = list(keys), list(columns)
     base = rows.select(*keys, *columns)
     key_types = [f"{f.name} {f.dataType.simpleString()}" for f in base.schema.fields[: len(keys)]]
     numbers = lambda names: [f"{n} double" for n in names]
 
+    def grouped(frame: pd.DataFrame, names: list[str]) -> DataFrameGroupBy:
+        return frame[names].groupby([frame[k] for k in keys], dropna=False, sort=False)
+
     def update(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
         for frame in frames:
-            got = [(*(k if isinstance(k, tuple) else (k,)), *metric.update(part[list(columns)])) for k, part in frame.groupby(list(keys), dropna=False)]
-            yield pd.DataFrame(got, columns=[*keys, *metric.state])
-
-    def merge(key: tuple, states: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *metric.read(metric.merge(states)))], columns=[*keys, *metric.result])
+            held.append(frame)
+            if sum(map(len, held)) >= UPDATED:
+                yield metric.update(grouped(pd.concat(held), columns)).reset_index()
+                held = []
+        if any(map(len, held)):
+            yield metric.update(grouped(pd.concat(held), columns)).reset_index()
+
+    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = lambda states: pd.concat([states[keys], metric.read(states)], axis=1)
+        last = None
+        for frame in frames:
+            if len(frame):
+                frame = frame if last is None else pd.concat([last, frame], ignore_index=True)
+                states = metric.merge(grouped(frame, list(metric.state))).reset_index()
+                last = states.iloc[-1:]
+                yield read(states.iloc[:-1])
+        if last is not None:
+            yield read(last)
 
     states = base.mapInPandas(update, ", ".join([*key_types, *numbers(metric.state)]))
-    return states.groupBy(*keys).applyInPandas(merge, ", ".join([*key_types, *numbers(metric.result)]))
+    return states.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(merge, ", ".join([*key_types, *numbers(metric.result)]))
 
 
 def error_kind(prediction: Column, golds: Column, similarity: Column) -> Column:

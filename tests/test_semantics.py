@@ -258,3 +258,42 @@ def test_nearest_by_rounded_scores_need_few_rows(spark):
         order = [j for j in np.lexsort((np.arange(6000), -s[i])) if j != 100 * i][:10]
         want |= {(100 * i, int(j), n + 1) for n, j in enumerate(order)}
     assert len(got - want) <= 6  # a score may round otherwise
+
+
+def test_metrics_are_accumulated_for_all_groups_of_a_batch(spark):
+    """Few calls for many groups, states of a group that come in several batches, null and text keys, groups without values."""
+    import random
+    import uuid
+    from pathlib import Path
+
+    from ravelin.operators.reports import MeanAndTop, accumulated
+
+    folder = tempfile.mkdtemp()
+
+    class Counted(MeanAndTop):
+        def update(self, *a):
+            (Path(folder) / uuid.uuid4().hex).touch()
+            return super().update(*a)
+
+        def merge(self, *a):
+            (Path(folder) / uuid.uuid4().hex).touch()
+            return super().merge(*a)
+
+    rnd = random.Random(3)
+    rows = [(rnd.choice([None, *range(400)]), rnd.choice(["a", None, "b"]), rnd.choice([None, 1.5, -2.0, 7.25])) for _ in range(6000)] + [(5, "a", float(i)) for i in range(900)]
+    df = spark.createDataFrame(rows, "k int, g string, v double").repartition(5)
+    got = {(r.k, r.g): (r.n, r.mean, r.top) for r in accumulated(df, ["k", "g"], ["v"], Counted()).collect()}
+    assert len(list(Path(folder).iterdir())) < 40
+    values = {(k, g): [] for k, g, _ in rows}
+    for k, g, v in rows:
+        values[k, g] += [] if v is None else [v]
+    want = {key: (len(v), sum(v) / max(1, len(v)), max(v, default=float("-inf"))) for key, v in values.items()}
+    assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x]) for x in want)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        again = accumulated(df.withColumn("v", F.coalesce("v", F.lit(0.0))), ["g"], ["v"], MeanAndTop()).collect()
+        many = accumulated(df, ["k", "g"], ["v"], MeanAndTop()).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.g: r.n for r in again} == Counter(g for _, g, _ in rows) and len(again) == 3
+    assert {(r.k, r.g): r.n for r in many} == {key: v[0] for key, v in want.items()} and len(many) == len(want)
