@@ -297,3 +297,38 @@ def test_metrics_are_accumulated_for_all_groups_of_a_batch(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {r.g: r.n for r in again} == Counter(g for _, g, _ in rows) and len(again) == 3
     assert {(r.k, r.g): r.n for r in many} == {key: v[0] for key, v in want.items()} and len(many) == len(want)
+
+
+@pytest.mark.parametrize("meet", [(2, 2, 16), (0, 0, 0), (0, 0, 1e9)])
+def test_near_duplicates_move_few_hashes(spark, monkeypatch, meet):
+    """Whole sets are neither counted nor dealt by token: a line that many documents hold, copies, near copies, short and
+    null texts; with frequent hashes moved once, and where they stay frequent."""
+    import random
+
+    from ravelin.operators import similarity as S
+
+    rnd = random.Random(7)
+    line = " ".join(f"l{i}" for i in range(30))
+    texts = [" ".join(f"w{rnd.randrange(5000)}" for _ in range(rnd.randint(60, 200))) for _ in range(80)]
+    texts = [f"{line} {t}" if i % 2 else t for i, t in enumerate(texts)]
+    for i in range(30):
+        w = texts[i].split(" ")
+        w[rnd.randrange(len(w))] = "new"
+        texts.append(" ".join(w))
+    texts += texts[:10] + ["a b", "a b", "a b c", "", None]
+    monkeypatch.setattr(S, "ROUNDS_MEET", meet)
+    seen = []
+    monkeypatch.setattr(S, "written", lambda df, name, of=S.written: seen.append((name, of(df, name))) or seen[-1][1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    got = S.near_duplicates(docs).collect()
+    first = {}
+    for i, t in enumerate(texts):
+        w = (t or "").lower().split(" ")
+        first.setdefault(frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))), i)
+    want = {(min(i, j), max(i, j)): round(len(x & y) / len(x | y), 6) for (x, i), (y, j) in itertools.combinations(first.items(), 2) if len(x & y) / len(x | y) >= 0.8}
+    assert {(r.a, r.b): r.similarity for r in got} == want and len(got) == len(want) > 15
+    names = [n for n, _ in seen]
+    assert ("ordered-sets" in names) == (meet == (0, 0, 0))
+    if meet == (0, 0, 1e9):  # the line's hashes are last now
+        met = [df.agg(F.sum(F.col("f") * F.col("f"))).first()[0] for n, df in seen if n == "prefix-counts"]
+        assert met[-1] < met[0] / 2
